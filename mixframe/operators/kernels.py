@@ -1,0 +1,241 @@
+"""Arrow batch kernels: every point against every member of a small model.
+
+A join would write one row per point and member only to sum or minimise them
+again. Here a task keeps its batch of coordinates, loops over the members with
+NumPy, and hands back per-partition partial results (sums, farthest points) or
+one row per point (nearest members). Only the dimension columns cross into
+Python, and the model rides in the closure (bounded by ``bounded_rows``).
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+
+# Ship this module's functions by value: workers need NumPy and PyArrow only,
+# not a copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Points per NumPy step: a handful of such columns stays in a core's cache.
+STEP = 8192
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _columns(batch: pa.RecordBatch, names) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _steps(columns: list[np.ndarray]):
+    for start in range(0, len(columns[0]), STEP):
+        yield [c[start : start + STEP] for c in columns]
+
+
+def _sq_distance(xs, centre, spread) -> np.ndarray:
+    total = None
+    for x, c, s in zip(xs, centre, spread):
+        part = (x - c) / s
+        part *= part
+        total = part if total is None else total + part
+    return total
+
+
+def kernel_sums(dims, centres: np.ndarray, spreads: np.ndarray) -> Callable[[Batches], Batches]:
+    """Per partition and member: the sum over points of
+    exp(-distance / 2) / sqrt(product of spreads), as ``(slot, kernel)``."""
+    log_norms = -0.5 * np.log(spreads).sum(axis=1)
+
+    def run(batches: Batches) -> Batches:
+        totals = np.zeros(len(centres))
+        for batch in batches:
+            for xs in _steps(_columns(batch, dims)):
+                for j in range(len(centres)):
+                    exponent = _sq_distance(xs, centres[j], spreads[j])
+                    exponent *= -0.5
+                    exponent += log_norms[j]
+                    totals[j] += np.exp(exponent, out=exponent).sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(centres), dtype="int64")), pa.array(totals)],
+            names=["slot", "kernel"],
+        )
+
+    return run
+
+
+def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
+    """Per point and model: labels and distances of the nearest and the second
+    nearest representative, ties to the lower position.
+
+    ``models`` is a list of ``(run_id, centres, spreads, labels)``; ``keep``
+    names the point columns carried through. A model with one representative
+    has no second one (label -1, distance infinite). With ``rep1`` the second
+    label is always that of the second representative in the list.
+    """
+
+    def two(xs, centres, spreads):
+        n = len(xs[0])
+        i1, d1 = np.zeros(n, "int64"), np.full(n, np.inf)
+        i2, d2 = np.full(n, -1, "int64"), np.full(n, np.inf)
+        for j in range(len(centres)):
+            d = _sq_distance(xs, centres[j], spreads[j])
+            first = d < d1
+            if j:
+                second = d < d2
+                i2 = np.where(first, i1, np.where(second, j, i2))
+                d2 = np.where(first, d1, np.where(second, d, d2))
+            i1, d1 = np.where(first, j, i1), np.where(first, d, d1)
+        return i1, d1, i2, d2
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            carried = [batch.column(k) for k in keep]
+            columns = _columns(batch, dims)
+            for start in range(0, batch.num_rows, STEP):
+                xs = [c[start : start + STEP] for c in columns]
+                rows = [c.slice(start, STEP) for c in carried]
+                for run_id, centres, spreads, labels in models:
+                    i1, d1, i2, d2 = two(xs, centres, spreads)
+                    l2 = np.where(i2 < 0, -1, labels[min(1, len(labels) - 1)] if rep1 else labels[i2])
+                    found = [np.full(len(i1), run_id, "int64"), labels[i1], d1, l2, d2]
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows, *map(pa.array, found)],
+                        names=[*keep, "run_id", "label1", "d1", "label2", "d2"],
+                    )
+
+    return run
+
+
+def _top(order, m):
+    gap, ids, *_ = order
+    best = np.lexsort((ids, -gap))[:m]
+    return [c[best] for c in order]
+
+
+def farthest_points(dims, centres: np.ndarray, m: int) -> Callable[[Batches], Batches]:
+    """Per partition: the ``m`` points farthest from their closest centre, as
+    ``(gap, point_id, dims)`` with squared gaps; equal gaps by lower id."""
+
+    def run(batches: Batches) -> Batches:
+        best = None
+        for batch in batches:
+            ids, *columns = _columns(batch, ["point_id", *dims])
+            gap = np.full(len(ids), np.inf)
+            for centre in centres:
+                gap = np.minimum(gap, _sq_distance(columns, centre, np.ones(len(centre))))
+            rows = [gap, ids, *columns]
+            if best is not None:
+                rows = [np.concatenate(pair) for pair in zip(best, rows)]
+            best = _top(rows, m)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in best], names=["gap", "point_id", *dims]
+            )
+
+    return run
+
+
+def merge_farthest(dims, m: int) -> Callable[[Batches], Batches]:
+    """Combine the outputs of ``farthest_points`` that share a partition."""
+
+    def run(batches: Batches) -> Batches:
+        best = None
+        for batch in batches:
+            rows = _columns(batch, ["gap", "point_id", *dims])
+            if best is not None:
+                rows = [np.concatenate(pair) for pair in zip(best, rows)]
+            best = _top(rows, m)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in best], names=["gap", "point_id", *dims]
+            )
+
+    return run
+
+
+def _responsibilities(xs, weights, means, factors):
+    """Posterior of every component per point, and the points' log-likelihood."""
+    d = len(xs)
+    logs = []
+    for w, mean, low in zip(weights, means, factors):
+        solved, total = [], 0.0
+        for i in range(d):
+            value = xs[i] - mean[i]
+            for j in range(i):
+                value = value - low[i, j] * solved[j]
+            solved.append(value / low[i, i])
+            total = total + solved[i] * solved[i]
+        scale = np.log(w) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diag(low)).sum()
+        logs.append(scale - 0.5 * total)
+    logs = np.stack(logs)
+    top = logs.max(axis=0)
+    shares = np.exp(logs - top)
+    whole = shares.sum(axis=0)
+    shares /= whole
+    return shares, top + np.log(whole)
+
+
+def em_sums(dims, mixtures) -> Callable[[Batches], Batches]:
+    """Per partition, mixture and component, the weighted sums an EM step needs,
+    as ``(run_id, comp, stat, value)``: stat 0 the responsibilities, then the
+    offsets from the old mean, then their products by row; under component -1
+    the log-likelihood.
+
+    ``mixtures`` is a list of ``(run_id, weights, means, Cholesky factors)``.
+    """
+    d = len(dims)
+
+    def run(batches: Batches) -> Batches:
+        sums = [np.zeros((len(m[1]), 1 + d + d * d)) for m in mixtures]
+        logs = [0.0] * len(mixtures)
+        for batch in batches:
+            for xs in _steps(_columns(batch, dims)):
+                for at, (_, weights, means, factors) in enumerate(mixtures):
+                    shares, ll = _responsibilities(xs, weights, means, factors)
+                    logs[at] += ll.sum()
+                    for c, r in enumerate(shares):
+                        off = [x - mean for x, mean in zip(xs, means[c])]
+                        row = sums[at][c]
+                        row[0] += r.sum()
+                        for i in range(d):
+                            weighted = r * off[i]
+                            row[1 + i] += weighted.sum()
+                            for j in range(d):
+                                row[1 + d + i * d + j] += (weighted * off[j]).sum()
+        for at, (run_id, weights, *_) in enumerate(mixtures):
+            k, width = sums[at].shape
+            columns = [
+                np.full(k * width + 1, run_id, "int64"),
+                np.append(np.repeat(np.arange(k), width), -1),
+                np.append(np.tile(np.arange(width), k), 0),
+                np.append(sums[at].ravel(), logs[at]),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["run_id", "comp", "stat", "value"]
+            )
+
+    return run
+
+
+def em_labels(dims, mixtures, keep) -> Callable[[Batches], Batches]:
+    """``keep.., run_id, prediction``: the most probable component per point
+    and mixture, the first on ties."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            carried = [batch.column(k) for k in keep]
+            columns = _columns(batch, dims)
+            for start in range(0, batch.num_rows, STEP):
+                xs = [c[start : start + STEP] for c in columns]
+                rows = [c.slice(start, STEP) for c in carried]
+                for run_id, weights, means, factors in mixtures:
+                    shares, _ = _responsibilities(xs, weights, means, factors)
+                    found = [np.full(len(xs[0]), run_id, "int64"), shares.argmax(axis=0)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows, *map(pa.array, found)], names=[*keep, "run_id", "prediction"]
+                    )
+
+    return run
