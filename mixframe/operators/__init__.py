@@ -1,5 +1,5 @@
-from .assignment import assign, assignment_cells, nearest_reps, relabel_dense
-from .fitness import fitness
+from .assignment import assign, assignment_cells, nearest_labels, relabel_dense
+from .fitness import fitness, point_distances
 from .leaders import close_pairs, leaders, refine
 from .matching import nearest, nearest_by_window, pair_distances, select
 from .metrics import adjusted_rand, cluster_scores, contingency, label_count, scores
@@ -41,8 +41,9 @@ __all__ = [
     "model_vectors",
     "nearest",
     "nearest_by_window",
-    "nearest_reps",
+    "nearest_labels",
     "pair_distances",
+    "point_distances",
     "partners",
     "predict_mixture",
     "refine",

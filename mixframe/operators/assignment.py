@@ -66,6 +66,14 @@ def kinds(near: DataFrame, cfg: EvolveConfig, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def nearest_labels(
+    points: DataFrame, reps: DataFrame, cfg: EvolveConfig, keep: Sequence[str]
+) -> DataFrame:
+    """``keep.., run_id, cluster, alt`` per point and run, before any move."""
+    models = rep_models(reps, len(cfg.dims))
+    return kinds(nearest_reps(points, models, cfg, keep), cfg, keep)
+
+
 def model_facts(spark, models: list[tuple]) -> DataFrame:
     """Per run: how many labels and representatives there are."""
     rows = [(run, len(set(labels.tolist())), len(labels)) for run, _, _, labels in models]

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..config import EvolveConfig
+from ..functions import scaled_sq_distance
 from ..runtime import bounded_rows
 from . import kernels
 
@@ -47,3 +49,23 @@ def fitness(
     joined = members.join(F.broadcast(sums), "slot", "left")
     value = F.coalesce(F.col("kernel"), F.lit(0.0)) / F.col("size")
     return joined.select(*base, value.alias("fitness"))
+
+
+def point_distances(points: DataFrame, pop: DataFrame, cfg: EvolveConfig) -> DataFrame:
+    """``point_id, run_id, id, distance`` of every point to every individual, in
+    the individual's spread. The population travels as one array constant and
+    is unfolded on the point's own row, so nothing is joined or shuffled; the
+    other operators never make this table."""
+    parts = cfg.centre_cols + cfg.spread_cols
+    rows = sorted(bounded_rows(pop.select("run_id", "id", *parts)), key=lambda r: (r.run_id, r.id))
+    texts = [
+        f"struct({r.run_id}L AS run_id, {r.id}L AS id, "
+        + ", ".join(f"{r[p]!r}D AS {p}" for p in parts)
+        + ")"
+        for r in rows
+    ]
+    members = F.expr(f"array({', '.join(texts)})")
+    distance = scaled_sq_distance(cfg.centre_cols, list(cfg.dims), cfg.spread_cols)
+    return points.select("point_id", *cfg.dims, F.inline(members)).selectExpr(
+        "point_id", "run_id", "id", f"{distance} AS distance"
+    )
