@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import mixframe as mf
 from mixframe.plans.experiments import SCORES
-from mixframe.runtime import cut_lineage, shared_folder
+from mixframe.runtime import cut_model, shared_folder
 
 from . import points as src
 
@@ -98,7 +98,7 @@ def hash_sample(spark, sf):
 
 def first_population(spark, sf) -> tuple[DataFrame, DataFrame]:
     pts = src.scaled_events(spark, sf)
-    return pts, cut_lineage(mf.init_population(pts, CFG))
+    return pts, cut_model(mf.init_population(pts, CFG))
 
 
 def init_random(spark, sf):
@@ -117,21 +117,22 @@ def init_farthest(spark, sf):
 
 
 def partners(spark, sf):
-    return mf.partners(first_population(spark, sf)[1], CFG, 1)
+    drawn = mf.partners(first_population(spark, sf)[1], CFG, 1)
+    return drawn.select("run_id", "id", "r1", "r2", "r3")
 
 
 def vary(spark, sf):
     pop = first_population(spark, sf)[1]
-    return rounded(mf.vary(pop, mf.partners(pop, CFG, 1), CFG, 1), *BODY)
+    return rounded(mf.vary(pop, CFG, 1), *BODY)
 
 
 def rated_generation(spark, sf) -> tuple[int, DataFrame, DataFrame, DataFrame]:
     """Points, their number, and parents and children with fitness."""
     pts = src.scaled_events(spark, sf)
     extent = mf.domain(pts, CFG.dims)
-    pop = cut_lineage(mf.fitness(mf.init_population(pts, CFG, extent), pts, CFG.dims))
-    varied = mf.vary(pop, mf.partners(pop, CFG, 1), CFG, 1)
-    return extent["n"], pts, pop, cut_lineage(mf.fitness(varied, pts, CFG.dims))
+    pop = cut_model(mf.fitness(mf.init_population(pts, CFG, extent), pts, CFG.dims))
+    varied = mf.vary(pop, CFG, 1)
+    return extent["n"], pts, pop, cut_model(mf.fitness(varied, pts, CFG.dims))
 
 
 # --- distances, fitness, selection ---------------------------------------------
@@ -147,7 +148,7 @@ def point_distance(spark, sf):
 
 def population_distance(spark, sf):
     pop = first_population(spark, sf)[1]
-    children = mf.vary(pop, mf.partners(pop, CFG, 1), CFG, 1)
+    children = mf.vary(pop, CFG, 1)
     return rounded(mf.pair_distances(children, pop, CFG), "distance", digits=4)
 
 
@@ -165,13 +166,13 @@ def fitness(spark, sf):
 
 def nearest_window(spark, sf):
     pop = first_population(spark, sf)[1]
-    children = mf.vary(pop, mf.partners(pop, CFG, 1), CFG, 1)
+    children = mf.vary(pop, CFG, 1)
     return rounded(mf.nearest_by_window(mf.pair_distances(children, pop, CFG)), "distance")
 
 
 def nearest_minby(spark, sf):
     pop = first_population(spark, sf)[1]
-    children = mf.vary(pop, mf.partners(pop, CFG, 1), CFG, 1)
+    children = mf.vary(pop, CFG, 1)
     return rounded(mf.nearest(children, pop, CFG), "distance")
 
 
@@ -213,7 +214,7 @@ def refine_labels(spark, sf):
 def assign_nearest(spark, sf):
     """Nearest representative or outlier, before small clusters are given away."""
     pts, pop = first_population(spark, sf)
-    reps = cut_lineage(mf.leaders(pop, CFG))
+    reps = cut_model(mf.leaders(pop, CFG))
     near = mf.nearest_labels(pts, reps, CFG, ["point_id"])
     return near.select("point_id", "cluster", "alt")
 
@@ -221,7 +222,7 @@ def assign_nearest(spark, sf):
 def _assigned(second: str = "own", keep: Sequence[str] = ("point_id",)) -> Query:
     def run(spark, sf):
         pts, pop = first_population(spark, sf)
-        reps = cut_lineage(mf.leaders(pop, CFG))
+        reps = cut_model(mf.leaders(pop, CFG))
         assigned = mf.assign(pts, reps, CFG.with_(second=second))
         return assigned.select("point_id", "cluster", F.col("is_outlier").cast("int").alias("is_outlier"))
 
@@ -295,7 +296,7 @@ def compare_algorithms(spark, sf):
 def _search(spark, sf) -> DataFrame:
     cfg = src.SEARCH_CFG
     pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    snapshot = cut_lineage(mf.evolve(pts, cfg).select("run_id", "id", *BODY))
+    snapshot = cut_model(mf.evolve(pts, cfg).select("run_id", "id", *BODY))
     return mf.delta_search(pts, snapshot, cfg)
 
 

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+# Ceiling for tables that describe a model (population, representatives,
+# components): their rows travel to every task, so the size is always checked.
+MAX_MODEL_ROWS = 50_000
+# Within a run every individual meets every other one.
+MAX_POP_SIZE = 2_000
+
 INITS = ("random", "farthest")
 SELECTIONS = ("greedy", "crowding", "nearest_child")
 SLOTS = ("self", "competitor")
@@ -37,15 +43,18 @@ class EvolveConfig:
     refine: bool = True
     sample_fraction: float | None = None  # draw the first centroids from a sample
     persist_points: bool = True
+    partitions: int | None = None  # of the working points; None: by the scan
 
     def __post_init__(self):
         object.__setattr__(self, "dims", tuple(self.dims))
         if not self.dims:
             raise ValueError("at least one dimension is needed")
-        if self.pop_size < 4:
-            raise ValueError("a population needs at least 4 individuals")
+        if not 4 <= self.pop_size <= MAX_POP_SIZE:
+            raise ValueError(f"a population needs 4 to {MAX_POP_SIZE} individuals")
         if self.runs < 1 or self.generations < 0:
             raise ValueError("runs must be >= 1 and generations >= 0")
+        if self.runs * self.pop_size > MAX_MODEL_ROWS:
+            raise ValueError(f"more than {MAX_MODEL_ROWS} individuals; use fewer runs at a time")
         if self.sample_fraction is not None and not 0 < self.sample_fraction <= 1:
             raise ValueError("sample_fraction must lie in (0, 1]")
         for name, allowed in (

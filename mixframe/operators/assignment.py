@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EvolveConfig
-from ..runtime import bounded_rows
+from ..config import MAX_MODEL_ROWS, EvolveConfig
+from ..runtime import bounded_rows, model_table
 from . import kernels
 from .fitness import model_arrays
 
@@ -77,7 +77,7 @@ def nearest_labels(
 def model_facts(spark, models: list[tuple]) -> DataFrame:
     """Per run: how many labels and representatives there are."""
     rows = [(run, len(set(labels.tolist())), len(labels)) for run, _, _, labels in models]
-    return spark.createDataFrame(rows, "run_id bigint, n_labels bigint, n_reps bigint")
+    return model_table(spark, rows, "run_id bigint, n_labels bigint, n_reps bigint")
 
 
 def move_small(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -150,10 +150,14 @@ def relabel_dense(
     assigned: DataFrame, cluster: str = "cluster", by: Sequence[str] = ("run_id",)
 ) -> DataFrame:
     """Cluster values become 1..K in sorted order within ``by``. The rank is
-    taken over the distinct values, not over the points."""
+    taken over the distinct values, not over the points; the points are joined
+    by broadcast where there are few values, else with Spark's skew handling."""
     keys = ", ".join(by)
-    values = assigned.select(*by, cluster).distinct()
     over = f"PARTITION BY {keys} ORDER BY {cluster}" if by else f"ORDER BY {cluster}"
+    values = assigned.select(*by, cluster).distinct()
     ranked = values.selectExpr(*by, cluster, f"CAST(dense_rank() OVER ({over}) AS BIGINT) AS dense")
+    rows = ranked.limit(MAX_MODEL_ROWS + 1).collect()
+    if len(rows) <= MAX_MODEL_ROWS:
+        ranked = F.broadcast(model_table(assigned.sparkSession, rows, ranked.schema))
     kept = [c for c in assigned.columns if c != cluster]
     return assigned.join(ranked, [*by, cluster]).selectExpr(*kept, f"dense AS {cluster}")

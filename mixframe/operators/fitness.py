@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
 from ..functions import scaled_sq_distance
-from ..runtime import bounded_rows
+from ..runtime import bounded_rows, model_table
 from . import kernels
 
 
@@ -36,11 +36,9 @@ def fitness(
     base = [c for c in pop.columns if c != "fitness"]
     rows = sorted(bounded_rows(pop.select(*base)), key=lambda r: (r.run_id, r[key]))
     sizes = Counter(r.run_id for r in rows)
-    spark = pop.sparkSession
     schema = pop.select(*base).schema.add("slot", "long").add("size", "double")
-    members = spark.createDataFrame(
-        [(*r, slot, float(sizes[r.run_id])) for slot, r in enumerate(rows)], schema
-    )
+    numbered = [(*r, slot, float(sizes[r.run_id])) for slot, r in enumerate(rows)]
+    members = model_table(pop.sparkSession, numbered, schema)
     centres, spreads = model_arrays(rows, len(dims))
     partial = points.select(*dims).mapInArrow(
         kernels.kernel_sums(list(dims), centres, spreads), "slot bigint, kernel double"

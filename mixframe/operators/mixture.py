@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows
+from ..runtime import bounded_rows, model_table
 from . import kernels
 
 COMPONENT_SCHEMA = (
@@ -59,7 +59,7 @@ def mixture_components(model: GaussianMixtureModel, run_id: int = 0) -> DataFram
         (run_id, k, float(w), [float(v) for v in s.mean], s.cov.toArray().tolist())
         for k, (w, s) in enumerate(zip(model.weights, shapes))
     ]
-    return model.gaussiansDF.sparkSession.createDataFrame(rows, COMPONENT_SCHEMA)
+    return model_table(model.gaussiansDF.sparkSession, rows, COMPONENT_SCHEMA)
 
 
 def _mixtures(comps: DataFrame) -> list[tuple]:
@@ -107,7 +107,7 @@ def gmm_step(
     """The components after one E-step and M-step. Sums are taken around the
     old means, which keeps the covariances accurate far from the origin."""
     rows, _ = _step(points, _mixtures(comps), dims, reg)
-    return points.sparkSession.createDataFrame(rows, COMPONENT_SCHEMA)
+    return model_table(points.sparkSession, rows, COMPONENT_SCHEMA)
 
 
 def kmeans_start(
@@ -135,7 +135,7 @@ def kmeans_start(
         )
         for c, r in enumerate(rows)
     ]
-    return points.sparkSession.createDataFrame(comps, COMPONENT_SCHEMA)
+    return model_table(points.sparkSession, comps, COMPONENT_SCHEMA)
 
 
 def em_fit(
@@ -166,7 +166,7 @@ def em_fit(
         if not active:
             break
     final = [row for run_id in sorted(done) for row in done[run_id]]
-    return points.sparkSession.createDataFrame(final, COMPONENT_SCHEMA)
+    return model_table(points.sparkSession, final, COMPONENT_SCHEMA)
 
 
 def em_predict(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
 from ..functions import digest, hash_below, uniform
-from ..runtime import MAX_MODEL_ROWS, bounded_rows
+from ..runtime import bounded_rows, model_table
 from . import kernels
 from .scaling import domain
 
@@ -33,10 +33,7 @@ def sample_points(points: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 def slots(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
     """One row per individual to be made: ``run_id, id``."""
-    total = cfg.runs * cfg.pop_size
-    if total > MAX_MODEL_ROWS:
-        raise ValueError(f"{total} individuals in one batch; use fewer runs at a time")
-    return points.sparkSession.range(0, total, 1, 1).selectExpr(
+    return points.sparkSession.range(0, cfg.runs * cfg.pop_size, 1, 1).selectExpr(
         f"id div {cfg.pop_size} AS run_id", f"id % {cfg.pop_size} AS id"
     )
 
@@ -68,12 +65,9 @@ def random_centres(points: DataFrame, cfg: EvolveConfig, n: int) -> DataFrame:
     """
     total = cfg.runs * cfg.pop_size
     leaders = _first_by_hash(points, cfg, total, n)
-    spark = points.sparkSession
     fields = ", ".join(f"{c} double" for c in cfg.centre_cols)
-    ranked = spark.createDataFrame(
-        [(rank, *[float(r[d]) for d in cfg.dims]) for rank, r in enumerate(leaders, start=1)],
-        f"pick int, {fields}",
-    )
+    rows = [(rank, *[r[d] for d in cfg.dims]) for rank, r in enumerate(leaders, start=1)]
+    ranked = model_table(points.sparkSession, rows, f"pick int, {fields}")
     number = f"floor({uniform(cfg.seed, 'run_id', 0, "'draw'", 'id')} * {float(n)!r}D) AS number"
     draws = slots(points, cfg).selectExpr("run_id", "id", number)
     # The unpartitioned window holds one row per slot only.
@@ -137,7 +131,7 @@ def farthest_centres(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
         for i, centre in enumerate(_farthest_run(points, cfg, run))
     ]
     fields = ", ".join(f"{c} double" for c in cfg.centre_cols)
-    return points.sparkSession.createDataFrame(rows, f"run_id bigint, id bigint, {fields}")
+    return model_table(points.sparkSession, rows, f"run_id bigint, id bigint, {fields}")
 
 
 def init_population(
@@ -162,7 +156,8 @@ def init_population(
 
 
 def partners(pop: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
-    """Three different individuals for each one, none of them itself.
+    """The population with ``r1, r2, r3``: three different individuals of the
+    run for each one, none of them itself.
 
     A draw among the n - k indices still free is shifted past the taken ones in
     ascending order, which needs no join of the population with itself.
@@ -173,13 +168,12 @@ def partners(pop: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
         return f"floor({u} * {cfg.pop_size - k}D)"
 
     shift = "aggregate(array_sort(array({taken})), {draw}, (r, t) -> if(r >= t, r + 1, r)) AS r{k}"
-    drawn = pop.select("run_id", "id")
     for k, taken in enumerate(("id", "id, r1", "id, r1, r2"), start=1):
-        drawn = drawn.selectExpr("*", shift.format(taken=taken, draw=draw(k), k=k))
-    return drawn
+        pop = pop.selectExpr("*", shift.format(taken=taken, draw=draw(k), k=k))
+    return pop
 
 
-def vary(pop: DataFrame, drawn: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
+def vary(pop: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
     """Children: each component, centre or spread, becomes
     r3 + weight * (r1 - r2) with probability ``crossover`` and stays otherwise.
     Spreads are made positive and floored at ``eps``. A child keeps its
@@ -189,24 +183,23 @@ def vary(pop: DataFrame, drawn: DataFrame, cfg: EvolveConfig, gen: int) -> DataF
     small map per run.
     """
     parts = cfg.centre_cols + cfg.spread_cols
-    packed = pop.groupBy("run_id").agg(
-        F.expr(f"map_from_entries(collect_list(struct(id, struct({', '.join(parts)})))) AS members")
-    )
+    run = "OVER (PARTITION BY run_id)"
+    packed = f"map_from_entries(collect_list(struct(id, struct({', '.join(parts)}))) {run})"
+    wrong = "raise_error('the population is not of the configured size')"
     children = []
     for p in parts:
         chance = uniform(cfg.seed, "run_id", gen, "'mutate'", "id", f"'{p}'")
         mutated = f"m3.{p} + {cfg.weight!r}D * (m1.{p} - m2.{p})"
-        value = f"if({chance} < {cfg.crossover!r}D, {mutated}, own.{p})"
+        value = f"if({chance} < {cfg.crossover!r}D, {mutated}, {p})"
         if p in cfg.spread_cols:
             value = f"greatest(abs({value}), {cfg.eps!r}D)"
         children.append(f"{value} AS {p}")
     return (
-        drawn.join(F.broadcast(packed), "run_id")
+        partners(pop.select("run_id", "id", *parts), cfg, gen)
+        .selectExpr("*", f"{packed} AS packed")
+        .selectExpr("*", f"if(size(packed) = {cfg.pop_size}, packed, {wrong}) AS members")
         .selectExpr(
-            "run_id",
-            "id",
-            "members[id] AS own",
-            *[f"members[r{k}] AS m{k}" for k in (1, 2, 3)],
+            "run_id", "id", *parts, *[f"members[r{k}] AS m{k}" for k in (1, 2, 3)]
         )
         .selectExpr("run_id", "id", *children)
     )

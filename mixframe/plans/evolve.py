@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from ..config import EvolveConfig
 from ..operators.fitness import fitness
 from ..operators.matching import select
-from ..operators.population import init_population, partners, vary
+from ..operators.population import init_population, vary
 from ..operators.scaling import domain
-from ..runtime import cut_lineage, spread_out
+from ..runtime import cut_model, spread_out
 
 
 @contextmanager
@@ -21,7 +21,7 @@ def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = (
     """The dimensions and ``keep`` only, spread over the cluster and, if so
     configured, kept while the block runs: every generation reads them."""
     wanted = list(dict.fromkeys([*keep, *cfg.dims]))
-    narrow = spread_out(points.select(*wanted))
+    narrow = spread_out(points.select(*wanted), cfg.partitions)
     if not cfg.persist_points:
         yield narrow
         return
@@ -34,7 +34,7 @@ def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = (
 
 def generation(pop: DataFrame, points: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
     """Next population; only the children are measured, parents carry theirs."""
-    children = fitness(vary(pop, partners(pop, cfg, gen), cfg, gen), points, cfg.dims)
+    children = fitness(vary(pop, cfg, gen), points, cfg.dims)
     return select(pop, children, cfg)
 
 
@@ -43,7 +43,7 @@ def evolve(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
     over the points per generation, whatever the number of runs."""
     with working_points(points, cfg) as narrow:
         first = init_population(narrow, cfg, domain(narrow, cfg.dims))
-        pop = cut_lineage(fitness(first, narrow, cfg.dims))
+        pop = cut_model(fitness(first, narrow, cfg.dims))
         for gen in range(1, cfg.generations + 1):
-            pop = cut_lineage(generation(pop, narrow, cfg, gen))
+            pop = cut_model(generation(pop, narrow, cfg, gen))
     return pop

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from ..operators.fitness import fitness, model_arrays
 from ..operators.leaders import lead, refine_with, reps_frame, reps_schema
 from ..operators.metrics import SCORES, cluster_scores, scores
 from ..operators.mixture import em_fit, em_predict, kmeans_start
-from ..runtime import MAX_MODEL_ROWS, bounded_rows, cut_lineage
+from ..runtime import MAX_MODEL_ROWS, bounded_rows, cut_lineage, cut_model, model_table
 from .evolve import working_points
 from .predict import predicted_scores
 
@@ -44,13 +43,10 @@ def _reps_of_grid(spark, rows, pairs: list, points: DataFrame, cfg: EvolveConfig
             for set_id, delta1, delta2 in pdf.itertuples(index=False):
                 yield reps_frame(int(set_id), *lead(centres, spreads, delta1, delta2))
 
-    table = spark.createDataFrame(
-        pd.DataFrame(pairs, columns=["set_id", "delta1", "delta2"]),
-        "set_id bigint, delta1 double, delta2 double",
-    )
+    table = model_table(spark, pairs, "set_id bigint, delta1 double, delta2 double")
     tasks = min(len(pairs), spark.sparkContext.defaultParallelism)
     folded = table.repartition(tasks).mapInPandas(fold, reps_schema(len(cfg.dims)))
-    reps = cut_lineage(folded)
+    reps = cut_model(folded.repartition(1))
     if not cfg.refine:
         return reps
     # Settings share most of their Gaussians; each one is measured once.
@@ -60,7 +56,7 @@ def _reps_of_grid(spark, rows, pairs: list, points: DataFrame, cfg: EvolveConfig
     rated = fitness(alone, points, cfg.dims).select(*body, "fitness")
     limits = table.selectExpr("set_id AS run_id", "delta2 AS delta2")
     joined = reps.join(F.broadcast(rated), body).join(F.broadcast(limits), "run_id")
-    return cut_lineage(refine_with(joined, cfg, "delta2"))
+    return cut_lineage(refine_with(joined.repartition(tasks, "run_id"), cfg, "delta2"))
 
 
 def _distinct_models(reps: DataFrame, cfg: EvolveConfig) -> DataFrame:
@@ -85,7 +81,7 @@ def _scores_of_sets(
     then read off those counts.
     """
     spark = points.sparkSession
-    shared = cut_lineage(_distinct_models(reps, cfg))
+    shared = cut_model(_distinct_models(reps, cfg))
     kept = shared.select("model_id").distinct()
     models = rep_models(
         reps.join(F.broadcast(kept), reps.run_id == kept.model_id, "left_semi"), len(cfg.dims)
@@ -135,7 +131,8 @@ def delta_search(
         raise ValueError("a threshold search takes the population of one run")
     steps = sorted({t.delta3 for t in trials})
     pair_ids = {p: n for n, p in enumerate(sorted({(t.delta1, t.delta2) for t in trials}))}
-    table = spark.createDataFrame(
+    table = model_table(
+        spark,
         [
             (n, pair_ids[t.delta1, t.delta2], steps.index(t.delta3), *t)
             for n, t in enumerate(trials)

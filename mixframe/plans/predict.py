@@ -10,7 +10,7 @@ from ..config import EvolveConfig
 from ..operators.assignment import assign, assignment_cells
 from ..operators.leaders import leaders, refine
 from ..operators.metrics import scores
-from ..runtime import cut_lineage
+from ..runtime import cut_model
 from .evolve import evolve
 
 
@@ -18,7 +18,7 @@ def representatives(pop: DataFrame, points: DataFrame, cfg: EvolveConfig) -> Dat
     """Labelled representatives of every run, refined on the points unless
     switched off, and materialized: they are small and read more than once."""
     reps = leaders(pop, cfg)
-    return cut_lineage(refine(reps, points, cfg) if cfg.refine else reps)
+    return cut_model(refine(reps, points, cfg) if cfg.refine else reps)
 
 
 def predict(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = ()) -> DataFrame:

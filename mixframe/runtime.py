@@ -5,12 +5,14 @@ cluster."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-# Ceiling for tables that describe a model (population, representatives,
-# components): their rows travel to every task, so the size is always checked.
-MAX_MODEL_ROWS = 50_000
+from .config import MAX_MODEL_ROWS
 
 
 def bounded_rows(df: DataFrame, limit: int = MAX_MODEL_ROWS) -> list[Row]:
@@ -41,8 +43,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Repartition only where the scan has fewer tasks than the cluster has
-    cores (a single small file); a large scan is left as it is split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def cut_model(df: DataFrame) -> DataFrame:
+    """Checkpoint of a model table as one partition: grouping or windowing it
+    by run then needs no shuffle."""
+    return cut_lineage(df.coalesce(1))
+
+
+def model_table(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:
+    """A model table from driver rows, as a local relation of known size."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def spread_out(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Repartition to ``partitions``; by default only where the scan has fewer
+    tasks than the cluster has cores (a small file), so that a large scan is
+    left as it is split. Pass a number for a table that is not a plain scan:
+    counting its partitions would run its shuffles."""
+    if partitions is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions)
