@@ -156,12 +156,10 @@ def fitness(spark, sf):
     """Individuals drawn from the parts, measured on all order lines."""
     cfg = src.FITNESS_CFG
     pop = mf.init_population(mf.minmax_scale(src.parts(spark, sf), src.DIMS), cfg)
-    lines = mf.spread_out(mf.minmax_scale(src.lines(spark, sf), src.DIMS).select(*src.DIMS))
-    rated = mf.fitness(pop, lines, cfg.dims)
-    n = src.table(spark, sf, "lineitem").count()
-    return rounded(
-        rated.select("run_id", "id", (F.col("fitness") / F.lit(float(n))).alias("fitness")), "fitness"
-    )
+    lines = src.lines(spark, sf)
+    rated = mf.fitness(pop, mf.minmax_scale(lines, src.DIMS), cfg.dims)
+    share = F.col("fitness") / F.lit(float(lines.count()))
+    return rounded(rated.select("run_id", "id", share.alias("fitness")), "fitness")
 
 
 def nearest_window(spark, sf):
