@@ -113,9 +113,9 @@ def gmm_step(
 def kmeans_start(
     points: DataFrame, dims: Sequence[str], k: int, seed: int, run_id: int = 0, reg: float = REG
 ) -> DataFrame:
-    """Components from a k-means partition, the usual start of EM."""
+    """Components from a short k-means run, the usual start of EM."""
     vectors = assemble(points, dims)
-    model = KMeans(k=k, seed=seed).fit(vectors)
+    model = KMeans(k=k, seed=seed, maxIter=5).fit(vectors)
     hard = model.transform(vectors)
     pairs = [(i, j) for i in range(len(dims)) for j in range(len(dims))]
     stats = hard.groupBy("prediction").agg(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
-from ..operators.assignment import model_facts, move_small, nearest_reps, rep_models
+from ..operators.assignment import move_small, nearest_reps, rep_models
 from ..operators.fitness import fitness, model_arrays
 from ..operators.leaders import lead, refine_with, reps_frame, reps_schema
 from ..operators.metrics import SCORES, cluster_scores, scores
@@ -59,59 +60,66 @@ def _reps_of_grid(spark, rows, pairs: list, points: DataFrame, cfg: EvolveConfig
     return cut_lineage(refine_with(joined.repartition(tasks, "run_id"), cfg, "delta2"))
 
 
-def _distinct_models(reps: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """``set_id, model_id``: sets with the same representatives share a model."""
-    entry = F.struct("rep_id", "label", *cfg.centre_cols, *cfg.spread_cols)
-    packed = reps.groupBy("run_id").agg(F.sort_array(F.collect_list(entry)).alias("body"))
-    return (
-        packed.groupBy("body")
-        .agg(F.min("run_id").alias("model_id"), F.collect_list("run_id").alias("sets"))
-        .select(F.explode("sets").alias("set_id"), "model_id")
+def _shared_sets(reps: DataFrame, cfg: EvolveConfig) -> DataFrame:
+    """``set_id, geometry_id, labelled_id, labels, n_labels, n_reps``: sets with
+    the same Gaussians share a geometry, and with equal labels all results."""
+    place = F.struct("rep_id", *cfg.centre_cols, *cfg.spread_cols)
+    sets = reps.groupBy(F.col("run_id").alias("set_id")).agg(
+        F.sort_array(F.collect_list(place)).alias("places"),
+        F.sort_array(F.collect_list(F.struct("rep_id", "label"))).alias("pairs"),
+    )
+    return sets.selectExpr(
+        "set_id",
+        "min(set_id) OVER (PARTITION BY places) AS geometry_id",
+        "min(set_id) OVER (PARTITION BY places, pairs) AS labelled_id",
+        "pairs.label AS labels",
+        "bigint(size(array_distinct(pairs.label))) AS n_labels",
+        "bigint(size(pairs)) AS n_reps",
     )
 
 
 def _scores_of_sets(
     points: DataFrame, reps: DataFrame, trials: DataFrame, steps: list, cfg: EvolveConfig, label: str
 ) -> DataFrame:
-    """``trial, ari`` and the other scores for trials ``trial, set_id, step``.
+    """``trial`` and the scores for trials ``trial, set_id, step``.
 
-    One pass over the points per distinct representative set. delta3 only cuts
-    the two nearest distances, so points are counted by label, the two nearest
-    labels and the first grid step at or above each distance; every delta3 is
-    then read off those counts.
+    One pass over the points measures each distinct geometry once. Labels and
+    delta3 come in afterwards: points are counted by label, their two nearest
+    representatives and the first grid step at or above either distance, and
+    every combination is read off those counts.
     """
-    spark = points.sparkSession
-    shared = cut_model(_distinct_models(reps, cfg))
-    kept = shared.select("model_id").distinct()
-    models = rep_models(
-        reps.join(F.broadcast(kept), reps.run_id == kept.model_id, "left_semi"), len(cfg.dims)
-    )
+    shared = cut_model(_shared_sets(reps, cfg))
+    kept = shared.select(F.col("geometry_id").alias("run_id")).distinct()
+    models = rep_models(reps.join(F.broadcast(kept), "run_id", "left_semi"), len(cfg.dims))
+    places = [(run, c, s, np.arange(len(c))) for run, c, s, _ in models]
 
     def step_of(distance: str) -> str:
         return " + ".join(f"int({distance} > {v!r}D)" for v in steps)
 
-    near = nearest_reps(points, models, cfg, [label]).selectExpr(
-        "run_id AS model_id", f"{label} AS label", "label1", "label2",
+    near = nearest_reps(points, places, cfg, [label]).selectExpr(
+        "run_id AS geometry_id", f"{label} AS label", "label1 AS place1", "label2 AS place2",
         f"{step_of('d1')} AS bin1", f"{step_of('d2')} AS bin2",
     )
     counts = near.groupBy(*near.columns).agg(F.count(F.lit(1)).alias("n"))
-    facts = model_facts(spark, models).withColumnRenamed("run_id", "model_id")
-    wanted = trials.join(shared, "set_id").join(facts, "model_id")
+    wanted = trials.join(shared, "set_id")
+    cases = wanted.drop("trial", "set_id").dropDuplicates(["labelled_id", "step"])
+    case = ["labelled_id", "step"]
     cells = (
-        counts.join(F.broadcast(wanted), "model_id")
+        counts.join(F.broadcast(cases), "geometry_id")
         .selectExpr(
-            "trial", "label", "n_labels", "n_reps",
-            "if(bin1 <= step, label1, 0L) AS cluster", "if(bin2 <= step, label2, -1L) AS alt", "n",
+            *case, "label", "n_labels", "n_reps",
+            "if(bin1 <= step, get(labels, int(place1)), 0L) AS cluster",
+            "if(bin2 <= step, get(labels, int(place2)), -1L) AS alt", "n",
         )
-        .groupBy("trial", "label", "n_labels", "n_reps", "cluster", "alt")
+        .groupBy(*case, "label", "n_labels", "n_reps", "cluster", "alt")
         .agg(F.sum("n").alias("n"))
     )
     table = (
-        move_small(cells, ["trial"])
-        .groupBy("trial", "label", F.col("moved").alias("cluster"))
+        move_small(cells, case)
+        .groupBy(*case, "label", F.col("moved").alias("cluster"))
         .agg(F.sum("n").alias("n"))
     )
-    return scores(table, ["trial"])
+    return wanted.select("trial", *case).join(scores(table, case), case).select("trial", *SCORES)
 
 
 def delta_search(

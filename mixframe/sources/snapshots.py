@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import MAX_POP_SIZE
 
 
 def write_population(pop: DataFrame, path: str) -> None:
@@ -10,8 +13,12 @@ def write_population(pop: DataFrame, path: str) -> None:
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
-    """Population with ``run_id`` first again and of type long."""
+    """Population with ``run_id`` first again and of type long. A run larger
+    than a population may be is refused: later steps hold a run in one task."""
     pop = spark.read.parquet(path)
+    largest = pop.groupBy("run_id").count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > MAX_POP_SIZE:
+        raise ValueError(f"a run of {largest} individuals; at most {MAX_POP_SIZE}")
     rest = [c for c in pop.columns if c != "run_id"]
     return pop.select(pop.run_id.cast("bigint").alias("run_id"), *rest)
 
