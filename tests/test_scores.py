@@ -98,9 +98,10 @@ def test_delta_grid(spark):
     assert len({(r.i, r.j, r.k) for r in rows}) == 1140
 
 
-def test_search_equals_one_prediction_per_triple(spark, blobs):
+@pytest.mark.parametrize("changes", [{}, {"second": "rep1", "refine": False}])
+def test_search_equals_one_prediction_per_triple(spark, blobs, changes):
     points = mf.minmax_scale(blobs, ["x0", "x1"])
-    cfg = mf.EvolveConfig(pop_size=10, generations=1)
+    cfg = mf.EvolveConfig(pop_size=10, generations=1, **changes)
     snapshot = mf.evolve(points, cfg)
     grid = mf.delta_grid(spark).where("i IN (1, 4) AND j IN (5, 9) AND k IN (10, 18)")
     report = mf.delta_search(points, snapshot, cfg, grid)
