@@ -26,8 +26,18 @@ def _numbered(column: str, values: tuple[str, ...]):
     return number.cast("bigint")
 
 
+# The columns used, so that no job is spent on reading footers for the schema.
+SCHEMAS = {
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": "event_id bigint, ts timestamp_ntz, event_type string, value double",
+    "part": "p_partkey bigint, p_brand string, p_size int, p_retailprice double",
+    "lineitem": "l_quantity double, l_extendedprice double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_orderstatus string, o_totalprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def embeddings(spark: SparkSession, sf_dir: str, n_dims: int = 2) -> DataFrame:
@@ -72,8 +82,3 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("x1"),
         _numbered("l_returnflag", RETURN_FLAGS).alias("label"),
     )
-
-
-def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "orders")
-    return as_points(source, ["o_totalprice"], "o_orderpriority", "o_orderkey")

@@ -86,14 +86,22 @@ def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
         n = len(xs[0])
         i1, d1 = np.zeros(n, "int64"), np.full(n, np.inf)
         i2, d2 = np.full(n, -1, "int64"), np.full(n, np.inf)
+        distance, part = np.empty(n), np.empty(n)
         for j in range(len(centres)):
-            d = _sq_distance(xs, centres[j], spreads[j])
-            first = d < d1
-            if j:
-                second = d < d2
-                i2 = np.where(first, i1, np.where(second, j, i2))
-                d2 = np.where(first, d1, np.where(second, d, d2))
-            i1, d1 = np.where(first, j, i1), np.where(first, d, d1)
+            distance.fill(0)
+            for k, x in enumerate(xs):
+                np.subtract(x, centres[j, k], out=part)
+                part /= spreads[j, k]
+                part *= part
+                distance += part
+            # Few points still improve after the first members.
+            better = np.flatnonzero(distance < d2)
+            found = distance[better]
+            best = found < d1[better]
+            top, next_ = better[best], better[~best]
+            i2[top], d2[top] = i1[top] if j else -1, d1[top]
+            i1[top], d1[top] = j, found[best]
+            i2[next_], d2[next_] = j, found[~best]
         return i1, d1, i2, d2
 
     def run(batches: Batches) -> Batches:
