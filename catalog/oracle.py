@@ -570,34 +570,44 @@ def _mixture() -> Chain:
     )
 
 
-def _gmm_step() -> str:
-    chain = _mixture()
+def _stepped(chain: Chain, comps: str, name: str):
+    """One EM step from ``comps``."""
     maha = (
         "(v11 * (x0 - m0) * (x0 - m0) - 2 * v01 * (x0 - m0) * (x1 - m1) "
         "+ v00 * (x1 - m1) * (x1 - m1)) / det"
     )
-    chain.add("shaped", "SELECT *, v00 * v11 - v01 * v01 AS det FROM comps")
+    chain.add(f"{name}_shaped", f"SELECT *, v00 * v11 - v01 * v01 AS det FROM {comps}")
+    chain.add(
+        f"{name}_dens",
+        f"SELECT comp, point_id, x0, x1, w * exp({num(-0.5)} * {maha}) / (2 * pi() * sqrt(det)) AS q "
+        f"FROM pts, {name}_shaped",
+    )
     chain.add(
-        "dens",
-        f"SELECT comp, point_id, x0, x1, w * exp({num(-0.5)} * {maha}) / (2 * pi() * sqrt(det)) AS q FROM pts, shaped",
+        f"{name}_resp", f"SELECT *, q / sum(q) OVER (PARTITION BY point_id) AS g FROM {name}_dens"
     )
-    chain.add("resp", "SELECT *, q / sum(q) OVER (PARTITION BY point_id) AS g FROM dens")
     chain.add(
-        "moments",
-        "SELECT comp, sum(g) AS mass, sum(g * x0) / sum(g) AS m0, sum(g * x1) / sum(g) AS m1 FROM resp GROUP BY comp",
+        f"{name}_moments",
+        "SELECT comp, sum(g) AS mass, sum(g * x0) / sum(g) AS m0, sum(g * x1) / sum(g) AS m1 "
+        f"FROM {name}_resp GROUP BY comp",
     )
     reg = num(1e-6)
     chain.add(
-        "stepped",
-        "SELECT comp, any_value(mass) AS mass, any_value(m0) AS m0, any_value(m1) AS m1, "
+        name,
+        "SELECT comp, any_value(mass) / any_value(n) AS w, any_value(m0) AS m0, any_value(m1) AS m1, "
         f"sum(g * (x0 - m0) * (x0 - m0)) / any_value(mass) + {reg} AS v00, "
         "sum(g * (x0 - m0) * (x1 - m1)) / any_value(mass) AS v01, "
         f"sum(g * (x1 - m1) * (x1 - m1)) / any_value(mass) + {reg} AS v11 "
-        "FROM resp JOIN moments USING (comp) GROUP BY comp",
+        f"FROM {name}_resp JOIN {name}_moments USING (comp), pts_ext GROUP BY comp",
     )
+
+
+def _gmm_step() -> str:
+    chain = _mixture()
+    _stepped(chain, "comps", "once")
+    _stepped(chain, "once", "twice")
     return chain.select(
-        f"SELECT CAST(0 AS BIGINT) AS run_id, comp, {r('mass / n', 'weight')}, "
-        f"{rounds(['m0', 'm1', 'v00', 'v01', 'v11'])} FROM stepped, pts_ext"
+        f"SELECT CAST(0 AS BIGINT) AS run_id, comp, {r('w', 'weight')}, "
+        f"{rounds(['m0', 'm1', 'v00', 'v01', 'v11'])} FROM twice"
     )
 
 
@@ -734,6 +744,9 @@ def oracle() -> dict[str, str]:
     ):
         cfg = CFG.with_(**changes)
         out[name] = Chain(SCALED, first(cfg), evolved(cfg)).select(_population("final", True))
+    out["evolve_sequential"] = Chain(
+        SCALED, first(src.SEQUENTIAL_CFG), evolved(src.SEQUENTIAL_CFG)
+    ).select(_population("final", True))
     for name, second in (("assign_refined", "own"), ("assign_rep1", "rep1")):
         cfg = CFG.with_(second=second)
         out[name] = Chain(
@@ -752,6 +765,7 @@ def oracle() -> dict[str, str]:
     daily = Chain().add("cut", DAILY)
     scored("cut", "day")(daily)
     out["cluster_scores"] = daily.select(f"SELECT day, {rounds(SCORES, 8)} FROM scores")
+    out["sorted_results"] = daily.select(f"SELECT day, {r('ari', 'ari', 8)} FROM scores ORDER BY ari")
     means = ", ".join(r(f"avg({s})", s, 8) for s in SCORES)
     out["mean_scores"] = daily.select(f"SELECT 'quarter' AS algorithm, {means} FROM scores")
     stats = ", ".join(

@@ -192,6 +192,13 @@ def _evolved(generations: int, selection: str = "crowding", runs: int = 1) -> Qu
     return run
 
 
+def evolve_sequential(spark, sf):
+    """The settings of a long single run, for two generations."""
+    pts = src.scaled_events(spark, sf)
+    n = src.table(spark, sf, "events").count()
+    return per_point(mf.evolve(pts, src.SEQUENTIAL_CFG), n)
+
+
 # --- representatives and assignment ---------------------------------------------
 
 
@@ -272,6 +279,12 @@ def mean_scores(spark, sf):
     return rounded(mf.mean_scores(daily.withColumn("algorithm", F.lit("quarter"))), *SCORES, digits=8)
 
 
+def sorted_results(spark, sf):
+    """Days in ascending order of their adjusted Rand index."""
+    daily = mf.cluster_scores(_labelled(spark, sf), by=["day"]).select("day", "ari")
+    return mf.sorted_results(rounded(daily, "ari", digits=8), "ari")
+
+
 def predicted_scores(spark, sf):
     cfg = CFG.with_(runs=2, generations=1)
     return rounded(mf.predicted_scores(src.scaled_events(spark, sf), cfg), *SCORES, digits=7)
@@ -348,8 +361,9 @@ def _by_type(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def gmm_step(spark, sf):
+    """Two EM steps from one component per event type."""
     pts, comps = _by_type(spark, sf)
-    flat = mf.gmm_step(pts, comps, src.DIMS).select(
+    flat = mf.gmm_step(pts, mf.gmm_step(pts, comps, src.DIMS), src.DIMS).select(
         "run_id", "comp", "weight",
         *[F.col("mean")[k].alias(f"m{k}") for k in range(2)],
         *[F.col("cov")[i][j].alias(f"v{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))],
@@ -404,6 +418,7 @@ QUERIES: dict[str, Query] = {
     "evolve_3gen": _evolved(3),
     "evolve_greedy": _evolved(2, "greedy", runs=2),
     "evolve_nearest_child": _evolved(2, "nearest_child"),
+    "evolve_sequential": evolve_sequential,
     "leaders": leaders,
     "close_pairs": close_pairs,
     "refine_labels": refine_labels,
@@ -416,6 +431,7 @@ QUERIES: dict[str, Query] = {
     "cluster_scores": cluster_scores,
     "score_summary": score_summary,
     "mean_scores": mean_scores,
+    "sorted_results": sorted_results,
     "predicted_scores": predicted_scores,
     "compare_algorithms": compare_algorithms,
     "delta_search": delta_search,

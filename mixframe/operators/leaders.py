@@ -7,7 +7,6 @@ each run is one small ordered fold; runs and threshold settings go in parallel.
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,27 +142,23 @@ def refine(reps: DataFrame, points: DataFrame, cfg: EvolveConfig) -> DataFrame:
 
 def close_pairs(reps: DataFrame, cfg: EvolveConfig) -> DataFrame:
     """Pairs of representatives that refinement would look at: different label
-    and within ``delta2`` in either spread."""
-
-    def sided(prefix: str, key: str) -> DataFrame:
-        parts: Sequence[str] = [*cfg.centre_cols, *cfg.spread_cols, "label"]
-        return reps.selectExpr("run_id", f"rep_id AS {key}", *[f"{c} AS {prefix}{c}" for c in parts])
-
-    a, b = sided("a", "rep1"), sided("b", "rep2")
+    and within ``delta2`` in either spread. Each row searches the packed list of
+    its run, so only the pairs found become rows."""
+    parts = ["rep_id", "label", *cfg.centre_cols, *cfg.spread_cols]
+    packed = reps.groupBy("run_id").agg(F.collect_list(F.struct(*parts)).alias("others"))
+    other = prefixed("o.", cfg.centre_cols)
     gaps = [
-        scaled_sq_distance(
-            prefixed("a", cfg.centre_cols),
-            prefixed("b", cfg.centre_cols),
-            prefixed(side, cfg.spread_cols),
-        )
-        for side in "ab"
+        scaled_sq_distance(cfg.centre_cols, other, scale)
+        for scale in (cfg.spread_cols, prefixed("o.", cfg.spread_cols))
     ]
+    later = "filter(others, o -> o.rep_id > rep_id AND o.label <> label)"
+    measured = (
+        f"transform({later}, o -> struct(o.rep_id AS rep2, o.label AS label2, "
+        f"{gaps[0]} AS distance1, {gaps[1]} AS distance2))"
+    )
+    near = f"filter({measured}, m -> least(m.distance1, m.distance2) <= {float(cfg.delta2)!r}D)"
     return (
-        a.join(F.broadcast(b), "run_id")
-        .where("rep1 < rep2 AND alabel <> blabel")
-        .selectExpr(
-            "run_id", "rep1", "rep2", "alabel AS label1", "blabel AS label2",
-            f"{gaps[0]} AS distance1", f"{gaps[1]} AS distance2",
-        )
-        .where(f"least(distance1, distance2) <= {float(cfg.delta2)!r}D")
+        reps.join(F.broadcast(packed), "run_id")
+        .selectExpr("run_id", "rep_id AS rep1", "label AS label1", f"inline({near})")
+        .select("run_id", "rep1", "rep2", "label1", "label2", "distance1", "distance2")
     )
