@@ -192,11 +192,12 @@ def _responsibilities(xs, weights, means, factors):
     return shares, top + np.log(whole)
 
 
-def em_sums(dims, mixtures) -> Callable[[Batches], Batches]:
+def em_sums(dims, mixtures, hard=False) -> Callable[[Batches], Batches]:
     """Per partition, mixture and component, the weighted sums an EM step needs,
     as ``(run_id, comp, stat, value)``: stat 0 the responsibilities, then the
     offsets from the old mean, then their products by row; under component -1
-    the log-likelihood.
+    the log-likelihood. With ``hard`` each point belongs to its most probable
+    component alone, as in k-means.
 
     ``mixtures`` is a list of ``(run_id, weights, means, Cholesky factors)``.
     """
@@ -210,6 +211,8 @@ def em_sums(dims, mixtures) -> Callable[[Batches], Batches]:
                 for at, (_, weights, means, factors) in enumerate(mixtures):
                     shares, ll = _responsibilities(xs, weights, means, factors)
                     logs[at] += ll.sum()
+                    if hard:
+                        shares = (np.arange(len(shares))[:, None] == shares.argmax(axis=0)) * 1.0
                     for c, r in enumerate(shares):
                         off = [x - mean for x, mean in zip(xs, means[c])]
                         row = sums[at][c]

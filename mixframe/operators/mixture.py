@@ -13,12 +13,13 @@ from collections.abc import Sequence
 from itertools import groupby
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import uniform
 from ..runtime import bounded_rows, model_table
 from . import kernels
 
@@ -74,11 +75,15 @@ def _mixtures(comps: DataFrame) -> list[tuple]:
     return found
 
 
-def _step(points: DataFrame, mixtures: list[tuple], dims: Sequence[str], reg: float):
-    """Component rows after one EM step, and the mean log-likelihood per run."""
+def _step(
+    points: DataFrame, mixtures: list[tuple], dims: Sequence[str], reg: float, hard: bool = False
+):
+    """Component rows after one EM step, and the mean log-likelihood per run.
+    The collected sums are 1 + d + d * d numbers per component."""
     d = len(dims)
+    kernel = kernels.em_sums(list(dims), mixtures, hard)
     partial = points.select(*dims).mapInArrow(
-        kernels.em_sums(list(dims), mixtures), "run_id bigint, comp bigint, stat bigint, value double"
+        kernel, "run_id bigint, comp bigint, stat bigint, value double"
     )
     total = partial.groupBy("run_id", "comp", "stat").agg(F.sum("value").alias("value")).collect()
     sums = {(r.run_id, r.comp, r.stat): r.value for r in total}
@@ -110,32 +115,58 @@ def gmm_step(
     return model_table(points.sparkSession, rows, COMPONENT_SCHEMA)
 
 
+def seed_centres(
+    points: DataFrame, dims: Sequence[str], k: int, seed: int, runs: int
+) -> list[list[list[float]]]:
+    """``k`` starting centres per run: a random point, then points drawn with
+    probability proportional to the squared distance from the centres so far.
+
+    The draw is a race: the point with the smallest exponential time at rate
+    distance wins, so each centre of all runs takes one aggregate.
+    """
+    here = f"struct({', '.join(dims)})"
+    chosen: list[list[list[float]]] = [[] for _ in range(runs)]
+    for turn in range(k):
+        races = []
+        for run, centres in enumerate(chosen):
+            u = uniform(seed, run, turn, "'seed'", "point_id")
+            gaps = [
+                " + ".join(f"({d} - {v!r}D) * ({d} - {v!r}D)" for d, v in zip(dims, c))
+                for c in centres
+            ]
+            gap = "1D" if not gaps else gaps[0] if len(gaps) == 1 else f"least({', '.join(gaps)})"
+            # A null time keeps points that are centres already out of the race.
+            time = f"-ln(1D - {u}) / nullif({gap}, 0D)"
+            winner = f"min_by({here}, if({gap} > 0, struct({time} AS t, point_id), NULL))"
+            races.append(F.expr(winner).alias(f"w{run}"))
+        for run, won in enumerate(points.agg(*races).first()):
+            found = chosen[run][0] if won is None else [float(v) for v in won]
+            chosen[run].append(found)
+    return chosen
+
+
 def kmeans_start(
-    points: DataFrame, dims: Sequence[str], k: int, seed: int, run_id: int = 0, reg: float = REG
+    points: DataFrame,
+    dims: Sequence[str],
+    k: int,
+    seed: int,
+    runs: int = 1,
+    turns: int = 5,
+    reg: float = REG,
 ) -> DataFrame:
-    """Components from a short k-means run, the usual start of EM."""
-    vectors = assemble(points, dims)
-    model = KMeans(k=k, seed=seed, maxIter=5).fit(vectors)
-    hard = model.transform(vectors)
-    pairs = [(i, j) for i in range(len(dims)) for j in range(len(dims))]
-    stats = hard.groupBy("prediction").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(d) for d in dims]).alias("mean"),
-        F.array(*[F.covar_pop(dims[i], dims[j]) for i, j in pairs]).alias("flat"),
-    )
-    rows = sorted(stats.collect(), key=lambda r: r.prediction)
-    n, d = sum(r.n for r in rows), len(dims)
-    comps = [
-        (
-            run_id,
-            c,
-            r.n / n,
-            r["mean"],
-            (np.array(r.flat).reshape(d, d) + reg * np.eye(d)).tolist(),
-        )
-        for c, r in enumerate(rows)
-    ]
-    return model_table(points.sparkSession, comps, COMPONENT_SCHEMA)
+    """Components from a short k-means of every run, the usual start of EM; all
+    runs share the passes. Points need ``point_id``."""
+    d = len(dims)
+    unit = [np.eye(d)] * k
+    centres = seed_centres(points, dims, k, seed, runs)
+    rows: list[tuple] = []
+    for _ in range(turns):
+        mixtures = [
+            (run, [1 / k] * k, [np.array(c) for c in at], unit) for run, at in enumerate(centres)
+        ]
+        rows, _ = _step(points, mixtures, dims, reg, hard=True)
+        centres = [[r[3] for r in rows if r[0] == run] for run in range(runs)]
+    return model_table(points.sparkSession, rows, COMPONENT_SCHEMA)
 
 
 def em_fit(

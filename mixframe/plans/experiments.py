@@ -188,9 +188,8 @@ def replicates(
         "run_id", F.lit("evolution").alias("algorithm"), *SCORES
     )
     plain = points if mixture_points is None else mixture_points
-    with working_points(plain, cfg, keep=[label]) as narrow:
-        starts = [kmeans_start(narrow, cfg.dims, k, cfg.seed + run, run) for run in range(n)]
-        comps = em_fit(narrow, reduce(DataFrame.unionByName, starts), cfg.dims)
+    with working_points(plain, cfg) as narrow:
+        comps = em_fit(narrow, kmeans_start(narrow, cfg.dims, k, cfg.seed, n), cfg.dims)
     labelled = em_predict(plain, comps, cfg.dims, [label])
     fitted = cluster_scores(labelled, label, "prediction", ["run_id"]).select(
         "run_id", F.lit("em").alias("algorithm"), *SCORES
