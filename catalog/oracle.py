@@ -53,7 +53,7 @@ class Chain:
 
     def select(self, sql: str) -> str:
         body = ",\n".join(
-            f"{name} AS ({sql})" if "UNION ALL" in sql else f"{name} AS MATERIALIZED ({sql})"
+            f"{name} AS ({sql})" if name.endswith("_fold") else f"{name} AS MATERIALIZED ({sql})"
             for name, sql in self.ctes
         )
         return f"WITH RECURSIVE {body}\n{sql}"
@@ -611,6 +611,51 @@ def _gmm_step() -> str:
     )
 
 
+def _kmeans_start(runs: int = 2, turns: int = 5) -> str:
+    """Centres by a weighted race, then rounds of nearest centre and mean."""
+    chain = Chain(scaled(embeddings(2)))
+    gap = "(p.x0 - c.m0) * (p.x0 - c.m0) + (p.x1 - c.m1) * (p.x1 - c.m1)"
+    for run in range(runs):
+        names: list[str] = []
+        for turn in range(src.START_K):
+            name = f"seed{run}_{turn}"
+            time = f"-ln(1 - {u(src.START_SEED, run, turn, chr(39) + 'seed' + chr(39), 'point_id')})"
+            if names:
+                chosen = " UNION ALL ".join(f"SELECT m0, m1 FROM {n}" for n in names)
+                chain.add(
+                    f"{name}_gap",
+                    f"SELECT point_id, x0, x1, min({gap}) AS gap FROM pts p, ({chosen}) c GROUP BY point_id, x0, x1",
+                )
+                source, time = f"{name}_gap WHERE gap > 0", f"{time} / gap"
+            else:
+                source = "pts"
+            chain.add(
+                name,
+                f"SELECT {run} AS run_id, {turn} AS comp, x0 AS m0, x1 AS m1 FROM {source} "
+                f"ORDER BY {time}, point_id LIMIT 1",
+            )
+            names.append(name)
+        chain.add(f"run{run}", " UNION ".join(f"SELECT * FROM {n}" for n in names))
+    chain.add("turn0", " UNION ".join(f"SELECT * FROM run{run}" for run in range(runs)))
+    reg = num(1e-6)
+    for turn in range(1, turns + 1):
+        chain.add(
+            f"near{turn}",
+            f"SELECT c.run_id, p.x0, p.x1, arg_min(c.comp, {{gap: {gap}, comp: c.comp}}) AS comp "
+            f"FROM pts p, turn{turn - 1} c GROUP BY c.run_id, p.point_id, p.x0, p.x1",
+        )
+        chain.add(
+            f"turn{turn}",
+            "SELECT run_id, comp, count(*) / CAST(any_value(n) AS DOUBLE) AS w, avg(x0) AS m0, avg(x1) AS m1, "
+            f"var_pop(x0) + {reg} AS v00, covar_pop(x0, x1) AS v01, var_pop(x1) + {reg} AS v11 "
+            f"FROM near{turn}, pts_ext GROUP BY run_id, comp",
+        )
+    return chain.select(
+        f"SELECT CAST(run_id AS BIGINT) AS run_id, CAST(comp AS BIGINT) AS comp, {r('w', 'weight')}, "
+        f"{rounds(['m0', 'm1', 'v00', 'v01', 'v11'])} FROM turn{turns}"
+    )
+
+
 def _ellipse() -> str:
     chain = _mixture().add(
         "axes",
@@ -703,6 +748,7 @@ def oracle() -> dict[str, str]:
             rated("pop0", "pts", "res", src.FITNESS_CFG),
         ).select(f"SELECT run_id, id, {r('fitness / n', 'fitness')} FROM res, pts_ext"),
         "gmm_step": _gmm_step(),
+        "kmeans_start": _kmeans_start(),
         "component_ellipse": _ellipse(),
         "leaders": led_chain.select(f"SELECT run_id, rep_id, label, {rounds(BODY)} FROM reps"),
         "close_pairs": led_chain.select(

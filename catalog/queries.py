@@ -360,10 +360,8 @@ def _by_type(spark, sf) -> tuple[DataFrame, DataFrame]:
     return pts, comps
 
 
-def gmm_step(spark, sf):
-    """Two EM steps from one component per event type."""
-    pts, comps = _by_type(spark, sf)
-    flat = mf.gmm_step(pts, mf.gmm_step(pts, comps, src.DIMS), src.DIMS).select(
+def _flat(comps: DataFrame) -> DataFrame:
+    flat = comps.select(
         "run_id", "comp", "weight",
         *[F.col("mean")[k].alias(f"m{k}") for k in range(2)],
         *[F.col("cov")[i][j].alias(f"v{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))],
@@ -371,6 +369,18 @@ def gmm_step(spark, sf):
     return rounded(flat, "weight", "m0", "m1", "v00", "v01", "v11")
 
 
+def gmm_step(spark, sf):
+    """Two EM steps from one component per event type."""
+    pts, comps = _by_type(spark, sf)
+    return _flat(mf.gmm_step(pts, mf.gmm_step(pts, comps, src.DIMS), src.DIMS))
+
+
+def kmeans_start(spark, sf):
+    """Starting components of two runs."""
+    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
+    return _flat(mf.kmeans_start(pts, src.DIMS, src.START_K, src.START_SEED, runs=2))
+
+
 def component_ellipse(spark, sf):
     comps = _by_type(spark, sf)[1]
     return rounded(mf.component_ellipse(comps), "x", "y", "width", "height", "angle")
@@ -387,7 +397,8 @@ def gmm_fit_predict(spark, sf):
 def em_fit_predict(spark, sf):
     """EM from k-means, all steps as passes over the points."""
     pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    comps = mf.em_fit(pts, mf.kmeans_start(pts, src.DIMS, 3, seed=7), src.DIMS)
+    start = mf.kmeans_start(pts, src.DIMS, src.START_K, src.START_SEED)
+    comps = mf.em_fit(pts, start, src.DIMS)
     return mf.em_predict(pts, comps, src.DIMS, ["point_id"])
 
 
@@ -438,6 +449,7 @@ QUERIES: dict[str, Query] = {
     "best_deltas": best_deltas,
     "snapshot_roundtrip": snapshot_roundtrip,
     "replicates": replicates,
+    "kmeans_start": kmeans_start,
     "gmm_step": gmm_step,
     "component_ellipse": component_ellipse,
     "gmm_fit_predict": gmm_fit_predict,

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 
 import mixframe as mf
-from mixframe.operators.mixture import COMPONENT_SCHEMA
+from mixframe.operators.mixture import COMPONENT_SCHEMA, seed_centres
 
 DIMS = ["x0", "x1"]
 
@@ -41,6 +41,26 @@ def test_one_step(spark, blobs, shift):
         assert np.allclose(np.array(r["cov"]), cov, rtol=1e-6, atol=1e-6)
 
 
+def test_seeds_are_spread_points(blobs):
+    points = {(r.x0, r.x1) for r in blobs.collect()}
+    for centres in seed_centres(blobs, DIMS, 3, seed=4, runs=4):
+        assert {tuple(c) for c in centres} <= points
+        assert len({round(c[0] // 10) for c in centres}) == 3  # one in each group
+
+
+def test_seeds_run_out_of_distinct_points(spark):
+    pts = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 5.0)], "point_id long, x0 double")
+    centres = seed_centres(pts, ["x0"], 4, seed=1, runs=1)[0]
+    assert {c[0] for c in centres[:2]} == {0.0, 5.0} and centres[2:] == [centres[0]] * 2
+
+
+def test_runs_start_and_end_apart(blobs):
+    comps = mf.em_fit(blobs, mf.kmeans_start(blobs, DIMS, 3, seed=9, runs=2), DIMS)
+    rows = comps.collect()
+    assert sorted((r.run_id, r.comp) for r in rows) == [(a, b) for a in range(2) for b in range(3)]
+    assert sum(r.weight for r in rows) == pytest.approx(2.0)
+
+
 def test_em_finds_the_blobs(blobs):
     comps = mf.em_fit(blobs, mf.kmeans_start(blobs, DIMS, 3, seed=1), DIMS)
     assert sorted(round(r.weight, 3) for r in comps.collect()) == [0.333, 0.333, 0.333]
