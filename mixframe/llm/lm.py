@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .blocks import asked, bucket_count, packs, read_arrays, replied, staged, told
 from .text import U64, mix, window_starts, windows, words
 
-MU = (2.0, 1.0)
+MU = (1000.0, 5.0)
 BEGIN, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SCHEMA = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
