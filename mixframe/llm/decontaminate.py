@@ -15,6 +15,7 @@ documents pass by it without a shuffle and take their hits along to the next.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -214,21 +215,55 @@ def contaminated(
         F.array().cast("array<int>").alias("hits"),
         none.alias("items"),
     )
+    chunks = _chunks(docs, items, window, shingle, chunk_bytes)
+    for k, chunk in enumerate(chunks):
+        last = k == len(chunks) - 1
+        rows = _scan(rows, chunk(), last)
+        if not last and k % 4 == 3:
+            rows = staged(rows, "decontaminate")
+    return rows
+
+
+def _chunks(docs: DataFrame, items: DataFrame, window: int, shingle: int, chunk_bytes: int):
+    """The items in chunks, each made when it is called for."""
     given = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     given = given.where("text IS NOT NULL").distinct()
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = 1 + 2 * total // chunk_bytes
-    for k in range(n_chunks):
+
+    def chunk(k: int) -> Windows:
         part = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == k)
         size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if n_chunks > 1 else total
-        if size > 4 * chunk_bytes and n_chunks > 1:
+        if size > 4 * chunk_bytes:
             raise ValueError("an item is longer than a chunk; raise chunk_bytes")
         chosen = part.collect()
         texts = pa.array([r["text"] for r in chosen], pa.string())
-        chunk = Windows([r["item_id"] for r in chosen], texts, window, shingle)
-        chunk.prefixes(_count(docs, chunk) if chunk.hashes else {})
-        last = k == n_chunks - 1
-        rows = _scan(rows, chunk, last)
-        if not last and k % 4 == 3:
-            rows = staged(rows, "decontaminate")
-    return rows
+        made = Windows([r["item_id"] for r in chosen], texts, window, shingle)
+        made.prefixes(_count(docs, made) if made.hashes else {})
+        return made
+
+    return [partial(chunk, k) for k in range(n_chunks)]
+
+
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``items`` occurs."""
+    for k, chunk in enumerate(_chunks(docs, items, window, shingle, chunk_bytes)):
+        docs = _without(docs, chunk())
+        if k % 4 == 3:
+            docs = staged(docs, "decontaminate")
+    return docs
+
+
+def _without(docs: DataFrame, chunk: Windows) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(chunk)
+
+    def choose(batches):
+        for batch in batches:
+            found = item_words(batch.column("text"))
+            hit = np.zeros(len(batch), bool)
+            hit[np.searchsorted(found.first, _matches(found, shared.value)[0], "right") - 1] = True
+            yield batch.filter(pa.array(~hit))
+
+    return docs.mapInArrow(choose, docs.schema)

@@ -185,3 +185,18 @@ def identify(docs: DataFrame, held_out: Column, train_rows: int = TRAIN_ROWS, al
                 yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
     return flagged.select("doc_id", "held_out", "text").mapInArrow(predict, SCHEMA)
+
+
+def recognised(docs: DataFrame, least_score: float = 0.5, train_rows: int = TRAIN_ROWS, alpha: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a language that is recognised with a probability
+    of ``least_score`` or more; the model learns from ``docs`` itself."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows, alpha))
+
+    def choose(batches):
+        for batch in batches:
+            for piece in _pieces(batch):
+                names, score = model.value.predict(piece.column("text"))
+                keep = [name != "und" and x >= least_score for name, x in zip(names, score)]
+                yield piece.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)

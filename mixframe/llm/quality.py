@@ -32,7 +32,7 @@ class QualityRules:
     class_min_chars: int = 200
     #: largest distances kept, 0 to 1
     max_class_distance: float = 0.25
-    max_common_distance: float = 0.32
+    max_common_distance: float = 0.28
 
 
 def _words(text: str) -> Column:
