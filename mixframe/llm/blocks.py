@@ -33,7 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: what several
     later steps read is computed once, and a lost executor costs no recompute."""
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

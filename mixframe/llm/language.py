@@ -9,13 +9,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixframe.runtime import bounded_rows
 
-from .text import mix, raw
+from .text import mix, pieces, raw
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -81,16 +80,6 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order], starts, np.diff(starts) > 0
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 4 << 20):
-    """Slices of a batch with a few MB of text each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 class Model:
     """Languages, their priors, and the matrix of log-probabilities."""
 
@@ -134,7 +123,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, alpha: float = 0.5) -> Mo
     def count(batches):
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch):
                 h, starts, _ = _grams(piece.column("text"))
                 own = np.array([languages.index(x) for x in piece.column("lang").to_pylist()])
                 flat = np.repeat(own, np.diff(starts)) * BUCKETS + h
@@ -179,7 +168,7 @@ def identify(docs: DataFrame, held_out: Column, train_rows: int = TRAIN_ROWS, al
 
     def predict(batches):
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch):
                 names, score = model.value.predict(piece.column("text"))
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
@@ -194,7 +183,7 @@ def recognised(docs: DataFrame, least_score: float = 0.5, train_rows: int = TRAI
 
     def choose(batches):
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in pieces(batch):
                 names, score = model.value.predict(piece.column("text"))
                 keep = [name != "und" and x >= least_score for name, x in zip(names, score)]
                 yield piece.filter(pa.array(keep, pa.bool_()))

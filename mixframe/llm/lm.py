@@ -24,6 +24,7 @@ from .blocks import asked, bucket_count, packs, read_arrays, replied, staged, to
 from .text import U64, mix, window_starts, windows, words
 
 MU = (1000.0, 5.0)
+BLOCK = 4 << 20
 BEGIN, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SCHEMA = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
@@ -39,8 +40,9 @@ FIELDS = pa.schema(
 class Ngrams:
     """The n-grams of a block. Each text is a begin mark, its words and an end."""
 
-    def __init__(self, texts, order: int):
+    def __init__(self, texts, order: int, bits: int = 64):
         found = words(texts, lower=True)
+        low = U64((1 << (64 - bits)) - 1)
         counts = found.counts + 2
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.tokens = np.empty(int(self.first[-1]), U64)
@@ -52,10 +54,11 @@ class Ngrams:
         self.keys, self.at, self.number = [], [], []
         for k in range(1, order + 1):
             starts = window_starts(self.first, k)
-            hashes = self.tokens if k == 1 else mix(windows(self.tokens, k)[starts] + U64(k))
+            hashes = self.tokens if k == 1 else mix(windows(self.tokens, k)[starts] + U64(k)) & ~low
             keys, inverse = np.unique(hashes, return_inverse=True)
-            number = np.full(len(self.tokens), -1)
+            number = np.full(len(self.tokens), -1, np.int32)
             number[starts + k - 1] = inverse
+            del hashes, inverse, starts
             self.keys.append(keys)
             self.number.append(number)
 
@@ -79,12 +82,12 @@ class Automaton:
         shift = np.concatenate([[1], 1 + np.cumsum([len(c) for c in counts])])
         size = int(shift[-1])
         #: weight of the arc that ends in n-gram s, failure weight and failure state of s as a history
-        self.weight, self.fail_weight, self.fail = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+        self.weight, self.fail_weight, self.fail = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
         self.arc = []
         p_shorter = None
         for k, c in enumerate(counts):
             number, seen = grams.number[k], np.flatnonzero(grams.number[k] >= 0)
-            spot = np.zeros(len(c), np.int64)
+            spot = np.zeros(len(c), np.int32)
             spot[number[seen]] = seen
             if k == 0:
                 p = (c + 0.5) / norm
@@ -97,14 +100,14 @@ class Automaton:
             self.weight[part] = np.log10(p)
             if k < self.order - 1:
                 self.fail_weight[part] = np.log10(mu[k] / (c.astype(float) + mu[k]))
-            arc = np.full(len(number), -1)
+            arc = np.full(len(number), -1, np.int32)
             known = seen[c[number[seen]] > 0]
             arc[known] = shift[k] + number[known]
             self.arc.append(arc)
             p_shorter = p
         begins = grams.first[:-1]
-        self.begin = np.maximum(self.arc[0][begins], 0) if self.order > 1 else np.zeros(len(begins), np.int64)
-        self.depth = np.concatenate([[0], np.repeat(np.arange(1, self.order + 1), [len(c) for c in counts])])
+        self.begin = np.maximum(self.arc[0][begins], 0) if self.order > 1 else np.zeros(len(begins), np.int32)
+        self.depth = np.repeat(np.arange(self.order + 1, dtype=np.int8), [1, *[len(c) for c in counts]])
 
     def walk(self, first: np.ndarray) -> np.ndarray:
         """Log-probability of each text: one traversal from left to right."""
@@ -145,7 +148,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, mu: tuple[flo
     ignored.
 
     ``mu[k]`` is the smoothing weight of histories of ``k + 1`` tokens. Tokens
-    and n-grams are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes, longer n-grams by as many bits as keep the
+    expected number of mistaken pairs in the whole corpus below one, 64 at most.
     """
     if order < 1 or len(mu) < order - 1 or min(mu, default=1) <= 0:
         raise ValueError("order >= 1 and a positive mu for each history length are needed")
@@ -154,10 +158,12 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, mu: tuple[flo
         "text",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    packed = packs(rows, "lm-blocks")
+    packed = packs(rows, "lm-blocks", BLOCK)
+    total_bytes = packed.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = min(64, -(-max(40, 2 * total_bytes.bit_length() - 4) // 8) * 8)
 
     def question(table: pa.Table, block: int) -> list[list[np.ndarray]]:
-        grams = Ngrams(table.column("text"), order)
+        grams = Ngrams(table.column("text"), order, bits)
         train = ~table.column("held_out").to_numpy().astype(bool)
         return [list(x) for x in zip(grams.keys, grams.train_counts(train))]
 
@@ -181,7 +187,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, mu: tuple[flo
     total, distinct = _totals(replies)
 
     def use(table: pa.Table, block: int, counts: list[np.ndarray]) -> pa.Table:
-        grams = Ngrams(table.column("text"), order)
+        grams = Ngrams(table.column("text"), order, bits)
         made = Automaton(grams, counts, mu, total, distinct)
         inner = np.ones(len(grams.tokens), bool)
         inner[grams.first[:-1]] = False

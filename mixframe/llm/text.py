@@ -162,3 +162,13 @@ def runs(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of the groups that ``counts`` gives the sizes of."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20):
+    """Slices of a batch with up to ``most`` bytes of text each, or one longer text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+    ends, at = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import byte_set, pieces, runs
+from .text import words as split_words
+
 MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHI32s")
 END_ID = 0
@@ -30,7 +33,9 @@ SHARD_TOKENS = 1 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Documents that the dictionary is trained on, about, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a worker remembers, about; it forgets all of them beyond.
+CACHE_WORDS = 1_200_000
+BLANK = byte_set([0x20])
 SHARDS = "shard bigint, part bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, blob binary"
 SHARD_FIELDS = pa.schema(
     [(x, pa.int64()) for x in ("shard", "part", "n_docs", "n_tokens")]
@@ -39,46 +44,88 @@ SHARD_FIELDS = pa.schema(
 DOCS = "doc_id bigint, shard bigint, place bigint, part bigint, in_shard bigint, n_tokens bigint, ids_crc32 bigint"
 DOC_FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in DOCS.split(", ")])
 
-# A blank beside other white space, or at an end: there a word is not cut off.
-_ODD = re.compile(r"^ | $|\s | \s")
-
-
 class Encoder:
-    """``encode(text)`` of a byte-level BPE tokenizer, as bytes of little-endian
-    ids. Words are encoded once and remembered: a blank between two characters
-    that are not white space always starts a new piece, so the text may be cut
-    there. Texts that hold an added token are encoded as a whole."""
+    """``encode`` of a byte-level BPE tokenizer, as bytes of little-endian ids.
+    A blank between two characters that are not white space always starts a new
+    piece, so a text may be cut there. Each distinct word of a batch is encoded
+    once, many to a call (a token that begins with a blank then begins a word),
+    and remembered; the texts are put together from them. Texts that hold an
+    added token, or a blank beside other white space, are encoded as a whole.
+    Words of a batch are told apart by 64-bit hashes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
+        self.known: dict[int, bytes] = {}
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
-        new = [x for x in words if x not in known]
-        made = dict(zip(new, self._pack([before + x for x in new])))
-        if len(known) + len(made) > CACHE_WORDS:
-            known.clear()
-        known.update((k, v) for k, v in made.items() if len(k) <= CACHE_CHARS and len(known) < CACHE_WORDS)
-        return made
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(x) or any(a in x for a in self.added) else x.split(" ") for x in texts]
-        heads = {x[0] for x in cut if x}
-        tails = {w for x in cut if x for w in x[1:]}
-        held = [{k: known[k] for k in words & known.keys()} for known, words in ((self.first, heads), (self.later, tails))]
-        head, tail = held[0] | self._learn(self.first, heads, ""), held[1] | self._learn(self.later, tails, " ")
-        whole = iter(self._pack([x for x, parts in zip(texts, cut) if parts is None]))
-        return [next(whole) if p is None else head[p[0]] + b"".join(map(tail.__getitem__, p[1:])) for p in cut]
+        return [np.array(x.ids, self.kind) for x in found]
+
+    def _plain(self, word: str) -> bool:
+        return not (word[0].isspace() or word[-1].isspace() or any(a in word for a in self.added))
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        """Remember words as they are encoded after a blank; those that may not
+        be cut off get nothing."""
+        plain = [self._plain(w) for w in words]
+        self.known.update((k, b"") for k, ok in zip(keys, plain) if not ok)
+        keys, words = list(compress(keys, plain)), list(compress(words, plain))
+        groups = range(0, len(words), 1000)
+        for lo, ids in zip(groups, self._ids(["".join([" " + w for w in words[k : k + 1000]]) for k in groups])):
+            cut = np.flatnonzero(self.begins[ids]) * self.kind.itemsize
+            if len(cut) != len(words[lo : lo + 1000]):
+                raise ValueError("the tokenizer does not start a piece at each blank")
+            data, ends = ids.tobytes(), [*cut[1:].tolist(), ids.nbytes]
+            self.known.update(zip(keys[lo : lo + 1000], [data[i:j] for i, j in zip(cut.tolist(), ends)]))
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow column without nulls."""
+        found = split_words(texts, BLANK)
+        n, first = len(found.first) - 1, found.first
+        keys, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+        raw = found.data.tobytes()
+        if len(self.known) + len(keys) > CACHE_WORDS:
+            self.known.clear()
+        listed = keys.tolist()
+        new = [k for k, key in enumerate(listed) if key not in self.known]
+        spans = zip(found.start[at[new]].tolist(), found.end[at[new]].tolist())
+        self._learn([listed[k] for k in new], [raw[i:j].decode() for i, j in spans])
+        coded = [self.known[k] for k in listed]
+
+        # texts that may be cut: single blanks between plain words, none at the ends
+        sizes = np.array([len(x) for x in coded], np.int64)
+        some = np.flatnonzero(np.diff(first))
+        single = np.ones(len(found.start), bool)
+        single[1:] = found.start[1:] == found.end[:-1] + 1
+        single[first[some]] = found.start[first[some]] == found.offset[some]
+        good = single & (sizes[inverse] > 0)
+        cut = np.zeros(n, bool)
+        cut[some] = np.logical_and.reduceat(good, first[some]) & (found.end[first[some + 1] - 1] == found.offset[some + 1]) if len(some) else False
+        # the first word of each such text, and the other texts, as they stand
+        offset, end = found.offset.tolist(), found.offset[1:].copy()
+        end[cut] = found.end[first[:-1][cut]]
+        heads = [x.tobytes() for x in self._ids([raw[i:j].decode() for i, j in zip(offset, end.tolist())])]
+
+        entries = np.frombuffer(b"".join(coded + heads), np.uint8)
+        sizes = np.concatenate([sizes, np.array([len(x) for x in heads], np.int64)])
+        begin = np.cumsum(sizes) - sizes
+        which = inverse.copy()
+        which[first[:-1][cut]] = len(keys) + np.flatnonzero(cut)
+        used = np.repeat(cut, np.diff(first))
+        which, owner = which[used], found.of_text()[used]
+        lengths = sizes[which] // self.kind.itemsize
+        ids = entries.view(self.kind)[np.repeat(begin[which] // self.kind.itemsize, lengths) + runs(lengths)].tobytes()
+        ends = np.cumsum(np.bincount(owner, weights=sizes[which], minlength=n).astype(np.int64))
+        parts = zip([0, *ends[:-1].tolist()], ends.tolist(), cut.tolist(), heads)
+        return [ids[i:j] if ok else head for i, j, ok, head in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -94,11 +141,11 @@ def encoder(path: str) -> Encoder:
 def train_dictionary(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from the ids of about ``rows`` documents of up to 20,000
     characters, drawn by a hash of the text. Empty if there is too little."""
+    n = docs.count()  # from the footers, no text is read
     known = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text")
-    n = known.count()
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = [r["text"] for r in known.where(draw < min(1.0, rows / max(n, 1))).limit(4 * rows).collect()]
-    samples = encoder(path).encode(sorted(chosen))
+    samples = encoder(path).encode(pa.array(sorted(chosen), pa.string()))
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
         return b""
     try:
@@ -110,8 +157,8 @@ def train_dictionary(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, size:
 def _codec(dictionary: bytes):
     data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     if data is not None:
-        data.precompute_compress(level=3)
-    return zstandard.ZstdCompressor(level=3, dict_data=data), zstandard.ZstdDecompressor(dict_data=data)
+        data.precompute_compress(level=1)
+    return zstandard.ZstdCompressor(level=1, dict_data=data), zstandard.ZstdDecompressor(dict_data=data)
 
 
 def _shard(frames: list[bytes], width: int, digest: bytes) -> bytes:
@@ -156,9 +203,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             )
 
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                for doc_id, coded in zip(part.column("doc_id").to_pylist(), made.encode(part.column("text").to_pylist())):
+            for part in pieces(batch):
+                for doc_id, coded in zip(part.column("doc_id").to_pylist(), made.encode(part.column("text"))):
                     ids.append(doc_id)
                     frames.append(compressor.compress(coded + end))
                     held += len(coded) // made.kind.itemsize + 1
