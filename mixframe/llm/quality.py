@@ -17,7 +17,8 @@ from .blocks import staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Character classes of the histogram; what none of them holds is a class of its own.
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\s", "symbol": r"[#*$%&|<>]"}
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "mark": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>]"}
+NAMES = [*CLASSES, "space"]
 MAX_LANGUAGES = 1000
 
 
@@ -76,7 +77,7 @@ def _plain(docs: DataFrame, rules: QualityRules) -> DataFrame:
         "words",
         "n_words",
         F.length("text").alias("n_chars"),
-        F.struct(*counts).alias("classes"),
+        *counts,
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("bigint").alias("n_dup_lines"),
         _repeat_words(rules.window).alias("n_repeat_words"),
@@ -98,22 +99,13 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN sqrt(greatest(0D, {total} / 2)) END")
 
 
-def references(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """Per language (and for all together, ``lang`` null): ``class_ref``, the
-    shares of the character classes; ``top``, the most frequent words (ties by
-    word); ``word_ref``, their shares of all words and that of the rest."""
-    text = F.coalesce("text", F.lit(""))
-    source = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    sums = [F.sum(F.length("text") - F.length(F.regexp_replace("text", f"{p}+", ""))).alias(k) for k, p in CLASSES.items()]
-    chars = source.groupBy("lang").agg(F.sum(F.length("text")).alias("n_chars"), *sums)
+def _word_references(docs: DataFrame, rules: QualityRules) -> DataFrame:
+    """Per language (and for all together, key empty): ``top``, the most
+    frequent words (ties by word), and ``word_ref``, their shares of all words
+    and that of the rest."""
+    source = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     words = source.select("lang", F.explode(_words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words, chars = staged(words, "quality-words"), staged(chars, "quality-chars")
-
-    names = list(CLASSES)
-    both = chars.where("lang IS NOT NULL").withColumn("key", F.concat(F.lit("l"), "lang"))
-    both = both.unionByName(chars.withColumn("key", F.lit("")))
-    class_ref = both.groupBy("key").agg(*[F.sum(x).alias(x) for x in ["n_chars", *names]])
-    class_ref = class_ref.select("key", _shares(names, "n_chars").alias("class_ref"))
+    words = staged(words, "quality-words")
 
     keyed = words.where("lang IS NOT NULL").select(F.concat(F.lit("l"), "lang").alias("key"), "word", "n")
     keyed = keyed.unionByName(words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("key"), "word", "n"))
@@ -127,8 +119,16 @@ def references(docs: DataFrame, rules: QualityRules) -> DataFrame:
     top = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("t")).join(totals, "key")
     share = F.transform("t", lambda x: x["n"] / F.col("n_all"))
     rest = 1 - F.aggregate(share, F.lit(0.0), lambda s, x: s + x)
-    word_ref = top.select("key", F.transform("t", lambda x: x["word"]).alias("top"), F.concat(share, F.array(rest)).alias("word_ref"))
-    return class_ref.join(word_ref, "key", "left")
+    return top.select("key", F.transform("t", lambda x: x["word"]).alias("top"), F.concat(share, F.array(rest)).alias("word_ref"))
+
+
+def _class_references(rows: DataFrame) -> DataFrame:
+    """Per key ``class_ref``, the shares of the character classes."""
+    names = [*NAMES, "n_chars"]
+    by_key = rows.groupBy("key").agg(*[F.sum(x).alias(x) for x in names])
+    every = by_key.groupBy().agg(*[F.sum(x).alias(x) for x in names]).withColumn("key", F.lit(""))
+    both = by_key.where("key <> ''").unionByName(every)
+    return both.select("key", _shares(NAMES, "n_chars").alias("class_ref"))
 
 
 def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -142,27 +142,31 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     text of null language is compared with all languages together. Repeated
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    known = staged(references(docs, rules), "quality-references")
+    known = staged(_word_references(docs, rules), "quality-references")
     if known.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = list(CLASSES)
     rows = _plain(docs, rules).withColumn("key", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
+    rows = rows.withColumn("space", F.col("n_chars") - F.col("word_chars"))
     rows = rows.join(F.broadcast(known.withColumnRenamed("key", "key_")), F.col("key") == F.col("key_"), "left")
-    rows = rows.withColumn("class_hist", _shares([f"classes.{x}" for x in names], "n_chars"))
     at = "filter(transform(words, w -> array_position(top, w)), x -> x > 0)"
     hist = "transform(sequence(1, size(top)), k -> size(filter(at, x -> x = k)) / cast(n_words AS double))"
     hist = f"get(transform(array({at}), at -> concat({hist}, array(1 - size(at) / cast(n_words AS double)))), 0)"
     long_enough = (F.col("n_words") >= rules.common_min_words) & F.col("top").isNotNull()
     rows = rows.withColumn("word_hist", F.when(long_enough, F.expr(hist)))
+    columns = ["doc_id", "key", "n_words", "n_chars", "word_chars", *NAMES, "n_dup_lines", "n_repeat_words"]
+    # the class references come from these counts: the texts are not read again
+    rows = staged(rows.select(*columns, distance("word_hist", "word_ref").alias("common_distance")), "quality-counts")
+    classes = F.broadcast(_class_references(rows).withColumnRenamed("key", "key_"))
+    rows = rows.join(classes, F.col("key") == F.col("key_"), "left").withColumn("class_hist", _shares(NAMES, "n_chars"))
     rows = rows.select(
         "doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),
         "word_chars",
-        F.col("classes.symbol").cast("bigint").alias("n_symbols"),
+        F.col("symbol").cast("bigint").alias("n_symbols"),
         "n_dup_lines",
         "n_repeat_words",
         F.when(F.col("n_chars") >= rules.class_min_chars, distance("class_hist", "class_ref")).alias("class_distance"),
-        distance("word_hist", "word_ref").alias("common_distance"),
+        "common_distance",
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False))
