@@ -9,10 +9,11 @@ same order, so sketches follow edit similarity (Order MinHash).
 Texts with equal words are one node from the start. In a group of equal
 sketches every node is compared with one hub, drawn per group, which makes as
 many pairs as nodes. Pairs are verified by aligning their shingles inside a
-band, and verified pairs are joined into components. Groups that then still
-hold several components are finished exactly: pairs across components, and only
-those, are verified too. So a group of thousands of copies costs one comparison
-per copy, and no link between components is left out.
+band, and verified pairs are joined into components. Groups that are one
+component are done; the others get another hub, and after some rounds they are
+finished exactly: the pairs across components, and only those, are verified
+too. So a group of thousands of copies costs a few comparisons per copy, and no
+link between components is left out.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import staged
-from .text import U64, _values, mix, windows, words
+from .text import U64, mix, pieces, spread, windows, words
 
-SHINGLE, SKETCHES, LENGTH = 5, 24, 4
+SHINGLE, SKETCHES, LENGTH = 5, 40, 6
 #: Texts of few shingles also get sketches of a single one: four of five would seldom agree.
-SHORT, SHORT_SKETCHES = 12, 8
+SHORT, SHORT_SKETCHES = 20, 8
 SIMILARITY = 0.8
-WIDE = 1 << 16
-_SEEDS = _values(2 * (SKETCHES + SHORT_SKETCHES), 29).reshape(2, -1)
+WIDE = 1 << 15
+BINS, FULL = 256, (1 << 16) - 1
+#: Groups are compared with this many hubs before pairs across components are formed.
+ROUNDS = 3
+_SEEDS = spread(2 * (SKETCHES + SHORT_SKETCHES), 29).reshape(2, -1)
 SKETCH = "row bigint, digest binary, n bigint, keys array<bigint>"
 SKETCH_FIELDS = pa.schema(
     [("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))]
@@ -54,7 +58,7 @@ def labelled(found: np.ndarray) -> np.ndarray:
     begins = np.flatnonzero(new)
     occurrence = np.empty(len(found), U64)
     occurrence[order] = np.arange(len(found)) - np.repeat(begins, np.diff(np.append(begins, len(found))))
-    return mix(found + occurrence * U64(0x9E3779B97F4A7C15))
+    return mix(found.astype(U64) + occurrence * U64(0x9E3779B97F4A7C15))
 
 
 def sketches(labels: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ def sketches(labels: np.ndarray) -> np.ndarray:
         step = last - first if n <= WIDE else 1
         for lo in range(first, last, step):
             a, b = _SEEDS[:, lo : lo + step, None]
-            ranks = (labels[None, :] ^ a) * (b | U64(1))
+            ranks = (((labels[None, :] ^ a) * (b | U64(1))) >> U64(32)).astype(np.uint32)
             if n > length:
                 lowest = np.sort(np.argpartition(ranks, length - 1, axis=1)[:, :length], axis=1)
             else:
@@ -141,31 +145,54 @@ def _longest_rise(values: np.ndarray) -> list[int]:
 
 
 def _shingled(batches):
+    """Texts as 32-bit shingles, and how many distinct ones fall in each bin."""
     for batch in batches:
-        for lo in range(0, len(batch), 1000):
-            part = batch.slice(lo, 1000)
+        for part in pieces(batch):
             found = words(part.column("text"))
-            blobs = [shingles(found.hash[found.first[d] : found.first[d + 1]]).tobytes() for d in range(len(part))]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(blobs, pa.binary())], names=["row", "blob"])
+            blobs, bins = [], []
+            for d in range(len(part)):
+                made = (shingles(found.hash[found.first[d] : found.first[d + 1]]) >> U64(32)).astype(np.uint32)
+                counts = np.bincount(np.unique(made) % BINS, minlength=BINS)
+                blobs.append(made.tobytes())
+                bins.append(counts.astype(np.uint16).tobytes() if counts.max() < FULL else b"")
+            columns = [part.column("row"), pa.array(bins, pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "bins", "blob"])
+
+
+def bound(a: bytes, b: bytes) -> float:
+    """The similarity that two texts reach at most, by their bins."""
+    if not a or not b:
+        return 1.0
+    x, y = (np.frombuffer(t, np.uint16).astype(np.int64) for t in (a, b))
+    common = int(np.minimum(x, y).sum())
+    return common / max(int(x.sum() + y.sum()) - common, 1)
 
 
-def _verified(base: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a``, ``b``) whose texts are similar enough."""
-    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = base.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_shingled, "row bigint, blob binary")
-    texts = staged(texts, "neardup-texts")
-    one = texts.select(F.col("row").alias("a"), F.col("blob").alias("blob_a"))
-    two = texts.select(F.col("row").alias("b"), F.col("blob").alias("blob_b"))
+def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``a``, ``b``) whose texts are similar enough. Only those that
+    their bins don't rule out fetch the shingles."""
+    least = threshold - 1e-12
+
+    def possible(batches):
+        for batch in batches:
+            good = [bound(x, y) >= least for x, y in zip(batch.column("bins_a").to_pylist(), batch.column("bins_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def verify(batches):
         for batch in batches:
             good = [
-                similarity(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) >= threshold - 1e-12
+                similarity(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= least
                 for x, y in zip(batch.column("blob_a"), batch.column("blob_b"))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(verify, "a bigint, b bigint")
+    def with_texts(pairs: DataFrame, column: str) -> DataFrame:
+        one = texts.select(F.col("row").alias("a"), F.col(column).alias(f"{column}_a"))
+        two = texts.select(F.col("row").alias("b"), F.col(column).alias(f"{column}_b"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+    left = staged(with_texts(pairs, "bins").mapInArrow(possible, "a bigint, b bigint"), "neardup-possible")
+    return with_texts(left, "blob").mapInArrow(verify, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,30 +224,36 @@ def _classes(base: DataFrame, threshold: float) -> DataFrame:
     nodes = staged(nodes, "neardup-nodes")
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
 
-    draw = F.struct(F.xxhash64("node", "key"), F.col("node").alias("node"), F.col("n").alias("n"))
-    hubs = members.groupBy("key").agg(F.min(draw).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = staged(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "neardup-hubs")
-    members = members.join(hubs.select("key"), "key", "left_semi")
-    members = staged(members, "neardup-members")
-    fits = F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n") - 1e-9
-    pairs = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & fits)
-    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tested = staged(pairs, "neardup-pairs")
-    edges = staged(_verified(base, tested, threshold), "neardup-edges")
-    comps = staged(components(edges), "neardup-comps")
-
-    # pairs across components, in the groups that still hold several
-    placed = members.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = staged(placed.join(open_keys, "key", "left_semi"), "neardup-open")
-    other = placed.select("key", F.col("node").alias("node_"), F.col("n").alias("hub_n"), F.col("comp").alias("comp_"))
-    across = placed.join(other, "key").where((F.col("comp") < F.col("comp_")) & fits)
-    across = across.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-    across = staged(across.join(tested, ["a", "b"], "left_anti"), "neardup-across")
-    if not across.isEmpty():
-        more = _verified(base, across, threshold)
-        edges = edges.union(more)
-        comps = staged(components(edges), "neardup-comps")
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = staged(members.join(shared, "key", "left_semi"), "neardup-members")
+    needed = members.select(F.col("node").alias("row")).distinct()
+    texts = base.select("row", "text").join(needed, "row", "left_semi")
+    texts = staged(texts.mapInArrow(_shingled, "row bigint, bins binary, blob binary"), "neardup-texts")
+
+    # one hub per group and round; groups that are one component are done
+    placed, tested, edges, comps = members.withColumn("comp", F.col("node")), None, None, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            draw = F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            hubs = placed.groupBy("key").agg(F.min(draw).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_comp")
+            pairs = placed.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
+        else:
+            # what is left: pairs across components
+            hubs = placed.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            pairs = placed.join(hubs, "key").where(F.col("comp") < F.col("hub_comp"))
+        fits = F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n") - 1e-9
+        pairs = pairs.where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = staged(_verified(texts, pairs, threshold), "neardup-edges")
+        edges = found if edges is None else edges.union(found)
+        if comps is None or not found.isEmpty():
+            comps = staged(components(edges), "neardup-comps")
+            placed = placed.drop("comp").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        placed = staged(placed.join(open_keys, "key", "left_semi"), "neardup-open")
+        if placed.isEmpty():
+            break
     nodes = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     placed = worded.select("row", "digest").join(nodes, "digest").select("row", "comp")
     return placed.union(sketched.where("digest IS NULL").select("row", F.col("row").alias("comp")))
@@ -254,8 +287,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     rows are in one class, one of them kept. An empty table gives an empty
     result; other columns are ignored.
 
-    At a similarity of 0.8 a pair shares one of the 24 sketches with a
-    probability above 0.99999.
+    At a similarity of 0.8 a pair shares one of the 40 sketches with a
+    probability above 0.99999. Verification compares 32-bit shingle hashes.
     """
     return _judged(_base(docs.select("doc_id", "text")), threshold).drop("row")
 

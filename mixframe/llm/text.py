@@ -37,11 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _values(n: int, seed: int) -> np.ndarray:
+def spread(n: int, seed: int) -> np.ndarray:
+    """``n`` fixed 64-bit numbers without a pattern."""
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-BYTES = _values(256, 11)
+BYTES = spread(256, 11)
 LOWER_BYTES = BYTES.copy()
 LOWER_BYTES[0x41:0x5B] = BYTES[0x61:0x7B]
 
