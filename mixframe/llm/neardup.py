@@ -11,9 +11,11 @@ sketches every node is compared with one hub, drawn per group, which makes as
 many pairs as nodes. Pairs are verified by aligning their shingles inside a
 band, and verified pairs are joined into components. Groups that are one
 component are done; the others get another hub, and after some rounds they are
-finished exactly: the pairs across components, and only those, are verified
-too. So a group of thousands of copies costs a few comparisons per copy, and no
-link between components is left out.
+finished exactly: of two similar texts one of the rarest shingles of either is
+in both, and the pairs across components that share such a one are verified
+too. So a group of thousands of copies costs a few comparisons per copy, a
+passage that thousands of texts share makes no pairs, and no link between
+components is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import staged
+from .blocks import asked, bucket_count, packs, replied, staged, told
 from .text import U64, mix, pieces, spread, windows, words
 
 SHINGLE, SKETCHES, LENGTH = 5, 40, 6
@@ -36,7 +38,7 @@ SIMILARITY = 0.8
 WIDE = 1 << 15
 BINS, FULL = 256, (1 << 16) - 1
 #: Groups are compared with this many hubs before pairs across components are formed.
-ROUNDS = 3
+ROUNDS = 2
 _SEEDS = spread(2 * (SKETCHES + SHORT_SKETCHES), 29).reshape(2, -1)
 SKETCH = "row bigint, digest binary, n bigint, keys array<bigint>"
 SKETCH_FIELDS = pa.schema(
@@ -195,6 +197,47 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     return with_texts(left, "blob").mapInArrow(verify, "a bigint, b bigint")
 
 
+def _prefixes(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``nodes`` with the shingles of which similar texts must share one: of the
+    n shingles of a text a partner holds ``threshold * n`` at least, so one of
+    the ``n - ceil(threshold * n) + 1`` rarest is among them. Those that no
+    other of the texts has are left out; ``m`` is the number of all the others,
+    ``rank`` the place in the order of rarity. A passage that many texts share
+    is frequent, so it comes last."""
+    rest = texts.withColumnRenamed("row", "node").join(nodes, "node").select("node", "n", "comp", F.col("blob").alias("text"))
+    packed = packs(rest, "neardup-rest")
+
+    def own(table: pa.Table) -> list[np.ndarray]:
+        return [np.unique(np.frombuffer(x.as_buffer(), np.uint32)) for x in table.column("text")]
+
+    def question(table: pa.Table, block: int) -> list[list[np.ndarray]]:
+        keys, counts = np.unique(np.concatenate(own(table)), return_counts=True)
+        return [[keys.astype(U64) << U64(32), counts.astype(np.uint32)]]
+
+    def answer(questions, blocks):
+        distinct, inverse = np.unique(np.concatenate([q[0] for q in questions]), return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate([q[1] for q in questions]), minlength=len(distinct))
+        return [[x] for x in np.split(sums[inverse].astype(np.int64), np.cumsum([len(q[0]) for q in questions])[:-1])]
+
+    def use(table: pa.Table, block: int, answers: list[np.ndarray]) -> pa.Table:
+        found = own(table)
+        counts = answers[0][np.unique(np.concatenate(found), return_inverse=True)[1]]
+        shared, lists, ranks = [], [], []
+        for x, c in zip(found, np.split(counts, np.cumsum([len(x) for x in found])[:-1])):
+            most = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+            lead = np.lexsort((x, c))[:most]
+            shared.append(int((c > 1).sum()))
+            lists.append(x[lead[c[lead] > 1]])
+            ranks.append(np.flatnonzero(c[lead] > 1))
+        at = pa.array(np.repeat(np.arange(len(table)), [len(x) for x in lists]))
+        columns = [table.column(c).combine_chunks().take(at) for c in ("node", "n", "comp")]
+        columns += [pa.array(shared, pa.int64()).take(at), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(lists).astype(np.int64))]
+        return pa.Table.from_arrays(columns, names=["node", "n", "comp", "m", "rank", "shingle"])
+
+    replies = replied(asked(packed, bucket_count(packed), question), answer)
+    return staged(told(packed, replies, use, "node bigint, n bigint, comp bigint, m bigint, rank bigint, shingle bigint"), "neardup-prefixes")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``comp`` (its smallest node) for all nodes with an edge (``a``,
     ``b``), by alternating stars: each node links its larger neighbours, then
@@ -238,9 +281,13 @@ def _classes(base: DataFrame, threshold: float) -> DataFrame:
             hubs = placed.groupBy("key").agg(F.min(draw).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_comp")
             pairs = placed.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
         else:
-            # what is left: pairs across components
-            hubs = placed.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-            pairs = placed.join(hubs, "key").where(F.col("comp") < F.col("hub_comp"))
+            left = _prefixes(texts, placed.select("node", "n", "comp").distinct(), threshold)
+            other = left.select("shingle", *[F.col(c).alias(f"hub_{c}") for c in ("n", "comp", "m", "rank")], F.col("node").alias("hub"))
+            # the common shingles that the similarity asks for, against those that can be
+            # common at all, and those that can follow a first common one
+            most = F.least("m", "hub_m", F.col("n") - F.col("rank"), F.col("hub_n") - F.col("hub_rank"))
+            enough = (1 + threshold) * most >= F.lit(threshold) * (F.col("n") + F.col("hub_n")) - 1e-9
+            pairs = left.join(other, "shingle").where((F.col("comp") < F.col("hub_comp")) & enough)
         fits = F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n") - 1e-9
         pairs = pairs.where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
