@@ -1,11 +1,9 @@
-from .distance import euclidean, norm_factor, prefixed, scaled_sq_distance
+from .distance import prefixed, scaled_sq_distance
 from .rng import digest, hash_below, uniform
 
 __all__ = [
     "digest",
-    "euclidean",
     "hash_below",
-    "norm_factor",
     "prefixed",
     "scaled_sq_distance",
     "uniform",

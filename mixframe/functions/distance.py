@@ -16,18 +16,5 @@ def scaled_sq_distance(a: Sequence[str], b: Sequence[str], scale: Sequence[str])
     return "(" + " + ".join(f"{p} * {p}" for p in parts) + ")"
 
 
-def euclidean(a: Sequence[str], b: Sequence[str]) -> str:
-    parts = [f"({x} - {y})" for x, y in zip(a, b, strict=True)]
-    return "sqrt(" + " + ".join(f"{p} * {p}" for p in parts) + ")"
-
-
-def norm_factor(spreads: Sequence[str], pop_size: str | int) -> str:
-    """1 / (sqrt(product of spreads) * population size); by logarithms above 16
-    dimensions, where the product over- or underflows."""
-    if len(spreads) > 16:
-        return f"(exp(-0.5D * ({' + '.join(f'ln({s})' for s in spreads)})) / {pop_size})"
-    return f"(1D / (sqrt({' * '.join(spreads)}) * {pop_size}))"
-
-
 def prefixed(prefix: str, names: Sequence[str]) -> list[str]:
     return [prefix + n for n in names]

@@ -151,13 +151,18 @@ def relabel_dense(
 ) -> DataFrame:
     """Cluster values become 1..K in sorted order within ``by``. The rank is
     taken over the distinct values, not over the points; the points are joined
-    by broadcast where there are few values, else with Spark's skew handling."""
+    by broadcast where there are few values, else with Spark's skew handling.
+    A null cluster stays null and takes no number."""
     keys = ", ".join(by)
     over = f"PARTITION BY {keys} ORDER BY {cluster}" if by else f"ORDER BY {cluster}"
-    values = assigned.select(*by, cluster).distinct()
+    values = assigned.select(*by, cluster).where(F.col(cluster).isNotNull()).distinct()
     ranked = values.selectExpr(*by, cluster, f"CAST(dense_rank() OVER ({over}) AS BIGINT) AS dense")
     rows = ranked.limit(MAX_MODEL_ROWS + 1).collect()
     if len(rows) <= MAX_MODEL_ROWS:
         ranked = F.broadcast(model_table(assigned.sparkSession, rows, ranked.schema))
     kept = [c for c in assigned.columns if c != cluster]
-    return assigned.join(ranked, [*by, cluster]).selectExpr(*kept, f"dense AS {cluster}")
+    ranked = ranked.withColumnsRenamed({c: f"{c}__" for c in (*by, cluster)})
+    same = F.col(cluster) == F.col(f"{cluster}__")
+    for key in by:
+        same = same & F.col(key).eqNullSafe(F.col(f"{key}__"))
+    return assigned.join(ranked, same, "left").selectExpr(*kept, f"dense AS {cluster}")

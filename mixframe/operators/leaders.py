@@ -70,12 +70,14 @@ def merge_labels(
     """Close representatives of different label take the fitter one's label
     (the first gives way on ties). Pairs are visited in order and see earlier
     changes; at most as many passes as representatives, since a pair of fitter
-    neighbours can pull a third one back and forth for ever."""
+    neighbours can pull a third one back and forth for ever. Once a state of the
+    labels comes back, only what is left after whole cycles is still done."""
     labels = labels.copy()
     gaps = (((centres[:, None, :] - centres[None, :, :]) / spreads[:, None, :]) ** 2).sum(axis=2)
     close = (gaps <= delta2) | (gaps.T <= delta2)
     pairs = np.argwhere(np.triu(close, k=1))
-    for _ in range(len(labels)):
+    seen, turn, most = {labels.tobytes(): 0}, 0, len(labels)
+    while turn < most:
         changed = False
         for i, j in pairs:
             if labels[i] != labels[j]:
@@ -86,6 +88,10 @@ def merge_labels(
                     labels[i] = labels[j]
         if not changed:
             break
+        turn += 1
+        before = seen.setdefault(labels.tobytes(), turn)
+        if before != turn:
+            most, turn, seen = (most - turn) % (turn - before), 0, {}
     return labels
 
 

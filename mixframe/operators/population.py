@@ -50,7 +50,9 @@ def _first_by_hash(points: DataFrame, cfg: EvolveConfig, k: int, n: int) -> list
     while True:
         fraction = min(1.0, expect / n)
         picked = points.where(hash_below(fraction, *hashed))
-        rows = bounded_rows(picked.selectExpr(f"{digest(*hashed)} AS hash", "point_id", *cfg.dims))
+        # about ``expect`` rows, so the limit follows the number of slots
+        found = picked.selectExpr(f"{digest(*hashed)} AS hash", "point_id", *cfg.dims)
+        rows = bounded_rows(found, int(2 * expect) + 1000)
         if len(rows) >= min(k, n) or fraction >= 1:
             return sorted(rows, key=lambda r: (r["hash"], r.point_id))[:k]
         expect *= 4

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,31 @@ def bounds(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("n"), *extremes)
 
 
+def _only_numbers(row: Row, dims: Sequence[str]) -> None:
+    """Refuse coordinates that are null, NaN or infinite, with their number."""
+    bad = {d: row[f"bad_{d}"] for d in dims if row[f"bad_{d}"]}
+    if bad:
+        raise ValueError(f"coordinates that are no finite numbers: {bad}; see usable() and rejected_count()")
+
+
+def _bad(dims: Sequence[str]) -> list[Column]:
+    finite = [F.coalesce(F.abs(d) < F.lit(float("inf")), F.lit(False)) for d in dims]
+    return [F.count_if(~ok).alias(f"bad_{d}") for d, ok in zip(dims, finite)]
+
+
+def _bounds_row(points: DataFrame, dims: Sequence[str]) -> Row:
+    extremes = [
+        f(d).alias(f"{name}_{d}") for d in dims for name, f in (("min", F.min), ("max", F.max))
+    ]
+    row = points.agg(F.count(F.lit(1)).alias("n"), *extremes, *_bad(dims)).first()
+    _only_numbers(row, dims)
+    return row
+
+
 def domain(points: DataFrame, dims: Sequence[str]) -> Row:
-    """The bounds, checked: every dimension must span more than one value."""
-    row = bounds(points, dims).first()
+    """The bounds, checked: all coordinates are finite numbers, and every
+    dimension spans more than one value."""
+    row = _bounds_row(points, dims)
     for d in dims:
         low, high = row[f"min_{d}"], row[f"max_{d}"]
         if low is None or not low < high:
@@ -34,7 +56,7 @@ def _replace(points: DataFrame, scaled: dict) -> DataFrame:
 
 def minmax_scale(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Every dimension onto [0, 1]; a constant one becomes 0.5."""
-    row = bounds(points, dims).first()
+    row = _bounds_row(points, dims)
     scaled = {}
     for d in dims:
         low, high = row[f"min_{d}"], row[f"max_{d}"]
@@ -53,7 +75,8 @@ def zscore_scale(points: DataFrame, dims: Sequence[str]) -> DataFrame:
         for d in dims
         for name, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
     ]
-    row = points.agg(*stats).first()
+    row = points.agg(*stats, *_bad(dims)).first()
+    _only_numbers(row, dims)
     scaled = {}
     for d in dims:
         mean, std = row[f"avg_{d}"], row[f"std_{d}"]

@@ -65,18 +65,29 @@ def read_delimited(
     delimiter: str = " ",
     base: str | None = None,
     label_type: T.DataType | None = None,
+    features: Sequence[str | Column] | None = None,
+    label: str | Column | None = None,
+    point_id: str | Column | None = None,
+    mode: str = "FAILFAST",
+    **options,
 ) -> DataFrame:
     """Headerless delimited text whose last column is the class label. With
     ``n_dims`` the schema is fixed and the file is read once; without it Spark
-    infers the types in a pass of its own."""
-    reader = spark.read.option("header", "false").option("sep", delimiter)
+    infers the types in a pass of its own. Other columns can be named as
+    ``_c0``, ``_c1``, ... in ``features``, ``label`` and ``point_id``. A cell
+    that does not fit its type fails the read; ``mode="PERMISSIVE"`` makes it
+    null, ``"DROPMALFORMED"`` leaves its row out."""
+    reader = spark.read.options(header="false", sep=delimiter, mode=mode).options(**options)
     if n_dims is None:
         reader = reader.option("inferSchema", "true")
     else:
         reader = reader.schema(point_schema(n_dims, label_type))
     table = reader.csv(dataset_uri(path, base))
-    features, label = split_label(table)
-    return as_points(table, features, label)
+    if features is None:
+        features, last = split_label(table)
+        label = last if label is None else label
+        features = [f for f in features if f != point_id]
+    return as_points(table, features, label, point_id)
 
 
 def read_points(
@@ -92,7 +103,8 @@ def read_points(
     """Points from any Spark source. Without ``features`` the columns are taken
     by position, label last."""
     if fmt in ("csv", "dat", "text"):
-        return read_delimited(spark, path, base=base, **options)
+        chosen = dict(features=features, label=label, point_id=point_id)
+        return read_delimited(spark, path, base=base, **chosen, **options)
     table = spark.read.format(fmt).options(**options).load(dataset_uri(path, base))
     if features is None:
         features, label = split_label(table)
@@ -100,7 +112,7 @@ def read_points(
 
 
 def usable(points: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Rows whose coordinates are all present and not NaN."""
+    """Rows whose coordinates are all present and finite."""
     return points.where(_all_numbers(dims))
 
 
@@ -116,5 +128,6 @@ def rejected_count(points: DataFrame, dims: Sequence[str]) -> DataFrame:
 def _all_numbers(dims: Sequence[str]) -> Column:
     keep = F.lit(True)
     for name in dims:
-        keep = keep & F.col(name).isNotNull() & ~F.isnan(name)
+        # NaN compares as larger than infinity
+        keep = keep & F.coalesce(F.abs(name) < F.lit(float("inf")), F.lit(False))
     return keep

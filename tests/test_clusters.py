@@ -209,3 +209,30 @@ def test_scores_without_assignment_equal_scores_with_it(blobs):
     full = mf.cluster_scores(mf.predict(points, cfg, keep=["label"]), by=["run_id"]).collect()
     for r in full:
         assert np.allclose(tuple(r)[1:], tuple(direct[r.run_id])[1:])
+
+
+def test_relabel_keeps_rows_without_a_cluster(spark):
+    rows = [(0, 1, 5), (0, 2, None), (None, 3, 7), (0, 4, 9)]
+    table = spark.createDataFrame(rows, "run_id bigint, point_id bigint, cluster bigint")
+    got = {r.point_id: r.cluster for r in mf.relabel_dense(table).collect()}
+    assert got == {1: 1, 2: None, 3: 1, 4: 2}
+
+
+def test_labels_that_flip_for_ever_end_as_all_passes_would():
+
+    def all_passes(labels, at, width, fit, delta2):
+        labels = labels.copy()
+        gaps = (((at[:, None] - at[None]) / width[:, None]) ** 2).sum(axis=2)
+        pairs = np.argwhere(np.triu((gaps <= delta2) | (gaps.T <= delta2), k=1))
+        for _ in range(len(labels)):
+            for i, j in pairs:
+                if labels[i] != labels[j]:
+                    labels[[i, j]] = labels[i] if fit[i] > fit[j] else labels[j]
+        return labels
+
+    made = np.random.default_rng(5)
+    for n in (3, 8, 25):
+        for _ in range(20):
+            at, width, fit = made.random((n, 2)), np.full((n, 2), 0.3), made.random(n)
+            want = all_passes(np.arange(n), at, width, fit, 0.6)
+            assert (merge_labels(np.arange(n), at, width, fit, 0.6) == want).all()

@@ -78,3 +78,30 @@ def test_spread_out_leaves_wide_scans(spark):
 def test_checkpoints_go_to_the_session_folder(spark):
     folder = shared_folder(spark)
     assert folder == spark.sparkContext.getCheckpointDir()
+
+
+def test_infinite_and_missing_coordinates_are_refused(spark):
+    rows = [(1, 0.0, 1.0), (2, float("inf"), 2.0), (3, float("nan"), 3.0), (4, None, 4.0), (5, 5.0, 6.0)]
+    points = spark.createDataFrame(rows, "point_id bigint, x0 double, x1 double")
+    assert [r.point_id for r in mf.usable(points, ["x0", "x1"]).orderBy("point_id").collect()] == [1, 5]
+    assert tuple(mf.rejected_count(points, ["x0", "x1"]).first()) == (2, 3)
+    for scale in (mf.minmax_scale, mf.zscore_scale):
+        with pytest.raises(ValueError, match="'x0': 3"):
+            scale(points, ["x0", "x1"])
+        assert scale(mf.usable(points, ["x0", "x1"]), ["x0", "x1"]).count() == 2
+
+
+def test_a_bad_cell_fails_the_read(spark, tmp_path):
+    (tmp_path / "p.dat").write_text("0.5 1.5 0\n0.3 x 1\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        mf.read_delimited(spark, str(tmp_path), n_dims=2).collect()
+    rows = mf.read_delimited(spark, str(tmp_path), n_dims=2, mode="DROPMALFORMED").collect()
+    assert [(r.x0, r.x1, r.label) for r in rows] == [(0.5, 1.5, 0)]
+
+
+def test_named_columns_of_a_delimited_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("7,0.5,1.5,0\n9,2.5,3.5,1\n")
+    points = mf.read_points(
+        spark, str(tmp_path), fmt="csv", delimiter=",", features=["_c1", "_c2"], label="_c3", point_id="_c0"
+    )
+    assert sorted(tuple(r) for r in points.collect()) == [(7, 0.5, 1.5, 0), (9, 2.5, 3.5, 1)]
