@@ -21,7 +21,7 @@ SIZES = (1, 2, 3)
 MAX_LANGUAGES = 200
 #: Labelled rows of each language to learn from, about.
 TRAIN_ROWS = 20_000
-PIECE = 1 << 18
+PIECE, PIECE_BYTES = 1 << 17, 1 << 20
 FIELDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -38,10 +38,10 @@ def _letters() -> np.ndarray:
     return out
 
 
-def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash buckets of the n-grams of all texts, where those of each text begin,
-    and whether the text has a letter. Runs of other characters count as one
-    blank; each text stands between blanks."""
+def _grams(texts):
+    """For each size the hash buckets of the n-grams of all texts, and where
+    those of each text begin. Runs of characters that are no letters count as
+    one blank; each text stands between blanks."""
     data, offset = raw(texts)
     is_start = (data & 0xC0) != 0x80
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -57,27 +57,19 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[edge] = True
     kept_before = np.concatenate([[0], np.cumsum(keep)])
     begins, chars = kept_before[edge], chars[keep]
-    owner = np.repeat(np.arange(n), np.diff(begins))
-    hashes, owners = [], []
     for size in SIZES:
         m = len(chars) - size + 1
-        if m <= 0:
+        if m <= 0 or not n:
             continue
         code, blank = np.zeros(m, np.uint64), np.ones(m, bool)
         for k in range(size):
             code = code * np.uint64(0x110001) + chars[k : k + m] + np.uint64(1)
             blank &= chars[k : k + m] == 0
-        own = owner[np.minimum(np.arange(m), len(owner) - 1)] if len(owner) else np.zeros(m, np.int64)
         # an n-gram may end on the blank after its text, and not go beyond
-        inside = ~blank & (np.arange(m) + size - 1 <= begins[np.minimum(own + 1, n)]) & (np.arange(m) < begins[-1])
-        hashes.append((mix(code + np.uint64(size)) >> np.uint64(49))[inside].astype(np.int32))
-        owners.append(own[inside])
-    if not hashes:
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n, bool)
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    starts = np.searchsorted(o[order], np.arange(n + 1))
-    return h[order], starts, np.diff(starts) > 0
+        last = np.repeat(begins[1:], np.diff(begins))[:m]
+        inside = ~blank[: len(last)] & (np.arange(len(last)) + size - 1 <= last)
+        hashes = (mix(code[: len(last)][inside] + np.uint64(size)) >> np.uint64(49)).astype(np.int32)
+        yield hashes, np.concatenate([[0], np.cumsum(inside)])[np.minimum(begins, len(last))]
 
 
 class Model:
@@ -90,14 +82,15 @@ class Model:
         self.matrix = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T, np.float32)
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
-        h, starts, lettered = _grams(texts)
-        n = len(lettered)
-        sums = np.tile(self.prior, (n, 1))
-        for lo in range(0, len(h), PIECE):
-            part = self.matrix[h[lo : lo + PIECE]].astype(np.float64)
-            cut = np.clip(starts, lo, lo + len(part)) - lo
-            some = np.flatnonzero(cut[1:] > cut[:-1])
-            sums[some] += np.add.reduceat(part, cut[some], axis=0)
+        n = len(texts)
+        sums, lettered = np.tile(self.prior, (n, 1)), np.zeros(n, bool)
+        for h, starts in _grams(texts):
+            lettered |= np.diff(starts) > 0
+            for lo in range(0, len(h), PIECE):
+                part = self.matrix[h[lo : lo + PIECE]].astype(np.float64)
+                cut = np.clip(starts, lo, lo + len(part)) - lo
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                sums[some] += np.add.reduceat(part, cut[some], axis=0)
         best = sums.argmax(axis=1) if self.languages else np.zeros(n, int)
         if self.languages:
             share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
@@ -123,11 +116,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, alpha: float = 0.5) -> Mo
     def count(batches):
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            for piece in pieces(batch):
-                h, starts, _ = _grams(piece.column("text"))
+            for piece in pieces(batch, PIECE_BYTES):
                 own = np.array([languages.index(x) for x in piece.column("lang").to_pylist()])
-                flat = np.repeat(own, np.diff(starts)) * BUCKETS + h
-                sums += np.bincount(flat, minlength=sums.size).reshape(sums.shape)
+                for h, starts in _grams(piece.column("text")):
+                    flat = np.repeat(own, np.diff(starts)) * BUCKETS + h
+                    sums += np.bincount(flat, minlength=sums.size).reshape(sums.shape)
         some = [k for k in range(len(languages)) if sums[k].any()]
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(some, pa.int32()), "part": pa.array([k % 16 for k in some], pa.int32()), "counts": pa.array([sums[k].tobytes() for k in some], pa.binary())}
@@ -168,7 +161,7 @@ def identify(docs: DataFrame, held_out: Column, train_rows: int = TRAIN_ROWS, al
 
     def predict(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, PIECE_BYTES):
                 names, score = model.value.predict(piece.column("text"))
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
@@ -183,7 +176,7 @@ def recognised(docs: DataFrame, least_score: float = 0.5, train_rows: int = TRAI
 
     def choose(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, PIECE_BYTES):
                 names, score = model.value.predict(piece.column("text"))
                 keep = [name != "und" and x >= least_score for name, x in zip(names, score)]
                 yield piece.filter(pa.array(keep, pa.bool_()))

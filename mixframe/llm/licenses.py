@@ -41,7 +41,7 @@ SENTENCES = {
     "gpl2_licensed": "licensed under the gnu general public license version 2",
     "lgpl3_name": "licensed under the gnu lesser general public license version 3",
     "agpl3_name": "licensed under the gnu affero general public license version 3",
-    "mpl_name": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "mpl_name": "this source code form is subject to the terms of the mozilla public license v",
     "ccby_name": "licensed under cc by 4.0",
     "ccbysa_name": "licensed under cc by sa 4.0",
     "ccbync_name": "licensed under cc by nc 4.0",

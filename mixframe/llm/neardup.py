@@ -110,14 +110,15 @@ def _sketched(batches):
             )
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
     """Aligned share of two shingle sequences: distinct shingles that a common
     subsequence matches, over all distinct shingles of both. Only pairs within
-    the band are matched; it is as wide as the number of shingles left over, so
-    that it excludes no alignment of all common ones."""
+    the band are matched. It is as wide as the number of shingles that may be
+    left over at the threshold, so a value from there on is exact."""
     la, lb = labelled(a), labelled(b)
     _, i, j = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    band = max(len(a), len(b)) - len(i)
+    distinct = len(np.unique(a)) + len(np.unique(b))
+    band = max(len(a), len(b)) - int(threshold / (1 + threshold) * distinct)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     order = np.argsort(i)
@@ -125,7 +126,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if len(j) and not (j[1:] > j[:-1]).all():
         i = i[_longest_rise(j)]
     matched = len(np.unique(a[i]))
-    union = len(np.unique(a)) + len(np.unique(b)) - matched
+    union = distinct - matched
     return matched / union if union else 0.0
 
 
@@ -183,7 +184,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     def verify(batches):
         for batch in batches:
             good = [
-                similarity(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= least
+                similarity(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), threshold) >= least
                 for x, y in zip(batch.column("blob_a"), batch.column("blob_b"))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))

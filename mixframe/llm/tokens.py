@@ -34,7 +34,7 @@ DICTIONARY_BYTES = 64 << 10
 #: Documents that the dictionary is trained on, about, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 #: Words that a worker remembers, about; it forgets all of them beyond.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 BLANK = byte_set([0x20])
 SHARDS = "shard bigint, part bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, blob binary"
 SHARD_FIELDS = pa.schema(
@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             )
 
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 for doc_id, coded in zip(part.column("doc_id").to_pylist(), made.encode(part.column("text"))):
                     ids.append(doc_id)
                     frames.append(compressor.compress(coded + end))

@@ -97,7 +97,8 @@ def test_similarity_follows_order():
     a = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert similarity(a, a) == 1.0
     assert similarity(a, a[10:]) == pytest.approx(0.9)
-    assert similarity(a, np.concatenate([a[50:], a[:50]])) == pytest.approx(50 / 150)
+    assert similarity(a, np.concatenate([a[5:], a[:5]])) == pytest.approx(95 / 105)
+    assert similarity(a, np.concatenate([a[50:], a[:50]])) < 0.8
     assert similarity(a, a[:0]) == 0.0
 
 
@@ -381,7 +382,7 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, SMALL)
         assert after.schema.fieldNames() == docs.schema.fieldNames(), name
-        before = after.localCheckpoint() if False else after.cache()
+        before = after.cache()
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in before.collect())
     clean = before.select("doc_id", "text").distinct()

@@ -150,7 +150,7 @@ def test_secret_spans(documents):
         (3, "é 0123456789abcdef0123 z"),
         (4, f"key {random}"),
         (5, "Donaudampfschifffahrtsgesellschaftskapitaen 550e8400-e29b-41d4-a716-446655440000"),
-        (6, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa 2024-01-01/2024-12-31_0000000000"),
+        (6, "xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy 2024-01-01/2024-12-31_0000000000"),
         (7, 'api_key="short" secret=abcdefghijkl token=1'),
         (8, None),
     ]
