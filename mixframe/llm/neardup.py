@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import asked, bucket_count, packs, replied, staged, told
+from .blocks import asked, bucket_count, from_bytes, packs, replied, staged, told
 from .text import U64, mix, pieces, spread, windows, words
 
 SHINGLE, SKETCHES, LENGTH = 5, 40, 6
@@ -40,10 +40,13 @@ BINS, FULL = 256, (1 << 16) - 1
 #: Groups are compared with this many hubs before pairs across components are formed.
 ROUNDS = 2
 _SEEDS = spread(2 * (SKETCHES + SHORT_SKETCHES), 29).reshape(2, -1)
-SKETCH = "row bigint, digest binary, n bigint, keys array<bigint>"
+SKETCH = "block bigint, row bigint, doc_id bigint, digest binary, n bigint, keys array<bigint>"
 SKETCH_FIELDS = pa.schema(
-    [("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    [(x, pa.int64()) for x in ("block", "row", "doc_id")]
+    + [("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))]
 )
+TEXTS = "row bigint, bins binary, blob binary"
+TEXT_FIELDS = pa.schema([("row", pa.int64()), ("bins", pa.binary()), ("blob", pa.binary())])
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -84,8 +87,29 @@ def sketches(labels: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sketched(batches):
+def _opened(batches):
+    """The documents of packed blocks, with the number of their block."""
     for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+            table = from_bytes(payload.as_buffer()).select(["row", "id", "text"])
+            for part in table.to_batches():
+                numbers = pa.array(np.full(len(part), block))
+                yield pa.RecordBatch.from_arrays([numbers, *part.columns], names=["block", "row", "id", "text"])
+
+
+def _picked(packed: DataFrame, rows: DataFrame, use, schema) -> DataFrame:
+    """``use(documents)`` for each block, of the documents that ``rows``
+    (``block``, ``row``) names. Blocks travel compressed, texts never do."""
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = from_bytes(left.column("payload")[0].as_buffer())
+        return use(table.filter(pa.array(np.isin(table.column("row").to_numpy(), right.column("row").to_numpy()))))
+
+    return packed.select("block", "payload").groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(pick, schema)
+
+
+def _sketched(batches):
+    for batch in _opened(batches):
         for lo in range(0, len(batch), 1000):
             part = batch.slice(lo, 1000)
             found = words(part.column("text"))
@@ -105,9 +129,8 @@ def _sketched(batches):
                 keys.append(sketches(labelled(made)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], schema=SKETCH_FIELDS
-            )
+            columns = [part.column(c) for c in ("block", "row", "id")] + [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, schema=SKETCH_FIELDS)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
@@ -147,9 +170,10 @@ def _longest_rise(values: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def _shingled(batches):
+def _shingled(table: pa.Table) -> pa.Table:
     """Texts as 32-bit shingles, and how many distinct ones fall in each bin."""
-    for batch in batches:
+    parts = []
+    for batch in table.to_batches():
         for part in pieces(batch):
             found = words(part.column("text"))
             blobs, bins = [], []
@@ -159,7 +183,8 @@ def _shingled(batches):
                 blobs.append(made.tobytes())
                 bins.append(counts.astype(np.uint16).tobytes() if counts.max() < FULL else b"")
             columns = [part.column("row"), pa.array(bins, pa.binary()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "bins", "blob"])
+            parts.append(pa.RecordBatch.from_arrays(columns, schema=TEXT_FIELDS))
+    return pa.Table.from_batches(parts, schema=TEXT_FIELDS)
 
 
 def bound(a: bytes, b: bytes) -> float:
@@ -261,18 +286,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(base: DataFrame, threshold: float) -> DataFrame:
-    """``row``, ``comp`` for every row of ``base`` (``row``, ``doc_id``, ``text``)."""
-    sketched = staged(base.select("row", "text").mapInArrow(_sketched, SKETCH), "neardup-sketches")
+    """``block``, ``row``, ``doc_id``, ``comp`` for every row of the packed ``base``."""
+    sketched = staged(base.select("block", "payload").mapInArrow(_sketched, SKETCH), "neardup-sketches")
     worded = sketched.where("digest IS NOT NULL")
-    nodes = worded.groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = staged(nodes, "neardup-nodes")
+    nodes = worded.groupBy("digest").agg(F.min(F.struct("row", "block")).alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = staged(nodes.select("digest", F.col("f.row").alias("node"), F.col("f.block").alias("block"), "n", "keys"), "neardup-nodes")
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
 
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(members.join(shared, "key", "left_semi"), "neardup-members")
-    needed = members.select(F.col("node").alias("row")).distinct()
-    texts = base.select("row", "text").join(needed, "row", "left_semi")
-    texts = staged(texts.mapInArrow(_shingled, "row bigint, bins binary, blob binary"), "neardup-texts")
+    needed = nodes.join(members.select("node").distinct(), "node").select("block", F.col("node").alias("row"))
+    texts = staged(_picked(base, needed, _shingled, TEXTS), "neardup-texts")
 
     # one hub per group and round; groups that are one component are done
     placed, tested, edges, comps = members.withColumn("comp", F.col("node")), None, None, None
@@ -303,22 +327,22 @@ def _classes(base: DataFrame, threshold: float) -> DataFrame:
         if placed.isEmpty():
             break
     nodes = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    placed = worded.select("row", "digest").join(nodes, "digest").select("row", "comp")
-    return placed.union(sketched.where("digest IS NULL").select("row", F.col("row").alias("comp")))
+    ids = ["block", "row", "doc_id"]
+    placed = worded.select(*ids, "digest").join(nodes, "digest").select(*ids, "comp")
+    return placed.union(sketched.where("digest IS NULL").select(*ids, F.col("row").alias("comp")))
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    folder_rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return staged(folder_rows, "neardup-base")
+    numbered = docs.withColumns({"row": F.monotonically_increasing_id(), "id": F.col("doc_id").cast("bigint")})
+    return packs(numbered, "neardup-base")
 
 
 def _judged(base: DataFrame, threshold: float) -> DataFrame:
-    ids = base.select("row", F.col("doc_id").cast("bigint").alias("doc_id"))
-    placed = staged(ids.join(_classes(base, threshold), "row"), "neardup-classes")
+    placed = staged(_classes(base, threshold), "neardup-classes")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("f")
     lead = placed.groupBy("comp").agg(first, F.count("*").alias("class_size"))
     lead = lead.select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.row").alias("lead"), "class_size")
-    return placed.join(lead, "comp").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("lead")).alias("kept"))
+    return placed.join(lead, "comp").select("block", "row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("lead")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -338,13 +362,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     At a similarity of 0.8 a pair shares one of the 40 sketches with a
     probability above 0.99999. Verification compares 32-bit shingle hashes.
     """
-    return _judged(_base(docs.select("doc_id", "text")), threshold).drop("row")
+    return _judged(_base(docs.select("doc_id", "text")), threshold).drop("block", "row")
 
 
 def deduplicated(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without all but one of each class."""
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     base = _base(docs.withColumnsRenamed(names))
-    kept = _judged(base, threshold).where("kept").select("row")
-    rows = base.join(kept, "row", "left_semi")
-    return rows.select([F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    kept = _judged(base, threshold).where("kept").select("block", "row")
+    held, columns = [names.get(c, c) for c in docs.columns], docs.columns
+    return _picked(base, kept, lambda table: table.select(held).rename_columns(columns), docs.schema)
