@@ -63,7 +63,12 @@ class Encoder:
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
-        self.known: dict[int, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered words, ascending by hash: where their ids begin and how many there are."""
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.kind)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -72,19 +77,25 @@ class Encoder:
     def _plain(self, word: str) -> bool:
         return not (word[0].isspace() or word[-1].isspace() or any(a in word for a in self.added))
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Remember words as they are encoded after a blank; those that may not
         be cut off get nothing."""
-        plain = [self._plain(w) for w in words]
-        self.known.update((k, b"") for k, ok in zip(keys, plain) if not ok)
-        keys, words = list(compress(keys, plain)), list(compress(words, plain))
-        groups = range(0, len(words), 1000)
-        for lo, ids in zip(groups, self._ids(["".join([" " + w for w in words[k : k + 1000]]) for k in groups])):
-            cut = np.flatnonzero(self.begins[ids]) * self.kind.itemsize
-            if len(cut) != len(words[lo : lo + 1000]):
+        plain = np.array([self._plain(w) for w in words], bool)
+        some = list(compress(words, plain))
+        groups = range(0, len(some), 1000)
+        made, counts = [self.ids], []
+        for lo, ids in zip(groups, self._ids(["".join([" " + w for w in some[k : k + 1000]]) for k in groups])):
+            cut = np.flatnonzero(self.begins[ids])
+            if len(cut) != len(some[lo : lo + 1000]):
                 raise ValueError("the tokenizer does not start a piece at each blank")
-            data, ends = ids.tobytes(), [*cut[1:].tolist(), ids.nbytes]
-            self.known.update(zip(keys[lo : lo + 1000], [data[i:j] for i, j in zip(cut.tolist(), ends)]))
+            made.append(ids)
+            counts.append(np.diff(np.append(cut, len(ids))))
+        size = np.zeros(len(words), np.int32)
+        size[plain] = np.concatenate(counts) if counts else 0
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(size) - size)
+        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, size)
+        self.ids = np.concatenate(made)
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text of an Arrow column without nulls."""
@@ -92,16 +103,18 @@ class Encoder:
         n, first = len(found.first) - 1, found.first
         keys, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
         raw = found.data.tobytes()
-        if len(self.known) + len(keys) > CACHE_WORDS:
-            self.known.clear()
-        listed = keys.tolist()
-        new = [k for k, key in enumerate(listed) if key not in self.known]
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self._forget()
+        at_known = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at_known < len(self.keys)
+        new[inside] = self.keys[at_known[inside]] != keys[inside]
         spans = zip(found.start[at[new]].tolist(), found.end[at[new]].tolist())
-        self._learn([listed[k] for k in new], [raw[i:j].decode() for i, j in spans])
-        coded = [self.known[k] for k in listed]
+        self._learn(keys[new], [raw[i:j].decode() for i, j in spans])
+        known = np.searchsorted(self.keys, keys)
+        sizes, begin = self.size[known].astype(np.int64), self.begin[known]
 
         # texts that may be cut: single blanks between plain words, none at the ends
-        sizes = np.array([len(x) for x in coded], np.int64)
         some = np.flatnonzero(np.diff(first))
         single = np.ones(len(found.start), bool)
         single[1:] = found.start[1:] == found.end[:-1] + 1
@@ -112,20 +125,20 @@ class Encoder:
         # the first word of each such text, and the other texts, as they stand
         offset, end = found.offset.tolist(), found.offset[1:].copy()
         end[cut] = found.end[first[:-1][cut]]
-        heads = [x.tobytes() for x in self._ids([raw[i:j].decode() for i, j in zip(offset, end.tolist())])]
+        heads = self._ids([raw[i:j].decode() for i, j in zip(offset, end.tolist())])
 
-        entries = np.frombuffer(b"".join(coded + heads), np.uint8)
-        sizes = np.concatenate([sizes, np.array([len(x) for x in heads], np.int64)])
-        begin = np.cumsum(sizes) - sizes
+        entries = np.concatenate([self.ids, *heads])
+        own = np.array([len(x) for x in heads], np.int64)
+        sizes, begin = np.concatenate([sizes, own]), np.concatenate([begin, len(self.ids) + np.cumsum(own) - own])
         which = inverse.copy()
         which[first[:-1][cut]] = len(keys) + np.flatnonzero(cut)
         used = np.repeat(cut, np.diff(first))
         which, owner = which[used], found.of_text()[used]
-        lengths = sizes[which] // self.kind.itemsize
-        ids = entries.view(self.kind)[np.repeat(begin[which] // self.kind.itemsize, lengths) + runs(lengths)].tobytes()
-        ends = np.cumsum(np.bincount(owner, weights=sizes[which], minlength=n).astype(np.int64))
+        lengths = sizes[which]
+        ids = entries[np.repeat(begin[which], lengths) + runs(lengths)].tobytes()
+        ends = np.cumsum(np.bincount(owner, weights=lengths, minlength=n).astype(np.int64)) * self.kind.itemsize
         parts = zip([0, *ends[:-1].tolist()], ends.tolist(), cut.tolist(), heads)
-        return [ids[i:j] if ok else head for i, j, ok, head in parts]
+        return [ids[i:j] if ok else head.tobytes() for i, j, ok, head in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
