@@ -9,6 +9,7 @@ costs its bucket one entry per block."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def trimmed(use: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``use`` on the batches of a task. The Python worker outlives the task;
+    it returns what was freed to the system, so that a long job of many
+    different steps does not hold the largest of each."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from use(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def to_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -78,7 +96,7 @@ def packs(df: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame
         if held:
             yield block()
 
-    return staged(df.mapInArrow(pack, PACKS), name)
+    return staged(df.mapInArrow(trimmed(pack), PACKS), name)
 
 
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -143,7 +161,7 @@ def asked(packed: DataFrame, n: int, question: Callable[[pa.Table, int], list[li
                     blobs = [write_arrays([x[c[b] : c[b + 1]] for arrays, c in zip(lists, at) for x in arrays]) for b in some]
                     yield _rows(ASK_SCHEMA, some, [block] * len(some), blobs)
 
-    return packed.select("block", "payload").mapInArrow(ask, ASK)
+    return packed.select("block", "payload").mapInArrow(trimmed(ask), ASK)
 
 
 def replied(asks: DataFrame, answer: Callable[[list[list[np.ndarray]], list[int]], list[list[np.ndarray]]]) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import staged
+from .blocks import staged, trimmed
 from .text import BY_NON_WORD, U64, Words, window_starts, windows, words
 
 CHUNK_BYTES = 16 << 20
@@ -99,7 +99,7 @@ def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
             columns = [np.full(len(some), size, np.int32), keys.value[size][some].view(np.int64), n[some]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["size", "shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "size int, shingle bigint, n bigint")
+    counted = docs.select("text").mapInArrow(trimmed(count), "size int, shingle bigint, n bigint")
     # one row per shingle of the chunk at most, so as bounded as the chunk
     rows = counted.groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect()
     return {(r["size"], r["shingle"]): r["n"] for r in rows}
@@ -183,7 +183,7 @@ def _scan(docs: DataFrame, chunk: Windows, last: bool) -> DataFrame:
                 columns += [pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=PASS_FIELDS)
 
-    return docs.mapInArrow(scan, SCHEMA if last else PASS)
+    return docs.mapInArrow(trimmed(scan), SCHEMA if last else PASS)
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -266,4 +266,4 @@ def _without(docs: DataFrame, chunk: Windows) -> DataFrame:
             hit[np.searchsorted(found.first, _matches(found, shared.value)[0], "right") - 1] = True
             yield batch.filter(pa.array(~hit))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(trimmed(choose), docs.schema)
