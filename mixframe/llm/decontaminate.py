@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import staged, trimmed
-from .text import BY_NON_WORD, U64, Words, window_starts, windows, words
+from .text import BY_NON_WORD, U64, Words, pieces, window_starts, windows, words
 
 CHUNK_BYTES = 16 << 20
 SLICE = 1 << 18
@@ -88,7 +89,7 @@ def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
 
     def count(batches):
         sums = {size: np.zeros(len(k), np.int64) for size, k in keys.value.items()}
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             found = item_words(batch.column("text"))
             for size, k in keys.value.items():
                 made = windows(found.hash, size)[window_starts(found.first, size)]
@@ -146,7 +147,7 @@ def _scan(docs: DataFrame, chunk: Windows, last: bool) -> DataFrame:
 
     def scan(batches):
         chunk = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             found = item_words(batch.column("text"))
             n = len(batch)
             covered = np.zeros(int(found.first[-1]) + 1, np.int64)
@@ -260,7 +261,7 @@ def _without(docs: DataFrame, chunk: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chunk)
 
     def choose(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             found = item_words(batch.column("text"))
             hit = np.zeros(len(batch), bool)
             hit[np.searchsorted(found.first, _matches(found, shared.value)[0], "right") - 1] = True
