@@ -28,13 +28,15 @@ from .text import U64
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
+ROW_GROUP_BYTES = 16 << 20
+ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: what several
     later steps read is computed once, and a lost executor costs no recompute."""
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -55,6 +57,16 @@ def trimmed(use: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return run
 
 
+def mapped(df: DataFrame, use: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``ARROW_BYTES``, unless the session has
+    a limit of its own. 10,000 rows of long texts, Spark's limit, are far more
+    than a task needs at a time, and both the JVM and the worker hold them."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_LIMIT, None) is None:
+        conf.set(ARROW_LIMIT, str(ARROW_BYTES))
+    return df.mapInArrow(trimmed(use), schema)
+
+
 def to_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -96,7 +108,7 @@ def packs(df: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame
         if held:
             yield block()
 
-    return staged(df.mapInArrow(trimmed(pack), PACKS), name)
+    return staged(mapped(df, pack, PACKS), name)
 
 
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -161,7 +173,7 @@ def asked(packed: DataFrame, n: int, question: Callable[[pa.Table, int], list[li
                     blobs = [write_arrays([x[c[b] : c[b + 1]] for arrays, c in zip(lists, at) for x in arrays]) for b in some]
                     yield _rows(ASK_SCHEMA, some, [block] * len(some), blobs)
 
-    return packed.select("block", "payload").mapInArrow(trimmed(ask), ASK)
+    return mapped(packed.select("block", "payload"), ask, ASK)
 
 
 def replied(asks: DataFrame, answer: Callable[[list[list[np.ndarray]], list[int]], list[list[np.ndarray]]]) -> DataFrame:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import staged, trimmed
+from .blocks import mapped, staged
 from .text import BY_NON_WORD, U64, Words, pieces, window_starts, windows, words
 
 CHUNK_BYTES = 16 << 20
 SLICE = 1 << 18
+#: Text that is looked at together.
+PIECE_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
 PASS = "doc_id bigint, text string, hits array<int>, items array<string>"
 FIELDS = pa.schema(
@@ -68,6 +70,7 @@ class Windows:
         for size, parts in by_size.items():
             self.shingles[size] = tuple(np.concatenate(x) for x in zip(*parts))
         self.keys = {size: np.unique(x[0]) for size, x in self.shingles.items()}
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
 
     def prefixes(self, counts: dict[tuple[int, int], int]) -> None:
         """Keep of every window its rarest shingle; a window that has one the
@@ -82,6 +85,16 @@ class Windows:
             lead = lead[np.argsort(made[lead], kind="stable")]
             self.prefix[size] = (made[lead], w[lead], offset[lead])
 
+    def padded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the windows, and their words in rows of one length."""
+        if self.table is None:
+            lengths = np.array([len(x) for x in self.hashes], np.int64)
+            table = np.zeros((len(lengths), int(lengths.max(initial=0))), U64)
+            for w, part in enumerate(self.hashes):
+                table[w, : len(part)] = part
+            self.table = lengths, table
+        return self.table
+
 
 def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
     """How often each shingle of the chunk occurs in the corpus."""
@@ -89,7 +102,7 @@ def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
 
     def count(batches):
         sums = {size: np.zeros(len(k), np.int64) for size, k in keys.value.items()}
-        for batch in chain.from_iterable(map(pieces, batches)):
+        for batch in chain.from_iterable(pieces(b, PIECE_BYTES) for b in batches):
             found = item_words(batch.column("text"))
             for size, k in keys.value.items():
                 made = windows(found.hash, size)[window_starts(found.first, size)]
@@ -100,7 +113,7 @@ def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
             columns = [np.full(len(some), size, np.int32), keys.value[size][some].view(np.int64), n[some]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["size", "shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(trimmed(count), "size int, shingle bigint, n bigint")
+    counted = mapped(docs.select("text"), count, "size int, shingle bigint, n bigint")
     # one row per shingle of the chunk at most, so as bounded as the chunk
     rows = counted.groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect()
     return {(r["size"], r["shingle"]): r["n"] for r in rows}
@@ -109,11 +122,7 @@ def _count(docs: DataFrame, chunk: Windows) -> dict[tuple[int, int], int]:
 def _matches(found: Words, chunk: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Where windows occur: (word, window)."""
     at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    lengths = np.array([len(x) for x in chunk.hashes])
-    widest = int(lengths.max(initial=0))
-    table = np.zeros((len(chunk.hashes), widest), U64)
-    for w, part in enumerate(chunk.hashes):
-        table[w, : len(part)] = part
+    lengths, table = chunk.padded()
     for size, (made, w, offset) in chunk.prefix.items():
         if not len(made):
             continue
@@ -133,7 +142,7 @@ def _matches(found: Words, chunk: Windows) -> tuple[np.ndarray, np.ndarray]:
             begin = word - offset[row]
             fits = (begin >= found.first[text]) & (begin + lengths[w[row]] <= found.first[text + 1])
             begin, window = begin[fits], w[row[fits]]
-            for k in range(widest):
+            for k in range(table.shape[1]):
                 same = (k >= lengths[window]) | (found.hash[np.minimum(begin + k, len(found.hash) - 1)] == table[window, k])
                 begin, window = begin[same], window[same]
             at.append(begin)
@@ -147,7 +156,7 @@ def _scan(docs: DataFrame, chunk: Windows, last: bool) -> DataFrame:
 
     def scan(batches):
         chunk = shared.value
-        for batch in chain.from_iterable(map(pieces, batches)):
+        for batch in chain.from_iterable(pieces(b, PIECE_BYTES) for b in batches):
             found = item_words(batch.column("text"))
             n = len(batch)
             covered = np.zeros(int(found.first[-1]) + 1, np.int64)
@@ -184,7 +193,7 @@ def _scan(docs: DataFrame, chunk: Windows, last: bool) -> DataFrame:
                 columns += [pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=PASS_FIELDS)
 
-    return docs.mapInArrow(trimmed(scan), SCHEMA if last else PASS)
+    return mapped(docs, scan, SCHEMA if last else PASS)
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -261,10 +270,10 @@ def _without(docs: DataFrame, chunk: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chunk)
 
     def choose(batches):
-        for batch in chain.from_iterable(map(pieces, batches)):
+        for batch in chain.from_iterable(pieces(b, PIECE_BYTES) for b in batches):
             found = item_words(batch.column("text"))
             hit = np.zeros(len(batch), bool)
             hit[np.searchsorted(found.first, _matches(found, shared.value)[0], "right") - 1] = True
             yield batch.filter(pa.array(~hit))
 
-    return docs.mapInArrow(trimmed(choose), docs.schema)
+    return mapped(docs, choose, docs.schema)

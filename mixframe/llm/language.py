@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mixframe.runtime import bounded_rows
 
-from .blocks import trimmed
+from .blocks import mapped
 from .text import mix, pieces, raw
 
 BUCKETS = 1 << 15
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, alpha: float = 0.5) -> Mo
             sums += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([sums.tobytes()], pa.binary())})
 
-    parts = chosen.mapInArrow(trimmed(count), "lang int, part int, counts binary").drop("part")
+    parts = mapped(chosen, count, "lang int, part int, counts binary").drop("part")
     counts = np.zeros((len(languages), BUCKETS), np.int64)
     for r in parts.groupBy("lang").applyInArrow(add, "lang int, counts binary").collect():
         counts[r["lang"]] = np.frombuffer(r["counts"], np.int64)
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, held_out: Column, train_rows: int = TRAIN_ROWS, al
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
-    return flagged.select("doc_id", "held_out", "text").mapInArrow(trimmed(predict), SCHEMA)
+    return mapped(flagged.select("doc_id", "held_out", "text"), predict, SCHEMA)
 
 
 def recognised(docs: DataFrame, least_score: float = 0.5, train_rows: int = TRAIN_ROWS, alpha: float = 0.5) -> DataFrame:
@@ -182,4 +182,4 @@ def recognised(docs: DataFrame, least_score: float = 0.5, train_rows: int = TRAI
                 keep = [name != "und" and x >= least_score for name, x in zip(names, score)]
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(trimmed(choose), docs.schema)
+    return mapped(docs, choose, docs.schema)

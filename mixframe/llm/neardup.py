@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import asked, bucket_count, from_bytes, packs, replied, staged, told, trimmed
+from .blocks import asked, bucket_count, from_bytes, mapped, packs, replied, staged, told
 from .text import U64, mix, pieces, spread, windows, words
 
 SHINGLE, SKETCHES, LENGTH = 5, 40, 6
@@ -40,7 +40,7 @@ BINS, FULL = 256, (1 << 16) - 1
 #: Groups are compared with this many hubs before pairs across components are formed.
 ROUNDS = 2
 #: Text of a block from which rows are picked.
-PICK_BYTES = 2 << 20
+PICK_BYTES = 1 << 20
 _SEEDS = spread(2 * (SKETCHES + SHORT_SKETCHES), 29).reshape(2, -1)
 SKETCH = "block bigint, row bigint, doc_id bigint, digest binary, n bigint, keys array<bigint>"
 SKETCH_FIELDS = pa.schema(
@@ -221,8 +221,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
         two = texts.select(F.col("row").alias("b"), F.col(column).alias(f"{column}_b"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
-    left = staged(with_texts(pairs, "bins").mapInArrow(trimmed(possible), "a bigint, b bigint"), "neardup-possible")
-    return with_texts(left, "blob").mapInArrow(trimmed(verify), "a bigint, b bigint")
+    left = staged(mapped(with_texts(pairs, "bins"), possible, "a bigint, b bigint"), "neardup-possible")
+    return mapped(with_texts(left, "blob"), verify, "a bigint, b bigint")
 
 
 def _prefixes(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -289,7 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classes(base: DataFrame, threshold: float) -> DataFrame:
     """``block``, ``row``, ``doc_id``, ``comp`` for every row of the packed ``base``."""
-    sketched = staged(base.select("block", "payload").mapInArrow(trimmed(_sketched), SKETCH), "neardup-sketches")
+    sketched = staged(mapped(base.select("block", "payload"), _sketched, SKETCH), "neardup-sketches")
     worded = sketched.where("digest IS NOT NULL")
     nodes = worded.groupBy("digest").agg(F.min(F.struct("row", "block")).alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = staged(nodes.select("digest", F.col("f.row").alias("node"), F.col("f.block").alias("block"), "n", "keys"), "neardup-nodes")

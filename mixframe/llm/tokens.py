@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import trimmed
+from .blocks import mapped
 from .text import byte_set, pieces, runs
 from .text import words as split_words
 
@@ -229,7 +229,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield shard()
 
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(trimmed(write), SHARDS).write.option("compression", "none").parquet(f"{folder}/shards")
+    mapped(ordered, write, SHARDS).write.option("compression", "none").parquet(f"{folder}/shards")
     spark = docs.sparkSession
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{folder}/dictionary")
 
@@ -266,7 +266,7 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=DOC_FIELDS)
 
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
-    found = shards.select("doc_ids", "shard", "part", "blob").mapInArrow(trimmed(read), DOCS)
+    found = mapped(shards.select("doc_ids", "shard", "part", "blob"), read, DOCS)
     # starts: running sums of the shards of a part, and of the parts
     sizes = shards.select("part", "shard", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
