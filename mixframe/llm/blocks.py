@@ -12,13 +12,15 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixframe.runtime import shared_folder
@@ -32,14 +34,37 @@ ROW_GROUP_BYTES = 16 << 20
 ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Folders that the open ``scratch`` of this thread is to remove.
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: what several
-    later steps read is computed once, and a lost executor costs no recompute."""
+    later steps read is computed once, and a lost executor costs no recompute.
+    Inside ``scratch`` the table goes when that ends, unless ``keep``."""
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not keep and (folders := _OPEN.get()) is not None:
+        folders.append(folder)
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables staged inside, all but those with ``keep``. What is
+    to outlast it must be kept, or read no other of them."""
+    folders: list[str] = []
+    before = _OPEN.set(folders)
+    try:
+        yield
+    finally:
+        _OPEN.reset(before)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def trimmed(use: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``use`` on the batches of a task. The Python worker outlives the task;
     it returns what was freed to the system, so that a long job of many

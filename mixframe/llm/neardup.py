@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import asked, bucket_count, from_bytes, mapped, packs, replied, staged, told
+from .blocks import asked, bucket_count, from_bytes, mapped, packs, replied, scratch, staged, told
 from .text import U64, mix, pieces, spread, windows, words
 
 SHINGLE, SKETCHES, LENGTH = 5, 40, 6
@@ -340,7 +340,8 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _judged(base: DataFrame, threshold: float) -> DataFrame:
-    placed = staged(_classes(base, threshold), "neardup-classes")
+    with scratch(base.sparkSession):
+        placed = staged(_classes(base, threshold), "neardup-classes", keep=True)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("f")
     lead = placed.groupBy("comp").agg(first, F.count("*").alias("class_size"))
     lead = lead.select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.row").alias("lead"), "class_size")
