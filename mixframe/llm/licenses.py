@@ -5,7 +5,11 @@ digits, single blanks) and looked up among known licence sentences. What is
 left of a text is a short sequence of sentence identifiers. Ordered rules are
 matched against it: a rule names identifiers that follow one another, other
 known sentences between them allowed; when it matches, they are used up, so
-that a longer rule (three clauses) comes before the shorter one it contains."""
+that a longer rule (three clauses) comes before the shorter one it contains.
+
+Where a sentence ends is not certain: a line break may be an end or a blank, and
+known sentences run across ``:`` and ``;``. So a text is cut in several ways,
+and the sequence holds what any of them finds, by where it begins."""
 
 from __future__ import annotations
 
@@ -31,6 +35,9 @@ SENTENCES = {
     "apache_header": "licensed under the apache license version 2.0 the license",
     "apache_use": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+    "apache_copy_at": "you may obtain a copy of the license at",
+    "apache_url": "http www.apache.org licenses license 2.0",
+    "apache_urls": "https www.apache.org licenses license 2.0",
     "apache_as_is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -73,6 +80,8 @@ RULES = (
     ("BSD-2-Clause", ("spdx_bsd2",)),
     ("BSD", ("bsd_licensed",)),
     ("Apache-2.0", ("apache_header", "apache_use", "apache_copy", "apache_as_is")),
+    ("Apache-2.0", ("apache_header", "apache_use", "apache_copy_at", "apache_url", "apache_as_is")),
+    ("Apache-2.0", ("apache_header", "apache_use", "apache_copy_at", "apache_urls", "apache_as_is")),
     ("Apache-2.0", ("apache_header",)),
     ("Apache-2.0", ("apache_name",)),
     ("Apache-2.0", ("spdx_apache",)),
@@ -95,9 +104,16 @@ RULES = (
     ("CC0-1.0", ("cc0_name",)),
     ("Unlicense", ("unlicense",)),
 )
-#: Ends of sentences. A line break is an end in one reading and a blank in the other.
-ENDS = (r"[.!?;:]+(?:\s+|$)|\n+", r"[.!?;:]+(?:\s+|$)")
+#: Marks, with and without those inside known sentences, and breaks that end a sentence:
+#: each line, lines without letters and digits, none.
+MARKS = (r"[.!?;:]+(?:\s+|$)", r"[.!?]+(?:\s+|$)")
+BREAKS = (r"|\n+", r"|\n[^\p{L}\p{N}]*\n", "")
+ENDS = tuple(m + b for m in MARKS for b in BREAKS)
 NOISE = r"[^\p{L}\p{N}.]+"
+#: Stands behind each end, so that positions outlast the cut.
+CUT = "\x01"
+#: Identifiers are single characters from here on while rules are matched.
+FIRST_CODE = 0xE000
 
 
 def triggers(sentences: dict[str, str]) -> list[str]:
@@ -116,20 +132,29 @@ def triggers(sentences: dict[str, str]) -> list[str]:
     return out
 
 
-def pattern(rule: tuple[str, ...]) -> str:
-    return " " + r" (?:\S+ )*?".join(rule) + " "
+def pattern(codes: str) -> str:
+    """The codes of a rule in order, anything between them."""
+    return "".join(f"{a}.*?" for a in codes[:-1]) + codes[-1]
 
 
-def identifiers(text: Column, ends: str, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order, each between blanks."""
-    known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
+def occurrences(text: Column, ends: str, sentences: dict[str, str]) -> Column:
+    """Known sentences of a text, in order: ``at`` (position of the first letter
+    or digit) and ``k`` (place in ``sentences``, from 1)."""
+    known = F.create_map(*[F.lit(x) for k, s in enumerate(sentences.values(), 1) for x in (s, k)])
 
     def normal(part: Column) -> Column:
         return F.trim(F.regexp_replace(F.rtrim(F.regexp_replace(F.lower(part), NOISE, " ")), r"[. ]+$", ""))
 
-    found = F.filter(F.transform(F.split(text, ends), lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
-    # two blanks between neighbours, so that each has its own on both sides
-    return F.when(F.size(found) > 0, F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))).otherwise("")
+    def step(state: Column, part: Column) -> Column:
+        after = state["pos"] + F.length(part["s"])
+        at = after - F.length(F.regexp_replace(part["s"], r"^[^\p{L}\p{N}]+", ""))
+        more = F.concat(state["found"], F.array(F.struct(at.alias("at"), part["k"].alias("k"))))
+        return F.struct(after.alias("pos"), F.when(part["k"].isNotNull(), more).otherwise(state["found"]).alias("found"))
+
+    cut = F.split(F.regexp_replace(F.translate(text, CUT, " "), ends, "$0" + CUT), CUT)
+    parts = F.transform(cut, lambda s: F.struct(s.alias("s"), F.try_element_at(known, normal(s)).alias("k")))
+    none = F.array().cast("array<struct<at:int,k:int>>")
+    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("found")), step, lambda state: state["found"])
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
@@ -138,11 +163,12 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     Returns per row ``doc_id``, ``n_sentences`` (known sentences found),
     ``sentence_ids`` (in order, blank between), ``licenses`` (those of the
     rules that match, each once, in rule order, joined by commas) and
-    ``license`` (the first of them, null if none). Sentences end at ``.!?;:``
-    before white space; a text is read once with line breaks as ends and, if
-    that finds fewer sentences, with line breaks as blanks. A null text counts
-    as empty; repeated rows stay; an empty table gives an empty result; other
-    columns are ignored.
+    ``license`` (the first of them, null if none). Sentences end at ``.!?`` and,
+    in one reading of two, ``:;`` before white space; each is done with line
+    breaks as ends, with empty lines as ends, and with both as blanks. A sentence
+    counts once, whichever readings find it. A null text counts as empty;
+    repeated rows stay; an empty table gives an empty result; other columns are
+    ignored.
     """
     sentences = SENTENCES if sentences is None else sentences
     some = F.lit(False)
@@ -150,23 +176,43 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     for word in triggers(sentences):
         some = some | low.contains(word)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    by_line, by_text = (identifiers(F.col("text"), e, sentences) for e in ENDS)
-    none = F.array(F.lit(""), F.lit(""))
-    both = rows.select("doc_id", F.when(some, F.array(by_line, by_text)).otherwise(none).alias("seen"))
-    size = "size(filter(split({}, ' '), x -> x != ''))"
-    longer = F.expr(f"CASE WHEN {size.format('seen[1]')} > {size.format('seen[0]')} THEN seen[1] ELSE seen[0] END")
-    state = both.select("doc_id", longer.alias("ids"))
-    left, names = F.col("ids"), []
-    for name, rule in rules:
-        names.append(F.when(left.rlike(pattern(rule)), F.lit(name)))
-        left = F.regexp_replace(left, pattern(rule), " ")
-    matched = F.array_distinct(F.array_compact(F.array(*names)))
-    found = F.when(F.col("ids") == "", F.array().cast("array<string>")).otherwise(matched)
-    out = state.select("doc_id", F.trim("ids").alias("sentence_ids"), found.alias("found"))
+    seen = F.array_sort(F.array_distinct(F.concat(*[occurrences(F.col("text"), e, sentences) for e in ENDS])))
+    places = F.transform(F.when(some, seen), lambda x: x["k"])
+    state = rows.select("doc_id", F.coalesce(places, F.array().cast("array<int>")).alias("ks"))
+
+    ids = F.array(*[F.lit(k) for k in sentences])
+    code = {k: chr(FIRST_CODE + i) for i, k in enumerate(sentences)}
+    codes = F.array(*[F.lit(c) for c in code.values()])
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(pattern("".join(code[k] for k in rule))).alias("pattern"),
+                F.lit("").alias("gaps"),
+            )
+            for i, (_, rule) in enumerate(rules)
+        ]
+    )
+
+    def apply(state: Column, rule: Column) -> Column:
+        left = F.regexp_replace(state["left"], rule["pattern"], rule["gaps"])
+        hit = left != state["left"]
+        return F.struct(
+            left.alias("left"),
+            F.when(hit, F.concat(state["hits"], F.array(rule["i"]))).otherwise(state["hits"]).alias("hits"),
+        )
+
+    coded = F.array_join(F.transform("ks", lambda k: F.element_at(codes, k)), "")
+    start = F.struct(coded.alias("left"), F.array().cast("array<int>").alias("hits"))
+    hits = F.aggregate(steps, start, apply, lambda state: state["hits"])
+    names = F.array(*[F.lit(name) for name, _ in rules])
+    matched = F.array_distinct(F.transform(hits, lambda i: F.element_at(names, i + 1)))
+    found = F.when(F.size("ks") == 0, F.array().cast("array<string>")).otherwise(matched)
+    out = state.select("doc_id", "ks", found.alias("found"))
     return out.select(
         "doc_id",
-        F.expr("size(filter(split(sentence_ids, ' '), x -> x != ''))").cast("bigint").alias("n_sentences"),
-        "sentence_ids",
+        F.size("ks").cast("bigint").alias("n_sentences"),
+        F.array_join(F.transform("ks", lambda k: F.element_at(ids, k)), " ").alias("sentence_ids"),
         F.array_join("found", ",").alias("licenses"),
         F.when(F.size("found") > 0, F.try_element_at("found", F.lit(1))).alias("license"),
     )

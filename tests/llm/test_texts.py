@@ -227,6 +227,72 @@ def test_every_rule_names_known_sentences_and_is_found(documents):
     assert got == {k: name for k, (name, _) in enumerate(RULES)}
 
 
+GPL = """# Copyright (C) 2024 A. N. Other
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+"""
+MIT = """MIT License
+
+Copyright (c) 2024 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_licences_in_their_original_wording(documents):
+    rows = [
+        (1, "// SPDX-License-Identifier: MIT\n#include <a.h>\n"),
+        (2, "#!/bin/sh\n# SPDX-License-Identifier: GPL-3.0-or-later\nset -e\n"),
+        (3, "/* SPDX-License-Identifier: Apache-2.0 */\nint x;\n"),
+        (4, "/* SPDX-License-Identifier: BSD-3-Clause */\r\nint x;\r\n"),
+        (5, GPL),
+        (6, APACHE),
+        (7, MIT),
+        (8, "# SPDX-License-Identifier:\n\nMIT is a university.\n"),
+    ]
+    got = {r.doc_id: r for r in scan_licenses(documents(rows)).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {
+        1: "MIT",
+        2: "GPL-3.0-or-later",
+        3: "Apache-2.0",
+        4: "BSD-3-Clause",
+        5: "GPL-3.0-or-later",
+        6: "Apache-2.0",
+        7: "MIT",
+        8: "",
+    }
+    assert got[5].sentence_ids == "gpl_free gpl_hope gpl_see"
+    assert got[6].sentence_ids == "apache_header apache_use apache_copy_at apache_url apache_as_is"
+
+
 def test_licences_in_odd_rows(odd, odd_rows, documents):
     assert scan_licenses(odd).count() == len(odd_rows)
     assert scan_licenses(documents([])).collect() == []
