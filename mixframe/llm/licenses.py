@@ -133,8 +133,9 @@ def triggers(sentences: dict[str, str]) -> list[str]:
 
 
 def pattern(codes: str) -> str:
-    """The codes of a rule in order, anything between them."""
-    return "".join(f"{a}.*?" for a in codes[:-1]) + codes[-1]
+    """The codes of a rule in order, the gaps between them as groups. A gap holds
+    no code like the one before it, so that matches are short."""
+    return "".join(f"{a}([^{a}]*?)" for a in codes[:-1]) + codes[-1]
 
 
 def occurrences(text: Column, ends: str, sentences: dict[str, str]) -> Column:
@@ -188,7 +189,7 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
             F.struct(
                 F.lit(i).alias("i"),
                 F.lit(pattern("".join(code[k] for k in rule))).alias("pattern"),
-                F.lit("").alias("gaps"),
+                F.lit("".join(f"${g}" for g in range(1, len(rule)))).alias("gaps"),
             )
             for i, (_, rule) in enumerate(rules)
         ]

@@ -293,6 +293,25 @@ def test_licences_in_their_original_wording(documents):
     assert got[6].sentence_ids == "apache_header apache_use apache_copy_at apache_url apache_as_is"
 
 
+def test_every_licence_of_a_long_text_is_found(documents):
+    trio = written("bsd_grant") + written("bsd_source") + written("bsd_binary")
+    wrapped = "Released under the\nApache something. Licensed under\nCC BY-NC 4.0. Licensed under\nCC BY 4.0.\n\n"
+    rows = [
+        (1, trio + "Licensed under the MIT License. " + trio + written("bsd_name")),
+        (2, wrapped + "Licensed under the MIT License\nint x\n"),
+        (3, trio.replace(". ", ".\n") + written("bsd_name").replace(" software ", "\nsoftware ")),
+        (4, (trio + "\n") * 3000 + "Licensed under CC0 1.0."),
+    ]
+    got = {r.doc_id: r for r in scan_licenses(documents(rows)).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {
+        1: "MIT,BSD-3-Clause,BSD-2-Clause",
+        2: "MIT,CC-BY-NC-4.0,CC-BY-4.0",
+        3: "BSD-3-Clause",
+        4: "BSD-2-Clause,CC0-1.0",
+    }
+    assert got[4].n_sentences == 9001
+
+
 def test_licences_in_odd_rows(odd, odd_rows, documents):
     assert scan_licenses(odd).count() == len(odd_rows)
     assert scan_licenses(documents([])).collect() == []
