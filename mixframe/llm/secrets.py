@@ -23,7 +23,7 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 WINDOW = 20
 #: Bits of entropy in a window of 20 from which on it counts, by character class.
 THRESHOLDS = {"hex": 3.0, "upper": 3.5, "mixed": 3.7}

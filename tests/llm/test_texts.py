@@ -165,6 +165,15 @@ def test_secret_spans(documents):
     assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
 
 
+def test_secrets_behind_an_equals_sign(documents):
+    random = "q7Xw9Lk2Pz4Rt8Vb3Nm6Hy1Jc5"
+    forms = ["PRIVATE={}", "https://h/?sig={}", "AWS_SECRET_ACCESS_KEY={}", "https://h/?a=1&sig={}&b=2", "x=={}", "key {}"]
+    got = {r.doc_id: r for r in scan_secrets(documents([(k, f.format(random)) for k, f in enumerate(forms)])).collect()}
+    for k, form in enumerate(forms):
+        start = form.index("{")
+        assert got[k].n_entropy == 1 and got[k].spans == f"entropy:{start}:{start + len(random)}"
+
+
 def test_sliding_entropy_equals_the_entropy_of_each_window():
     word, width, limit = "aab3Xq7Wz9Kt2aaaaaaPv5Lm8", 8, 2.5
 
