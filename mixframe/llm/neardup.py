@@ -4,7 +4,9 @@ A text is the sequence of its shingles of five words, each labelled with the
 number of its occurrence. For each of several hash functions the few smallest
 labelled shingles are taken and put back into text order; their ordered list is
 a sketch. Two texts get equal sketches only if they share these shingles in the
-same order, so sketches follow edit similarity (Order MinHash).
+same order, so sketches follow edit similarity (Order MinHash). A text with
+repeated shingles gets sketches of its first occurrences too: similarity counts
+distinct shingles, however often they are repeated.
 
 Texts with equal words are one node from the start. In a group of equal
 sketches every node is compared with one hub, drawn per group, which makes as
@@ -56,8 +58,9 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return windows(hashes, min(size, len(hashes))) if len(hashes) else hashes
 
 
-def labelled(found: np.ndarray) -> np.ndarray:
-    """Shingles marked with the number of their occurrence in the text."""
+def labelled(found: np.ndarray, firsts: bool = False) -> np.ndarray:
+    """Shingles marked with the number of their occurrence in the text; of each
+    only the first if asked."""
     order = np.argsort(found, kind="stable")
     ranked = found[order]
     new = np.ones(len(found), bool)
@@ -65,9 +68,19 @@ def labelled(found: np.ndarray) -> np.ndarray:
     begins = np.flatnonzero(new)
     occurrence = np.empty(len(found), U64)
     occurrence[order] = np.arange(len(found)) - np.repeat(begins, np.diff(np.append(begins, len(found))))
+    if firsts:
+        found, occurrence = found[occurrence == 0], occurrence[occurrence == 0]
     return mix(found.astype(U64) + occurrence * U64(0x9E3779B97F4A7C15))
 
 
+def all_sketches(found: np.ndarray) -> np.ndarray:
+    """Keys of a text, each once: by labelled shingles, and by distinct ones where
+    some repeat, as similarity does not ask how often they do. The labels of first
+    occurrences are the same in both, so texts with and without repeats meet."""
+    labels, first = labelled(found), labelled(found, firsts=True)
+    return sketches(labels) if len(first) == len(labels) else np.unique(np.concatenate([sketches(labels), sketches(first)]))
+
+
 def sketches(labels: np.ndarray) -> np.ndarray:
     """Keys of the ordered minima of a text."""
     n, out = len(labels), []
@@ -128,7 +141,7 @@ def _sketched(batches):
                 digests.append(hashlib.blake2b(plain, digest_size=16).digest())
                 made = shingles(own)
                 sizes.append(len(np.unique(made)))
-                keys.append(sketches(labelled(made)).view(np.int64))
+                keys.append(all_sketches(made).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             columns = [part.column(c) for c in ("block", "row", "id")] + [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
@@ -362,8 +375,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     rows are in one class, one of them kept. An empty table gives an empty
     result; other columns are ignored.
 
-    At a similarity of 0.8 a pair shares one of the 40 sketches with a
-    probability above 0.99999. Verification compares 32-bit shingle hashes.
+    At a similarity of 0.8 a pair whose first occurrences are in the same order
+    shares one of the 40 sketches of them with a probability above 0.99999, however
+    often each repeats. Verification compares 32-bit shingle hashes.
     """
     return _judged(_base(docs.select("doc_id", "text")), threshold).drop("block", "row")
 

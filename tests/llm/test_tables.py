@@ -82,6 +82,23 @@ def test_near_duplicates_equal_all_pairs(documents):
     assert [r.doc_id for r in got if r.kept] and sum(r.kept for r in got) == len(classes)
 
 
+def test_texts_that_repeat_lines_more_or_less_often(documents):
+    """Equal distinct shingles, or nearly so, and other counts of them."""
+    rows = []
+    for family in range(8):
+        body, line = prose(100 + family, 60), prose(200 + family, 9)
+        for times in (2, 20, 200):
+            w = [*body, *(line * times)]
+            w[family % 3 * 10] = f"e{family}-{times}" if family % 2 else w[family % 3 * 10]
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, "x " * 500), (101, "x " * 5000), (102, "y " * 7), (103, "y " * 70)]
+    classes = {}
+    for r in near_duplicates(documents(rows, extra=True)).collect():
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(c) for c in classes.values()) == plain_classes(rows)
+    assert len(classes) < len(rows) / 2
+
+
 def test_a_chain_of_copies_is_one_class(documents):
     """Neighbours are similar, ends are not; one group of many copies besides."""
     base, rows = prose(1, 100), []
