@@ -42,7 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def all_dims(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """A name for every component of the embeddings."""
+    width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    return tuple(f"x{k}" for k in range(width or 0))
+
+
 def embeddings(spark: SparkSession, sf_dir: str, n_dims: int = 2) -> DataFrame:
+    """The first ``n_dims`` components as points; ``len(all_dims(..))`` is all of them."""
     parts = [F.col("embedding")[k] for k in range(n_dims)]
     source = table(spark, sf_dir, "embeddings")
     return as_points(source, parts, F.col("label").cast("bigint"), "vec_id")

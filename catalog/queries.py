@@ -386,20 +386,26 @@ def component_ellipse(spark, sf):
     return rounded(mf.component_ellipse(comps), "x", "y", "width", "height", "angle")
 
 
+def _whole_embeddings(spark, sf) -> tuple[tuple[str, ...], DataFrame]:
+    """All components of the embeddings: their names and the scaled points."""
+    dims = src.all_dims(spark, sf)
+    return dims, mf.minmax_scale(src.embeddings(spark, sf, len(dims)), dims)
+
+
 def gmm_fit_predict(spark, sf):
-    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    model = mf.fit_mixture(pts, src.DIMS, k=3, seed=7)
-    return mf.predict_mixture(model, pts, src.DIMS).groupBy("prediction").agg(
+    dims, pts = _whole_embeddings(spark, sf)
+    model = mf.fit_mixture(pts, dims, k=3, seed=7)
+    return mf.predict_mixture(model, pts, dims).groupBy("prediction").agg(
         F.count("*").alias("n")
     )
 
 
 def em_fit_predict(spark, sf):
     """EM from k-means, all steps as passes over the points."""
-    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    start = mf.kmeans_start(pts, src.DIMS, src.START_K, src.START_SEED)
-    comps = mf.em_fit(pts, start, src.DIMS)
-    return mf.em_predict(pts, comps, src.DIMS, ["point_id"])
+    dims, pts = _whole_embeddings(spark, sf)
+    start = mf.kmeans_start(pts, dims, src.START_K, src.START_SEED)
+    comps = mf.em_fit(pts, start, dims)
+    return mf.em_predict(pts, comps, dims, ["point_id"])
 
 
 QUERIES: dict[str, Query] = {
