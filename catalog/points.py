@@ -17,6 +17,7 @@ FITNESS_CFG = EvolveConfig(dims=DIMS, pop_size=40, seed=7)
 FARTHEST_CFG = EvolveConfig(dims=("x0", "x1", "x2", "x3"), pop_size=8, init="farthest", seed=5)
 SEARCH_CFG = EvolveConfig(dims=DIMS, pop_size=12, generations=1, seed=3)
 SEQUENTIAL_CFG = EvolveConfig.sequential(dims=DIMS, generations=2, seed=13)
+REPLICATES, REPLICATES_CFG = 20, EvolveConfig(dims=DIMS, seed=11)
 START_K, START_SEED = 3, 7
 SAMPLE_FRACTION = 0.05
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import mixframe as mf
-from mixframe.plans.experiments import SCORES
+from mixframe.plans.experiments import SCORES, long_scores
 from mixframe.runtime import cut_model, shared_folder
 
 from . import points as src
@@ -334,9 +334,24 @@ def snapshot_roundtrip(spark, sf):
 
 
 def replicates(spark, sf):
-    """Evolution and EM, three runs each."""
+    """Evolution by the default settings and EM, twenty runs each."""
     pts = src.scaled_events(spark, sf)
-    return mf.replicates(pts, CFG.with_(generations=1), n=3, k=len(src.EVENT_TYPES))
+    return mf.replicates(pts, src.REPLICATES_CFG, n=src.REPLICATES, k=len(src.EVENT_TYPES))
+
+
+def replicate_means(spark, sf):
+    return rounded(mf.mean_scores(replicates(spark, sf)), *SCORES, digits=8)
+
+
+def replicate_summary(spark, sf):
+    stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    return rounded(mf.describe_scores(replicates(spark, sf)), *stats, digits=8)
+
+
+def replicate_comparison(spark, sf):
+    """Every score of every run of both algorithms, in ascending order."""
+    long = long_scores(replicates(spark, sf), ["run_id", "algorithm"])
+    return mf.sorted_results(rounded(long, "value", digits=8), "value")
 
 
 # --- mixtures ---------------------------------------------------------------------------
@@ -455,6 +470,9 @@ QUERIES: dict[str, Query] = {
     "best_deltas": best_deltas,
     "snapshot_roundtrip": snapshot_roundtrip,
     "replicates": replicates,
+    "replicate_means": replicate_means,
+    "replicate_summary": replicate_summary,
+    "replicate_comparison": replicate_comparison,
     "kmeans_start": kmeans_start,
     "gmm_step": gmm_step,
     "component_ellipse": component_ellipse,

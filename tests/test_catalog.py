@@ -26,3 +26,21 @@ def test_mixtures_read_every_component(spark, late_groups, monkeypatch):
     assert len(found) == 150 and len(groups) == len({p for _, p in groups}) == 3
     assert sum(r.n for r in QUERIES["gmm_fit_predict"](spark, late_groups).collect()) == 150
     assert [len(dims) for dims in asked] == [12]
+
+
+@pytest.fixture
+def few_events(spark, tmp_path):
+    kinds = "array('click', 'error', 'purchase', 'signup', 'view')"
+    table = spark.range(200).selectExpr(
+        "id AS event_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id * 7) AS ts",
+        f"{kinds}[id % 5] AS event_type",
+        "id % 5 * 10D + pmod(hash(id), 100) / 50D AS value",
+    )
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_summaries_are_those_of_twenty_runs_of_both_algorithms(spark, few_events):
+    found = QUERIES["replicate_summary"](spark, few_events).collect()
+    assert {(r.algorithm, r.n) for r in found} == {("evolution", 20), ("em", 20)}
