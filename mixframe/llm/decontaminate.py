@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mapped, staged
-from .text import BY_NON_WORD, U64, Words, pieces, window_starts, windows, words
+from .text import BY_NON_WORD, U64, Words, pieces, same_spans, window_starts, windows, words
 
 CHUNK_BYTES = 16 << 20
 SLICE = 1 << 18
@@ -51,15 +51,19 @@ class Windows:
 
     def __init__(self, ids: list[str], texts, window: int, shingle: int):
         found = item_words(texts)
-        spans: dict[bytes, tuple[np.ndarray, set[str]]] = {}
+        spans: dict[bytes, tuple[int, int, set[str]]] = {}
+        raw, cuts = found.data.tobytes(), list(zip(found.start.tolist(), found.end.tolist()))
+        spelt = [raw[i:j] for i, j in cuts]
         for d, item in enumerate(ids):
-            own = found.hash[found.first[d] : found.first[d + 1]]
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                part = own[at : at + size]
-                spans.setdefault(part.tobytes(), (part, set()))[1].add(item)
-        self.hashes = [part for part, _ in spans.values()]
-        self.items = [sorted(items) for _, items in spans.values()]
+            lo, hi = int(found.first[d]), int(found.first[d + 1])
+            size = min(window, hi - lo)
+            for at in range(lo, hi - size + 1 if size else lo):
+                spans.setdefault(b" ".join(spelt[at : at + size]), (at, size, set()))[2].add(item)
+        #: words of the windows, by which occurrences are confirmed, and where in them each window starts
+        self.data, self.word_start, self.word_end = found.data, found.start, found.end
+        self.word = np.array([at for at, _, _ in spans.values()], np.int64)
+        self.hashes = [found.hash[at : at + size] for at, size, _ in spans.values()]
+        self.items = [sorted(items) for _, _, items in spans.values()]
         #: per shingle size: (shingle, window, offset) of every shingle of every window
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -145,6 +149,12 @@ def _matches(found: Words, chunk: Windows) -> tuple[np.ndarray, np.ndarray]:
             for k in range(table.shape[1]):
                 same = (k >= lengths[window]) | (found.hash[np.minimum(begin + k, len(found.hash) - 1)] == table[window, k])
                 begin, window = begin[same], window[same]
+            for k in range(table.shape[1]):  # equal hashes are not proof enough
+                here = np.flatnonzero(k < lengths[window])
+                a, b = begin[here] + k, chunk.word[window[here]] + k
+                same = np.ones(len(window), bool)
+                same[here] = same_spans(found.data, found.start[a], found.end[a], chunk.data, chunk.word_start[b], chunk.word_end[b])
+                begin, window = begin[same], window[same]
             at.append(begin)
             which.append(window)
             done = upto
@@ -243,9 +253,6 @@ def _chunks(docs: DataFrame, items: DataFrame, window: int, shingle: int, chunk_
 
     def chunk(k: int) -> Windows:
         part = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == k)
-        size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if n_chunks > 1 else total
-        if size > 4 * chunk_bytes:
-            raise ValueError("an item is longer than a chunk; raise chunk_bytes")
         chosen = part.collect()
         texts = pa.array([r["text"] for r in chosen], pa.string())
         made = Windows([r["item_id"] for r in chosen], texts, window, shingle)

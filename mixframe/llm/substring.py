@@ -174,7 +174,8 @@ def _last(live: DataFrame, buckets: int, size: int, keep_text: bool) -> DataFram
         text = words(table.column("text"))
         starts = _starts(table, text.first, size)
         empty = np.zeros(0, U64)
-        a, b = (windows(text.hash, size, k)[starts] if len(starts) else empty for k in (0, 1))
+        hashes = (text.hash, text.second_hash()) if len(starts) else ()
+        a, b = (windows(x, size, k)[starts] for k, x in enumerate(hashes)) if hashes else (empty, empty)
         ids = table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy()
         row = np.searchsorted(text.first, starts, "right") - 1
         order = np.lexsort((starts, row, ids[row], b, a))

@@ -4,6 +4,7 @@ bytes of an Arrow column, so that no Python string is made per word."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +43,52 @@ def spread(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-BYTES = spread(256, 11)
-LOWER_BYTES = BYTES.copy()
-LOWER_BYTES[0x41:0x5B] = BYTES[0x61:0x7B]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of ``data`` on as one number, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes. Eight bytes at a time are mixed in by a
+    one-to-one step that no arithmetic of the bytes undoes; ``which`` 0 and 1
+    are two independent hashes."""
+    length, parts = end - start, lanes(data)
+    out = mix(length.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(_SEEDS[which]))
+    some = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+    for k in range(0, LONG_WORD, 8):
+        some = some[length[some] > k]
+        if not len(some):
+            break
+        lane = parts[start[some] + k] & _FIRST_BYTES[np.minimum(length[some] - k, 8)]
+        out[some] = mix(out[some] ^ lane)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        made = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(made[8 * which : 8 * which + 8], "little")
+    return out
+
+
+def same_spans(a: np.ndarray, a_start, a_end, b: np.ndarray, b_start, b_end) -> np.ndarray:
+    """Whether spans of ``a`` and spans of ``b`` hold the same bytes, pair by pair."""
+    length = a_end - a_start
+    same = length == b_end - b_start
+    left, right, k = lanes(a), lanes(b), 0
+    some = np.flatnonzero(same & (length > 0))
+    while len(some):
+        mask = _FIRST_BYTES[np.minimum(length[some] - k, 8)]
+        equal = ((left[a_start[some] + k] ^ right[b_start[some] + k]) & mask) == 0
+        same[some[~equal]] = False
+        k += 8
+        some = some[equal & (length[some] > k)]
+    return same
 
 
 class Powers:
@@ -65,7 +109,6 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_OF_BYTES = Powers(0xD1342543DE82EF95)
 _OF_WORDS = (Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB))
 
 
@@ -90,7 +133,8 @@ def _range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers
 class Words:
     """Words of the texts of a column. Those of text ``d`` are numbered
     ``first[d]`` to ``first[d + 1] - 1``; ``start`` and ``end`` count bytes of
-    ``data``, in which text ``d`` is ``data[offset[d]:offset[d + 1]]``."""
+    ``data``, in which text ``d`` is ``data[offset[d]:offset[d + 1]]``; where
+    words were cut with ``lower``, ``data`` has small letters too."""
 
     data: np.ndarray
     offset: np.ndarray
@@ -99,6 +143,10 @@ class Words:
     first: np.ndarray
     hash: np.ndarray
 
+    def second_hash(self) -> np.ndarray:
+        """Another hash of each word, independent of ``hash``."""
+        return span_hashes(self.data, self.start, self.end, 1)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -131,14 +179,47 @@ def words(column, separators: np.ndarray = BY_SPACE, lower: bool = False) -> Wor
     starts[edges] |= inside[edges]
     ends[edges - 1] |= inside[edges - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashes = _range_sums((LOWER_BYTES if lower else BYTES)[data], start, end, _OF_BYTES)
-    hashes = mix(hashes + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return Words(data, offset, start, end, np.searchsorted(start, offset), hashes)
+    if lower:
+        data = LOWER[data]
+    return Words(data, offset, start, end, np.searchsorted(start, offset), span_hashes(data, start, end))
+
+
+class Vocabulary:
+    """Distinct terms, found again by hash and then byte by byte."""
+
+    def __init__(self, terms: list[bytes]):
+        self.data = np.frombuffer(b"".join(terms), np.uint8)
+        ends = np.cumsum([len(t) for t in terms], dtype=np.int64)
+        self.start, self.end = ends - np.array([len(t) for t in terms], np.int64), ends
+        hashes = span_hashes(self.data, self.start, self.end)
+        self.order = np.argsort(hashes, kind="stable")
+        self.keys = hashes[self.order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def numbers(self, found: Words) -> np.ndarray:
+        """The number of each word's term, -1 where it is none of them."""
+        out = np.full(len(found.hash), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at = np.searchsorted(self.keys, found.hash)
+        words_ = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == found.hash)
+        at = at[words_]
+        while len(words_):  # once, unless terms share a hash
+            term = self.order[at]
+            same = same_spans(found.data, found.start[words_], found.end[words_], self.data, self.start[term], self.end[term])
+            out[words_[same]] = term[same]
+            words_, at = words_[~same], at[~same] + 1
+            more = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found.hash[words_])
+            words_, at = words_[more], at[more]
+        return out
 
 
 def windows(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """A hash for every run of ``size`` values; run ``i`` starts at value ``i``.
-    ``which`` 0 and 1 are two independent hashes."""
+    ``which`` 0 and 1 are two independent hashes, as independent as the values
+    they are given."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, U64)

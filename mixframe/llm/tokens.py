@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import mapped
-from .text import byte_set, pieces, runs
+from .text import byte_set, pieces, runs, same_spans
 from .text import words as split_words
 
 MAGIC = b"TIDS"
@@ -52,7 +52,8 @@ class Encoder:
     once, many to a call (a token that begins with a blank then begins a word),
     and remembered; the texts are put together from them. Texts that hold an
     added token, or a blank beside other white space, are encoded as a whole.
-    Words of a batch are told apart by 64-bit hashes."""
+    A word is looked up by its hash and compared byte by byte; a text with one
+    that differs from the word remembered under its hash is encoded as a whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,6 +71,7 @@ class Encoder:
         """Remembered words, ascending by hash: where their ids begin and how many there are."""
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.kind)
+        self.bytes, self.spelt = np.zeros(0, np.uint8), np.zeros((2, 0), np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -96,6 +98,11 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(size) - size)
         self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, size)
+        spelt = [w.encode() for w in words]
+        ends = len(self.bytes) + np.cumsum([len(w) for w in spelt], dtype=np.int64)
+        span = np.array([ends - np.array([len(w) for w in spelt], np.int64), ends])
+        self.spelt = np.insert(self.spelt, at, span, axis=1)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(spelt), np.uint8)])
         self.ids = np.concatenate(made)
 
     def encode(self, texts) -> list[bytes]:
@@ -114,13 +121,15 @@ class Encoder:
         self._learn(keys[new], [raw[i:j].decode() for i, j in spans])
         known = np.searchsorted(self.keys, keys)
         sizes, begin = self.size[known].astype(np.int64), self.begin[known]
+        spelt = self.spelt[:, known[inverse]]
+        right = same_spans(found.data, found.start, found.end, self.bytes, *spelt)
 
         # texts that may be cut: single blanks between plain words, none at the ends
         some = np.flatnonzero(np.diff(first))
         single = np.ones(len(found.start), bool)
         single[1:] = found.start[1:] == found.end[:-1] + 1
         single[first[some]] = found.start[first[some]] == found.offset[some]
-        good = single & (sizes[inverse] > 0)
+        good = single & right & (sizes[inverse] > 0)
         cut = np.zeros(n, bool)
         cut[some] = np.logical_and.reduceat(good, first[some]) & (found.end[first[some + 1] - 1] == found.offset[some + 1]) if len(some) else False
         # the first word of each such text, and the other texts, as they stand

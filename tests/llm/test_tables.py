@@ -415,3 +415,26 @@ def test_pipeline_of_odd_rows(spark, documents, odd_rows):
     for _, stage in corpus_pipeline.STAGES:
         before = stage(spark, before, SMALL)
     assert before.count() > 0
+
+
+# words that share a polynomial hash
+
+
+def test_encoder_and_decontamination_go_by_bytes(documents, spark):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    plain = Tokenizer.from_file(PATH)
+    texts = [f"the {x} and the {x}", f"the {y} and", f"{x} {y} {x}", y]
+    got = Encoder(PATH).encode(pa.array(texts))
+    assert [np.frombuffer(b, "<u2").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = Encoder(PATH)
+    encoder.encode(pa.array(["one two three"]))
+    encoder.bytes = encoder.bytes.copy()
+    encoder.bytes[:] = ord("q")  # as if other words had these hashes
+    again = encoder.encode(pa.array(["one two three"]))
+    assert np.frombuffer(again[0], "<u2").tolist() == plain.encode("one two three", add_special_tokens=False).ids
+    one, other = (" ".join(f"{w}{k}" for k in range(12)) for w in (x, y))
+    items = spark.createDataFrame([(1, one)], "item_id int, text string")
+    found = contaminated(documents([(1, other), (2, f"so {one} it is")]), items).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in found} == {1: (0, 0), 2: (12, 1)}

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from mixframe.llm.licenses import RULES, SENTENCES, scan_licenses
 from mixframe.llm.lm import score_texts
 from mixframe.llm.secrets import entropy_windows, scan_secrets
 from mixframe.llm.substring import remove_repeats
-from mixframe.llm.text import BY_NON_WORD, window_starts, windows, words
+from mixframe.llm.text import BY_NON_WORD, Vocabulary, same_spans, window_starts, windows, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -324,3 +325,35 @@ def test_every_licence_of_a_long_text_is_found(documents):
 def test_licences_in_odd_rows(odd, odd_rows, documents):
     assert scan_licenses(odd).count() == len(odd_rows)
     assert scan_licenses(documents([])).collect() == []
+
+
+# words that differ but share a polynomial hash
+
+
+def thue_morse(n, a, b):
+    """Two words of 2**n letters whose polynomials agree modulo 2**64 for every odd base, for n of 10 or more."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_are_told_apart_by_their_bytes(documents):
+    x, y = thue_morse(10, "a", "b")
+    pair = words(pa.array([f"{x} {y}"]))
+    assert pair.hash[0] != pair.hash[1] and pair.second_hash()[0] != pair.second_hash()[1]
+    one, other = (" ".join(f"{w}{k}" for k in range(26)) for w in (x, y))
+    got = remove_repeats(documents([(1, one), (2, other), (3, one)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 26}
+
+
+def test_long_words_and_vocabularies():
+    texts = ["z" * k for k in (1, 7, 8, 9, 63, 64, 65, 500)] + ["z" * 500 + "y", "é" * 40, ""]
+    found = words(pa.array(texts))
+    assert len(set(found.hash.tolist())) == len(texts) - 1
+    known = Vocabulary([t.encode() for t in texts[1:5]])
+    assert known.numbers(found).tolist() == [-1, 0, 1, 2, 3, -1, -1, -1, -1, -1]
+    assert Vocabulary([]).numbers(found).tolist() == [-1] * 10
+    a, b = np.frombuffer(b"abcdefghijk", np.uint8), np.frombuffer(b"xabcdefghijKabc", np.uint8)
+    spans = np.array([0, 0, 3]), np.array([11, 10, 3]), b, np.array([1, 1, 0]), np.array([12, 11, 0])
+    assert same_spans(a, *spans).tolist() == [False, True, True]
