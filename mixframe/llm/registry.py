@@ -16,6 +16,7 @@ from .lm import score_texts
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import judge_quality
+from .ranking import ranked
 from .secrets import scan_secrets
 from .substring import remove_repeats
 from .tokens import new_folder, token_index, write_tokens
@@ -75,6 +76,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), items).drop("items")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,9 +93,32 @@ QUERIES = {
         op8_language_id,
         op9_quality_rules,
         op10_decontamination,
+        op11_ranked_search,
     )
 }
 
 
+#: Terms of ``documents`` (``d``, ``n`` by row) and of ``benchmark`` (``i``), and the sums over them.
+RANKED_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+d AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(regexp_extract_all({lower}, '{term}')) AS term FROM docs) GROUP BY r, term),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM d GROUP BY r),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+q AS (SELECT DISTINCT i, unnest(regexp_extract_all({lower}, '{term}')) AS term FROM items),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM d, whole GROUP BY term, docs),
+m AS (SELECT r, 10 + (90 * n * docs) // length AS m FROM n, whole),
+s AS (SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN d USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM s JOIN docs USING (r) JOIN items USING (i) WHERE score > 0)
+WHERE rank <= 10
+""".format(
+    lower="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
+    term=r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+",
+)
+
+
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op11_ranked_search": RANKED_SQL}
