@@ -15,6 +15,7 @@ from .licenses import scan_licenses
 from .lm import score_texts
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .quality import judge_quality
 from .ranking import ranked
 from .secrets import scan_secrets
@@ -80,6 +81,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES = {
         op9_quality_rules,
         op10_decontamination,
         op11_ranked_search,
+        op12_hard_negatives,
     )
 }
 
@@ -120,5 +126,25 @@ WHERE rank <= 10
 )
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.r, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) AS place FROM s WHERE same)
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.r ORDER BY s.score DESC, s.vec_id, s.r)::INTEGER AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+WHERE rank <= 3
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op11_ranked_search": RANKED_SQL}
+    return {"op11_ranked_search": RANKED_SQL, "op12_hard_negatives": NEGATIVES_SQL}
