@@ -21,6 +21,7 @@ from .ranking import ranked
 from .secrets import scan_secrets
 from .substring import remove_repeats
 from .tokens import new_folder, token_index, write_tokens
+from .toxicity import toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -85,6 +86,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +107,7 @@ QUERIES = {
         op10_decontamination,
         op11_ranked_search,
         op12_hard_negatives,
+        op13_toxicity,
     )
 }
 
