@@ -199,7 +199,7 @@ class Tree:
                 lo, hi = self.lo[node], self.hi[node]
                 a, b = self.at[lo], self.at[hi]
                 np.maximum.at(self.most[node], self.term[a:b], self.tf[a:b])
-                self.least[node] = self.m[lo:hi].min()
+                self.least[node] = self.m[lo:hi].min(initial=LAST)
         # postings of a leaf by term
         self.by_term: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
