@@ -611,51 +611,172 @@ def _gmm_step() -> str:
     )
 
 
-def _kmeans_start(runs: int = 2, turns: int = 5) -> str:
+# Points as lists, for any number of dimensions.
+GAP = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+WIDE_POINTS = "SELECT vec_id AS point_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
+
+
+def wide(source: str = WIDE_POINTS):
+    """``pts``: points with the list ``x`` min-max scaled; ``long``: one row per
+    coordinate."""
+
+    def step(chain: Chain):
+        chain.add("raw", source)
+        chain.add("raw_long", "SELECT point_id, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM raw")
+        chain.add(
+            "ends",
+            "SELECT list(low ORDER BY k) AS low, list(reach ORDER BY k) AS reach, count(*) AS d FROM "
+            "(SELECT k, min(v) AS low, max(v) - min(v) AS reach FROM raw_long GROUP BY k)",
+        )
+        chain.add(
+            "pts",
+            "SELECT point_id, list_transform(list_zip(x, low, reach), lambda z: (z[1] - z[2]) / z[3]) AS x FROM raw, ends",
+        )
+        chain.add("long", "SELECT point_id, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM pts")
+        chain.add("size", "SELECT CAST(count(*) AS DOUBLE) AS n FROM pts")
+
+    return step
+
+
+def moments(near: str, name: str, whole: bool):
+    """Means of hard clusters ``run_id, comp, point_id`` and, if ``whole``, their
+    weights and covariances."""
+
+    def step(chain: Chain):
+        chain.add(
+            f"{name}_cols",
+            "SELECT run_id, comp, k, avg(v) AS m, list(v ORDER BY point_id) AS col "
+            f"FROM {near} JOIN long USING (point_id) GROUP BY run_id, comp, k",
+        )
+        if not whole:
+            chain.add(name, f"SELECT run_id, comp, list(m ORDER BY k) AS mean FROM {name}_cols GROUP BY run_id, comp")
+            return
+        reg = num(1e-6)
+        chain.add(
+            f"{name}_off",
+            f"SELECT run_id, comp, k, m, list_transform(col, lambda v: v - m) AS off FROM {name}_cols",
+        )
+        chain.add(
+            f"{name}_cov",
+            "SELECT a.run_id, a.comp, a.k AS i, any_value(a.m) AS m, any_value(len(a.off)) AS n, "
+            f"list(list_dot_product(a.off, b.off) / len(a.off) + CASE WHEN a.k = b.k THEN {reg} ELSE 0 END ORDER BY b.k) AS line "
+            f"FROM {name}_off a JOIN {name}_off b USING (run_id, comp) GROUP BY a.run_id, a.comp, a.k",
+        )
+        chain.add(
+            name,
+            "SELECT run_id, comp, any_value(c.n) / any_value(s.n) AS w, list(m ORDER BY i) AS mean, "
+            f"list(line ORDER BY i) AS cov FROM {name}_cov c, size s GROUP BY run_id, comp",
+        )
+
+    return step
+
+
+def started(runs: int, k: int, seed: int, turns: int = 5, name: str = "start"):
     """Centres by a weighted race, then rounds of nearest centre and mean."""
-    chain = Chain(scaled(embeddings(2)))
-    gap = "(p.x0 - c.m0) * (p.x0 - c.m0) + (p.x1 - c.m1) * (p.x1 - c.m1)"
-    for run in range(runs):
-        names: list[str] = []
-        for turn in range(src.START_K):
-            name = f"seed{run}_{turn}"
-            time = f"-ln(1 - {u(src.START_SEED, run, turn, chr(39) + 'seed' + chr(39), 'point_id')})"
-            if names:
-                chosen = " UNION ALL ".join(f"SELECT m0, m1 FROM {n}" for n in names)
+
+    def step(chain: Chain):
+        for run in range(runs):
+            names: list[str] = []
+            for turn in range(k):
+                at = f"seed{run}_{turn}"
+                time = f"-ln(1 - {u(seed, run, turn, chr(39) + 'seed' + chr(39), 'point_id')})"
+                source = "pts"
+                if names:
+                    chosen = " UNION ALL ".join(f"SELECT mean FROM {n}" for n in names)
+                    chain.add(
+                        f"{at}_gap",
+                        f"SELECT point_id, any_value(x) AS x, min({GAP.format(a='x', b='mean')}) AS gap "
+                        f"FROM pts, ({chosen}) GROUP BY point_id",
+                    )
+                    source, time = f"{at}_gap WHERE gap > 0", f"{time} / gap"
                 chain.add(
-                    f"{name}_gap",
-                    f"SELECT point_id, x0, x1, min({gap}) AS gap FROM pts p, ({chosen}) c GROUP BY point_id, x0, x1",
+                    at,
+                    f"SELECT CAST({run} AS BIGINT) AS run_id, CAST({turn} AS BIGINT) AS comp, x AS mean "
+                    f"FROM {source} ORDER BY {time}, point_id LIMIT 1",
                 )
-                source, time = f"{name}_gap WHERE gap > 0", f"{time} / gap"
-            else:
-                source = "pts"
+                names.append(at)
+        chain.add(
+            "turn0",
+            " UNION ALL ".join(f"SELECT * FROM seed{run}_{turn}" for run in range(runs) for turn in range(k)),
+        )
+        for turn in range(1, turns + 1):
             chain.add(
-                name,
-                f"SELECT {run} AS run_id, {turn} AS comp, x0 AS m0, x1 AS m1 FROM {source} "
-                f"ORDER BY {time}, point_id LIMIT 1",
+                f"near{turn}",
+                f"SELECT run_id, point_id, arg_min(comp, {{gap: {GAP.format(a='x', b='mean')}, comp: comp}}) AS comp "
+                f"FROM pts, turn{turn - 1} GROUP BY run_id, point_id",
             )
-            names.append(name)
-        chain.add(f"run{run}", " UNION ".join(f"SELECT * FROM {n}" for n in names))
-    chain.add("turn0", " UNION ".join(f"SELECT * FROM run{run}" for run in range(runs)))
-    reg = num(1e-6)
-    for turn in range(1, turns + 1):
-        chain.add(
-            f"near{turn}",
-            f"SELECT c.run_id, p.x0, p.x1, arg_min(c.comp, {{gap: {gap}, comp: c.comp}}) AS comp "
-            f"FROM pts p, turn{turn - 1} c GROUP BY c.run_id, p.point_id, p.x0, p.x1",
+            moments(f"near{turn}", f"turn{turn}" if turn < turns else name, turn == turns)(chain)
+
+    return step
+
+
+def fitted(start: str, max_iter: int = 100, tol: float = 1e-3, name: str = "comps"):
+    """EM of every run from ``start`` until its mean log-likelihood grows by less
+    than ``tol``, as a recursive fold; a run that has ended is not taken up again."""
+
+    def step(chain: Chain):
+        # Gauss-Jordan sweep of all pivots: the inverse, and the pivots as a last row.
+        sweep = (
+            "list_reduce(range(1, len(mean) + 1), lambda m, j: list_transform(m, lambda r, i: CASE "
+            "WHEN i > len(m) - 1 THEN list_append(r, m[j][j]) "
+            "WHEN i = j THEN list_transform(r, lambda v, q: CASE WHEN q = j THEN 1 / m[j][j] ELSE v / m[j][j] END) "
+            "ELSE list_transform(list_zip(r, m[j]), lambda z, q: CASE WHEN q = j THEN -r[j] / m[j][j] "
+            "ELSE z[1] - r[j] * z[2] / m[j][j] END) END), list_append(cov, CAST([] AS DOUBLE[])))"
         )
+        reg = num(1e-6)
         chain.add(
-            f"turn{turn}",
-            "SELECT run_id, comp, count(*) / CAST(any_value(n) AS DOUBLE) AS w, avg(x0) AS m0, avg(x1) AS m1, "
-            f"var_pop(x0) + {reg} AS v00, covar_pop(x0, x1) AS v01, var_pop(x1) + {reg} AS v11 "
-            f"FROM near{turn}, pts_ext GROUP BY run_id, comp",
+            f"{name}_fold",
+            f"SELECT run_id, comp, 0 AS turn, w, mean, cov, CAST(NULL AS DOUBLE) AS ll, false AS done FROM {start} UNION ALL ("
+            f"WITH shaped AS (SELECT *, {sweep} AS m FROM {name}_fold WHERE NOT done), "
+            "dens AS (SELECT run_id, comp, turn, point_id, mean, ll AS last, "
+            "list_transform(list_zip(x, mean), lambda z: z[1] - z[2]) AS off, "
+            "ln(w) - 0.5 * len(mean) * ln(2 * pi()) - 0.5 * list_sum(list_transform(m[-1], lambda p: ln(p))) "
+            "- 0.5 * list_dot_product(off, list_transform(m[:-2], lambda r: list_dot_product(r, off))) AS q "
+            "FROM pts, shaped), "
+            "tops AS (SELECT *, max(q) OVER (PARTITION BY run_id, point_id) AS top FROM dens), "
+            "resp AS (SELECT *, top + ln(sum(exp(q - top)) OVER (PARTITION BY run_id, point_id)) AS lp FROM tops), "
+            "lls AS (SELECT run_id, avg(lp) AS now FROM resp WHERE comp = 0 GROUP BY run_id), "
+            "cols AS (SELECT run_id, comp, k, any_value(turn) AS turn, any_value(last) AS last, any_value(mean) AS mean, "
+            "sum(exp(q - lp)) AS mass, list(exp(q - lp) ORDER BY point_id) AS g, list(o ORDER BY point_id) AS o FROM ("
+            "SELECT run_id, comp, point_id, turn, last, mean, q, lp, unnest(off) AS o, unnest(range(1, len(off) + 1)) AS k FROM resp) "
+            "GROUP BY run_id, comp, k), "
+            "moved AS (SELECT *, list_dot_product(g, o) / mass AS move, "
+            "list_transform(list_zip(g, o), lambda z: z[1] * z[2]) AS go FROM cols), "
+            "lines AS (SELECT a.run_id, a.comp, a.k AS i, any_value(a.turn) AS turn, any_value(a.last) AS last, any_value(a.mass) AS mass, "
+            "any_value(a.mean[a.k] + a.move) AS m, list(list_dot_product(a.go, b.o) / a.mass - a.move * b.move "
+            f"+ CASE WHEN a.k = b.k THEN {reg} ELSE 0 END ORDER BY b.k) AS line "
+            "FROM moved a JOIN moved b USING (run_id, comp) GROUP BY a.run_id, a.comp, a.k) "
+            "SELECT run_id, comp, any_value(turn) + 1, any_value(mass) / any_value(n), list(m ORDER BY i), list(line ORDER BY i), "
+            f"any_value(now), coalesce(abs(any_value(now) - any_value(last)) < {num(tol)}, false) OR any_value(turn) + 1 >= {max_iter} "
+            "FROM lines JOIN lls USING (run_id), size GROUP BY run_id, comp)",
+        )
+        chain.add(name, f"SELECT run_id, comp, w, mean, {sweep} AS m FROM {name}_fold WHERE done")
+        chain.add(
+            f"{name}_labels",
+            "SELECT run_id, point_id, arg_max(comp, {q: q, first: -comp}) AS prediction FROM ("
+            "SELECT run_id, comp, point_id, list_transform(list_zip(x, mean), lambda z: z[1] - z[2]) AS off, "
+            "ln(w) - 0.5 * list_sum(list_transform(m[-1], lambda p: ln(p))) "
+            "- 0.5 * list_dot_product(off, list_transform(m[:-2], lambda r: list_dot_product(r, off))) AS q "
+            f"FROM pts, {name}) GROUP BY run_id, point_id",
         )
+
+    return step
+
+
+def _kmeans_start(runs: int = 2) -> str:
+    """Means and the ends of the covariances of the starting components."""
+    chain = Chain(wide(), started(runs, src.START_K, src.START_SEED))
     return chain.select(
-        f"SELECT CAST(run_id AS BIGINT) AS run_id, CAST(comp AS BIGINT) AS comp, {r('w', 'weight')}, "
-        f"{rounds(['m0', 'm1', 'v00', 'v01', 'v11'])} FROM turn{turns}"
+        f"SELECT run_id, comp, {r('w', 'weight')}, {r('list_sum(mean)', 'mean_sum')}, {r('mean[-1]', 'last_mean')}, "
+        f"{r('list_sum(list_transform(cov, lambda c: list_sum(c)))', 'cov_sum')}, {r('cov[-1][1]', 'corner')} FROM start"
     )
 
 
+def _em_fit_predict() -> str:
+    chain = Chain(wide(), started(1, src.START_K, src.START_SEED), fitted("start"))
+    return chain.select("SELECT point_id, run_id, prediction FROM comps_labels")
+
+
 def _ellipse() -> str:
     chain = _mixture().add(
         "axes",
@@ -749,6 +870,7 @@ def oracle() -> dict[str, str]:
         ).select(f"SELECT run_id, id, {r('fitness / n', 'fitness')} FROM res, pts_ext"),
         "gmm_step": _gmm_step(),
         "kmeans_start": _kmeans_start(),
+        "em_fit_predict": _em_fit_predict(),
         "component_ellipse": _ellipse(),
         "leaders": led_chain.select(f"SELECT run_id, rep_id, label, {rounds(BODY)} FROM reps"),
         "close_pairs": led_chain.select(

@@ -391,9 +391,16 @@ def gmm_step(spark, sf):
 
 
 def kmeans_start(spark, sf):
-    """Starting components of two runs."""
-    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    return _flat(mf.kmeans_start(pts, src.DIMS, src.START_K, src.START_SEED, runs=2))
+    """Starting components of two runs on all components of the embeddings: of
+    the mean its sum and last entry, of the covariance its sum and a corner."""
+    dims, pts = _whole_embeddings(spark, sf)
+    comps = mf.kmeans_start(pts, dims, src.START_K, src.START_SEED, runs=2)
+    total = "aggregate({}, 0D, (s, v) -> s + v)"
+    flat = comps.selectExpr(
+        "run_id", "comp", "weight", f"{total.format('mean')} AS mean_sum", "element_at(mean, -1) AS last_mean",
+        f"{total.format('flatten(cov)')} AS cov_sum", "element_at(cov, -1)[0] AS corner",
+    )
+    return rounded(flat, "weight", "mean_sum", "last_mean", "cov_sum", "corner")
 
 
 def component_ellipse(spark, sf):
@@ -418,8 +425,9 @@ def gmm_fit_predict(spark, sf):
 def em_fit_predict(spark, sf):
     """EM from k-means, all steps as passes over the points."""
     dims, pts = _whole_embeddings(spark, sf)
-    start = mf.kmeans_start(pts, dims, src.START_K, src.START_SEED)
-    comps = mf.em_fit(pts, start, dims)
+    with mf.held(pts, ["point_id", *dims]) as held:
+        start = mf.kmeans_start(held, dims, src.START_K, src.START_SEED)
+        comps = mf.em_fit(held, start, dims)
     return mf.em_predict(pts, comps, dims, ["point_id"])
 
 

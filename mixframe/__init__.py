@@ -5,4 +5,4 @@ from .config import EvolveConfig
 from .operators import *  # noqa: F403
 from .plans import *  # noqa: F403
 from .sources import *  # noqa: F403
-from .runtime import spread_out
+from .runtime import held, spread_out

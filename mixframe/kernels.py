@@ -30,6 +30,28 @@ def _columns(batch: pa.RecordBatch, names) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
+def _coordinates(batch: pa.RecordBatch, dims):
+    """Lists of coordinate columns: those of the batch, or of each block in it."""
+    if "block" not in batch.schema.names:
+        yield _columns(batch, dims)
+        return
+    for blob in batch.column("block"):
+        yield list(np.frombuffer(blob.as_buffer(), np.float64).reshape(len(dims), -1))
+
+
+def pack(dims) -> Callable[[Batches], Batches]:
+    """Blocks of coordinates, dimension after dimension: a pass that reads a
+    block has its columns without a conversion per row."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                block = np.stack(_columns(batch, dims)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+
+    return run
+
+
 def _steps(columns: list[np.ndarray]):
     for start in range(0, len(columns[0]), STEP):
         yield [c[start : start + STEP] for c in columns]
@@ -53,8 +75,8 @@ def kernel_sums(dims, centres: np.ndarray, spreads: np.ndarray) -> Callable[[Bat
 
     def run(batches: Batches) -> Batches:
         totals = np.zeros(len(centres))
-        for batch in batches:
-            for xs in _steps(_columns(batch, dims)):
+        for columns in (c for batch in batches for c in _coordinates(batch, dims)):
+            for xs in _steps(columns):
                 exponent, part = np.empty(len(xs[0])), np.empty(len(xs[0]))
                 for j in range(len(centres)):
                     exponent.fill(log_norms[j])
@@ -170,20 +192,72 @@ def merge_farthest(dims, m: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _responsibilities(xs, weights, means, factors):
-    """Posterior of every component per point, and the points' log-likelihood."""
-    d = len(xs)
+def add_arrays(batches: Batches) -> Batches:
+    """Rows ``key, sums`` of one partition, the arrays added by key."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for key, values in zip(batch.column("key").to_pylist(), batch.column("sums")):
+            values = values.values.to_numpy()
+            totals[key] = totals[key] + values if key in totals else values
+    yield from key_arrays(totals)
+
+
+def key_arrays(totals: dict[int, np.ndarray]) -> Batches:
+    """Rows ``key, sums``."""
+    if totals:
+        sums = pa.array([v.ravel() for v in totals.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), sums], names=["key", "sums"])
+
+
+def _rows(batch: pa.RecordBatch, dims, size: int = STEP):
+    """The coordinates of a batch, some points at a time, one row per point."""
+    for columns in _coordinates(batch, dims):
+        for start in range(0, len(columns[0]), size):
+            yield np.column_stack([c[start : start + size] for c in columns])
+
+
+def coordinate_ranges(dims) -> Callable[[Batches], Batches]:
+    """Per partition one row, key 0: the number of points, then per dimension
+    how many values are no finite numbers, and the least and the greatest of
+    the others. Wide tables need no generated code this way."""
+
+    def run(batches: Batches) -> Batches:
+        n, bad = 0, np.zeros(len(dims))
+        low, high = np.full(len(dims), np.inf), np.full(len(dims), -np.inf)
+        for batch in batches:
+            for x in _rows(batch, dims):
+                good = np.isfinite(x)
+                n, bad = n + len(x), bad + (~good).sum(axis=0)
+                low = np.minimum(low, np.where(good, x, np.inf).min(axis=0))
+                high = np.maximum(high, np.where(good, x, -np.inf).max(axis=0))
+        yield from key_arrays({0: np.concatenate([[n], bad, low, high])})
+
+    return run
+
+
+def merge_ranges(batches: Batches) -> Batches:
+    """Rows of ``coordinate_ranges`` that share a partition, as one."""
+    rows = [v.values.to_numpy() for batch in batches for v in batch.column("sums")]
+    if rows:
+        yield from key_arrays({0: joined_ranges(rows)})
+
+
+def joined_ranges(rows: list) -> np.ndarray:
+    table = np.array(rows)
+    d = (table.shape[1] - 1) // 3
+    ends = 1 + d, 1 + 2 * d
+    return np.concatenate([table[:, : ends[0]].sum(axis=0), table[:, ends[0] : ends[1]].min(axis=0), table[:, ends[1] :].max(axis=0)])
+
+
+def _responsibilities(x: np.ndarray, weights, means, factors):
+    """Posterior of every component per point, and the points' log-likelihood.
+    ``factors`` are the inverses of the Cholesky factors."""
+    d = x.shape[1]
     logs = []
-    for w, mean, low in zip(weights, means, factors):
-        solved, total = [], 0.0
-        for i in range(d):
-            value = xs[i] - mean[i]
-            for j in range(i):
-                value = value - low[i, j] * solved[j]
-            solved.append(value / low[i, i])
-            total = total + solved[i] * solved[i]
-        scale = np.log(w) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diag(low)).sum()
-        logs.append(scale - 0.5 * total)
+    for w, mean, inverse in zip(weights, means, factors):
+        solved = (x - mean) @ inverse.T
+        scale = np.log(w) - 0.5 * d * np.log(2 * np.pi) + np.log(np.diag(inverse)).sum()
+        logs.append(scale - 0.5 * (solved * solved).sum(axis=1))
     logs = np.stack(logs)
     top = logs.max(axis=0)
     shares = np.exp(logs - top)
@@ -193,46 +267,68 @@ def _responsibilities(xs, weights, means, factors):
 
 
 def em_sums(dims, mixtures, hard=False) -> Callable[[Batches], Batches]:
-    """Per partition, mixture and component, the weighted sums an EM step needs,
-    as ``(run_id, comp, stat, value)``: stat 0 the responsibilities, then the
-    offsets from the old mean, then their products by row; under component -1
-    the log-likelihood. With ``hard`` each point belongs to its most probable
-    component alone, as in k-means.
+    """Per partition and mixture (its place in the list) one array of the sums
+    an EM step needs: the log-likelihood, then for every component the
+    responsibilities, the weighted offsets from the old mean and their products.
+    With ``hard`` each point belongs to its most probable component alone, as in
+    k-means.
 
-    ``mixtures`` is a list of ``(run_id, weights, means, Cholesky factors)``.
+    ``mixtures`` is a list of ``(run_id, weights, means, inverse Cholesky factors)``.
     """
     d = len(dims)
+    # one step's arrays stay within a few MB however wide the points are
+    size = max(256, STEP * 4 // max(d, 4))
 
     def run(batches: Batches) -> Batches:
         sums = [np.zeros((len(m[1]), 1 + d + d * d)) for m in mixtures]
         logs = [0.0] * len(mixtures)
         for batch in batches:
-            for xs in _steps(_columns(batch, dims)):
+            for x in _rows(batch, dims, size):
                 for at, (_, weights, means, factors) in enumerate(mixtures):
-                    shares, ll = _responsibilities(xs, weights, means, factors)
+                    shares, ll = _responsibilities(x, weights, means, factors)
                     logs[at] += ll.sum()
                     if hard:
                         shares = (np.arange(len(shares))[:, None] == shares.argmax(axis=0)) * 1.0
-                    for c, r in enumerate(shares):
-                        off = [x - mean for x, mean in zip(xs, means[c])]
-                        row = sums[at][c]
+                    for row, r, mean in zip(sums[at], shares, means):
+                        off = x - mean
+                        weighted = off * r[:, None]
                         row[0] += r.sum()
-                        for i in range(d):
-                            weighted = r * off[i]
-                            row[1 + i] += weighted.sum()
-                            for j in range(d):
-                                row[1 + d + i * d + j] += (weighted * off[j]).sum()
-        for at, (run_id, weights, *_) in enumerate(mixtures):
-            k, width = sums[at].shape
-            columns = [
-                np.full(k * width + 1, run_id, "int64"),
-                np.append(np.repeat(np.arange(k), width), -1),
-                np.append(np.tile(np.arange(width), k), 0),
-                np.append(sums[at].ravel(), logs[at]),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["run_id", "comp", "stat", "value"]
-            )
+                        row[1 : 1 + d] += weighted.sum(axis=0)
+                        row[1 + d :] += (weighted.T @ off).ravel()
+        yield from key_arrays({at: np.append(logs[at], sums[at].ravel()) for at in range(len(mixtures))})
+
+    return run
+
+
+def seed_races(dims, chosen, draws) -> Callable[[Batches], Batches]:
+    """Per partition and run the point that wins the race for the next centre,
+    as ``(run_id, time, point_id, at)``: the time is exponential with the squared
+    distance from the nearest of ``chosen[run]`` as rate; ``draws`` names the
+    columns of uniform numbers. Centres do not take part."""
+
+    def run(batches: Batches) -> Batches:
+        best: list[tuple | None] = [None] * len(chosen)
+        for batch in batches:
+            ids, uniform = batch.column("point_id").to_numpy(zero_copy_only=False), _columns(batch, draws)
+            x = np.column_stack(_columns(batch, dims))
+            for at, (centres, u) in enumerate(zip(chosen, uniform)):
+                gap = np.ones(len(x))
+                for k, c in enumerate(centres):
+                    moved = ((x - c) ** 2).sum(axis=1)
+                    gap = moved if k == 0 else np.minimum(gap, moved)
+                some = np.flatnonzero(gap > 0)
+                if not len(some):
+                    continue
+                time = -np.log(1 - u[some]) / gap[some]
+                first = some[np.lexsort((ids[some], time))[0]]
+                found = (float(time[np.searchsorted(some, first)]), int(ids[first]), x[first].tolist())
+                if best[at] is None or found[:2] < best[at][:2]:
+                    best[at] = found
+        rows = [(at, *b) for at, b in enumerate(best) if b is not None]
+        if rows:
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["run_id", "time", "point_id", "at"])
 
     return run
 
@@ -243,14 +339,13 @@ def em_labels(dims, mixtures, keep) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            carried = [batch.column(k) for k in keep]
-            columns = _columns(batch, dims)
-            for start in range(0, batch.num_rows, STEP):
-                xs = [c[start : start + STEP] for c in columns]
-                rows = [c.slice(start, STEP) for c in carried]
+            start = 0
+            for x in _rows(batch, dims):
+                rows = [batch.column(k).slice(start, len(x)) for k in keep]
+                start += len(x)
                 for run_id, weights, means, factors in mixtures:
-                    shares, _ = _responsibilities(xs, weights, means, factors)
-                    found = [np.full(len(xs[0]), run_id, "int64"), shares.argmax(axis=0)]
+                    shares, _ = _responsibilities(x, weights, means, factors)
+                    found = [np.full(len(x), run_id, "int64"), shares.argmax(axis=0)]
                     yield pa.RecordBatch.from_arrays(
                         [*rows, *map(pa.array, found)], names=[*keep, "run_id", "prediction"]
                     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_MODEL_ROWS, EvolveConfig
 from ..runtime import bounded_rows, model_table
-from . import kernels
+from .. import kernels
 from .fitness import model_arrays
 
 # Rows of the final-number table up to which it is broadcast.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EvolveConfig
 from ..functions import scaled_sq_distance
 from ..runtime import bounded_rows, model_table
-from . import kernels
+from .. import kernels
 
 
 def model_arrays(rows: Sequence[Row], n_dims: int) -> tuple[np.ndarray, np.ndarray]:

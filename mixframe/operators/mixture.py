@@ -2,7 +2,7 @@
 
 ``fit_mixture`` is Spark ML's estimator. ``gmm_step`` is one EM iteration on a
 table of components, and ``em_fit`` repeats it for any number of runs at once:
-every iteration is one pass over the points for all of them.
+every iteration is one pass over the points, held in memory, for all of them.
 
 Components are ``run_id, comp, weight, mean array<double>, cov array<array<double>>``.
 """
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from ..runtime import bounded_rows, model_table
-from . import kernels
+from ..runtime import bounded_rows, held, held_blocks, model_table
+from .. import kernels
+from .partials import task_sums
 
 COMPONENT_SCHEMA = (
     "run_id bigint, comp bigint, weight double, mean array<double>, cov array<array<double>>"
@@ -64,39 +65,43 @@ def mixture_components(model: GaussianMixtureModel, run_id: int = 0) -> DataFram
 
 
 def _mixtures(comps: DataFrame) -> list[tuple]:
-    """Collected components as ``(run_id, weights, means, Cholesky factors)``."""
+    """Collected components as ``(run_id, weights, means, inverse Cholesky factors)``."""
     rows = sorted(bounded_rows(comps), key=lambda r: (r.run_id, r.comp))
     found = []
     for run_id, group in groupby(rows, key=lambda r: r.run_id):
         group = list(group)
-        factors = [np.linalg.cholesky(np.array(r["cov"], dtype=float)) for r in group]
+        factors = [_inverse_factor(r["cov"]) for r in group]
         means = [np.array(r["mean"], dtype=float) for r in group]
         found.append((run_id, [r.weight for r in group], means, factors))
     return found
 
 
+def _inverse_factor(cov) -> np.ndarray:
+    return np.linalg.inv(np.linalg.cholesky(np.array(cov, dtype=float)))
+
+
 def _step(
-    points: DataFrame, mixtures: list[tuple], dims: Sequence[str], reg: float, hard: bool = False
+    points: DataFrame,
+    mixtures: list[tuple],
+    dims: Sequence[str],
+    reg: float,
+    hard: bool = False,
+    tasks: int | None = None,
 ):
     """Component rows after one EM step, and the mean log-likelihood per run.
-    The collected sums are 1 + d + d * d numbers per component."""
+    A task sends one array of 1 + k (1 + d + d * d) numbers per run."""
     d = len(dims)
     kernel = kernels.em_sums(list(dims), mixtures, hard)
-    partial = points.select(*dims).mapInArrow(
-        kernel, "run_id bigint, comp bigint, stat bigint, value double"
-    )
-    total = partial.groupBy("run_id", "comp", "stat").agg(F.sum("value").alias("value")).collect()
-    sums = {(r.run_id, r.comp, r.stat): r.value for r in total}
+    if points.columns != ["block"]:
+        points = points.select(*dims)
+    sums = task_sums(points.mapInArrow(kernel, "key bigint, sums array<double>"), tasks)
     rows, logs = [], {}
-    for run_id, weights, means, _ in mixtures:
-        table = np.array(
-            [
-                [sums.get((run_id, c, s), 0.0) for s in range(1 + d + d * d)]
-                for c in range(len(weights))
-            ]
-        )
+    for at, (run_id, weights, means, _) in enumerate(mixtures):
+        width = len(weights) * (1 + d + d * d)
+        whole = sums.get(at, np.zeros(1 + width))
+        table = whole[1:].reshape(len(weights), -1)
         n = table[:, 0].sum()
-        logs[run_id] = sums.get((run_id, -1, 0), 0.0) / n
+        logs[run_id] = whole[0] / n
         for c, row in enumerate(table):
             mass = row[0] + 10 * np.finfo(float).eps
             move = row[1 : 1 + d] / mass
@@ -122,26 +127,21 @@ def seed_centres(
     probability proportional to the squared distance from the centres so far.
 
     The draw is a race: the point with the smallest exponential time at rate
-    distance wins, so each centre of all runs takes one aggregate.
+    distance wins, so each centre of all runs takes one pass. A run that has no
+    other points left repeats its first centre.
     """
-    here = f"struct({', '.join(dims)})"
     chosen: list[list[list[float]]] = [[] for _ in range(runs)]
+    draws = [f"u{run}" for run in range(runs)]
     for turn in range(k):
-        races = []
-        for run, centres in enumerate(chosen):
-            u = uniform(seed, run, turn, "'seed'", "point_id")
-            gaps = [
-                " + ".join(f"({d} - {v!r}D) * ({d} - {v!r}D)" for d, v in zip(dims, c))
-                for c in centres
-            ]
-            gap = "1D" if not gaps else gaps[0] if len(gaps) == 1 else f"least({', '.join(gaps)})"
-            # A null time keeps points that are centres already out of the race.
-            time = f"-ln(1D - {u}) / nullif({gap}, 0D)"
-            winner = f"min_by({here}, if({gap} > 0, struct({time} AS t, point_id), NULL))"
-            races.append(F.expr(winner).alias(f"w{run}"))
-        for run, won in enumerate(points.agg(*races).first()):
-            found = chosen[run][0] if won is None else [float(v) for v in won]
-            chosen[run].append(found)
+        drawn = points.selectExpr(
+            "point_id", *dims, *[f"{uniform(seed, run, turn, chr(39) + 'seed' + chr(39), 'point_id')} AS u{run}" for run in range(runs)]
+        )
+        kernel = kernels.seed_races(list(dims), [np.array(c) for c in chosen], draws)
+        raced = drawn.mapInArrow(kernel, "run_id bigint, time double, point_id bigint, at array<double>")
+        won = raced.groupBy("run_id").agg(F.min(F.struct("time", "point_id", "at")).alias("best")).collect()
+        centres = {r.run_id: list(r.best["at"]) for r in won}
+        for run in range(runs):
+            chosen[run].append(centres[run] if run in centres else chosen[run][0])
     return chosen
 
 
@@ -158,14 +158,15 @@ def kmeans_start(
     runs share the passes. Points need ``point_id``."""
     d = len(dims)
     unit = [np.eye(d)] * k
-    centres = seed_centres(points, dims, k, seed, runs)
     rows: list[tuple] = []
-    for _ in range(turns):
-        mixtures = [
-            (run, [1 / k] * k, [np.array(c) for c in at], unit) for run, at in enumerate(centres)
-        ]
-        rows, _ = _step(points, mixtures, dims, reg, hard=True)
-        centres = [[r[3] for r in rows if r[0] == run] for run in range(runs)]
+    with held(points, ["point_id", *dims]) as narrow, held_blocks(narrow, dims) as (blocks, tasks):
+        centres = seed_centres(narrow, dims, k, seed, runs)
+        for _ in range(turns):
+            mixtures = [
+                (run, [1 / k] * k, [np.array(c) for c in at], unit) for run, at in enumerate(centres)
+            ]
+            rows, _ = _step(blocks, mixtures, dims, reg, True, tasks)
+            centres = [[r[3] for r in rows if r[0] == run] for run in range(runs)]
     return model_table(points.sparkSession, rows, COMPONENT_SCHEMA)
 
 
@@ -182,20 +183,21 @@ def em_fit(
     active = {m[0]: m for m in _mixtures(start)}
     last = dict.fromkeys(active, -np.inf)
     done: dict[int, list] = {}
-    for turn in range(1, max_iter + 1):
-        rows, logs = _step(points, list(active.values()), dims, reg)
-        for run_id in list(active):
-            mine = [r for r in rows if r[0] == run_id]
-            if abs(logs[run_id] - last[run_id]) < tol or turn == max_iter:
-                done[run_id] = mine
-                del active[run_id]
-                continue
-            last[run_id] = logs[run_id]
-            factors = [np.linalg.cholesky(np.array(r[4])) for r in mine]
-            means = [np.array(r[3]) for r in mine]
-            active[run_id] = (run_id, [r[2] for r in mine], means, factors)
-        if not active:
-            break
+    with held_blocks(points, dims) as (blocks, tasks):
+        for turn in range(1, max_iter + 1):
+            rows, logs = _step(blocks, list(active.values()), dims, reg, tasks=tasks)
+            for run_id in list(active):
+                mine = [r for r in rows if r[0] == run_id]
+                if abs(logs[run_id] - last[run_id]) < tol or turn == max_iter:
+                    done[run_id] = mine
+                    del active[run_id]
+                    continue
+                last[run_id] = logs[run_id]
+                factors = [_inverse_factor(r[4]) for r in mine]
+                means = [np.array(r[3]) for r in mine]
+                active[run_id] = (run_id, [r[2] for r in mine], means, factors)
+            if not active:
+                break
     final = [row for run_id in sorted(done) for row in done[run_id]]
     return model_table(points.sparkSession, final, COMPONENT_SCHEMA)
 

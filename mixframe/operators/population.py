@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import EvolveConfig
 from ..functions import digest, hash_below, uniform
 from ..runtime import bounded_rows, model_table
-from . import kernels
+from .. import kernels
 from .scaling import domain
 
 # Farthest points fetched per pass; each pass then yields as many centres as

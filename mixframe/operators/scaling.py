@@ -6,9 +6,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .. import kernels
+from .partials import task_arrays
+
+#: Dimensions from which the ranges are taken in a kernel: generated code for so
+#: many aggregates takes longer to compile than to run.
+WIDE = 12
+
 
 def bounds(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     """One row: ``n`` and ``min_``/``max_`` of every dimension."""
@@ -18,7 +26,7 @@ def bounds(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("n"), *extremes)
 
 
-def _only_numbers(row: Row, dims: Sequence[str]) -> None:
+def _only_numbers(row: Row | dict, dims: Sequence[str]) -> None:
     """Refuse coordinates that are null, NaN or infinite, with their number."""
     bad = {d: row[f"bad_{d}"] for d in dims if row[f"bad_{d}"]}
     if bad:
@@ -30,7 +38,9 @@ def _bad(dims: Sequence[str]) -> list[Column]:
     return [F.count_if(~ok).alias(f"bad_{d}") for d, ok in zip(dims, finite)]
 
 
-def _bounds_row(points: DataFrame, dims: Sequence[str]) -> Row:
+def _bounds_row(points: DataFrame, dims: Sequence[str]) -> Row | dict:
+    if len(dims) >= WIDE:
+        return _wide_bounds(points, dims)
     extremes = [
         f(d).alias(f"{name}_{d}") for d in dims for name, f in (("min", F.min), ("max", F.max))
     ]
@@ -39,7 +49,21 @@ def _bounds_row(points: DataFrame, dims: Sequence[str]) -> Row:
     return row
 
 
-def domain(points: DataFrame, dims: Sequence[str]) -> Row:
+def _wide_bounds(points: DataFrame, dims: Sequence[str]) -> dict:
+    found = points.select(*dims).mapInArrow(kernels.coordinate_ranges(list(dims)), "key bigint, sums array<double>")
+    rows = [values for _, values in task_arrays(found, kernels.merge_ranges)]
+    d = len(dims)
+    whole = kernels.joined_ranges(rows) if rows else np.concatenate([np.zeros(1 + d), np.full(2 * d, np.nan)])
+    bad, low, high = whole[1 : 1 + d], whole[1 + d : 1 + 2 * d], whole[1 + 2 * d :]
+    out: dict = {"n": int(whole[0])}
+    for k, name in enumerate(dims):
+        ends = (float(low[k]), float(high[k])) if np.isfinite(low[k]) else (None, None)
+        out |= {f"bad_{name}": int(bad[k]), f"min_{name}": ends[0], f"max_{name}": ends[1]}
+    _only_numbers(out, dims)
+    return out
+
+
+def domain(points: DataFrame, dims: Sequence[str]) -> Row | dict:
     """The bounds, checked: all coordinates are finite numbers, and every
     dimension spans more than one value."""
     row = _bounds_row(points, dims)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..config import EvolveConfig
@@ -13,23 +11,13 @@ from ..operators.fitness import fitness
 from ..operators.matching import select
 from ..operators.population import init_population, vary
 from ..operators.scaling import domain
-from ..runtime import cut_model, spread_out
+from ..runtime import cut_model, held
 
 
-@contextmanager
 def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = ("point_id",)):
     """The dimensions and ``keep`` only, spread over the cluster and, if so
     configured, kept while the block runs: every generation reads them."""
-    wanted = list(dict.fromkeys([*keep, *cfg.dims]))
-    narrow = spread_out(points.select(*wanted), cfg.partitions)
-    if not cfg.persist_points:
-        yield narrow
-        return
-    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield narrow
-    finally:
-        narrow.unpersist()
+    return held(points, [*keep, *cfg.dims], cfg.partitions, cfg.persist_points)
 
 
 def generation(pop: DataFrame, points: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:

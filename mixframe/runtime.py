@@ -6,13 +6,17 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .config import MAX_MODEL_ROWS
+from .kernels import pack
 
 
 def bounded_rows(df: DataFrame, limit: int = MAX_MODEL_ROWS) -> list[Row]:
@@ -68,3 +72,40 @@ def spread_out(df: DataFrame, partitions: int | None = None) -> DataFrame:
         cores = df.sparkSession.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
     return df.repartition(partitions)
+
+
+@contextmanager
+def held(points: DataFrame, columns: Sequence[str], partitions: int | None = None, persist: bool = True):
+    """``columns`` of the points, spread over the cluster and kept while the
+    block runs. A table that is kept already is taken as it is."""
+    if points.is_cached:
+        yield points
+        return
+    narrow = spread_out(points.select(*dict.fromkeys(columns)), partitions)
+    if not persist:
+        yield narrow
+        return
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield narrow
+    finally:
+        narrow.unpersist()
+
+
+#: Coordinates a task of a loop should have at least: below it another task costs more than it saves.
+TASK_BYTES = 1 << 20
+
+
+@contextmanager
+def held_blocks(points: DataFrame, dims: Sequence[str]):
+    """The coordinates of the points in blocks, kept while the block runs, for
+    loops that read nothing else of them; and in how many tasks they are read.
+    Small tables are read in few."""
+    made = points.select(*dims).mapInArrow(pack(list(dims)), "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        size = made.agg(F.sum(F.octet_length("block"))).first()[0] or 0
+        parts = made.rdd.getNumPartitions()
+        tasks = max(1, min(parts, size // TASK_BYTES))
+        yield (made.coalesce(tasks) if tasks < parts else made), tasks
+    finally:
+        made.unpersist()
