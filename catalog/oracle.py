@@ -763,6 +763,69 @@ def fitted(start: str, max_iter: int = 100, tol: float = 1e-3, name: str = "comp
     return step
 
 
+def flat_em(runs: int, k: int, seed: int, turns: int = 5, max_iter: int = 100, tol: float = 1e-3, name: str = "em"):
+    """The same in two dimensions with plain columns, all runs at once:
+    ``{name}`` has the label each run gives each point of ``pts``."""
+    gap = "(p.x0 - c.m0) * (p.x0 - c.m0) + (p.x1 - c.m1) * (p.x1 - c.m1)"
+    reg = num(1e-6)
+
+    def step(chain: Chain):
+        chain.add(f"{name}_runs", f"SELECT CAST(i AS BIGINT) AS run_id FROM range({runs}) t(i)")
+        seeds: list[str] = []
+        for turn in range(k):
+            time = f"-ln(1 - {u(seed, 'run_id', turn, chr(39) + 'seed' + chr(39), 'point_id')})"
+            source = f"SELECT run_id, point_id, x0, x1, 1 AS gap FROM pts, {name}_runs"
+            if seeds:
+                chosen = " UNION ALL ".join(f"SELECT * FROM {s}" for s in seeds)
+                source = (
+                    f"SELECT c.run_id, p.point_id, p.x0, p.x1, min({gap}) AS gap FROM pts p, ({chosen}) c "
+                    "GROUP BY c.run_id, p.point_id, p.x0, p.x1"
+                )
+            chain.add(
+                f"{name}_s{turn}",
+                f"SELECT run_id, CAST({turn} AS BIGINT) AS comp, e.x0 AS m0, e.x1 AS m1 FROM ("
+                f"SELECT run_id, min({{t: {time} / gap, id: point_id, x0: x0, x1: x1}}) AS e FROM ({source}) WHERE gap > 0 GROUP BY run_id)",
+            )
+            seeds.append(f"{name}_s{turn}")
+        chain.add(f"{name}_t0", " UNION ALL ".join(f"SELECT * FROM {s}" for s in seeds))
+        for turn in range(1, turns + 1):
+            chain.add(
+                f"{name}_t{turn}",
+                "SELECT run_id, comp, count(*) / any_value(n) AS w, avg(x0) AS m0, avg(x1) AS m1, "
+                f"var_pop(x0) + {reg} AS v00, covar_pop(x0, x1) AS v01, var_pop(x1) + {reg} AS v11 FROM ("
+                f"SELECT c.run_id, p.x0, p.x1, arg_min(c.comp, {{gap: {gap}, comp: c.comp}}) AS comp "
+                f"FROM pts p, {name}_t{turn - 1} c GROUP BY c.run_id, p.point_id, p.x0, p.x1), pts_ext GROUP BY run_id, comp",
+            )
+        det = "(v00 * v11 - v01 * v01)"
+        q = (
+            f"ln(w) - ln(2 * pi()) - 0.5 * ln({det}) - 0.5 * (v11 * (x0 - m0) * (x0 - m0) "
+            f"- 2 * v01 * (x0 - m0) * (x1 - m1) + v00 * (x1 - m1) * (x1 - m1)) / {det}"
+        )
+        chain.add(
+            f"{name}_fold",
+            f"SELECT run_id, comp, 0 AS turn, w, m0, m1, v00, v01, v11, CAST(NULL AS DOUBLE) AS ll, false AS done FROM {name}_t{turns} "
+            f"UNION ALL (WITH dens AS (SELECT run_id, comp, turn, point_id, x0 - m0 AS a, x1 - m1 AS b, m0, m1, ll AS last, "
+            f"{q} AS q FROM pts, {name}_fold WHERE NOT done), "
+            "tops AS (SELECT run_id, point_id, max(q) AS top FROM dens GROUP BY run_id, point_id), "
+            "lps AS (SELECT d.run_id, d.point_id, any_value(top) + ln(sum(exp(q - top))) AS lp FROM dens d JOIN tops t "
+            "ON t.run_id = d.run_id AND t.point_id = d.point_id GROUP BY d.run_id, d.point_id), "
+            "lls AS (SELECT run_id, avg(lp) AS now FROM lps GROUP BY run_id), "
+            "sums AS (SELECT d.run_id, comp, any_value(turn) AS turn, any_value(last) AS last, any_value(m0) AS m0, any_value(m1) AS m1, "
+            "sum(g) AS mass, sum(g * a) / sum(g) AS da, sum(g * b) / sum(g) AS db, sum(g * a * a) / sum(g) AS aa, "
+            "sum(g * a * b) / sum(g) AS ab, sum(g * b * b) / sum(g) AS bb FROM (SELECT d.*, exp(q - lp) AS g FROM dens d JOIN lps l "
+            "ON l.run_id = d.run_id AND l.point_id = d.point_id) d GROUP BY d.run_id, comp) "
+            f"SELECT run_id, comp, turn + 1, mass / n, m0 + da, m1 + db, aa - da * da + {reg}, ab - da * db, bb - db * db + {reg}, "
+            f"now, coalesce(abs(now - last) < {num(tol)}, false) OR turn + 1 >= {max_iter} FROM sums JOIN lls USING (run_id), pts_ext)",
+        )
+        chain.add(
+            name,
+            f"SELECT run_id, point_id, any_value(label) AS label, arg_max(comp, {{q: {q}, first: -comp}}) AS cluster "
+            f"FROM pts, {name}_fold WHERE done GROUP BY run_id, point_id",
+        )
+
+    return step
+
+
 def _kmeans_start(runs: int = 2) -> str:
     """Means and the ends of the covariances of the starting components."""
     chain = Chain(wide(), started(runs, src.START_K, src.START_SEED))
@@ -791,6 +854,21 @@ def _ellipse() -> str:
     )
 
 
+def _replicates() -> Chain:
+    """``runs_of``: the scores of every run of both algorithms."""
+    cfg = src.REPLICATES_CFG.with_(runs=src.REPLICATES)
+    chain = Chain(
+        SCALED, first(cfg), evolved(cfg), led("final", cfg=cfg), refined("pts", cfg=cfg),
+        classified("pts", "refs", cfg=cfg), moved("near", "refs"), scored("assigned", "run_id", "ev"),
+        flat_em(src.REPLICATES, len(src.EVENT_TYPES), cfg.seed), scored("em", "run_id", "fit"),
+    )
+    return chain.add(
+        "runs_of",
+        "SELECT run_id, 'evolution' AS algorithm, homogeneity, completeness, v_measure, ari FROM ev "
+        "UNION ALL SELECT run_id, 'em', homogeneity, completeness, v_measure, ari FROM fit",
+    )
+
+
 def _search() -> Chain:
     cfg = src.SEARCH_CFG
     chain = Chain(scaled(embeddings(2)), first(cfg), evolved(cfg))
@@ -958,6 +1036,19 @@ def oracle() -> dict[str, str]:
     out["compare_algorithms"] = both.select(
         f"SELECT algorithm, metric, {r('value', 'value', 8)} FROM ({long}) ORDER BY value"
     )
+    repeated = _replicates()
+    out["replicates"] = repeated.select(f"SELECT run_id, algorithm, {rounds(SCORES, 7)} FROM runs_of")
+    out["replicate_means"] = repeated.select(
+        f"SELECT algorithm, {', '.join(r(f'avg({s})', s, 7) for s in SCORES)} FROM runs_of GROUP BY algorithm"
+    )
+    spread = stats.replace(", 8)", ", 7)")
+    out["replicate_summary"] = repeated.select(
+        f"SELECT algorithm, metric, count(value) AS n, {spread} "
+        f"FROM ({unpivoted('runs_of', 'algorithm')}) GROUP BY algorithm, metric"
+    )
+    out["replicate_comparison"] = repeated.select(
+        f"SELECT run_id, algorithm, metric, {r('value', 'value', 7)} FROM ({unpivoted('runs_of', 'run_id, algorithm')}) ORDER BY value"
+    )
     search = _search()
     deltas = ["delta1", "delta2", "delta3"]
     out["delta_search"] = search.select(

@@ -333,25 +333,29 @@ def snapshot_roundtrip(spark, sf):
     return rounded(report, *BODY)
 
 
-def replicates(spark, sf):
-    """Evolution by the default settings and EM, twenty runs each."""
+def _repeated(spark, sf) -> DataFrame:
     pts = src.scaled_events(spark, sf)
     return mf.replicates(pts, src.REPLICATES_CFG, n=src.REPLICATES, k=len(src.EVENT_TYPES))
 
 
+def replicates(spark, sf):
+    """Evolution by the default settings and EM, twenty runs each."""
+    return rounded(_repeated(spark, sf), *SCORES, digits=7)
+
+
 def replicate_means(spark, sf):
-    return rounded(mf.mean_scores(replicates(spark, sf)), *SCORES, digits=8)
+    return rounded(mf.mean_scores(_repeated(spark, sf)), *SCORES, digits=7)
 
 
 def replicate_summary(spark, sf):
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return rounded(mf.describe_scores(replicates(spark, sf)), *stats, digits=8)
+    return rounded(mf.describe_scores(_repeated(spark, sf)), *stats, digits=7)
 
 
 def replicate_comparison(spark, sf):
     """Every score of every run of both algorithms, in ascending order."""
-    long = long_scores(replicates(spark, sf), ["run_id", "algorithm"])
-    return mf.sorted_results(rounded(long, "value", digits=8), "value")
+    long = long_scores(_repeated(spark, sf), ["run_id", "algorithm"])
+    return mf.sorted_results(rounded(long, "value", digits=7), "value")
 
 
 # --- mixtures ---------------------------------------------------------------------------
