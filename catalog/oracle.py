@@ -934,11 +934,14 @@ def oracle() -> dict[str, str]:
         "partners": Chain(SCALED, first(), partners(CFG, 1, "pop0", "q")).select("SELECT * FROM q"),
         "vary": Chain(SCALED, first(), varied(CFG, 1, "pop0", "kids")).select(_population("kids")),
         "point_distance": Chain(scaled(embeddings(2)), first(five)).select(
-            f"SELECT p.point_id, m.run_id, m.id, {r(d2('m.', 'p.', 'm.', bx='x'), 'distance')} FROM pts p, pop0 m"
+            f"SELECT point_id, run_id, id, {r('distance', 'distance')} FROM (SELECT p.point_id, m.run_id, m.id, "
+            f"{d2('m.', 'p.', 'm.', bx='x')} AS distance FROM pts p, pop0 m) "
+            "QUALIFY row_number() OVER (PARTITION BY point_id, run_id ORDER BY distance, id) <= 3"
         ),
         "population_distance": Chain(SCALED, first(), varied(CFG, 1, "pop0", "kids")).select(
-            f"SELECT a.run_id, a.id AS id1, b.id AS id2, {r(d2('a.', 'b.', 'a.'), 'distance', 4)} "
-            "FROM kids a JOIN pop0 b ON a.run_id = b.run_id"
+            f"SELECT run_id, id1, id2, {r('distance', 'distance', 4)} FROM (SELECT a.run_id, a.id AS id1, b.id AS id2, "
+            f"{d2('a.', 'b.', 'a.')} AS distance FROM kids a JOIN pop0 b ON a.run_id = b.run_id) "
+            "QUALIFY row_number() OVER (PARTITION BY run_id, id1 ORDER BY distance, id2) <= 5"
         ),
         "fitness": Chain(
             scaled(PARTS, "prt"),

@@ -32,7 +32,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 def per_point(df: DataFrame, n: int) -> DataFrame:
     """Fitness as a mean over the points, rounded with the rest of the body."""
-    scaled = df.withColumn("fitness", F.col("fitness") / F.lit(float(n)))
+    scaled = df.drop("log_fitness").withColumn("fitness", F.col("fitness") / F.lit(float(n)))
     return rounded(scaled, "fitness", *BODY)
 
 
@@ -139,10 +139,10 @@ def rated_generation(spark, sf) -> tuple[int, DataFrame, DataFrame, DataFrame]:
 
 
 def point_distance(spark, sf):
-    """Every embedding against every centre of a first population of five."""
+    """The three members of a first population of five nearest to each embedding."""
     cfg = CFG.with_(pop_size=5)
     pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    table = mf.point_distances(pts, mf.init_population(pts, cfg), cfg)
+    table = mf.point_distances(pts, mf.init_population(pts, cfg), cfg, nearest=3)
     return rounded(table, "distance")
 
 

@@ -66,30 +66,262 @@ def _sq_distance(xs, centre, spread) -> np.ndarray:
     return total
 
 
+#: Bits of a limb of an exact sum, and of the fraction of an exponent.
+LIMB, FRACTION = 32, 40
+NEVER = -(1 << 40)
+
+
 def kernel_sums(dims, centres: np.ndarray, spreads: np.ndarray) -> Callable[[Batches], Batches]:
-    """Per partition and member: the sum over points of
-    exp(-distance / 2) / sqrt(product of spreads), as ``(slot, kernel)``."""
-    log_norms = -0.5 * np.log(spreads).sum(axis=1)
-    # (x - c) * half squares to half the scaled distance.
-    half = np.sqrt(0.5) / spreads
+    """Per partition one row, key 0: for every member the exact sum over points
+    of exp(-distance / 2) / sqrt(product of spreads), as ``grid, high, low``.
+
+    Terms are powers of two with a rounded exponent, and what counts of them are
+    64 bits in two limbs on a grid of powers of 2**32, ``high`` in units of
+    2**grid and ``low`` of 2**(grid - 32). The grid follows the largest term;
+    limbs below are left out. So the sum is one of integers, the same however
+    the points are dealt out, and no term is too small or too large for it."""
+    log_norms = -0.5 * np.log2(spreads).sum(axis=1)
+    # (x - c) * half squares to half the scaled distance, in bits
+    half = np.sqrt(0.5 / np.log(2)) / spreads
 
     def run(batches: Batches) -> Batches:
-        totals = np.zeros(len(centres))
-        for columns in (c for batch in batches for c in _coordinates(batch, dims)):
-            for xs in _steps(columns):
-                exponent, part = np.empty(len(xs[0])), np.empty(len(xs[0]))
-                for j in range(len(centres)):
-                    exponent.fill(log_norms[j])
-                    for k, x in enumerate(xs):
-                        np.subtract(x, centres[j, k], out=part)
-                        part *= half[j, k]
-                        part *= part
-                        exponent -= part
-                    totals[j] += np.exp(exponent, out=exponent).sum()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(centres), dtype="int64")), pa.array(totals)],
-            names=["slot", "kernel"],
-        )
+        sums = np.zeros((len(centres), 3), np.int64)
+        sums[:, 0] = NEVER
+        with np.errstate(over="ignore"):
+            for columns in (c for batch in batches for c in _coordinates(batch, dims)):
+                for xs in _steps(columns):
+                    exponent, part = np.empty(len(xs[0])), np.empty(len(xs[0]))
+                    for j in range(len(centres)):
+                        exponent.fill(log_norms[j])
+                        for k, x in enumerate(xs):
+                            np.subtract(x, centres[j, k], out=part)
+                            part *= half[j, k]
+                            part *= part
+                            exponent -= part
+                        _add_powers(sums[j], exponent, part)
+        yield from limb_rows(sums)
+
+    return run
+
+
+def _add_powers(total: np.ndarray, exponent: np.ndarray, part: np.ndarray) -> None:
+    """Add 2**exponent to ``grid, high, low``; both arrays are used up."""
+    exponent *= 2.0**FRACTION
+    np.rint(exponent, out=exponent)
+    exponent *= 2.0**-FRACTION
+    top = exponent.max(initial=-np.inf)
+    if top == -np.inf:
+        return
+    _raise_grid(total, LIMB * int(top // LIMB))
+    exponent -= total[0]
+    np.exp2(exponent, out=exponent)
+    np.floor(exponent, out=part)
+    exponent -= part
+    exponent *= 2.0**LIMB
+    np.floor(exponent, out=exponent)
+    # sums of integers, exact in doubles
+    total[1] += int(part.sum())
+    total[2] += int(exponent.sum())
+
+
+def _raise_grid(total, grid: int) -> None:
+    if grid > total[0]:
+        total[2] = total[1] if grid == total[0] + LIMB else 0
+        total[0], total[1] = grid, 0
+
+
+def joined_limbs(rows) -> list[list[int]]:
+    """``grid, high, low`` of every member over several rows of them."""
+    out: list[list[int]] = []
+    for row in rows:
+        new = [list(map(int, x)) for x in np.asarray(row, object).reshape(-1, 3)]
+        if not out:
+            out = new
+            continue
+        for a, b in zip(out, new):
+            if b[0] > a[0]:
+                _raise_grid(a, b[0])
+            elif a[0] > b[0]:
+                _raise_grid(b, a[0])
+            a[1], a[2] = a[1] + b[1], a[2] + b[2]
+    return out
+
+
+def limb_rows(sums) -> Batches:
+    flat = np.asarray(sums, np.int64).ravel()
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([flat], pa.list_(pa.int64()))], names=["key", "sums"])
+
+
+def merge_limbs(batches: Batches) -> Batches:
+    """Rows of ``kernel_sums`` that share a partition, as one."""
+    rows = [v.values.to_numpy() for batch in batches for v in batch.column("sums")]
+    if rows:
+        yield from limb_rows(joined_limbs(rows))
+
+
+# --- within a run: nearest members, children, survivors -------------------------
+
+#: Members of a leaf of the search tree.
+LEAF = 256
+
+
+class SearchTree:
+    """Boxes around members, halved along their widest side, to find the
+    nearest ones in scaled distance. The scale is that of the place asked for,
+    or with ``spreads`` that of each member. Ties go to the earlier member."""
+
+    def __init__(self, centres: np.ndarray, spreads: np.ndarray | None = None):
+        self.centres, self.spreads = centres, spreads
+        self.root = self._node(np.arange(len(centres)))
+
+    def _node(self, members: np.ndarray):
+        at = self.centres[members]
+        box = at.min(axis=0), at.max(axis=0), None if self.spreads is None else self.spreads[members].max(axis=0)
+        if len(members) <= LEAF:
+            return box, members, None
+        widest = int(np.argmax(box[1] - box[0]))
+        order = members[np.argsort(at[:, widest], kind="stable")]
+        half = len(order) // 2
+        return box, None, (self._node(np.sort(order[:half])), self._node(np.sort(order[half:])))
+
+    def nearest(self, places: np.ndarray, scales: np.ndarray | None, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and squared distances of the ``m`` nearest members of each
+        place, closest first; position -1 where there are fewer."""
+        at, gap = np.full((len(places), m), -1), np.full((len(places), m), np.inf)
+        if len(places) and len(self.centres):
+            self._visit(self.root, np.arange(len(places)), places, scales, at, gap)
+        return at, gap
+
+    def _reach(self, box, rows, places, scales) -> np.ndarray:
+        """A distance that no member of the box is nearer than."""
+        low, high, widest = box
+        total = np.zeros(len(rows))
+        for k in range(places.shape[1]):
+            x = places[rows, k]
+            part = np.maximum(np.maximum(low[k] - x, x - high[k]), 0) / (widest[k] if scales is None else scales[rows, k])
+            total = total + part * part
+        return total
+
+    def _visit(self, node, rows, places, scales, at, gap) -> None:
+        box, members, halves = node
+        rows = rows[self._reach(box, rows, places, scales) <= gap[rows, -1]]
+        if not len(rows):
+            return
+        if halves is not None:
+            first = self._reach(halves[0][0], rows, places, scales) <= self._reach(halves[1][0], rows, places, scales)
+            for near, some in ((0, rows[first]), (1, rows[~first])):
+                if len(some):
+                    self._visit(halves[near], some, places, scales, at, gap)
+                    self._visit(halves[1 - near], some, places, scales, at, gap)
+            return
+        size = max(1, (1 << 20) // len(members))
+        for lo in range(0, len(rows), size):
+            some = rows[lo : lo + size]
+            total = np.zeros((len(some), len(members)))
+            for k in range(places.shape[1]):
+                scale = self.spreads[members, k] if scales is None else scales[some, k][:, None]
+                part = (places[some, k][:, None] - self.centres[members, k]) / scale
+                total += part * part
+            both = np.concatenate([gap[some], total], axis=1)
+            who = np.concatenate([at[some], np.broadcast_to(members, total.shape)], axis=1)
+            best = np.lexsort((who, both), axis=1)[:, : gap.shape[1]]
+            gap[some], at[some] = np.take_along_axis(both, best, 1), np.take_along_axis(who, best, 1)
+
+
+def _matrix(table: pa.Table, names) -> np.ndarray:
+    return np.column_stack([table.column(n).to_numpy() for n in names])
+
+
+def _by_id(table: pa.Table) -> pa.Table:
+    return table.sort_by("id")
+
+
+def nearest_within(centres, spreads, m: int, own: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``m`` individuals of the right side nearest to each of the left, in
+    the spread of the left one (``own``) or of the right one:
+    ``run_id, id, match_id, distance``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = _by_id(right)
+        tree = SearchTree(_matrix(right, centres), None if own else _matrix(right, spreads))
+        at, gap = tree.nearest(_matrix(left, centres), _matrix(left, spreads) if own else None, m)
+        row, place = np.nonzero(at >= 0)
+        columns = [left.column("run_id").take(pa.array(row)), left.column("id").take(pa.array(row))]
+        columns += [right.column("id").take(pa.array(at[row, place])), pa.array(gap[row, place])]
+        return pa.table(columns, names=["run_id", "id", "match_id", "distance"])
+
+    return run
+
+
+def nearest_members(dims, runs: list[tuple], m: int) -> Callable[[Batches], Batches]:
+    """The ``m`` members nearest to each point in the member's spread:
+    ``point_id, run_id, id, distance``. ``runs`` lists ``(run_id, ids, centres, spreads)``."""
+
+    def run(batches: Batches) -> Batches:
+        trees = [(run_id, ids, SearchTree(centres, spreads)) for run_id, ids, centres, spreads in runs]
+        for batch in batches:
+            points = batch.column("point_id").to_numpy(zero_copy_only=False)
+            places = np.column_stack(_columns(batch, dims))
+            for run_id, ids, tree in trees:
+                at, gap = tree.nearest(places, None, m)
+                row, place = np.nonzero(at >= 0)
+                columns = [points[row], np.full(len(row), run_id, "int64"), ids[at[row, place]], gap[row, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point_id", "run_id", "id", "distance"])
+
+    return run
+
+
+def mutate(parts, spread_cols, size: int, weight: float, crossover: float, eps: float) -> Callable[[pa.Table], pa.Table]:
+    """Children of one run from its members with partners ``r1, r2, r3`` and one
+    uniform number ``u_<part>`` per part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _by_id(table)
+        ids = table.column("id").to_numpy()
+        if not np.array_equal(ids, np.arange(size)):
+            raise ValueError("the population is not of the configured size")
+        r1, r2, r3 = (table.column(f"r{k}").to_numpy() for k in (1, 2, 3))
+        columns = [table.column("run_id"), table.column("id")]
+        for name in parts:
+            old, chance = table.column(name).to_numpy(), table.column(f"u_{name}").to_numpy()
+            new = np.where(chance < crossover, old[r3] + weight * (old[r1] - old[r2]), old)
+            columns.append(pa.array(np.maximum(np.abs(new), eps) if name in spread_cols else new))
+        return pa.table(columns, names=["run_id", "id", *parts])
+
+    return run
+
+
+def survive(mode: str, slot: str, centres, spreads, body, rank: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The next population of one run from parents and children with the same
+    ids; ``rank`` is the column they are compared by."""
+
+    def run(parents: pa.Table, children: pa.Table) -> pa.Table:
+        parents, children = _by_id(parents), _by_id(children)
+        ids = parents.column("id").to_numpy()
+        if not np.array_equal(ids, children.column("id").to_numpy()):
+            raise ValueError("parents and children do not have the same ids")
+        fit, new = (t.column(rank).to_numpy() for t in (parents, children))
+        # per slot the child that takes it, -1 where the parent stays
+        takes = np.full(len(ids), -1)
+        every = np.arange(len(ids))
+        if mode == "greedy":
+            takes[new > fit] = every[new > fit]
+        elif mode == "nearest_child":
+            near = SearchTree(_matrix(children, centres)).nearest(_matrix(parents, centres), _matrix(parents, spreads), 1)[0][:, 0]
+            loses = ~(fit > new[near])
+            takes[loses] = near[loses]
+        else:
+            near = SearchTree(_matrix(parents, centres)).nearest(_matrix(children, centres), _matrix(children, spreads), 1)[0][:, 0]
+            won = np.flatnonzero(new > fit[near])
+            if slot == "self":
+                takes[won] = won
+            else:  # the fittest winner comes last, of equals the lowest id
+                for child in won[np.lexsort((-won, new[won]))]:
+                    takes[near[child]] = child
+        columns = [parents.column("run_id"), parents.column("id")]
+        for name in body:
+            columns.append(pa.array(np.where(takes >= 0, children.column(name).to_numpy()[takes], parents.column(name).to_numpy())))
+        return pa.table(columns, names=["run_id", "id", *body])
 
     return run
 

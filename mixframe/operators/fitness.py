@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Sequence
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
+from .. import kernels
 from ..config import EvolveConfig
-from ..functions import scaled_sq_distance
 from ..runtime import bounded_rows, model_table
-from .. import kernels
+from .partials import task_arrays
 
 
 def model_arrays(rows: Sequence[Row], n_dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,45 +26,53 @@ def model_arrays(rows: Sequence[Row], n_dims: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fitness(
-    pop: DataFrame, points: DataFrame, dims: Sequence[str], key: str = "id"
+    pop: DataFrame, points: DataFrame, dims: Sequence[str], key: str = "id", tasks: int | None = None
 ) -> DataFrame:
     """The population with ``fitness`` = norm factor * sum over points of
-    exp(-distance / 2); the population size is that of the row's own run.
+    exp(-distance / 2) / size of the row's own run, and ``log_fitness``, its
+    natural logarithm, by which individuals are compared: it neither overflows
+    nor vanishes however many dimensions there are.
 
-    One pass over the points serves all runs. A task sends one partial sum per
-    individual, so what is shuffled does not depend on the points.
+    One pass over the points serves all runs. A task sends one array of exact
+    sums, so what reaches the driver does not depend on the points, and the
+    result not on how they are dealt out.
     """
-    base = [c for c in pop.columns if c != "fitness"]
+    base = [c for c in pop.columns if c not in ("fitness", "log_fitness")]
     rows = sorted(bounded_rows(pop.select(*base)), key=lambda r: (r.run_id, r[key]))
+    schema = pop.select(*base).schema.add("fitness", "double").add("log_fitness", "double")
     sizes = Counter(r.run_id for r in rows)
-    schema = pop.select(*base).schema.add("slot", "long").add("size", "double")
-    numbered = [(*r, slot, float(sizes[r.run_id])) for slot, r in enumerate(rows)]
-    members = model_table(pop.sparkSession, numbered, schema)
     centres, spreads = model_arrays(rows, len(dims))
-    partial = points.select(*dims).mapInArrow(
-        kernels.kernel_sums(list(dims), centres, spreads), "slot bigint, kernel double"
-    )
-    sums = partial.groupBy("slot").agg(F.sum("kernel").alias("kernel"))
-    joined = members.join(F.broadcast(sums), "slot", "left")
-    value = F.coalesce(F.col("kernel"), F.lit(0.0)) / F.col("size")
-    return joined.select(*base, value.alias("fitness"))
+    source = points if points.columns == ["block"] else points.select(*dims)
+    partial = source.mapInArrow(kernels.kernel_sums(list(dims), centres, spreads), "key bigint, sums array<bigint>")
+    sums = kernels.joined_limbs([v for _, v in task_arrays(partial, kernels.merge_limbs, tasks)]) if rows else []
+    rated = [(*r, *_of_limbs(*limbs, sizes[r.run_id])) for r, limbs in zip(rows, sums or [(0, 0, 0)] * len(rows))]
+    return model_table(pop.sparkSession, rated, schema)
+
+
+def _of_limbs(grid: int, high: int, low: int, size: int) -> tuple[float, float]:
+    """Value and logarithm of an exact sum over ``size``."""
+    total = (high << kernels.LIMB) + low
+    if not total:
+        return 0.0, -math.inf
+    bits = total.bit_length() - 53
+    mantissa = total / (1 << bits) if bits > 0 else float(total)
+    shift = grid - kernels.LIMB + max(bits, 0)
+    log = math.log(mantissa) + shift * math.log(2) - math.log(size)
+    try:
+        return math.ldexp(mantissa, shift) / size, log
+    except OverflowError:
+        return math.inf, log
 
 
-def point_distances(points: DataFrame, pop: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """``point_id, run_id, id, distance`` of every point to every individual, in
-    the individual's spread. The population travels as one array constant and
-    is unfolded on the point's own row, so nothing is joined or shuffled; the
-    other operators never make this table."""
-    parts = cfg.centre_cols + cfg.spread_cols
-    rows = sorted(bounded_rows(pop.select("run_id", "id", *parts)), key=lambda r: (r.run_id, r.id))
-    texts = [
-        f"struct({r.run_id}L AS run_id, {r.id}L AS id, "
-        + ", ".join(f"{r[p]!r}D AS {p}" for p in parts)
-        + ")"
-        for r in rows
-    ]
-    members = F.expr(f"array({', '.join(texts)})")
-    distance = scaled_sq_distance(cfg.centre_cols, list(cfg.dims), cfg.spread_cols)
-    return points.select("point_id", *cfg.dims, F.inline(members)).selectExpr(
-        "point_id", "run_id", "id", f"{distance} AS distance"
-    )
+def point_distances(points: DataFrame, pop: DataFrame, cfg: EvolveConfig, nearest: int = 5) -> DataFrame:
+    """``point_id, run_id, id, distance`` of every point to the ``nearest``
+    individuals of each run, in the individual's spread. A search tree per run
+    travels to the tasks; nothing is joined or shuffled."""
+    rows = sorted(bounded_rows(pop), key=lambda r: (r.run_id, r.id))
+    runs = []
+    for run_id, group in groupby(rows, key=lambda r: r.run_id):
+        group = list(group)
+        runs.append((run_id, np.array([r.id for r in group]), *model_arrays(group, len(cfg.dims))))
+    kernel = kernels.nearest_members(list(cfg.dims), runs, nearest)
+    schema = "point_id bigint, run_id bigint, id bigint, distance double"
+    return points.select("point_id", *cfg.dims).mapInArrow(kernel, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
 from ..functions import prefixed, scaled_sq_distance
+from ..runtime import by_run
 from .fitness import fitness
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,11 +120,11 @@ def leaders(pop: DataFrame, cfg: EvolveConfig) -> DataFrame:
         return reps_frame(pdf["run_id"].iloc[0], *found)
 
     members = pop.select("run_id", "id", *centre_cols, *spread_cols)
-    return members.groupBy("run_id").applyInPandas(fold, reps_schema(len(cfg.dims)))
+    return by_run(members, cfg.runs).groupBy("run_id").applyInPandas(fold, reps_schema(len(cfg.dims)))
 
 
 def refine_with(rated: DataFrame, cfg: EvolveConfig, delta2: str | float) -> DataFrame:
-    """Label refinement of representatives that carry ``fitness``; ``delta2``
+    """Label refinement of representatives that carry ``log_fitness``; ``delta2``
     is a number or the column that holds it."""
     centre_cols, spread_cols = cfg.centre_cols, cfg.spread_cols
     limit = F.col(delta2) if isinstance(delta2, str) else F.lit(float(delta2))
@@ -132,12 +133,12 @@ def refine_with(rated: DataFrame, cfg: EvolveConfig, delta2: str | float) -> Dat
         pdf = pdf.sort_values("rep_id")
         at, width = pdf[centre_cols].to_numpy(), pdf[spread_cols].to_numpy()
         labels = merge_labels(
-            pdf["label"].to_numpy(), at, width, pdf["fitness"].to_numpy(), pdf["limit"].iloc[0]
+            pdf["label"].to_numpy(), at, width, pdf["log_fitness"].to_numpy(), pdf["limit"].iloc[0]
         )
         return reps_frame(pdf["run_id"].iloc[0], labels, at, width)
 
-    wanted = ["run_id", "rep_id", "label", "fitness", *centre_cols, *spread_cols]
-    grouped = rated.select(*wanted, limit.alias("limit")).groupBy("run_id")
+    wanted = ["run_id", "rep_id", "label", "log_fitness", *centre_cols, *spread_cols]
+    grouped = by_run(rated.select(*wanted, limit.alias("limit")), cfg.runs).groupBy("run_id")
     return grouped.applyInPandas(fold, reps_schema(len(cfg.dims)))
 
 

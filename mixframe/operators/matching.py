@@ -1,39 +1,30 @@
 """Nearest individuals between two populations, and who survives.
 
-Both sides hold at most ``pop_size`` rows per run (checked where populations
-are made), which is what makes the broadcasts and per-run arrays here safe.
-"""
+Individuals only meet others of their run. Each run is one group, searched
+through a tree in its task; runs go in parallel."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..config import EvolveConfig
-from ..functions import prefixed, scaled_sq_distance
+from .. import kernels
+from ..config import SELECTIONS, EvolveConfig
+from ..runtime import by_run
 
 KEYS = ["run_id", "id"]
 
 
-def _sided(pop: DataFrame, cfg: EvolveConfig, key: str, prefix: str) -> DataFrame:
-    parts = cfg.centre_cols + cfg.spread_cols
-    return pop.selectExpr("run_id", f"id AS {key}", *[f"{c} AS {prefix}{c}" for c in parts])
-
-
 def pair_distances(
-    left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str = "left"
+    left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str = "left", nearest: int = 5
 ) -> DataFrame:
-    """``run_id, id1, id2, distance`` for the individuals of the same run,
-    measured in the spread of the ``scale`` side."""
-    distance = scaled_sq_distance(
-        prefixed("l", cfg.centre_cols),
-        prefixed("r", cfg.centre_cols),
-        prefixed("l" if scale == "left" else "r", cfg.spread_cols),
-    )
-    a, b = _sided(left, cfg, "id1", "l"), _sided(right, cfg, "id2", "r")
-    return a.join(F.broadcast(b), "run_id").selectExpr(
-        "run_id", "id1", "id2", f"{distance} AS distance"
-    )
+    """``run_id, id1, id2, distance`` of each left individual and the
+    ``nearest`` right ones of its run, measured in the spread of the ``scale``
+    side."""
+    parts = [*KEYS, *cfg.centre_cols, *cfg.spread_cols]
+    sides = [by_run(df.select(*parts), cfg.runs).groupBy("run_id") for df in (left, right)]
+    kernel = kernels.nearest_within(cfg.centre_cols, cfg.spread_cols, nearest, scale == "left")
+    found = sides[0].cogroup(sides[1]).applyInArrow(kernel, "run_id bigint, id bigint, match_id bigint, distance double")
+    return found.selectExpr("run_id", "id AS id1", "match_id AS id2", "distance")
 
 
 def nearest_by_window(pairs: DataFrame) -> DataFrame:
@@ -48,106 +39,35 @@ def nearest_by_window(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_in(others: str, prefix: str, cfg: EvolveConfig, scale: str, carry=()) -> str:
-    """SQL for the member of the array ``others`` nearest to this row, as a
-    struct ``distance, id`` plus the ``carry`` fields; lowest id on ties."""
-    own_spread = scale == "left"
-    distance = scaled_sq_distance(
-        prefixed(prefix, cfg.centre_cols),
-        prefixed("o.", cfg.centre_cols),
-        prefixed(prefix if own_spread else "o.", cfg.spread_cols),
-    )
-    fields = ", ".join([f"{distance} AS distance", "o.id AS id", *[f"o.{c} AS {c}" for c in carry]])
-    return f"array_min(transform({others}, o -> struct({fields})))"
-
-
 def nearest(
     left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str = "left"
 ) -> DataFrame:
     """``run_id, id, match_id, distance``: for each left individual the nearest
-    right one of its run, lowest id on ties. The right side travels as one
-    array per run, so no table of pairs is made."""
-    parts = cfg.centre_cols + cfg.spread_cols
-    packed = right.groupBy("run_id").agg(F.collect_list(F.struct("id", *parts)).alias("others"))
-    return (
-        left.select(*KEYS, *parts)
-        .join(F.broadcast(packed), "run_id")
-        .selectExpr(*KEYS, f"{_nearest_in('others', '', cfg, scale)} AS best")
-        .selectExpr(*KEYS, "best.id AS match_id", "best.distance AS distance")
-    )
-
-
-def _body(cfg: EvolveConfig) -> list[str]:
-    return cfg.centre_cols + cfg.spread_cols + ["fitness"]
-
-
-def _side_by_side(parents: DataFrame, children: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """Parent i (plain names) and child i (``n_``) on one row."""
-    renamed = children.selectExpr(*KEYS, *[f"{c} AS n_{c}" for c in _body(cfg)])
-    return parents.select(*KEYS, *_body(cfg)).join(F.broadcast(renamed), KEYS)
-
-
-def _whole_run(prefix: str, cfg: EvolveConfig) -> str:
-    """SQL for the array of all individuals of the row's run."""
-    fields = ", ".join(["id", *[f"{prefix}{c} AS {c}" for c in _body(cfg)]])
-    return f"collect_list(struct({fields})) OVER (PARTITION BY run_id)"
-
-
-def select_greedy(parents: DataFrame, children: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """Child i replaces parent i where it is strictly fitter."""
-    picked = [f"if(n_fitness > fitness, n_{c}, {c}) AS {c}" for c in _body(cfg)]
-    return _side_by_side(parents, children, cfg).selectExpr(*KEYS, *picked)
-
-
-def select_crowding(parents: DataFrame, children: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """A child competes with the parent nearest to it, in the child's spread.
-
-    With ``slot="self"`` a winner is written to its own slot. With
-    ``slot="competitor"`` it takes the place of the parent it beat, the fittest
-    winner first, then the lowest id.
-    """
-    rows = (
-        _side_by_side(parents, children, cfg)
-        .selectExpr("*", f"{_whole_run('', cfg)} AS others")
-        .selectExpr("*", f"{_nearest_in('others', 'n_', cfg, 'left', ['fitness'])} AS rival")
-        .drop("others")
-    )
-    if cfg.slot == "self":
-        picked = [f"if(n_fitness > rival.fitness, n_{c}, {c}) AS {c}" for c in _body(cfg)]
-        return rows.selectExpr(*KEYS, *picked)
-    won = ", ".join(f"n_{c} AS n_{c}" for c in _body(cfg))
-    winners = (
-        rows.where("n_fitness > rival.fitness")
-        .groupBy("run_id", F.col("rival.id").alias("id"))
-        .agg(F.expr(f"max_by(struct({won}), struct(n_fitness, -id)) AS won"))
-        .select(*KEYS, "won.*")
-    )
-    picked = [f"if(n_fitness IS NULL, {c}, n_{c}) AS {c}" for c in _body(cfg)]
-    return parents.join(F.broadcast(winners), KEYS, "left").selectExpr(*KEYS, *picked)
-
-
-def select_nearest_child(parents: DataFrame, children: DataFrame, cfg: EvolveConfig) -> DataFrame:
-    """A parent competes with the child nearest to it, in the parent's spread;
-    it stays where it is strictly fitter, a tie goes to the child."""
-    best = _nearest_in("others", "", cfg, "left", _body(cfg))
-    picked = [f"if(fitness > rival.fitness, {c}, rival.{c}) AS {c}" for c in _body(cfg)]
-    return (
-        _side_by_side(parents, children, cfg)
-        .selectExpr("*", f"{_whole_run('n_', cfg)} AS others")
-        .selectExpr("*", f"{best} AS rival")
-        .selectExpr(*KEYS, *picked)
-    )
-
-
-SELECTION = {
-    "greedy": select_greedy,
-    "crowding": select_crowding,
-    "nearest_child": select_nearest_child,
-}
+    right one of its run, lowest id on ties."""
+    found = pair_distances(left, right, cfg, scale, nearest=1)
+    return found.selectExpr("run_id", "id1 AS id", "id2 AS match_id", "distance")
 
 
 def select(
     parents: DataFrame, children: DataFrame, cfg: EvolveConfig, mode: str | None = None
 ) -> DataFrame:
-    """Next population by the configured rule; both sides carry ``fitness``."""
-    return SELECTION[mode or cfg.selection](parents, children, cfg)
+    """Next population by the configured rule; both sides carry ``fitness``, and
+    are compared by ``log_fitness`` where both have it.
+
+    ``greedy``: child i replaces parent i where it is strictly fitter.
+    ``crowding``: a child competes with the parent nearest to it, in the child's
+    spread. With ``slot="self"`` a winner is written to its own slot; with
+    ``slot="competitor"`` it takes the place of the parent it beat, the fittest
+    winner first, then the lowest id. ``nearest_child``: a parent competes with
+    the child nearest to it, in the parent's spread; it stays where it is
+    strictly fitter, a tie goes to the child.
+    """
+    mode = mode or cfg.selection
+    if mode not in SELECTIONS:
+        raise ValueError(f"selection must be one of {SELECTIONS}")
+    logs = ["log_fitness"] if "log_fitness" in parents.columns and "log_fitness" in children.columns else []
+    body = [*cfg.centre_cols, *cfg.spread_cols, "fitness", *logs]
+    kernel = kernels.survive(mode, cfg.slot, cfg.centre_cols, cfg.spread_cols, body, body[-1])
+    sides = [by_run(df.select(*KEYS, *body), cfg.runs).groupBy("run_id") for df in (parents, children)]
+    schema = ", ".join(["run_id bigint", "id bigint", *[f"{c} double" for c in body]])
+    return sides[0].cogroup(sides[1]).applyInArrow(kernel, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
 from ..functions import digest, hash_below, uniform
-from ..runtime import bounded_rows, model_table
+from ..runtime import bounded_rows, by_run, model_table
 from .. import kernels
 from .scaling import domain
 
@@ -181,27 +181,11 @@ def vary(pop: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
     Spreads are made positive and floored at ``eps``. A child keeps its
     parent's id.
 
-    Partners are looked up in the run's own population, packed by id into one
-    small map per run.
+    Each run is one group; the random numbers are drawn before, row by row.
     """
     parts = cfg.centre_cols + cfg.spread_cols
-    run = "OVER (PARTITION BY run_id)"
-    packed = f"map_from_entries(collect_list(struct(id, struct({', '.join(parts)}))) {run})"
-    wrong = "raise_error('the population is not of the configured size')"
-    children = []
-    for p in parts:
-        chance = uniform(cfg.seed, "run_id", gen, "'mutate'", "id", f"'{p}'")
-        mutated = f"m3.{p} + {cfg.weight!r}D * (m1.{p} - m2.{p})"
-        value = f"if({chance} < {cfg.crossover!r}D, {mutated}, {p})"
-        if p in cfg.spread_cols:
-            value = f"greatest(abs({value}), {cfg.eps!r}D)"
-        children.append(f"{value} AS {p}")
-    return (
-        partners(pop.select("run_id", "id", *parts), cfg, gen)
-        .selectExpr("*", f"{packed} AS packed")
-        .selectExpr("*", f"if(size(packed) = {cfg.pop_size}, packed, {wrong}) AS members")
-        .selectExpr(
-            "run_id", "id", *parts, *[f"members[r{k}] AS m{k}" for k in (1, 2, 3)]
-        )
-        .selectExpr("run_id", "id", *children)
-    )
+    chances = [f"{uniform(cfg.seed, 'run_id', gen, chr(39) + 'mutate' + chr(39), 'id', chr(39) + p + chr(39))} AS u_{p}" for p in parts]
+    drawn = partners(by_run(pop.select("run_id", "id", *parts), cfg.runs), cfg, gen).selectExpr("*", *chances)
+    kernel = kernels.mutate(parts, cfg.spread_cols, cfg.pop_size, cfg.weight, cfg.crossover, cfg.eps)
+    schema = ", ".join(["run_id bigint", "id bigint", *[f"{p} double" for p in parts]])
+    return drawn.groupBy("run_id").applyInArrow(kernel, schema)

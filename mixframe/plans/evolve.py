@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -11,7 +12,7 @@ from ..operators.fitness import fitness
 from ..operators.matching import select
 from ..operators.population import init_population, vary
 from ..operators.scaling import domain
-from ..runtime import cut_model, held
+from ..runtime import cut_model, held, held_blocks
 
 
 def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = ("point_id",)):
@@ -20,9 +21,11 @@ def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = (
     return held(points, [*keep, *cfg.dims], cfg.partitions, cfg.persist_points)
 
 
-def generation(pop: DataFrame, points: DataFrame, cfg: EvolveConfig, gen: int) -> DataFrame:
+def generation(
+    pop: DataFrame, points: DataFrame, cfg: EvolveConfig, gen: int, tasks: int | None = None
+) -> DataFrame:
     """Next population; only the children are measured, parents carry theirs."""
-    children = fitness(vary(pop, cfg, gen), points, cfg.dims)
+    children = fitness(vary(pop, cfg, gen), points, cfg.dims, tasks=tasks)
     return select(pop, children, cfg)
 
 
@@ -31,7 +34,18 @@ def evolve(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
     over the points per generation, whatever the number of runs."""
     with working_points(points, cfg) as narrow:
         first = init_population(narrow, cfg, domain(narrow, cfg.dims))
-        pop = cut_model(fitness(first, narrow, cfg.dims))
-        for gen in range(1, cfg.generations + 1):
-            pop = cut_model(generation(pop, narrow, cfg, gen))
-    return pop
+        with _passes(narrow, cfg) as (source, tasks):
+            pop = cut_model(fitness(first, source, cfg.dims, tasks=tasks), cfg.runs)
+            for gen in range(1, cfg.generations + 1):
+                pop = cut_model(generation(pop, source, cfg, gen, tasks), cfg.runs)
+    return pop.drop("log_fitness")
+
+
+@contextmanager
+def _passes(points: DataFrame, cfg: EvolveConfig):
+    """What the generations read: blocks of coordinates, if they may be kept."""
+    if cfg.persist_points and cfg.generations:
+        with held_blocks(points, cfg.dims) as blocks:
+            yield blocks
+    else:
+        yield points, None

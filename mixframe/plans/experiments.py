@@ -54,7 +54,7 @@ def _reps_of_grid(spark, rows, pairs: list, points: DataFrame, cfg: EvolveConfig
     body = cfg.centre_cols + cfg.spread_cols
     each = reps.groupBy(*body).agg(F.min("rep_id").alias("rep_id"), F.min("run_id").alias("first"))
     alone = each.selectExpr("0L AS run_id", "first", "rep_id AS id", *body)
-    rated = fitness(alone, points, cfg.dims).select(*body, "fitness")
+    rated = fitness(alone, points, cfg.dims).select(*body, "log_fitness")
     limits = table.selectExpr("set_id AS run_id", "delta2 AS delta2")
     joined = reps.join(F.broadcast(rated), body).join(F.broadcast(limits), "run_id")
     return cut_lineage(refine_with(joined.repartition(tasks, "run_id"), cfg, "delta2"))

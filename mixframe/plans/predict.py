@@ -18,7 +18,7 @@ def representatives(pop: DataFrame, points: DataFrame, cfg: EvolveConfig) -> Dat
     """Labelled representatives of every run, refined on the points unless
     switched off, and materialized: they are small and read more than once."""
     reps = leaders(pop, cfg)
-    return cut_model(refine(reps, points, cfg) if cfg.refine else reps)
+    return cut_model(refine(reps, points, cfg) if cfg.refine else reps, cfg.runs)
 
 
 def predict(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = ()) -> DataFrame:

@@ -47,10 +47,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_model(df: DataFrame) -> DataFrame:
-    """Checkpoint of a model table as one partition. The outer ``coalesce``
-    only tells the planner so: windows by run then need no shuffle."""
-    return cut_lineage(df.coalesce(1)).coalesce(1)
+def by_run(df: DataFrame, runs: int) -> DataFrame:
+    """A model table dealt out by run: as many partitions as there are runs, or
+    cores where those are fewer. Steps within a run need no further exchange."""
+    n = min(runs, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, "run_id") if n > 1 else df.coalesce(1)
+
+
+def cut_model(df: DataFrame, runs: int = 1) -> DataFrame:
+    """Checkpoint of a model table, dealt out by run. Of a single partition the
+    outer ``coalesce`` only tells the planner so."""
+    cut = cut_lineage(by_run(df, runs))
+    return cut.coalesce(1) if runs == 1 else cut
 
 
 def model_table(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:
