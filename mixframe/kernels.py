@@ -326,6 +326,30 @@ def survive(mode: str, slot: str, centres, spreads, body, rank: str) -> Callable
     return run
 
 
+def _two(xs, centres, spreads):
+    """Positions and distances of the nearest and the second nearest member."""
+    n = len(xs[0])
+    i1, d1 = np.zeros(n, "int64"), np.full(n, np.inf)
+    i2, d2 = np.full(n, -1, "int64"), np.full(n, np.inf)
+    distance, part = np.empty(n), np.empty(n)
+    for j in range(len(centres)):
+        distance.fill(0)
+        for k, x in enumerate(xs):
+            np.subtract(x, centres[j, k], out=part)
+            part /= spreads[j, k]
+            part *= part
+            distance += part
+        # Few points still improve after the first members.
+        better = np.flatnonzero(distance < d2)
+        found = distance[better]
+        best = found < d1[better]
+        top, next_ = better[best], better[~best]
+        i2[top], d2[top] = i1[top] if j else -1, d1[top]
+        i1[top], d1[top] = j, found[best]
+        i2[next_], d2[next_] = j, found[~best]
+    return i1, d1, i2, d2
+
+
 def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
     """Per point and model: labels and distances of the nearest and the second
     nearest representative, ties to the lower position.
@@ -336,28 +360,6 @@ def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
     label is always that of the second representative in the list.
     """
 
-    def two(xs, centres, spreads):
-        n = len(xs[0])
-        i1, d1 = np.zeros(n, "int64"), np.full(n, np.inf)
-        i2, d2 = np.full(n, -1, "int64"), np.full(n, np.inf)
-        distance, part = np.empty(n), np.empty(n)
-        for j in range(len(centres)):
-            distance.fill(0)
-            for k, x in enumerate(xs):
-                np.subtract(x, centres[j, k], out=part)
-                part /= spreads[j, k]
-                part *= part
-                distance += part
-            # Few points still improve after the first members.
-            better = np.flatnonzero(distance < d2)
-            found = distance[better]
-            best = found < d1[better]
-            top, next_ = better[best], better[~best]
-            i2[top], d2[top] = i1[top] if j else -1, d1[top]
-            i1[top], d1[top] = j, found[best]
-            i2[next_], d2[next_] = j, found[~best]
-        return i1, d1, i2, d2
-
     def run(batches: Batches) -> Batches:
         for batch in batches:
             carried = [batch.column(k) for k in keep]
@@ -366,7 +368,7 @@ def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
                 xs = [c[start : start + STEP] for c in columns]
                 rows = [c.slice(start, STEP) for c in carried]
                 for run_id, centres, spreads, labels in models:
-                    i1, d1, i2, d2 = two(xs, centres, spreads)
+                    i1, d1, i2, d2 = _two(xs, centres, spreads)
                     l2 = np.where(i2 < 0, -1, labels[min(1, len(labels) - 1)] if rep1 else labels[i2])
                     found = [np.full(len(i1), run_id, "int64"), labels[i1], d1, l2, d2]
                     yield pa.RecordBatch.from_arrays(
@@ -377,6 +379,72 @@ def nearest_two(dims, models, keep, rep1=False) -> Callable[[Batches], Batches]:
     return run
 
 
+class _Counts:
+    """How often each code came, kept sorted and short."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(np.unique(codes, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if len(self.parts) > 64 and self.size > 4 * len(self.parts[0][0]):
+            self.parts = [self.total()]
+            self.size = len(self.parts[0][0])
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, inverse = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in self.parts])).astype(np.int64)
+
+
+def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
+    """How many points of a partition share ``label``, the positions of the two
+    nearest representatives and the number of ``steps`` below either distance:
+    ``run_id, [label], place1, place2, bin1, bin2, n``. What leaves the task
+    depends on the kinds of points, not on their number. ``models`` as for
+    ``nearest_two``; place2 is -1 where there is one representative only."""
+    edges, levels = np.array(steps, float), len(steps) + 1
+
+    def run(batches: Batches) -> Batches:
+        found, names, kind = [_Counts() for _ in models], {}, pa.null()
+        for batch in batches:
+            code = None
+            if label is not None:
+                column = batch.column(label).dictionary_encode()
+                kind = column.dictionary.type
+                own = [names.setdefault(v, len(names)) for v in column.dictionary.to_pylist()]
+                own.append(names.setdefault(None, len(names)) if column.null_count else -1)
+                code = np.array(own)[column.indices.fill_null(len(own) - 1).to_numpy()]
+            columns = _columns(batch, dims)
+            for start in range(0, batch.num_rows, STEP):
+                xs = [c[start : start + STEP] for c in columns]
+                for counts, (_, centres, spreads, _) in zip(found, models):
+                    i1, d1, i2, d2 = _two(xs, centres, spreads)
+                    key = 0 if code is None else code[start : start + STEP]
+                    for part, size in ((i1, len(centres)), (i2 + 1, len(centres) + 1)):
+                        key = key * size + part
+                    for part in (d1, d2):
+                        key = key * levels + np.searchsorted(edges, part)
+                    counts.add(key)
+        values = list(names)
+        for counts, (run_id, centres, *_) in zip(found, models):
+            if not counts.parts:
+                continue
+            key, n = counts.total()
+            columns = []
+            for size in (levels, levels, len(centres) + 1, len(centres)):
+                key, rest = key // size, key % size
+                columns.append(rest)
+            bin2, bin1, place2, place1 = columns
+            out = {"run_id": np.full(len(n), run_id, "int64")}
+            if label is not None:
+                out[label] = pa.array([values[i] for i in key], kind)
+            out |= {"place1": place1, "place2": place2 - 1, "bin1": bin1, "bin2": bin2, "n": n}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
+
+    return run
+
+
 def _top(order, m):
     gap, ids, *_ = order
     best = np.lexsort((ids, -gap))[:m]

@@ -15,6 +15,7 @@ from itertools import groupby
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import MAX_MODEL_ROWS, EvolveConfig
 from ..runtime import bounded_rows, model_table
@@ -54,6 +55,49 @@ def nearest_reps(
     return narrow.mapInArrow(kernel, schema)
 
 
+def counted_kinds(
+    points: DataFrame, models: list[tuple], cfg: EvolveConfig, steps: Sequence[float], label: str | None = None
+) -> DataFrame:
+    """``run_id, [label], place1, place2, bin1, bin2, n``: points counted in the
+    tasks by their two nearest representatives and the number of ``steps``
+    below either distance, then over all tasks."""
+    named = [label] if label else []
+    schema = points.select(*named).schema
+    for name in ("place1", "place2", "bin1", "bin2", "n"):
+        schema = schema.add(name, "long")
+    schema.fields.insert(0, StructField("run_id", LongType()))
+    schema = StructType(schema.fields)
+    kernel = kernels.count_two(list(cfg.dims), models, list(steps), label)
+    counts = points.select(*dict.fromkeys([*named, *cfg.dims])).mapInArrow(kernel, schema)
+    keys = [c for c in counts.columns if c != "n"]
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def labelled_kinds(
+    points: DataFrame, models: list[tuple], cfg: EvolveConfig, label: str | None = None
+) -> DataFrame:
+    """``run_id, [label], cluster, alt, n`` as ``kinds`` has them."""
+    rows = [(run, place, int(x)) for run, *_, labels in models for place, x in enumerate(labels)]
+    of_place = F.broadcast(model_table(points.sparkSession, rows, "run_id bigint, place bigint, label_of bigint"))
+    counts = counted_kinds(points, models, cfg, [float(cfg.delta3)], label)
+    if cfg.second == "rep1":
+        # the second one's place is fixed, where there is one
+        counts = counts.withColumn("place2", F.expr("if(place2 < 0, place2, 1L)"))
+    first = of_place.selectExpr("run_id", "place AS place1", "label_of AS first")
+    second = of_place.selectExpr("run_id", "place AS place2", "label_of AS second")
+    named = [label] if label else []
+    return (
+        counts.join(F.broadcast(first), ["run_id", "place1"])
+        .join(F.broadcast(second), ["run_id", "place2"], "left")
+        .selectExpr(
+            "run_id", *named, "if(bin1 = 0, first, 0L) AS cluster",
+            "if(bin2 = 0, coalesce(second, -1L), -1L) AS alt", "n",
+        )
+        .groupBy("run_id", *named, "cluster", "alt")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def kinds(near: DataFrame, cfg: EvolveConfig, keep: Sequence[str]) -> DataFrame:
     """``cluster``: nearest label within ``delta3``, else 0 for an outlier;
     ``alt``: second label within ``delta3``, else -1."""
@@ -99,11 +143,11 @@ def move_small(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def final_numbers(near: DataFrame, models: list[tuple]) -> DataFrame:
-    """``run_id, cluster, alt, final, is_outlier``: final cluster numbers are
-    1.. in the order of the labels left in the run, outliers included."""
-    counts = near.groupBy("run_id", "cluster", "alt").agg(F.count(F.lit(1)).alias("n"))
-    facts = F.broadcast(model_facts(near.sparkSession, models))
+def final_numbers(counts: DataFrame, models: list[tuple]) -> DataFrame:
+    """``run_id, cluster, alt, final, is_outlier`` of ``labelled_kinds``: final
+    cluster numbers are 1.. in the order of the labels left in the run, outliers
+    included."""
+    facts = F.broadcast(model_facts(counts.sparkSession, models))
     return move_small(counts.join(facts, "run_id"), ["run_id"]).selectExpr(
         "run_id",
         "cluster",
@@ -120,9 +164,7 @@ def assign(
     models = rep_models(reps, len(cfg.dims))
     keep = list(dict.fromkeys(["point_id", *keep]))
     near = kinds(nearest_reps(points, models, cfg, keep), cfg, keep)
-    numbers = final_numbers(
-        kinds(nearest_reps(points, models, cfg, []), cfg, []), models
-    )
+    numbers = final_numbers(labelled_kinds(points, models, cfg), models)
     size = sum((len(set(labels.tolist())) + 1) ** 2 for *_, labels in models)
     if size <= BROADCAST_KINDS:
         numbers = F.broadcast(numbers)
@@ -137,8 +179,7 @@ def assignment_cells(
     """``run_id, label, cluster, n`` after all moves: the contingency table of
     an assignment without writing the assignment, in one pass."""
     models = rep_models(reps, len(cfg.dims))
-    near = kinds(nearest_reps(points, models, cfg, [label]), cfg, [label])
-    counts = near.groupBy("run_id", label, "cluster", "alt").agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled_kinds(points, models, cfg, label)
     facts = F.broadcast(model_facts(points.sparkSession, models))
     moved = move_small(counts.join(facts, "run_id"), ["run_id"])
     return moved.groupBy("run_id", F.col(label).alias("label"), F.col("moved").alias("cluster")).agg(

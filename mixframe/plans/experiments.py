@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EvolveConfig
-from ..operators.assignment import move_small, nearest_reps, rep_models
+from ..operators.assignment import counted_kinds, move_small, rep_models
 from ..operators.fitness import fitness, model_arrays
 from ..operators.leaders import lead, refine_with, reps_frame, reps_schema
 from ..operators.metrics import SCORES, cluster_scores, scores
@@ -93,14 +93,7 @@ def _scores_of_sets(
     models = rep_models(reps.join(F.broadcast(kept), "run_id", "left_semi"), len(cfg.dims))
     places = [(run, c, s, np.arange(len(c))) for run, c, s, _ in models]
 
-    def step_of(distance: str) -> str:
-        return " + ".join(f"int({distance} > {v!r}D)" for v in steps)
-
-    near = nearest_reps(points, places, cfg, [label]).selectExpr(
-        "run_id AS geometry_id", f"{label} AS label", "label1 AS place1", "label2 AS place2",
-        f"{step_of('d1')} AS bin1", f"{step_of('d2')} AS bin2",
-    )
-    counts = near.groupBy(*near.columns).agg(F.count(F.lit(1)).alias("n"))
+    counts = counted_kinds(points, places, cfg, steps, label).withColumnsRenamed({"run_id": "geometry_id", label: "label"})
     wanted = trials.join(shared, "set_id")
     cases = wanted.drop("trial", "set_id").dropDuplicates(["labelled_id", "step"])
     case = ["labelled_id", "step"]
