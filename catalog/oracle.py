@@ -13,6 +13,18 @@ from . import points as src
 
 CFG = src.EVENTS_CFG
 P, D = "c0 c1 s0 s1".split(), ("x0", "x1")
+# All components of the embeddings.
+WIDTH = 64
+ALL = tuple(f"x{k}" for k in range(WIDTH))
+
+
+def parts(cfg: EvolveConfig) -> list[str]:
+    return cfg.centre_cols + cfg.spread_cols
+
+
+def product(cfg: EvolveConfig) -> str:
+    """SQL for the square root of the product of the spreads."""
+    return "sqrt(" + " * ".join(cfg.spread_cols) + ")"
 
 
 def num(value: float) -> str:
@@ -93,15 +105,15 @@ def extent(source: str, dims=D) -> str:
     return f"SELECT count(*) AS n, {cols} FROM {source}"
 
 
-def scaled(sql: str, name: str = "pts", columns: str = "point_id, label"):
+def scaled(sql: str, name: str = "pts", columns: str = "point_id, label", dims=D):
     """``name``: the source min-max scaled; ``name_ext``: its extent after that."""
 
     def step(chain: Chain):
-        chain.add(f"{name}_raw", sql).add(f"{name}_was", extent(f"{name}_raw"))
-        cols = ", ".join(f"(p.{d} - w.min_{d}) / (w.max_{d} - w.min_{d}) AS {d}" for d in D)
+        chain.add(f"{name}_raw", sql).add(f"{name}_was", extent(f"{name}_raw", dims))
+        cols = ", ".join(f"(p.{d} - w.min_{d}) / (w.max_{d} - w.min_{d}) AS {d}" for d in dims)
         lead = f"{columns}, " if columns else ""
         chain.add(name, f"SELECT {lead}{cols} FROM {name}_raw p, {name}_was w")
-        chain.add(f"{name}_ext", extent(name))
+        chain.add(f"{name}_ext", extent(name, dims))
 
     return step
 
@@ -124,16 +136,17 @@ def first(cfg: EvolveConfig = CFG, pts: str = "pts", ext: str = "pts_ext", name:
         hashed = f"md5(concat_ws('|', {cfg.seed}, 'point', point_id))"
         chain.add(
             f"{name}_ranked",
-            f"SELECT row_number() OVER (ORDER BY {hashed}, point_id) AS pick, x0, x1 FROM {pts}",
+            f"SELECT row_number() OVER (ORDER BY {hashed}, point_id) AS pick, {', '.join(cfg.dims)} FROM {pts}",
         )
         spreads = ", ".join(
             f"{num(cfg.eps)} + {u(cfg.seed, 'run_id', 0, chr(39) + 'spread' + chr(39), 'id', k)} "
             f"* ((max_{d} - min_{d}) / {num(cfg.beta)}) AS s{k}"
-            for k, d in enumerate(D)
+            for k, d in enumerate(cfg.dims)
         )
+        centres = ", ".join(f"{d} AS c{k}" for k, d in enumerate(cfg.dims))
         chain.add(
             name,
-            f"SELECT run_id, id, x0 AS c0, x1 AS c1, {spreads} "
+            f"SELECT run_id, id, {centres}, {spreads} "
             f"FROM {name}_slots JOIN {name}_ranked USING (pick), {ext}",
         )
 
@@ -178,7 +191,7 @@ def varied(cfg: EvolveConfig, gen: int, pop: str, name: str):
     def step(chain: Chain):
         partners(cfg, gen, pop, f"{name}_partners")(chain)
         cols = []
-        for p in P:
+        for p in parts(cfg):
             chance = u(cfg.seed, "o.run_id", gen, "'mutate'", "o.id", f"'{p}'")
             mutated = f"m3.{p} + {num(cfg.weight)} * (m1.{p} - m2.{p})"
             value = f"CASE WHEN {chance} < {num(cfg.crossover)} THEN {mutated} ELSE o.{p} END"
@@ -201,36 +214,36 @@ def rated(pop: str, pts: str, name: str, cfg: EvolveConfig = CFG, key: str = "id
     def step(chain: Chain):
         chain.add(
             f"{name}_sum",
-            f"SELECT run_id, {key}, sum(exp({num(-0.5)} * {d2('m.', 'p.', 'm.', bx='x')})) AS kernel "
+            f"SELECT run_id, {key}, sum(exp({num(-0.5)} * {d2('m.', 'p.', 'm.', len(cfg.dims), 'x')})) AS kernel "
             f"FROM {pts} p, {pop} m GROUP BY run_id, {key}",
         )
         chain.add(
             name,
-            f"SELECT m.*, kernel / (sqrt(s0 * s1) * {size or cfg.pop_size}) AS fitness "
+            f"SELECT m.*, kernel / ({product(cfg)} * {size or cfg.pop_size}) AS fitness "
             f"FROM {pop} m JOIN {name}_sum USING (run_id, {key})",
         )
 
     return step
 
 
-def nearest(left: str, right: str, name: str):
+def nearest(left: str, right: str, name: str, dims: int = 2):
     """Nearest ``right`` per ``left``, in the spread of ``left``."""
 
     def step(chain: Chain):
         chain.add(
             name,
             "SELECT run_id, id, match_id, distance FROM (SELECT a.run_id, a.id, b.id AS match_id, "
-            f"{d2('a.', 'b.', 'a.')} AS distance, row_number() OVER (PARTITION BY a.run_id, a.id "
-            f"ORDER BY {d2('a.', 'b.', 'a.')}, b.id) AS place "
+            f"{d2('a.', 'b.', 'a.', dims)} AS distance, row_number() OVER (PARTITION BY a.run_id, a.id "
+            f"ORDER BY {d2('a.', 'b.', 'a.', dims)}, b.id) AS place "
             f"FROM {left} a JOIN {right} b ON a.run_id = b.run_id) WHERE place = 1",
         )
 
     return step
 
 
-def survivors(parents: str, children: str, name: str, mode: str, slot: str = "self"):
+def survivors(parents: str, children: str, name: str, mode: str, slot: str = "self", cfg: EvolveConfig = CFG):
     """Next population from two rated ones."""
-    body = [*P, "fitness"]
+    body, dims = [*parts(cfg), "fitness"], len(cfg.dims)
 
     def pick(test: str, child: str = "c") -> str:
         return ", ".join(f"CASE WHEN {test} THEN {child}.{b} ELSE p.{b} END AS {b}" for b in body)
@@ -243,7 +256,7 @@ def survivors(parents: str, children: str, name: str, mode: str, slot: str = "se
                 f"JOIN {children} c USING (run_id, id)",
             )
         elif mode == "nearest_child":
-            nearest(parents, children, f"{name}_near")(chain)
+            nearest(parents, children, f"{name}_near", dims)(chain)
             chain.add(
                 name,
                 f"SELECT p.run_id, p.id, {pick('NOT p.fitness > c.fitness')} FROM {parents} p "
@@ -251,7 +264,7 @@ def survivors(parents: str, children: str, name: str, mode: str, slot: str = "se
                 f"JOIN {children} c ON c.run_id = p.run_id AND c.id = m.match_id",
             )
         else:
-            nearest(children, parents, f"{name}_near")(chain)
+            nearest(children, parents, f"{name}_near", dims)(chain)
             target = "c.id" if slot == "self" else "m.match_id"
             chain.add(
                 f"{name}_won",
@@ -278,7 +291,7 @@ def evolved(cfg: EvolveConfig, name: str = "final", pts: str = "pts"):
         for g in range(1, cfg.generations + 1):
             varied(cfg, g, f"gen{g - 1}", f"kids{g}")(chain)
             rated(f"kids{g}", pts, f"rkids{g}", cfg)(chain)
-            survivors(f"gen{g - 1}", f"rkids{g}", f"gen{g}", cfg.selection, cfg.slot)(chain)
+            survivors(f"gen{g - 1}", f"rkids{g}", f"gen{g}", cfg.selection, cfg.slot, cfg)(chain)
         chain.add(name, f"SELECT * FROM gen{cfg.generations}")
 
     return step
@@ -291,32 +304,28 @@ def led(pop: str, name: str = "reps", settings: str | None = None, cfg: EvolveCo
     """Leaders of every run of ``pop`` as a recursive fold over lists. With
     ``settings`` (``set_id, delta1, delta2``) one fold per setting over the one
     run there is; ``run_id`` is then the setting."""
+    names = parts(cfg)
 
     def step(chain: Chain):
         if settings is None:
             chain.add(
                 f"{name}_in",
                 f"SELECT run_id, id, {num(cfg.delta1)} AS d1, {num(cfg.delta2)} AS d2, "
-                f"c0, c1, s0, s1 FROM {pop}",
+                f"{', '.join(names)} FROM {pop}",
             )
         else:
             chain.add(
                 f"{name}_in",
-                f"SELECT set_id AS run_id, id, delta1 AS d1, delta2 AS d2, c0, c1, s0, s1 "
+                f"SELECT set_id AS run_id, id, delta1 AS d1, delta2 AS d2, {', '.join(names)} "
                 f"FROM {pop}, {settings}",
             )
-        entry = "{label: %s, c0: %s, c1: %s, s0: %s, s1: %s}"
-        own = entry % ("CAST(1 AS BIGINT)", "c0", "c1", "s0", "s1")
-        merged = entry % (
-            "fresh",
-            "(c0 + near.c0) / 2",
-            "(c1 + near.c1) / 2",
-            "greatest(s0, near.s0)",
-            "greatest(s1, near.s1)",
-        )
-        alone = entry % ("fresh", "c0", "c1", "s0", "s1")
-        same = entry % ("near.label", "c0", "c1", "s0", "s1")
-        gap = d2("m.", "z.", "z.")
+        def entry(label: str, values: list[str]) -> str:
+            return "{label: " + label + ", " + ", ".join(f"{n}: {v}" for n, v in zip(names, values)) + "}"
+
+        own = entry("CAST(1 AS BIGINT)", names)
+        merged = entry("fresh", [f"({n} + near.{n}) / 2" if n in cfg.centre_cols else f"greatest({n}, near.{n})" for n in names])
+        alone, same = entry("fresh", names), entry("near.label", names)
+        gap = d2("m.", "z.", "z.", len(cfg.dims))
         chain.add(
             f"{name}_fold",
             f"SELECT run_id, CAST(0 AS BIGINT) AS i, [{own}] AS reps, CAST(2 AS BIGINT) AS fresh "
@@ -329,7 +338,7 @@ def led(pop: str, name: str = "reps", settings: str | None = None, cfg: EvolveCo
             "CASE WHEN share <= d1 OR own <= d1 OR (share > d2 AND own > d2) "
             "THEN fresh + 1 ELSE fresh END FROM ("
             "SELECT *, CASE WHEN total > 0 THEN gaps[pos] / total END AS share, "
-            + d2("", "near.", "")
+            + d2("", "near.", "", len(cfg.dims))
             + " AS own FROM (SELECT *, reps[pos] AS near, list_sum(gaps) AS total FROM ("
             "SELECT *, list_position(gaps, list_min(gaps)) AS pos FROM ("
             f"SELECT f.run_id, f.i, f.reps, f.fresh, m.* EXCLUDE (run_id, id), "
@@ -342,8 +351,7 @@ def led(pop: str, name: str = "reps", settings: str | None = None, cfg: EvolveCo
         )
         chain.add(
             name,
-            "SELECT run_id, rep_id, e.label AS label, e.c0 AS c0, e.c1 AS c1, e.s0 AS s0, "
-            "e.s1 AS s1 FROM (SELECT run_id, unnest(reps) AS e, "
+            f"SELECT run_id, rep_id, e.label AS label, {', '.join(f'e.{n} AS {n}' for n in names)} FROM (SELECT run_id, unnest(reps) AS e, "
             f"CAST(unnest(range(len(reps))) AS BIGINT) AS rep_id FROM {name}_last)",
         )
 
@@ -356,7 +364,7 @@ def refined(pts: str, name: str = "refs", reps: str = "reps", settings: str | No
 
     def step(chain: Chain):
         rated(reps, pts, f"{name}_fit", cfg, key="rep_id", size="1")(chain)
-        limit = num(cfg.delta2) if settings is None else "t.delta2"
+        limit, dims = num(cfg.delta2) if settings is None else "t.delta2", len(cfg.dims)
         join = "" if settings is None else f"JOIN {settings} t ON t.set_id = a.run_id "
         chain.add(
             f"{name}_pairs",
@@ -364,7 +372,7 @@ def refined(pts: str, name: str = "refs", reps: str = "reps", settings: str | No
             "count(*) OVER (PARTITION BY run_id) AS n_pairs, i, j, wins FROM ("
             "SELECT a.run_id, a.rep_id + 1 AS i, b.rep_id + 1 AS j, a.fitness > b.fitness AS wins "
             f"FROM {name}_fit a JOIN {name}_fit b ON a.run_id = b.run_id AND a.rep_id < b.rep_id "
-            f"{join}WHERE least({d2('a.', 'b.', 'a.')}, {d2('a.', 'b.', 'b.')}) <= {limit})",
+            f"{join}WHERE least({d2('a.', 'b.', 'a.', dims)}, {d2('a.', 'b.', 'b.', dims)}) <= {limit})",
         )
         chain.add(
             f"{name}_fold",
@@ -384,7 +392,7 @@ def refined(pts: str, name: str = "refs", reps: str = "reps", settings: str | No
         )
         chain.add(
             name,
-            "SELECT a.run_id, a.rep_id, l.labels[a.rep_id + 1] AS label, a.c0, a.c1, a.s0, a.s1 "
+            f"SELECT a.run_id, a.rep_id, l.labels[a.rep_id + 1] AS label, {', '.join(f'a.{n}' for n in parts(cfg))} "
             f"FROM {reps} a JOIN {name}_last l USING (run_id)",
         )
 
@@ -402,7 +410,7 @@ def classified(pts: str, reps: str, name: str = "near", cfg: EvolveConfig = CFG,
         chain.add(
             f"{name}_two",
             f"SELECT run_id, {columns}, min_by(e, e, 2) AS two FROM ("
-            f"SELECT r.run_id, {wanted}, {{d: {d2('r.', 'p.', 'r.', bx='x')}, pos: r.rep_id, "
+            f"SELECT r.run_id, {wanted}, {{d: {d2('r.', 'p.', 'r.', len(cfg.dims), 'x')}, pos: r.rep_id, "
             f"label: r.label}} AS e FROM {pts} p, {reps} r) GROUP BY run_id, {columns}",
         )
         alt = "two[2].label"
@@ -540,26 +548,28 @@ def _generation(*steps) -> Chain:
 
 
 def _farthest() -> str:
+    """Farthest-first of two runs over points as lists."""
     cfg = src.FARTHEST_CFG
-    dims = cfg.dims
-    chain = Chain().add("pts", embeddings(4))
-    lowest = "(SELECT * FROM pts ORDER BY md5(concat_ws('|', %d, 0, 0, 'first', point_id)), point_id LIMIT 1)"
-    chain.add("k0", f"SELECT 0 AS id, p.* FROM {lowest % cfg.seed} p")
+    chain = Chain().add("pts", WIDE_POINTS).add("runs", f"SELECT CAST(i AS BIGINT) AS run_id FROM range({cfg.runs}) t(i)")
+    hashed = f"md5(concat_ws('|', {cfg.seed}, run_id, 0, 'first', point_id))"
+    chain.add(
+        "k0",
+        f"SELECT run_id, 0 AS id, e.x AS x FROM (SELECT run_id, min({{h: {hashed}, id: point_id, x: x}}) AS e FROM pts, runs GROUP BY run_id)",
+    )
+    gap = GAP.format(a="p.x", b="c.x")
     for k in range(1, cfg.pop_size):
-        chosen = " UNION ".join(f"SELECT * FROM k{j}" for j in range(k))
-        gap = " + ".join(f"(p.{d} - c.{d}) * (p.{d} - c.{d})" for d in dims)
+        chosen = " UNION ALL ".join(f"SELECT run_id, x FROM k{j}" for j in range(k))
         chain.add(
             f"g{k}",
-            f"SELECT p.point_id, min({gap}) AS gap FROM pts p, (SELECT * FROM ({chosen})) c GROUP BY p.point_id",
+            f"SELECT c.run_id, p.point_id, any_value(p.x) AS x, min({gap}) AS gap FROM pts p, ({chosen}) c GROUP BY c.run_id, p.point_id",
         )
         chain.add(
             f"k{k}",
-            f"SELECT {k} AS id, p.* FROM pts p JOIN (SELECT * FROM g{k} ORDER BY gap DESC, point_id LIMIT 1) USING (point_id)",
+            f"SELECT run_id, {k} AS id, e.x AS x FROM (SELECT run_id, max({{gap: gap, id: -point_id, x: x}}) AS e FROM g{k} GROUP BY run_id)",
         )
     rows = " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(cfg.pop_size))
-    cols = ", ".join(r(d, f"c{k}") for k, d in enumerate(dims))
-    body = ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in chain.ctes)
-    return f"WITH {body} SELECT CAST(0 AS BIGINT) AS run_id, CAST(id AS BIGINT) AS id, {cols} FROM ({rows})"
+    cols = ", ".join(r(f"x[{k + 1}]", f"c{k}") for k in range(WIDTH))
+    return chain.select(f"SELECT run_id, CAST(id AS BIGINT) AS id, {cols} FROM ({rows})")
 
 
 def _mixture() -> Chain:
@@ -870,8 +880,8 @@ def _replicates() -> Chain:
 
 
 def _search() -> Chain:
-    cfg = src.SEARCH_CFG
-    chain = Chain(scaled(embeddings(2)), first(cfg), evolved(cfg))
+    cfg = src.SEARCH_CFG.with_(dims=ALL)
+    chain = Chain(scaled(embeddings(WIDTH), dims=ALL), first(cfg), evolved(cfg))
     step = num(0.05)
     chain.add(
         "trials",
@@ -880,12 +890,12 @@ def _search() -> Chain:
         "range(1, 21) z(c) WHERE a < b AND b < c",
     )
     chain.add("sets", "SELECT DISTINCT set_id, delta1, delta2 FROM trials")
-    led("final", "reps", "sets")(chain)
+    led("final", "reps", "sets", cfg)(chain)
     refined("pts", "refs", "reps", "sets", cfg)(chain)
     chain.add(
         "two",
         "SELECT run_id, point_id, label, min_by(e, e, 2) AS two FROM (SELECT r.run_id, p.point_id, p.label, "
-        f"{{d: {d2('r.', 'p.', 'r.', bx='x')}, pos: r.rep_id, label: r.label}} AS e FROM pts p, refs r) "
+        f"{{d: {d2('r.', 'p.', 'r.', WIDTH, 'x')}, pos: r.rep_id, label: r.label}} AS e FROM pts p, refs r) "
         "GROUP BY run_id, point_id, label",
     )
     chain.add(
@@ -903,12 +913,12 @@ def _search() -> Chain:
 def oracle() -> dict[str, str]:
     two_runs = CFG.with_(runs=2)
     sampled = CFG.with_(runs=2, sample_fraction=src.SAMPLE_FRACTION)
-    five = CFG.with_(pop_size=5)
+    five = src.NEAREST_CFG.with_(dims=ALL)
     base = Chain(SCALED, first())
     led_chain = Chain(SCALED, first(), led("pop0"))
     near_cols = "point_id, label"
     out = {
-        "points_split": f"SELECT point_id, {rounds(['x0', 'x1', 'x2', 'x3'])}, label FROM ({embeddings(4)})",
+        "points_split": f"SELECT point_id, {rounds(ALL)}, label FROM ({embeddings(WIDTH)})",
         "delimited_scan": (
             "SELECT CAST(substr(p_brand, 7) AS INTEGER) AS label, count(*) AS n, "
             "CAST(sum(p_size) AS DOUBLE) AS sum_size, round(avg(p_retailprice), 4) AS avg_price "
@@ -933,9 +943,9 @@ def oracle() -> dict[str, str]:
         "init_farthest": _farthest(),
         "partners": Chain(SCALED, first(), partners(CFG, 1, "pop0", "q")).select("SELECT * FROM q"),
         "vary": Chain(SCALED, first(), varied(CFG, 1, "pop0", "kids")).select(_population("kids")),
-        "point_distance": Chain(scaled(embeddings(2)), first(five)).select(
-            f"SELECT point_id, run_id, id, {r('distance', 'distance')} FROM (SELECT p.point_id, m.run_id, m.id, "
-            f"{d2('m.', 'p.', 'm.', bx='x')} AS distance FROM pts p, pop0 m) "
+        "point_distance": Chain(scaled(embeddings(WIDTH), dims=ALL), first(five)).select(
+            f"SELECT point_id, run_id, id, {r('distance', 'distance', 3)} FROM (SELECT p.point_id, m.run_id, m.id, "
+            f"{d2('m.', 'p.', 'm.', WIDTH, 'x')} AS distance FROM pts p, pop0 m) "
             "QUALIFY row_number() OVER (PARTITION BY point_id, run_id ORDER BY distance, id) <= 3"
         ),
         "population_distance": Chain(SCALED, first(), varied(CFG, 1, "pop0", "kids")).select(

@@ -14,8 +14,10 @@ RETURN_FLAGS = ("A", "N", "R")
 
 EVENTS_CFG = EvolveConfig(dims=DIMS, pop_size=20, generations=3, crossover=0.5, seed=11)
 FITNESS_CFG = EvolveConfig(dims=DIMS, pop_size=40, seed=7)
-FARTHEST_CFG = EvolveConfig(dims=("x0", "x1", "x2", "x3"), pop_size=8, init="farthest", seed=5)
-SEARCH_CFG = EvolveConfig(dims=DIMS, pop_size=12, generations=1, seed=3)
+FARTHEST_CFG = EvolveConfig(pop_size=8, init="farthest", runs=2, seed=5)
+# In 64 dimensions all but the widest Gaussians are far from every point.
+SEARCH_CFG = EvolveConfig(pop_size=12, seed=3, beta=0.05)
+NEAREST_CFG = EvolveConfig(pop_size=5, seed=11)
 SEQUENTIAL_CFG = EvolveConfig.sequential(dims=DIMS, generations=2, seed=13)
 REPLICATES, REPLICATES_CFG = 20, EvolveConfig(dims=DIMS, seed=11)
 START_K, START_SEED = 3, 7
@@ -49,11 +51,12 @@ def all_dims(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     return tuple(f"x{k}" for k in range(width or 0))
 
 
-def embeddings(spark: SparkSession, sf_dir: str, n_dims: int = 2) -> DataFrame:
-    """The first ``n_dims`` components as points; ``len(all_dims(..))`` is all of them."""
-    parts = [F.col("embedding")[k] for k in range(n_dims)]
+def embeddings(spark: SparkSession, sf_dir: str) -> tuple[tuple[str, ...], DataFrame]:
+    """Names of all components of the embeddings, and these as points."""
+    dims = all_dims(spark, sf_dir)
+    parts = [f"CAST(embedding[{k}] AS DOUBLE) AS {d}" for k, d in enumerate(dims)]
     source = table(spark, sf_dir, "embeddings")
-    return as_points(source, parts, F.col("label").cast("bigint"), "vec_id")
+    return dims, source.selectExpr("vec_id AS point_id", *parts, "CAST(label AS BIGINT) AS label")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

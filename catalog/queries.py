@@ -40,8 +40,8 @@ def per_point(df: DataFrame, n: int) -> DataFrame:
 
 
 def points_split(spark, sf):
-    names = [f"x{k}" for k in range(4)]
-    return rounded(src.embeddings(spark, sf, 4), *names)
+    dims, pts = src.embeddings(spark, sf)
+    return rounded(pts, *dims)
 
 
 def delimited_scan(spark, sf):
@@ -111,8 +111,8 @@ def init_sampled(spark, sf):
 
 
 def init_farthest(spark, sf):
-    cfg = src.FARTHEST_CFG
-    pts = src.embeddings(spark, sf, 4)
+    dims, pts = src.embeddings(spark, sf)
+    cfg = src.FARTHEST_CFG.with_(dims=dims)
     return rounded(mf.init_population(pts, cfg).select("run_id", "id", *cfg.centre_cols), *cfg.centre_cols)
 
 
@@ -140,10 +140,10 @@ def rated_generation(spark, sf) -> tuple[int, DataFrame, DataFrame, DataFrame]:
 
 def point_distance(spark, sf):
     """The three members of a first population of five nearest to each embedding."""
-    cfg = CFG.with_(pop_size=5)
-    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
+    dims, pts = _whole_embeddings(spark, sf)
+    cfg = src.NEAREST_CFG.with_(dims=dims)
     table = mf.point_distances(pts, mf.init_population(pts, cfg), cfg, nearest=3)
-    return rounded(table, "distance")
+    return rounded(table, "distance", digits=3)
 
 
 def population_distance(spark, sf):
@@ -305,10 +305,12 @@ def compare_algorithms(spark, sf):
 
 
 def _search(spark, sf) -> DataFrame:
-    cfg = src.SEARCH_CFG
-    pts = mf.minmax_scale(src.embeddings(spark, sf), src.DIMS)
-    snapshot = cut_model(mf.evolve(pts, cfg).select("run_id", "id", *BODY))
-    return mf.delta_search(pts, snapshot, cfg)
+    """The population goes through a snapshot, as between two sessions."""
+    dims, pts = _whole_embeddings(spark, sf)
+    cfg = src.SEARCH_CFG.with_(dims=dims)
+    folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    mf.write_population(mf.evolve(pts, cfg).select("run_id", "id", *cfg.centre_cols, *cfg.spread_cols), folder)
+    return mf.delta_search(pts, mf.read_population(spark, folder), cfg)
 
 
 def delta_search(spark, sf):
@@ -414,8 +416,8 @@ def component_ellipse(spark, sf):
 
 def _whole_embeddings(spark, sf) -> tuple[tuple[str, ...], DataFrame]:
     """All components of the embeddings: their names and the scaled points."""
-    dims = src.all_dims(spark, sf)
-    return dims, mf.minmax_scale(src.embeddings(spark, sf, len(dims)), dims)
+    dims, pts = src.embeddings(spark, sf)
+    return dims, mf.minmax_scale(pts, dims)
 
 
 def gmm_fit_predict(spark, sf):

@@ -445,49 +445,57 @@ def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
     return run
 
 
-def _top(order, m):
-    gap, ids, *_ = order
+def _farthest(gap: np.ndarray, ids: np.ndarray, at: np.ndarray, m: int):
     best = np.lexsort((ids, -gap))[:m]
-    return [c[best] for c in order]
+    return gap[best], ids[best], at[best]
 
 
-def farthest_points(dims, centres: np.ndarray, m: int) -> Callable[[Batches], Batches]:
-    """Per partition: the ``m`` points farthest from their closest centre, as
-    ``(gap, point_id, dims)`` with squared gaps; equal gaps by lower id."""
+def _farthest_rows(found: dict) -> Batches:
+    """Rows ``key, gaps, ids, at``, the coordinates one point after another."""
+    if found:
+        columns = [pa.array(list(found), pa.int64())]
+        for k, kind in enumerate((pa.float64(), pa.int64(), pa.float64())):
+            columns.append(pa.array([f[k].ravel() for f in found.values()], pa.list_(kind)))
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "gaps", "ids", "at"])
+
+
+def farthest_points(dims, centres: dict[int, np.ndarray], m: int) -> Callable[[Batches], Batches]:
+    """Per partition and run the ``m`` points farthest from their closest
+    centre, with squared gaps; equal gaps by lower id."""
 
     def run(batches: Batches) -> Batches:
-        best = None
+        best: dict[int, tuple] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, *columns = _columns(batch, ["point_id", *dims])
-            gap = np.full(len(ids), np.inf)
-            for centre in centres:
-                gap = np.minimum(gap, _sq_distance(columns, centre, np.ones(len(centre))))
-            rows = [gap, ids, *columns]
-            if best is not None:
-                rows = [np.concatenate(pair) for pair in zip(best, rows)]
-            best = _top(rows, m)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in best], names=["gap", "point_id", *dims]
-            )
+            at = np.column_stack(columns)
+            for key, own in centres.items():
+                gap = np.full(len(ids), np.inf)
+                for centre in own:
+                    gap = np.minimum(gap, _sq_distance(columns, centre, np.ones(len(centre))))
+                found = _farthest(gap, ids, at, m)
+                if key in best:
+                    found = _farthest(*(np.concatenate(x) for x in zip(best[key], found)), m)
+                best[key] = found
+        yield from _farthest_rows(best)
 
     return run
 
 
-def merge_farthest(dims, m: int) -> Callable[[Batches], Batches]:
+def merge_farthest(m: int) -> Callable[[Batches], Batches]:
     """Combine the outputs of ``farthest_points`` that share a partition."""
 
     def run(batches: Batches) -> Batches:
-        best = None
+        best: dict[int, tuple] = {}
         for batch in batches:
-            rows = _columns(batch, ["gap", "point_id", *dims])
-            if best is not None:
-                rows = [np.concatenate(pair) for pair in zip(best, rows)]
-            best = _top(rows, m)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in best], names=["gap", "point_id", *dims]
-            )
+            for key, *arrays in zip(batch.column("key").to_pylist(), *(batch.column(c) for c in ("gaps", "ids", "at"))):
+                gap, ids, at = (a.values.to_numpy() for a in arrays)
+                found = gap, ids, at.reshape(len(gap), -1)
+                if key in best:
+                    found = _farthest(*(np.concatenate(x) for x in zip(best[key], found)), m)
+                best[key] = found
+        yield from _farthest_rows(best)
 
     return run
 

@@ -123,9 +123,11 @@ def leaders(pop: DataFrame, cfg: EvolveConfig) -> DataFrame:
     return by_run(members, cfg.runs).groupBy("run_id").applyInPandas(fold, reps_schema(len(cfg.dims)))
 
 
-def refine_with(rated: DataFrame, cfg: EvolveConfig, delta2: str | float) -> DataFrame:
+def refine_with(
+    rated: DataFrame, cfg: EvolveConfig, delta2: str | float, runs: int | None = None
+) -> DataFrame:
     """Label refinement of representatives that carry ``log_fitness``; ``delta2``
-    is a number or the column that holds it."""
+    is a number or the column that holds it, ``runs`` how many there are."""
     centre_cols, spread_cols = cfg.centre_cols, cfg.spread_cols
     limit = F.col(delta2) if isinstance(delta2, str) else F.lit(float(delta2))
 
@@ -138,7 +140,8 @@ def refine_with(rated: DataFrame, cfg: EvolveConfig, delta2: str | float) -> Dat
         return reps_frame(pdf["run_id"].iloc[0], labels, at, width)
 
     wanted = ["run_id", "rep_id", "label", "log_fitness", *centre_cols, *spread_cols]
-    grouped = by_run(rated.select(*wanted, limit.alias("limit")), cfg.runs).groupBy("run_id")
+    dealt = by_run(rated.select(*wanted, limit.alias("limit")), cfg.runs if runs is None else runs)
+    grouped = dealt.groupBy("run_id")
     return grouped.applyInPandas(fold, reps_schema(len(cfg.dims)))
 
 

@@ -27,6 +27,7 @@ from .partials import task_sums
 COMPONENT_SCHEMA = (
     "run_id bigint, comp bigint, weight double, mean array<double>, cov array<array<double>>"
 )
+TASK_BYTES = 1 << 20  # of coordinates in a task of a loop
 REG = 1e-6  # added to the diagonal of every covariance
 
 
@@ -159,7 +160,7 @@ def kmeans_start(
     d = len(dims)
     unit = [np.eye(d)] * k
     rows: list[tuple] = []
-    with held(points, ["point_id", *dims]) as narrow, held_blocks(narrow, dims) as (blocks, tasks):
+    with held(points, ["point_id", *dims]) as narrow, held_blocks(narrow, dims, TASK_BYTES) as (blocks, tasks):
         centres = seed_centres(narrow, dims, k, seed, runs)
         for _ in range(turns):
             mixtures = [
@@ -183,7 +184,7 @@ def em_fit(
     active = {m[0]: m for m in _mixtures(start)}
     last = dict.fromkeys(active, -np.inf)
     done: dict[int, list] = {}
-    with held_blocks(points, dims) as (blocks, tasks):
+    with held_blocks(points, dims, TASK_BYTES) as (blocks, tasks):
         for turn in range(1, max_iter + 1):
             rows, logs = _step(blocks, list(active.values()), dims, reg, tasks=tasks)
             for run_id in list(active):

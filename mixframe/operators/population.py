@@ -22,8 +22,9 @@ from .scaling import domain
 # Farthest points fetched per pass; each pass then yields as many centres as
 # can be decided from them alone.
 CANDIDATES = 256
-# Above this many partitions the farthest points are merged in two steps.
-WIDE = 512
+# Above so many partitions the farthest points are merged in two steps, in one
+# step above so many.
+WIDE, NARROW = 64, 16
 
 
 def sample_points(points: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -78,60 +79,60 @@ def random_centres(points: DataFrame, cfg: EvolveConfig, n: int) -> DataFrame:
 
 
 def _farthest_candidates(
-    points: DataFrame, dims: Sequence[str], centres: np.ndarray, m: int
-) -> list[Row]:
-    fields = ", ".join(f"{d} double" for d in dims)
-    schema = f"gap double, point_id bigint, {fields}"
-    found = points.select("point_id", *dims).mapInArrow(
-        kernels.farthest_points(list(dims), centres, m), schema
-    )
+    points: DataFrame, dims: Sequence[str], centres: dict[int, np.ndarray], m: int
+) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per run the ``m`` farthest points: gaps, ids and coordinates. Arrays of
+    many tasks are merged on the cluster, and the driver sees one per run."""
+    schema = "key bigint, gaps array<double>, ids array<bigint>, at array<double>"
+    found = points.select("point_id", *dims).mapInArrow(kernels.farthest_points(list(dims), centres, m), schema)
     parts = found.rdd.getNumPartitions()
-    if parts > WIDE:
-        found = found.repartition(math.ceil(parts / WIDE)).mapInArrow(
-            kernels.merge_farthest(list(dims), m), schema
-        )
-    return found.orderBy(F.desc("gap"), "point_id").limit(m).collect()
-
-
-def _farthest_run(points: DataFrame, cfg: EvolveConfig, run: int) -> np.ndarray:
-    """Farthest-first traversal from one hashed point.
-
-    Each pass fetches the ``CANDIDATES`` farthest points. A point outside them
-    can only come closer, so as long as the best candidate still ranks at or
-    before the last one fetched, it is the overall best; otherwise scan again.
-    """
-    first = digest(cfg.seed, run, 0, "'first'", "point_id")
-    start = points.selectExpr(
-        f"min_by(struct({', '.join(cfg.dims)}), struct({first} AS h, point_id)) AS p"
-    ).first()["p"]
-    centres = [np.array([start[d] for d in cfg.dims], dtype=float)]
-    m = max(CANDIDATES, cfg.pop_size)
-    while len(centres) < cfg.pop_size:
-        rows = _farthest_candidates(points, cfg.dims, np.array(centres), m)
-        ids = np.array([r.point_id for r in rows])
-        at = np.array([[r[d] for d in cfg.dims] for r in rows], dtype=float)
-        gap = np.array([r.gap for r in rows])
-        last = (-gap[-1], ids[-1]) if len(rows) == m else (math.inf, 0)
-        while len(centres) < cfg.pop_size:
-            best = np.lexsort((ids, -gap))[0]
-            if (-gap[best], ids[best]) > last:
-                break
-            centres.append(at[best])
-            moved = 0.0
-            for k in range(at.shape[1]):
-                moved = moved + (at[:, k] - at[best, k]) ** 2
-            gap = np.minimum(gap, moved)
-    return np.array(centres)
+    for fewer in ([math.isqrt(parts)] if parts > WIDE else []) + ([1] if parts > NARROW else []):
+        found = found.repartition(fewer).mapInArrow(kernels.merge_farthest(m), schema)
+    best: dict[int, list[tuple]] = {}
+    for row in found.collect():
+        gap = np.array(row["gaps"])
+        best.setdefault(row["key"], []).append((gap, np.array(row["ids"]), np.array(row["at"]).reshape(len(gap), -1)))
+    out = {}
+    for run, several in best.items():
+        gap, ids, at = (np.concatenate(x) for x in zip(*several))
+        first = np.lexsort((ids, -gap))[:m]
+        out[run] = gap[first], ids[first], at[first]
+    return out
+
+
+def _more_centres(chosen: list[np.ndarray], found: tuple, size: int, m: int) -> None:
+    """Append what can be decided from the candidates alone: a point outside them
+    can only come closer, so as long as the best one still ranks at or before
+    the last one fetched, it is the overall best."""
+    gap, ids, at = found
+    last = (-gap[-1], ids[-1]) if len(gap) == m else (math.inf, 0)
+    while len(chosen) < size:
+        best = np.lexsort((ids, -gap))[0]
+        if (-gap[best], ids[best]) > last:
+            return
+        chosen.append(at[best])
+        moved = 0.0
+        for k in range(at.shape[1]):
+            moved = moved + (at[:, k] - at[best, k]) ** 2
+        gap = np.minimum(gap, moved)
 
 
 def farthest_centres(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
     """First a random point, then always the point whose nearest chosen centre
-    is farthest away (lowest id on ties)."""
-    rows = [
-        (run, i, *map(float, centre))
+    is farthest away (lowest id on ties). Each pass fetches the ``CANDIDATES``
+    farthest points of every run that is not complete."""
+    here = f"struct({', '.join(cfg.dims)})"
+    firsts = [
+        f"min_by({here}, struct({digest(cfg.seed, run, 0, chr(39) + 'first' + chr(39), 'point_id')} AS h, point_id)) AS r{run}"
         for run in range(cfg.runs)
-        for i, centre in enumerate(_farthest_run(points, cfg, run))
     ]
+    start = points.agg(*[F.expr(f) for f in firsts]).first()
+    chosen = {run: [np.array([start[f"r{run}"][d] for d in cfg.dims], dtype=float)] for run in range(cfg.runs)}
+    m = max(CANDIDATES, cfg.pop_size)
+    while short := {run: np.array(c) for run, c in chosen.items() if len(c) < cfg.pop_size}:
+        for run, found in _farthest_candidates(points, cfg.dims, short, m).items():
+            _more_centres(chosen[run], found, cfg.pop_size, m)
+    rows = [(run, i, *map(float, centre)) for run, own in chosen.items() for i, centre in enumerate(own)]
     fields = ", ".join(f"{c} double" for c in cfg.centre_cols)
     return model_table(points.sparkSession, rows, f"run_id bigint, id bigint, {fields}")
 

@@ -74,8 +74,9 @@ def domain(points: DataFrame, dims: Sequence[str]) -> Row | dict:
     return row
 
 
-def _replace(points: DataFrame, scaled: dict) -> DataFrame:
-    return points.select(*[scaled.get(c, F.col(c)) for c in points.columns])
+def _replace(points: DataFrame, scaled: dict[str, str]) -> DataFrame:
+    """``scaled`` are SQL texts: one call, however many dimensions there are."""
+    return points.selectExpr(*[f"{scaled[c]} AS `{c}`" if c in scaled else f"`{c}`" for c in points.columns])
 
 
 def minmax_scale(points: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -85,10 +86,9 @@ def minmax_scale(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     for d in dims:
         low, high = row[f"min_{d}"], row[f"max_{d}"]
         if low is None or low == high:
-            value = F.when(F.col(d).isNotNull(), F.lit(0.5))
+            scaled[d] = f"if(`{d}` IS NOT NULL, 0.5D, NULL)"
         else:
-            value = (F.col(d) - F.lit(low)) / F.lit(high - low)
-        scaled[d] = value.alias(d)
+            scaled[d] = f"(`{d}` - {float(low)!r}D) / {float(high - low)!r}D"
     return _replace(points, scaled)
 
 
@@ -105,8 +105,7 @@ def zscore_scale(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     for d in dims:
         mean, std = row[f"avg_{d}"], row[f"std_{d}"]
         if mean is None or row[f"min_{d}"] == row[f"max_{d}"]:
-            value = F.when(F.col(d).isNotNull(), F.lit(0.0))
+            scaled[d] = f"if(`{d}` IS NOT NULL, 0D, NULL)"
         else:
-            value = (F.col(d) - F.lit(mean)) / F.lit(std)
-        scaled[d] = value.alias(d)
+            scaled[d] = f"(`{d}` - {float(mean)!r}D) / {float(std)!r}D"
     return _replace(points, scaled)

@@ -57,7 +57,7 @@ def _reps_of_grid(spark, rows, pairs: list, points: DataFrame, cfg: EvolveConfig
     rated = fitness(alone, points, cfg.dims).select(*body, "log_fitness")
     limits = table.selectExpr("set_id AS run_id", "delta2 AS delta2")
     joined = reps.join(F.broadcast(rated), body).join(F.broadcast(limits), "run_id")
-    return cut_lineage(refine_with(joined.repartition(tasks, "run_id"), cfg, "delta2"))
+    return cut_lineage(refine_with(joined, cfg, "delta2", len(pairs)))
 
 
 def _shared_sets(reps: DataFrame, cfg: EvolveConfig) -> DataFrame:

@@ -100,20 +100,17 @@ def held(points: DataFrame, columns: Sequence[str], partitions: int | None = Non
         narrow.unpersist()
 
 
-#: Coordinates a task of a loop should have at least: below it another task costs more than it saves.
-TASK_BYTES = 1 << 20
-
-
 @contextmanager
-def held_blocks(points: DataFrame, dims: Sequence[str]):
+def held_blocks(points: DataFrame, dims: Sequence[str], task_bytes: int = 128 << 10):
     """The coordinates of the points in blocks, kept while the block runs, for
     loops that read nothing else of them; and in how many tasks they are read.
-    Small tables are read in few."""
+    A task has ``task_bytes`` of them at least: below it another task costs more
+    than it saves."""
     made = points.select(*dims).mapInArrow(pack(list(dims)), "block binary").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = made.agg(F.sum(F.octet_length("block"))).first()[0] or 0
         parts = made.rdd.getNumPartitions()
-        tasks = max(1, min(parts, size // TASK_BYTES))
+        tasks = max(1, min(parts, size // task_bytes))
         yield (made.coalesce(tasks) if tasks < parts else made), tasks
     finally:
         made.unpersist()
