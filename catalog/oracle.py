@@ -283,16 +283,17 @@ def survivors(parents: str, children: str, name: str, mode: str, slot: str = "se
     return step
 
 
-def evolved(cfg: EvolveConfig, name: str = "final", pts: str = "pts"):
-    """The generations, unrolled, from ``pop0``."""
+def evolved(cfg: EvolveConfig, name: str = "final", pts: str = "pts", start: str = "pop0", tag: str = ""):
+    """The generations, unrolled, from ``start``."""
+    gen, kids = f"{tag}gen", f"{tag}kids"
 
     def step(chain: Chain):
-        rated("pop0", pts, "gen0", cfg)(chain)
+        rated(start, pts, f"{gen}0", cfg)(chain)
         for g in range(1, cfg.generations + 1):
-            varied(cfg, g, f"gen{g - 1}", f"kids{g}")(chain)
-            rated(f"kids{g}", pts, f"rkids{g}", cfg)(chain)
-            survivors(f"gen{g - 1}", f"rkids{g}", f"gen{g}", cfg.selection, cfg.slot, cfg)(chain)
-        chain.add(name, f"SELECT * FROM gen{cfg.generations}")
+            varied(cfg, g, f"{gen}{g - 1}", f"{kids}{g}")(chain)
+            rated(f"{kids}{g}", pts, f"r{kids}{g}", cfg)(chain)
+            survivors(f"{gen}{g - 1}", f"r{kids}{g}", f"{gen}{g}", cfg.selection, cfg.slot, cfg)(chain)
+        chain.add(name, f"SELECT * FROM {gen}{cfg.generations}")
 
     return step
 
@@ -860,10 +861,30 @@ def _ellipse() -> str:
         f"SELECT CAST(0 AS BIGINT) AS run_id, comp, {r('m0', 'x')}, {r('m1', 'y')}, "
         f"{r('2 * sqrt(2) * sqrt(middle - reach)', 'width')}, "
         f"{r('2 * sqrt(2) * sqrt(middle + reach)', 'height')}, "
-        f"{r('180 + CASE WHEN major > 0 THEN major - 90 ELSE major + 90 END', 'angle')} FROM axes"
+        f"{r('180 + CASE WHEN major > 0 THEN major - 90 ELSE major + 90 END', 'angle')} FROM axes WHERE comp % 2 = 0"
     )
 
 
+def _compared() -> str:
+    """Both evolutions and EM on the scaled events."""
+    chain, names = Chain(SCALED), {}
+    for tag, cfg in (("distributed", src.COMPARE_CFG), ("sequential", src.COMPARE_SEQUENTIAL_CFG)):
+        t = tag[0]
+        first(cfg, name=f"{t}pop")(chain)
+        evolved(cfg, f"{t}final", start=f"{t}pop", tag=t)(chain)
+        led(f"{t}final", f"{t}reps", cfg=cfg)(chain)
+        refined("pts", f"{t}refs", f"{t}reps", cfg=cfg)(chain)
+        classified("pts", f"{t}refs", f"{t}near", cfg)(chain)
+        moved(f"{t}near", f"{t}refs", f"{t}assigned")(chain)
+        scored(f"{t}assigned", None, f"{t}s")(chain)
+        names[tag] = f"{t}s"
+    flat_em(1, len(src.EVENT_TYPES), src.COMPARE_CFG.seed)(chain)
+    scored("em", None, "es")(chain)
+    names["em"] = "es"
+    long = " UNION ALL ".join(unpivoted(source, f"'{name}' AS algorithm") for name, source in names.items())
+    return chain.select(f"SELECT algorithm, metric, {r('value', 'value', 7)} FROM ({long}) ORDER BY value")
+
+
 def _replicates() -> Chain:
     """``runs_of``: the scores of every run of both algorithms."""
     cfg = src.REPLICATES_CFG.with_(runs=src.REPLICATES)
@@ -917,6 +938,7 @@ def oracle() -> dict[str, str]:
     base = Chain(SCALED, first())
     led_chain = Chain(SCALED, first(), led("pop0"))
     near_cols = "point_id, label"
+    content = "md5(concat_ws('|', '=' || x0, '=' || x1, '=' || label, copy))"
     out = {
         "points_split": f"SELECT point_id, {rounds(ALL)}, label FROM ({embeddings(WIDTH)})",
         "delimited_scan": (
@@ -924,6 +946,14 @@ def oracle() -> dict[str, str]:
             "CAST(sum(p_size) AS DOUBLE) AS sum_size, round(avg(p_retailprice), 4) AS avg_price "
             "FROM part GROUP BY 1"
         ),
+        "content_ids": (
+            f"SELECT CAST(('0x' || substr({content}, 1, 15)) AS BIGINT) AS point_id, x0, x1, label FROM ("
+            "SELECT l_quantity AS x0, l_extendedprice AS x1, l_returnflag AS label, row_number() OVER "
+            "(PARTITION BY l_quantity, l_extendedprice, l_returnflag) AS copy FROM lineitem)"
+        ),
+        "vector_roundtrip": Chain(SCALED).select(f"SELECT point_id, {rounds(D)} FROM pts"),
+        "gmm_components": f"SELECT CAST(2 AS BIGINT) AS k, {num(1)} AS weight, count(*) AS n, count(*) AS n_same FROM events",
+        "relabel_all": f"SELECT point_id, dense_rank() OVER (ORDER BY floor(x0 * 10)) AS cluster FROM ({EVENTS})",
         "label_count": f"SELECT max(label) + 1 AS k FROM ({EVENTS})",
         "rejected_points": (
             "SELECT count(*) FILTER (o_orderstatus = 'F') AS kept, "
@@ -998,6 +1028,7 @@ def oracle() -> dict[str, str]:
     for name, changes in (
         ("evolve_1gen", {"generations": 1}),
         ("evolve_3gen", {"generations": 3}),
+        ("evolve_resumed", {"generations": 3}),
         ("evolve_greedy", {"generations": 2, "selection": "greedy", "runs": 2}),
         ("evolve_nearest_child", {"generations": 2, "selection": "nearest_child"}),
     ):
@@ -1016,7 +1047,7 @@ def oracle() -> dict[str, str]:
         classified("pts", "refs", columns=near_cols), moved("near", "refs"),
     )
     out["predict"] = whole.select("SELECT run_id, point_id, cluster, is_outlier FROM assigned")
-    short = two_runs.with_(generations=1)
+    short = two_runs.with_(generations=5)
     out["predicted_scores"] = Chain(
         SCALED, first(short), evolved(short), led("final"), refined("pts"),
         classified("pts", "refs", columns=near_cols), moved("near", "refs"), scored("assigned", "run_id"),
@@ -1039,16 +1070,7 @@ def oracle() -> dict[str, str]:
         f"SELECT algorithm, metric, count(value) AS n, {stats} "
         f"FROM ({unpivoted('scores', chr(39) + 'quarter' + chr(39) + ' AS algorithm')}) GROUP BY algorithm, metric"
     )
-    both = Chain()
-    for name, hours in (("quarters", 6), ("thirds", 8)):
-        both.add(name, f"SELECT label, CAST(floor(x1 / {num(hours)}) AS BIGINT) AS cluster FROM ({EVENTS})")
-        scored(name, None, f"{name}_s")(both)
-    long = " UNION ALL ".join(
-        unpivoted(f"{name}_s", f"'{name}' AS algorithm") for name in ("quarters", "thirds")
-    )
-    out["compare_algorithms"] = both.select(
-        f"SELECT algorithm, metric, {r('value', 'value', 8)} FROM ({long}) ORDER BY value"
-    )
+    out["compare_algorithms"] = _compared()
     repeated = _replicates()
     out["replicates"] = repeated.select(f"SELECT run_id, algorithm, {rounds(SCORES, 7)} FROM runs_of")
     out["replicate_means"] = repeated.select(

@@ -19,6 +19,9 @@ FARTHEST_CFG = EvolveConfig(pop_size=8, init="farthest", runs=2, seed=5)
 SEARCH_CFG = EvolveConfig(pop_size=12, seed=3, beta=0.05)
 NEAREST_CFG = EvolveConfig(pop_size=5, seed=11)
 SEQUENTIAL_CFG = EvolveConfig.sequential(dims=DIMS, generations=2, seed=13)
+# One data set, three algorithms: both evolutions for five generations.
+COMPARE_CFG = EvolveConfig(dims=DIMS, seed=11)
+COMPARE_SEQUENTIAL_CFG = EvolveConfig.sequential(dims=DIMS, generations=5, seed=13)
 REPLICATES, REPLICATES_CFG = 20, EvolveConfig(dims=DIMS, seed=11)
 START_K, START_SEED = 3, 7
 SAMPLE_FRACTION = 0.05

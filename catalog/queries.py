@@ -45,14 +45,14 @@ def points_split(spark, sf):
 
 
 def delimited_scan(spark, sf):
-    """Parts written as delimited text and read back with the last column as
-    label."""
-    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    """Parts written as delimited text and read back by their name in a base
+    folder, with the last column as label."""
+    name = f"delimited-{uuid.uuid4().hex}"
     wanted = src.table(spark, sf, "part").selectExpr(
         "p_size", "p_retailprice", "CAST(substr(p_brand, 7) AS INT) AS brand"
     )
-    wanted.write.option("sep", " ").csv(path)
-    read = mf.read_delimited(spark, path, n_dims=2)
+    wanted.write.option("sep", " ").csv(mf.dataset_uri(name, shared_folder(spark)))
+    read = mf.read_delimited(spark, name, n_dims=2, base=shared_folder(spark))
     return read.groupBy("label").agg(
         F.count("*").alias("n"),
         F.sum("x0").alias("sum_size"),
@@ -60,6 +60,18 @@ def delimited_scan(spark, sf):
     )
 
 
+def content_ids(spark, sf):
+    """Order lines, which have no key, numbered by their content."""
+    source = src.table(spark, sf, "lineitem")
+    return mf.as_points(source, ["l_quantity", "l_extendedprice"], "l_returnflag")
+
+
+def vector_roundtrip(spark, sf):
+    """Events packed into vectors and taken apart again."""
+    packed = mf.assemble(src.scaled_events(spark, sf), src.DIMS).select("point_id", "features")
+    return rounded(mf.model_vectors(packed, "features", src.DIMS), *src.DIMS)
+
+
 def label_count(spark, sf):
     return mf.label_count(src.events(spark, sf))
 
@@ -241,6 +253,12 @@ def relabel_dense(spark, sf):
     return mf.relabel_dense(hours)
 
 
+def relabel_all(spark, sf):
+    """Values in steps of a tenth, numbered without gaps over the whole table."""
+    tenths = src.events(spark, sf).selectExpr("point_id", "CAST(floor(x0 * 10) AS BIGINT) AS cluster")
+    return mf.relabel_dense(tenths, by=())
+
+
 def predict(spark, sf):
     assigned = mf.predict(src.scaled_events(spark, sf), CFG.with_(runs=2))
     return assigned.select(
@@ -286,21 +304,37 @@ def sorted_results(spark, sf):
 
 
 def predicted_scores(spark, sf):
-    cfg = CFG.with_(runs=2, generations=1)
+    cfg = CFG.with_(runs=2, generations=5)
     return rounded(mf.predicted_scores(src.scaled_events(spark, sf), cfg), *SCORES, digits=7)
 
 
 def compare_algorithms(spark, sf):
-    """Two ways to cut the day, in ascending order of each score."""
-    table = src.events_by_day(spark, sf)
-    cuts = {
-        name: table.selectExpr("label", f"CAST(floor(x1 / {hours}D) AS BIGINT) AS cluster")
-        for name, hours in (("quarters", 6), ("thirds", 8))
-    }
-    long = rounded(mf.compare_algorithms(cuts), "value", digits=8)
+    """Distributed evolution, sequential evolution and EM on the same events,
+    in ascending order of each score."""
+    pts = src.scaled_events(spark, sf)
+    with mf.held(pts, ["point_id", "label", *src.DIMS]) as held:
+        start = mf.kmeans_start(held, src.DIMS, len(src.EVENT_TYPES), src.COMPARE_CFG.seed)
+        comps = mf.em_fit(held, start, src.DIMS)
+        fitted = mf.em_predict(held, comps, src.DIMS, ["label"]).withColumnRenamed("prediction", "cluster")
+        found = mf.compare_algorithms(
+            {
+                "distributed": mf.predict(held, src.COMPARE_CFG, keep=["label"]),
+                "sequential": mf.predict(held, src.COMPARE_SEQUENTIAL_CFG, keep=["label"]),
+                "em": fitted,
+            }
+        )
+        long = cut_model(rounded(found, "value", digits=7))
     return mf.sorted_results(long, "value")
 
 
+def evolve_resumed(spark, sf):
+    """Three generations, of which the first were made by a loop cut short."""
+    pts = src.scaled_events(spark, sf)
+    log = f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}"
+    mf.evolve(pts, CFG.with_(generations=2), log)
+    return per_point(mf.evolve(pts, CFG.with_(generations=3), log), src.table(spark, sf, "events").count())
+
+
 # --- experiments ---------------------------------------------------------------------
 
 
@@ -410,8 +444,10 @@ def kmeans_start(spark, sf):
 
 
 def component_ellipse(spark, sf):
-    comps = _by_type(spark, sf)[1]
-    return rounded(mf.component_ellipse(comps), "x", "y", "width", "height", "angle")
+    """Of the components that some point with an even label was given to."""
+    pts, comps = _by_type(spark, sf)
+    used = pts.where("label % 2 = 0").selectExpr("0L AS run_id", "label AS comp")
+    return rounded(mf.component_ellipse(comps, used), "x", "y", "width", "height", "angle")
 
 
 def _whole_embeddings(spark, sf) -> tuple[tuple[str, ...], DataFrame]:
@@ -428,6 +464,19 @@ def gmm_fit_predict(spark, sf):
     )
 
 
+def gmm_components(spark, sf):
+    """Spark ML's mixture against its own components taken out as a table: how
+    many there are, their weight, and on how many events both predict the same."""
+    pts = src.scaled_events(spark, sf).selectExpr("point_id", "x1 AS x0", "x1 * x1 AS x1")
+    model = mf.fit_mixture(pts, src.DIMS, k=2, seed=7)
+    comps = mf.mixture_components(model)
+    theirs = mf.predict_mixture(model, pts, src.DIMS).select("point_id", F.col("prediction").alias("theirs"))
+    ours = mf.em_predict(pts, comps, src.DIMS, ["point_id"])
+    same = ours.join(theirs, "point_id").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("theirs")).alias("n_same"))
+    whole = comps.agg(F.count("*").alias("k"), F.round(F.sum("weight"), 6).alias("weight"))
+    return whole.join(F.broadcast(same))
+
+
 def em_fit_predict(spark, sf):
     """EM from k-means, all steps as passes over the points."""
     dims, pts = _whole_embeddings(spark, sf)
@@ -440,6 +489,8 @@ def em_fit_predict(spark, sf):
 QUERIES: dict[str, Query] = {
     "points_split": points_split,
     "delimited_scan": delimited_scan,
+    "content_ids": content_ids,
+    "vector_roundtrip": vector_roundtrip,
     "label_count": label_count,
     "rejected_points": rejected_points,
     "domain_bounds": domain_bounds,
@@ -465,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "evolve_greedy": _evolved(2, "greedy", runs=2),
     "evolve_nearest_child": _evolved(2, "nearest_child"),
     "evolve_sequential": evolve_sequential,
+    "evolve_resumed": evolve_resumed,
     "leaders": leaders,
     "close_pairs": close_pairs,
     "refine_labels": refine_labels,
@@ -472,6 +524,7 @@ QUERIES: dict[str, Query] = {
     "assign_refined": _assigned(),
     "assign_rep1": _assigned("rep1"),
     "relabel_dense": relabel_dense,
+    "relabel_all": relabel_all,
     "predict": predict,
     "contingency": contingency,
     "cluster_scores": cluster_scores,
@@ -490,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "kmeans_start": kmeans_start,
     "gmm_step": gmm_step,
     "component_ellipse": component_ellipse,
+    "gmm_components": gmm_components,
     "gmm_fit_predict": gmm_fit_predict,
     "em_fit_predict": em_fit_predict,
 }

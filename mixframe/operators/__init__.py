@@ -4,6 +4,7 @@ from .leaders import close_pairs, leaders, refine
 from .matching import nearest, nearest_by_window, pair_distances, select
 from .metrics import adjusted_rand, cluster_scores, contingency, label_count, scores
 from .mixture import (
+    assemble,
     component_ellipse,
     em_fit,
     em_predict,
@@ -19,6 +20,7 @@ from .scaling import bounds, domain, minmax_scale, zscore_scale
 
 __all__ = [
     "adjusted_rand",
+    "assemble",
     "assign",
     "assignment_cells",
     "bounds",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import MAX_MODEL_ROWS, EvolveConfig
-from ..runtime import bounded_rows, model_table
+from ..runtime import bounded_rows, cut_lineage, model_table
 from .. import kernels
 from .fitness import model_arrays
 
@@ -187,6 +187,22 @@ def assignment_cells(
     )
 
 
+def _numbered(values: DataFrame, name: str) -> DataFrame:
+    """Distinct values numbered from 1 in sorted order, in many tasks: ranges of
+    values are counted, and each starts where those before it end."""
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    ranges = cut_lineage(values.repartitionByRange(cores, name)).withColumn("range__", F.spark_partition_id())
+    ranges = cut_lineage(ranges)
+    sizes = sorted(ranges.groupBy("range__").count().collect())  # one row per range
+    starts, before = [], 0
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    offsets = model_table(values.sparkSession, starts, "range__ int, before__ bigint")
+    place = f"before__ + row_number() OVER (PARTITION BY range__ ORDER BY {name}) AS dense"
+    return ranges.join(F.broadcast(offsets), "range__").selectExpr(name, f"{place}")
+
+
 def relabel_dense(
     assigned: DataFrame, cluster: str = "cluster", by: Sequence[str] = ("run_id",)
 ) -> DataFrame:
@@ -194,10 +210,12 @@ def relabel_dense(
     taken over the distinct values, not over the points; the points are joined
     by broadcast where there are few values, else with Spark's skew handling.
     A null cluster stays null and takes no number."""
-    keys = ", ".join(by)
-    over = f"PARTITION BY {keys} ORDER BY {cluster}" if by else f"ORDER BY {cluster}"
     values = assigned.select(*by, cluster).where(F.col(cluster).isNotNull()).distinct()
-    ranked = values.selectExpr(*by, cluster, f"CAST(dense_rank() OVER ({over}) AS BIGINT) AS dense")
+    if by:
+        over = f"PARTITION BY {', '.join(by)} ORDER BY {cluster}"
+        ranked = values.selectExpr(*by, cluster, f"CAST(dense_rank() OVER ({over}) AS BIGINT) AS dense")
+    else:
+        ranked = _numbered(values, cluster)
     rows = ranked.limit(MAX_MODEL_ROWS + 1).collect()
     if len(rows) <= MAX_MODEL_ROWS:
         ranked = F.broadcast(model_table(assigned.sparkSession, rows, ranked.schema))

@@ -13,6 +13,7 @@ from ..operators.matching import select
 from ..operators.population import init_population, vary
 from ..operators.scaling import domain
 from ..runtime import cut_model, held, held_blocks
+from ..sources.snapshots import GenerationLog
 
 
 def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = ("point_id",)):
@@ -29,15 +30,29 @@ def generation(
     return select(pop, children, cfg)
 
 
-def evolve(points: DataFrame, cfg: EvolveConfig) -> DataFrame:
+def evolve(points: DataFrame, cfg: EvolveConfig, log: str | None = None) -> DataFrame:
     """Final population ``run_id, id, c*, s*, fitness`` of all runs. One pass
-    over the points per generation, whatever the number of runs."""
+    over the points per generation, whatever the number of runs.
+
+    ``log`` names a folder all executors can reach. Every generation is written
+    there, and a loop that was cut short goes on from the last one complete. The
+    settings must be the same but for the number of generations.
+    """
+    spark = points.sparkSession
+    done = GenerationLog(spark, log, cfg) if log else None
+    start, pop = done.latest(cfg.generations) if done else (None, None)
+    if start == cfg.generations:
+        return pop.drop("log_fitness")
     with working_points(points, cfg) as narrow:
-        first = init_population(narrow, cfg, domain(narrow, cfg.dims))
+        if pop is None:
+            first = init_population(narrow, cfg, domain(narrow, cfg.dims))
         with _passes(narrow, cfg) as (source, tasks):
-            pop = cut_model(fitness(first, source, cfg.dims, tasks=tasks), cfg.runs)
-            for gen in range(1, cfg.generations + 1):
-                pop = cut_model(generation(pop, source, cfg, gen, tasks), cfg.runs)
+            if pop is None:
+                start, pop = 0, fitness(first, source, cfg.dims, tasks=tasks)
+                pop = done.write(pop, 0) if done else cut_model(pop, cfg.runs)
+            for gen in range(start + 1, cfg.generations + 1):
+                pop = generation(pop, source, cfg, gen, tasks)
+                pop = done.write(pop, gen) if done else cut_model(pop, cfg.runs)
     return pop.drop("log_fitness")
 
 

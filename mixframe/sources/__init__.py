@@ -1,5 +1,6 @@
 from .points import (
     as_points,
+    content_ids,
     dataset_uri,
     point_schema,
     read_delimited,
@@ -12,6 +13,7 @@ from .snapshots import read_population, write_population, write_report
 
 __all__ = [
     "as_points",
+    "content_ids",
     "dataset_uri",
     "point_schema",
     "read_delimited",

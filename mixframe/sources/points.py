@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import digest
+
 
 def dataset_uri(name: str, base: str | None = None) -> str:
     """Join a dataset name onto a base folder; a full URI or an absolute path
@@ -39,23 +41,42 @@ def as_points(
     features: Sequence[str | Column],
     label: str | Column | None = None,
     point_id: str | Column | None = None,
+    ids: str = "content",
 ) -> DataFrame:
     """Project any table to ``point_id, x0.., label``.
 
-    Without a key column ids come from ``monotonically_increasing_id``; they
-    repeat as long as the source files and split sizes do, so write the result
-    out before relying on them across sessions.
+    Without a key column ids are made by ``content_ids``: the same rows get the
+    same ids however the files are split. That costs one exchange of the columns
+    used; ``ids="position"`` takes ``monotonically_increasing_id`` instead, which
+    costs nothing and changes with files and splits.
     """
+    if ids not in ("content", "position"):
+        raise ValueError("ids must be content or position")
 
     def as_column(value):
         return value if isinstance(value, Column) else F.col(value)
 
     key = F.monotonically_increasing_id() if point_id is None else as_column(point_id)
-    columns = [key.cast("bigint").alias("point_id")]
+    columns = [] if point_id is None and ids == "content" else [key.cast("bigint").alias("point_id")]
     columns += [as_column(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
     if label is not None:
         columns.append(as_column(label).alias("label"))
-    return table.select(*columns)
+    found = table.select(*columns)
+    return found if "point_id" in found.columns else content_ids(found)
+
+
+def content_ids(table: DataFrame) -> DataFrame:
+    """``point_id`` in front of the columns: 60 bits of a hash of the row's values
+    and of its number among equal rows. Equal rows are interchangeable, so they
+    are counted and written out again; a row that makes up a third of the table
+    is one row until then."""
+    names = [f"`{c}`" for c in table.columns]
+    copies = table.groupBy(*table.columns).agg(F.count(F.lit(1)).alias("copies__"))
+    each = copies.selectExpr(*names, "explode(sequence(1L, copies__)) AS copy__")
+    # a null must not look like a missing or an empty value
+    texts = [f"coalesce('=' || CAST({n} AS STRING), 'null')" for n in names]
+    number = f"CAST(conv(substr({digest(*texts, 'copy__')}, 1, 15), 16, 10) AS BIGINT) AS point_id"
+    return each.selectExpr(number, *names)
 
 
 def read_delimited(
