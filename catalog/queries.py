@@ -473,8 +473,8 @@ def gmm_components(spark, sf):
     theirs = mf.predict_mixture(model, pts, src.DIMS).select("point_id", F.col("prediction").alias("theirs"))
     ours = mf.em_predict(pts, comps, src.DIMS, ["point_id"])
     same = ours.join(theirs, "point_id").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("theirs")).alias("n_same"))
-    whole = comps.agg(F.count("*").alias("k"), F.round(F.sum("weight"), 6).alias("weight"))
-    return whole.join(F.broadcast(same))
+    whole = comps.agg(F.count("*").alias("k"), F.round(F.sum("weight"), 6).alias("weight")).first()
+    return same.select(F.lit(whole.k).cast("bigint").alias("k"), F.lit(whole.weight).alias("weight"), "n", "n_same")
 
 
 def em_fit_predict(spark, sf):
