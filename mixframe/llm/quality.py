@@ -42,8 +42,16 @@ def _words(text: str) -> Column:
 
 def _repeat_words(size: int) -> Column:
     """Words of ``words`` inside windows of ``size`` that occur twice or more.
-    Window hashes are sorted only if there is a repeated one."""
-    hashes = f"transform(sequence(1, n_words - {size - 1}), i -> xxhash64(slice(word_hashes, i, {size})))"
+    A window's hash is made from those of its halves; without a repeated half
+    there is no repeated window, and hashes are sorted only if one is repeated."""
+
+    def longer(hashes: str, have: int, want: int) -> str:
+        step = want - have
+        return f"zip_with(slice({hashes}, 1, size({hashes}) - {step}), slice({hashes}, {step + 1}, size({hashes}) - {step}), (a, b) -> xxhash64(a, b))"
+
+    lengths = [size]
+    while lengths[0] > 1:
+        lengths.insert(0, -(-lengths[0] // 2))
     pairs = "array_sort(transform(hashes, (h, i) -> struct(h, i)))"
     again = (
         "array_sort(transform(filter(transform(pairs, (p, k) -> struct(p.i AS at, "
@@ -55,8 +63,12 @@ def _repeat_words(size: int) -> Column:
     steps = f"get(transform(array({again}), at -> {covered}), 0)"
     steps = f"get(transform(array({pairs}), pairs -> {steps}), 0)"
     steps = f"CASE WHEN size(array_distinct(hashes)) = size(hashes) THEN 0L ELSE {steps} END"
-    steps = f"get(transform(array({hashes}), hashes -> {steps}), 0)"
-    steps = f"get(transform(array(transform(words, w -> xxhash64(w))), word_hashes -> {steps}), 0)"
+    for have, want in reversed(list(zip(lengths, lengths[1:]))):
+        hashes = "word_hashes" if have == 1 else f"h{have}"
+        made = "hashes" if want == size else f"h{want}"
+        if size // 2 <= want < size:  # no half occurs twice; shorter runs of words nearly always do
+            steps = f"CASE WHEN size(array_distinct({made})) = size({made}) THEN 0L ELSE {steps} END"
+        steps = f"get(transform(array({longer(hashes, have, want)}), {made} -> {steps}), 0)"
     return F.expr(f"CASE WHEN n_words < {size + 1} THEN 0L ELSE {steps} END")
 
 
@@ -68,13 +80,14 @@ def _plain(docs: DataFrame, rules: QualityRules) -> DataFrame:
         text.alias("text"),
         _words("text").alias("words"),
     )
-    rows = rows.withColumn("n_words", F.size("words"))
+    rows = rows.withColumn("n_words", F.size("words")).withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = [(F.length("text") - F.length(F.regexp_replace("text", f"{p}+", ""))).alias(k) for k, p in CLASSES.items()]
     return rows.select(
         "doc_id",
         "lang",
         "words",
+        "word_hashes",
         "n_words",
         F.length("text").alias("n_chars"),
         *counts,
@@ -143,20 +156,22 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
     known = staged(_word_references(docs, rules), "quality-references")
-    if known.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = known.withColumn("hashed", F.transform("top", lambda w: F.xxhash64(w)))
+    # references of so many languages travel to the tasks; those of more are joined by shuffle
+    sent = F.broadcast if known.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES else lambda df: df
     rows = _plain(docs, rules).withColumn("key", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
     rows = rows.withColumn("space", F.col("n_chars") - F.col("word_chars"))
-    rows = rows.join(F.broadcast(known.withColumnRenamed("key", "key_")), F.col("key") == F.col("key_"), "left")
-    at = "filter(transform(words, w -> array_position(top, w)), x -> x > 0)"
-    hist = "transform(sequence(1, size(top)), k -> size(filter(at, x -> x = k)) / cast(n_words AS double))"
+    rows = rows.join(sent(known.withColumnRenamed("key", "key_")), F.col("key") == F.col("key_"), "left")
+    # by hash first, which is quicker than by word
+    at = "filter(zip_with(word_hashes, words, (h, w) -> (CASE WHEN array_contains(hashed, h) THEN array_position(top, w) ELSE 0L END)), x -> x > 0)"
+    hist = "transform(sequence(1L, cast(size(top) AS bigint)), k -> (size(at) - size(array_remove(at, k))) / cast(n_words AS double))"
     hist = f"get(transform(array({at}), at -> concat({hist}, array(1 - size(at) / cast(n_words AS double)))), 0)"
     long_enough = (F.col("n_words") >= rules.common_min_words) & F.col("top").isNotNull()
     rows = rows.withColumn("word_hist", F.when(long_enough, F.expr(hist)))
     columns = ["doc_id", "key", "n_words", "n_chars", "word_chars", *NAMES, "n_dup_lines", "n_repeat_words"]
     # the class references come from these counts: the texts are not read again
     rows = staged(rows.select(*columns, distance("word_hist", "word_ref").alias("common_distance")), "quality-counts")
-    classes = F.broadcast(_class_references(rows).withColumnRenamed("key", "key_"))
+    classes = sent(_class_references(rows).withColumnRenamed("key", "key_"))
     rows = rows.join(classes, F.col("key") == F.col("key_"), "left").withColumn("class_hist", _shares(NAMES, "n_chars"))
     rows = rows.select(
         "doc_id",
