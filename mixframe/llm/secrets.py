@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import mapped
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -86,13 +88,16 @@ def entropy_windows(word: str, width: int = WINDOW, threshold: float | None = No
 
 
 def entropy_spans(text: str, base: list[Span], allow: _any_of) -> list[Span]:
-    out = []
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         if allow.fullmatch(m[0]):
             continue
         for begin, end in entropy_windows(m[0]):
             begin, end = begin + m.start(), end + m.start()
-            if not any(s <= begin and end <= e for s, _, e in base):
+            # both lists are in order: of the plain matches up to here the one that reaches furthest decides
+            while at < len(base) and base[at][0] <= begin:
+                reach, at = max(reach, base[at][2]), at + 1
+            if end > reach:
                 out.append((begin, 3, end))
     return out
 
@@ -123,7 +128,7 @@ def scan_secrets(docs: DataFrame, allow: Iterable[str] = ALLOW) -> DataFrame:
             columns = [batch.column("doc_id")] + [pa.array(c, f.type) for c, f in zip(rows, list(FIELDS)[1:])]
             yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), scan, SCHEMA)
 
 
 class _any_of:

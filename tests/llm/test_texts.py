@@ -3,7 +3,9 @@ versions that hold everything in dictionaries."""
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +16,18 @@ from pyspark.sql import functions as F
 
 from mixframe.llm.licenses import RULES, SENTENCES, scan_licenses
 from mixframe.llm.lm import score_texts
-from mixframe.llm.secrets import entropy_windows, scan_secrets
+from mixframe.llm.secrets import (
+    ALLOW,
+    CANDIDATE,
+    THRESHOLDS,
+    WINDOW,
+    _any_of,
+    base_spans,
+    character_class,
+    entropy_spans,
+    entropy_windows,
+    scan_secrets,
+)
 from mixframe.llm.substring import remove_repeats
 from mixframe.llm.text import BY_NON_WORD, Vocabulary, same_spans, window_starts, windows, words
 
@@ -189,6 +202,68 @@ def test_sliding_entropy_equals_the_entropy_of_each_window():
     assert {k for a, b in spans for k in range(a, b)} == covered and spans
 
 
+def plain_secrets(text):
+    """All spans, window by window, each held against all plain matches."""
+    base = [("assign", m) for m in re.finditer(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 12]
+    base += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    spans = [(m.start(), k, m.end()) for k, m in base]
+    covered = set()
+    for m in CANDIDATE.finditer(text):
+        if any(re.fullmatch(a, m[0]) for a in ALLOW):
+            continue
+        limit = THRESHOLDS[character_class(m[0])]
+        for i in range(m.start(), m.end() - WINDOW + 1):
+            counts = Counter(text[i : i + WINDOW]).values()
+            if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts) >= limit - 1e-9:
+                covered |= {(m.start(), k) for k in range(i, i + WINDOW)}
+    found = []
+    for start, k in sorted(covered):
+        if found and found[-1][0] == start and found[-1][2] == k:
+            found[-1][2] = k + 1
+        else:
+            found.append([start, k, k + 1])
+    more = [(a, "entropy", b) for _, a, b in found if not any(s <= a and b <= e for s, _, e in spans)]
+    kinds = ("assign", "access", "hex", "entropy")
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans + more, key=lambda x: (x[0], kinds.index(x[1]))))
+
+
+def test_secrets_against_a_plain_version(documents):
+    made = random.Random(7)
+
+    def run(chars, k):
+        return "".join(made.choices(chars, k=k))
+
+    hexes, upper, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", "abcdefgXYZWVUTSRQPklmnop0123456789+/_-"
+    rows = []
+    for k in range(60):
+        parts = []
+        for _ in range(made.randint(0, 25)):
+            name = made.choice(["password", "Secret", "api_key", "APIKEY", "token", "é"])
+            parts.append(
+                made.choice(
+                    [
+                        name + made.choice(["=", ": ", '": "', " "]) + run(mixed, made.choice([5, 12, 30])),
+                        "AKIA" + run(upper, made.choice([8, 16])) + made.choice(["", run(mixed, 12)]),
+                        run(hexes, made.choice([12, 16, 40])),
+                        run(mixed, made.choice([19, 20, 45])) + made.choice(["", "=="]),
+                        run("ab", 15) + run(mixed, 25) + run("ab", 30),
+                        "plain words",
+                    ]
+                )
+            )
+        rows.append((k, made.choice([" ", "\n", ","]).join(parts)))
+    got = {r.doc_id: r.spans for r in scan_secrets(documents(rows)).collect()}
+    assert got == {k: plain_secrets(text) for k, text in rows}
+
+
+def test_many_secrets_in_one_text_take_time_in_proportion(documents):
+    text = " ".join(f"secret={k:012d}abcd q7Xw9Lk2Pz4Rt8Vb3Nm6H{k}" for k in range(20_000))
+    started = time.time()
+    spans = entropy_spans(text, base_spans(text), _any_of([]))
+    assert len(spans) == 20_000 and time.time() - started < 20
+
+
 def test_secrets_in_odd_rows(odd, odd_rows, documents):
     assert scan_secrets(odd).count() == len(odd_rows)
     assert scan_secrets(documents([])).collect() == []
