@@ -2,6 +2,7 @@
 pipeline against plain versions."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from mixframe.llm import language
 from mixframe.llm.decontaminate import contaminated, uncontaminated
 from mixframe.llm.language import identify, recognised
 from mixframe.llm.mixing import mix_sources, mixed, targets
 from mixframe.llm.neardup import components, deduplicated, near_duplicates, similarity
 from mixframe.llm.quality import QualityRules, distance, judge_quality
 from mixframe.llm.tokens import Encoder, new_folder, read_document, token_index, write_tokens
+from mixframe.llm.text import mix
 from mixframe.runtime import shared_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -284,6 +287,79 @@ def test_languages_of_odd_rows(documents, odd_rows):
     assert [(r.lang_pred, r.score) for r in untaught] == [("und", 0.0)]
 
 
+def plain_bayes(rows, learned, alpha=0.5):
+    """Language and probability of each text, one n-gram at a time."""
+
+    def grams(text):
+        kept = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        kept = " " + " ".join(kept.split()) + " "
+        for size in language.SIZES:
+            for k in range(len(kept) - size + 1):
+                part = kept[k : k + size]
+                if part.strip():
+                    code = 0
+                    for c in part:
+                        code = (code * 0x110001 + (0 if c == " " else ord(c)) + 1) % 2**64
+                    with np.errstate(over="ignore"):
+                        yield int(mix(np.array([code], np.uint64) + np.uint64(size))[0]) >> 49
+
+    counts = {}
+    for _, text, lang in learned:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    docs = Counter(lang for _, _, lang in learned)
+    out = {}
+    for k, text, _ in rows:
+        seen = list(grams(text))
+        logs = {
+            lang: math.log(docs[lang] / len(learned))
+            + sum(math.log((c[g] + alpha) / (sum(c.values()) + alpha * language.BUCKETS)) for g in seen)
+            for lang, c in sorted(counts.items())
+        }
+        best = max(logs, key=logs.get)
+        out[k] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if seen else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("block, chain", [(200, 4), (2, 4), (1, 2)])
+def test_languages_against_plain_bayes_in_any_number_of_blocks(documents, monkeypatch, block, chain):
+    monkeypatch.setattr(language, "LANGUAGES", block)
+    monkeypatch.setattr(language, "CHAIN", chain)
+    made = random.Random(5)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "efghéä", "dd": "ghijß", "ee": "ijk漢字"}
+    rows = []
+    for k in range(80):
+        lang = made.choice(list(letters))
+        text = " ".join("".join(made.choices(letters[lang], k=3)) for _ in range(made.choice([0, 1, 2, 6])))
+        rows.append((k, text + made.choice(["", "  12", "."]), lang))
+    learned = [r for r in rows if r[0] % 3]
+    want = plain_bayes(rows, learned)
+    got = identify(documents(rows), F.col("doc_id") % 3 == 0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], rel=1e-4)
+
+
+def test_copies_of_few_texts_are_drawn_one_by_one(documents):
+    english, german = "this is the text that they read", "das ist der Text den sie gelesen haben"
+    rows = [(k, english, "en") for k in range(200)] + [(200 + k, german, "de") for k in range(200)]
+    got = identify(documents(rows), F.lit(False), train_rows=50).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 200 else "de") for r in got)
+
+
+def test_texts_in_no_language_are_not_recognised(documents):
+    made = random.Random(3)
+    words = {
+        "en": "the and not with for from that this which would there their about people water house",
+        "de": "der die das und nicht ein eine mit auf für von größe schön straße über wasser haus",
+    }
+    rows = [(k, " ".join(made.choices(words[x].split(), k=40)), x) for k, x in enumerate(["en", "de"] * 150)]
+    rows += [(300 + k, " ".join(made.choices(words["en"].split(), k=made.choice([1, 3, 90]))), None) for k in range(30)]
+    noise = ["".join(made.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(400)]
+    rows += [(1000 + k, " ".join(made.choices(noise, k=40)), None) for k in range(20)]
+    kept = {r.doc_id for r in recognised(documents(rows)).collect()}
+    assert kept == set(range(330))
+
+
 # quality
 
 
