@@ -12,9 +12,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from mixframe.llm.licenses import RULES, SENTENCES, scan_licenses
+from mixframe.llm.licenses import BREAKS, CUES, MARKS, NAMED, NAMES, NOTICE, RULES, SENTENCES, SLOTS, scan_licenses
 from mixframe.llm.lm import score_texts
 from mixframe.llm.secrets import (
     ALLOW,
@@ -306,10 +307,11 @@ def test_licences_by_sentence_rules(documents):
 
 
 def test_every_rule_names_known_sentences_and_is_found(documents):
-    assert all(s in SENTENCES for _, rule in RULES for s in rule)
-    rows = [(k, "".join(written(s) for s in rule)) for k, (_, rule) in enumerate(RULES)]
+    assert all(s in SENTENCES or s in SLOTS for _, rule in RULES for s in rule)
+    plain = [r for r in RULES if all(s in SENTENCES for s in r[1])]
+    rows = [(k, "".join(written(s) for s in rule)) for k, (_, rule) in enumerate(plain)]
     got = {r.doc_id: r.licenses for r in scan_licenses(documents(rows)).collect()}
-    assert got == {k: name for k, (name, _) in enumerate(RULES)}
+    assert got == {k: name for k, (name, _) in enumerate(plain)}
 
 
 GPL = """# Copyright (C) 2024 A. N. Other
@@ -397,6 +399,143 @@ def test_every_licence_of_a_long_text_is_found(documents):
     assert got[4].n_sentences == 9001
 
 
+TRIO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def gnu(what, name, version, published="published by\nthe Free Software Foundation; either"):
+    return f"""/*
+ * Copyright (C) 2024 A. N. Other
+ *
+ * {what} is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU {name} as
+ * {published} version {version} of the License, or
+ * (at your option) any later version.
+ */
+"""
+
+
+HEADERS = [
+    ("BSD-2-Clause", TRIO),
+    ("BSD-3-Clause", TRIO + "3. Neither the name of Example Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."),
+    ("BSD-3-Clause", TRIO + "Neither the name of the University nor the names of its contributors\nmay be used to endorse or promote products derived from this software\nwithout specific prior written permission."),
+    ("BSD-3-Clause", TRIO + "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", TRIO + "3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement: This product includes software\n   developed by the University of California.\n4. Neither the name of the University nor the names of its contributors may be\n   used to endorse or promote products derived from this software without\n   specific prior written permission."),
+    ("GPL-2.0-or-later", gnu("This program", "General Public License", "2")),
+    ("GPL-3.0-or-later", gnu("Foo Bar", "General Public License", "3")),
+    ("LGPL-2.1-or-later", gnu("This library", "Lesser General Public License", "2.1")),
+    ("LGPL-2.0-or-later", gnu("This library", "Library General Public License", "2")),
+    ("LGPL-3.0-or-later", gnu("This file", "Lesser General Public License", "3")),
+    ("AGPL-3.0-or-later", gnu("This program", "Affero General Public License", "3")),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."),
+    ("GPL-2.0-only", "// This program is free software: you can redistribute it and/or modify\n// it under the terms of version 2 of the GNU General Public License as\n// published by the Free Software Foundation.\n"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.'),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n"),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version\n1.1 (the "License"); you may not use this file except in compliance with\nthe License.'),
+    ("CDDL-1.0", 'The contents of this file are subject to the terms of the\nCommon Development and Distribution License (the "License").\nYou may not use this file except in compliance with the License.'),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1.\n"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its\ndocumentation for any purpose, without fee, and without a written agreement is\nhereby granted, provided that the above copyright notice and this paragraph\nand the following two paragraphs appear in all copies."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it is allowed as long\nas the name is changed."),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
+    ("Apache-2.0,MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("MS-PL", "Released under the Microsoft Public License.\n"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2\n"),
+    ("Artistic-2.0", "This is distributed under the terms of the Artistic License 2.0.\n"),
+    ("GPL-2.0-or-later", "Licensed under the GNU GPL v2 or later.\n"),
+    ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("ISC", "# SPDX-License-Identifier: ISC"),
+    ("Apache-2.0,MIT", "// SPDX-License-Identifier: MIT OR Apache-2.0\n"),
+    ("GPL-2.0-or-later", "// spdx-license-identifier: GPL-2.0+ WITH Classpath-exception-2.0\n"),
+    ("BSD-2-Clause,LGPL-2.1-only,MIT", "SPDX-License-Identifier: (LGPL-2.1-only OR MIT) AND BSD-2-Clause.\n"),
+    ("", "SPDX-License-Identifier: LicenseRef-Own\n"),
+    ("", "The software was licensed under duress and distributed under the counter."),
+]
+
+
+def test_headers_of_many_licences(documents):
+    rows = list(enumerate(text for _, text in HEADERS))
+    got = {r.doc_id: r.licenses for r in scan_licenses(documents(rows)).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(HEADERS)}
+    assert all(x in NAMES for n, _ in HEADERS for x in n.split(",") if x)
+
+
+def plain_licenses(text):
+    """Licences of a text, sentence by sentence and rule by rule."""
+    known, found = {s: k for k, s in SENTENCES.items()}, set()
+    order = {k: i for i, k in enumerate(dict.fromkeys([*SENTENCES, *SLOTS, *(f"license:{x}" for x in NAMES)]))}
+
+    def named(what):
+        if what in NAMED:
+            return [NAMED[what]]
+        each = [NAMED.get(x) for x in re.split(" (?:and|or) (?:the )?", what)]
+        return each if all(each) else []
+
+    for mark in MARKS:
+        for brk in BREAKS:
+            ends = [m.end() for m in regex.finditer(mark + brk, text)]
+            for a, b in zip([0] + ends, ends + [len(text)]):
+                part = text[a:b]
+                n = re.sub(r"^[. ]*[0-9]{1,2} |[. ]+$", "", regex.sub(r"[^\p{L}\p{N}.]+", " ", part.lower()).rstrip(" ")).strip(" ")
+                at = a + len(part) - len(regex.sub(r"^[^\p{L}\p{N}]+", "", part))
+                ids = [known[n]] if n in known else []
+                if not ids and re.search(CUES, n):
+                    ids = [k for k, x in SLOTS.items() if re.match(f"^(?:{x})$", n)][:1]
+                    if not ids and (m := re.match(NOTICE, n)):
+                        ids = [f"license:{x}" for x in named(m[1])]
+                found |= {(at, order[k], k) for k in ids}
+    seq = [k for _, _, k in sorted(found)]
+    out = []
+    for name, rule in RULES:
+
+        def match(at, left):
+            """Places of the rest of a rule after place ``at``."""
+            if not left:
+                return []
+            for k in range(at + 1, len(seq)):
+                if seq[k] == left[0] and (rest := match(k, left[1:])) is not None:
+                    return [k] + rest
+                if seq[k] == seq[at]:
+                    return None
+            return None
+
+        k, used = 0, set()
+        while k < len(seq):
+            rest = match(k, rule[1:]) if seq[k] == rule[0] else None
+            if rest is not None:
+                used |= {k, *rest}
+                k = ([k] + rest)[-1]
+            k += 1
+        if used:
+            out.append(name)
+            seq = [x for i, x in enumerate(seq) if i not in used]
+    out += sorted(x.removeprefix("license:") for x in seq if x.startswith("license:"))
+    return len(found), ",".join(dict.fromkeys(out))
+
+
+def test_licences_against_a_plain_version(documents):
+    made = random.Random(11)
+    headers = [t for _, t in HEADERS if "spdx" not in t.lower()] + [written(k) for k in SENTENCES]
+    rows = []
+    for k in range(60):
+        parts = made.choices(headers, k=made.randint(1, 9))
+        rows.append((k, "".join(x + made.choice(["", " ", "\n", "\n\n", ". Other words. ", ": "]) for x in parts)))
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in scan_licenses(documents(rows)).collect()}
+    assert got == {k: plain_licenses(text) for k, text in rows}
+
+
 def test_licences_in_odd_rows(odd, odd_rows, documents):
     assert scan_licenses(odd).count() == len(odd_rows)
     assert scan_licenses(documents([])).collect() == []
