@@ -24,7 +24,7 @@ LANGUAGES, CHAIN = 200, 4
 #: Labelled rows of each language to learn from, about.
 TRAIN_ROWS = 20_000
 #: Rows of each language that tell what is usual, about, and how far below it a text may be.
-USUAL_ROWS, MARGIN, DEVIATIONS = 2_000, 1.5, 6.0
+USUAL_ROWS, MARGIN, DEVIATIONS = 2_000, 4.0, 6.0
 PIECE, PIECE_BYTES = 1 << 17, 1 << 20
 
 
