@@ -159,6 +159,7 @@ def point_distance(spark, sf):
 
 
 def population_distance(spark, sf):
+    """Every child against every parent."""
     pop = first_population(spark, sf)[1]
     children = mf.vary(pop, CFG, 1)
     return rounded(mf.pair_distances(children, pop, CFG), "distance", digits=4)

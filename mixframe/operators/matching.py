@@ -6,20 +6,40 @@ through a tree in its task; runs go in parallel."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import kernels
 from ..config import SELECTIONS, EvolveConfig
+from ..functions import prefixed, scaled_sq_distance
 from ..runtime import by_run
 
 KEYS = ["run_id", "id"]
 
 
+def _sided(pop: DataFrame, cfg: EvolveConfig, run: str, key: str, prefix: str) -> DataFrame:
+    parts = cfg.centre_cols + cfg.spread_cols
+    return pop.selectExpr(f"run_id AS {run}", f"id AS {key}", *[f"{c} AS {prefix}{c}" for c in parts])
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str) -> DataFrame:
+    distance = scaled_sq_distance(
+        prefixed("l", cfg.centre_cols),
+        prefixed("r", cfg.centre_cols),
+        prefixed("l" if scale == "left" else "r", cfg.spread_cols),
+    )
+    a, b = _sided(left, cfg, "run_id", "id1", "l"), _sided(right, cfg, "run__", "id2", "r")
+    pairs = a.join(F.broadcast(b), F.col("run_id").eqNullSafe(F.col("run__")))
+    return pairs.selectExpr("run_id", "id1", "id2", f"{distance} AS distance")
+
+
 def pair_distances(
-    left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str = "left", nearest: int = 5
+    left: DataFrame, right: DataFrame, cfg: EvolveConfig, scale: str = "left", nearest: int | None = None
 ) -> DataFrame:
-    """``run_id, id1, id2, distance`` of each left individual and the
-    ``nearest`` right ones of its run, measured in the spread of the ``scale``
-    side."""
+    """``run_id, id1, id2, distance`` of each left individual and every right one
+    of its run, or with a number only the ``nearest``, measured in the spread of
+    the ``scale`` side."""
+    if nearest is None:
+        return _all_pairs(left, right, cfg, scale)
     parts = [*KEYS, *cfg.centre_cols, *cfg.spread_cols]
     sides = [by_run(df.select(*parts), cfg.runs).groupBy("run_id") for df in (left, right)]
     kernel = kernels.nearest_within(cfg.centre_cols, cfg.spread_cols, nearest, scale == "left")

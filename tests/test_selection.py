@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import mixframe as mf
+from catalog.queries import QUERIES
 
 CFG = mf.EvolveConfig(pop_size=4)
 SCHEMA = "run_id bigint, id bigint, c0 double, c1 double, s0 double, s1 double, fitness double"
@@ -147,3 +148,28 @@ def test_lineage_is_cut(blobs):
     pop = mf.evolve(blobs, mf.EvolveConfig(pop_size=4, generations=2))
     plan = pop._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Range" not in plan
+
+
+def test_every_pair_of_a_run_is_measured(spark):
+    # more members than a few nearest ones, and two runs
+    rows = [(run, i, float(i), run + 0.5 * i, 1.0 + i, 2.0) for run in range(2) for i in range(9)]
+    pop, other = (spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0]) for _ in range(2))
+    cfg = CFG.with_(runs=2)
+    for scale, side in (("left", 0), ("right", 1)):
+        got = {(r.run_id, r.id1, r.id2): r.distance for r in mf.pair_distances(pop, other, cfg, scale).collect()}
+        assert len(got) == 2 * 9 * 9
+        for (run, *ids), distance in got.items():
+            a, b = (np.array(rows[run * 9 + i][2:]) for i in ids)
+            spread = (a, b)[side][2:]
+            assert np.isclose(distance, (((a[:2] - b[:2]) / spread) ** 2).sum())
+    assert mf.pair_distances(pop, other, cfg, nearest=5).count() == 2 * 9 * 5
+
+
+def test_population_distance_returns_every_pair(spark, tmp_path):
+    table = spark.range(200).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id * 7) AS ts",
+        "'view' AS event_type", "double(id % 17) AS value",
+    )
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["population_distance"](spark, str(tmp_path)).collect()
+    assert len({(r.id1, r.id2) for r in found}) == len(found) == 20 * 20
