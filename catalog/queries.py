@@ -445,9 +445,9 @@ def kmeans_start(spark, sf):
 
 
 def component_ellipse(spark, sf):
-    """Of the components that some point with an even label was given to."""
+    """Of all components that some point was given to."""
     pts, comps = _by_type(spark, sf)
-    used = pts.where("label % 2 = 0").selectExpr("0L AS run_id", "label AS comp")
+    used = pts.selectExpr("0L AS run_id", "label AS comp")
     return rounded(mf.component_ellipse(comps, used), "x", "y", "width", "height", "angle")
 
 

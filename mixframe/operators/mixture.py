@@ -220,7 +220,9 @@ def component_ellipse(comps: DataFrame, used: DataFrame | None = None) -> DataFr
     ``used`` keeps only the components some point was given to (``run_id, comp``).
     """
     if used is not None:
-        comps = comps.join(used.select("run_id", "comp").distinct(), ["run_id", "comp"], "left_semi")
+        given = used.selectExpr("run_id AS run__", "comp AS comp__").distinct()
+        same = F.col("run_id").eqNullSafe(F.col("run__")) & F.col("comp").eqNullSafe(F.col("comp__"))
+        comps = comps.join(given, same, "left_semi")
     axis = "2D * sqrt(2D) * sqrt(greatest(0D, {}))"
     return (
         comps.selectExpr(

@@ -44,3 +44,13 @@ def few_events(spark, tmp_path):
 def test_summaries_are_those_of_twenty_runs_of_both_algorithms(spark, few_events):
     found = QUERIES["replicate_summary"](spark, few_events).collect()
     assert {(r.algorithm, r.n) for r in found} == {("evolution", 20), ("em", 20)}
+
+
+def test_ellipses_of_every_component(spark, few_events):
+    found = QUERIES["component_ellipse"](spark, few_events).collect()
+    assert sorted(r.comp for r in found) == [0, 1, 2, 3, 4]
+
+
+def test_ellipse_of_a_component_without_number(spark):
+    comps = spark.createDataFrame([(0, None, 1.0, [0.0, 0.0], [[1.0, 0.0], [0.0, 2.0]])], mf.operators.mixture.COMPONENT_SCHEMA)
+    assert mf.component_ellipse(comps, comps.select("run_id", "comp")).count() == 1
