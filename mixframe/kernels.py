@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 
 # Ship this module's functions by value: workers need NumPy and PyArrow only,
@@ -397,6 +399,24 @@ class _Counts:
         return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in self.parts])).astype(np.int64)
 
 
+class _Names:
+    """Numbers for the values of a column, in the order they came."""
+
+    def __init__(self):
+        self.names, self.kind = {}, pa.null()
+
+    def codes(self, column) -> np.ndarray:
+        column = column.dictionary_encode()
+        self.kind = column.dictionary.type
+        own = [self.names.setdefault(v, len(self.names)) for v in column.dictionary.to_pylist()]
+        own.append(self.names.setdefault(None, len(self.names)) if column.null_count else -1)
+        return np.array(own)[column.indices.fill_null(len(own) - 1).to_numpy()]
+
+    def values(self, codes) -> pa.Array:
+        names = list(self.names)
+        return pa.array([names[i] for i in codes], self.kind)
+
+
 def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
     """How many points of a partition share ``label``, the positions of the two
     nearest representatives and the number of ``steps`` below either distance:
@@ -406,15 +426,9 @@ def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
     edges, levels = np.array(steps, float), len(steps) + 1
 
     def run(batches: Batches) -> Batches:
-        found, names, kind = [_Counts() for _ in models], {}, pa.null()
+        found, names = [_Counts() for _ in models], _Names()
         for batch in batches:
-            code = None
-            if label is not None:
-                column = batch.column(label).dictionary_encode()
-                kind = column.dictionary.type
-                own = [names.setdefault(v, len(names)) for v in column.dictionary.to_pylist()]
-                own.append(names.setdefault(None, len(names)) if column.null_count else -1)
-                code = np.array(own)[column.indices.fill_null(len(own) - 1).to_numpy()]
+            code = None if label is None else names.codes(batch.column(label))
             columns = _columns(batch, dims)
             for start in range(0, batch.num_rows, STEP):
                 xs = [c[start : start + STEP] for c in columns]
@@ -426,7 +440,6 @@ def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
                     for part in (d1, d2):
                         key = key * levels + np.searchsorted(edges, part)
                     counts.add(key)
-        values = list(names)
         for counts, (run_id, centres, *_) in zip(found, models):
             if not counts.parts:
                 continue
@@ -438,7 +451,7 @@ def count_two(dims, models, steps, label=None) -> Callable[[Batches], Batches]:
             bin2, bin1, place2, place1 = columns
             out = {"run_id": np.full(len(n), run_id, "int64")}
             if label is not None:
-                out[label] = pa.array([values[i] for i in key], kind)
+                out[label] = names.values(key)
             out |= {"place1": place1, "place2": place2 - 1, "bin1": bin1, "bin2": bin2, "n": n}
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], names=list(out))
 
@@ -574,25 +587,126 @@ def _responsibilities(x: np.ndarray, weights, means, factors):
     return shares, top + np.log(whole)
 
 
-def em_sums(dims, mixtures, hard=False) -> Callable[[Batches], Batches]:
+#: Widest points whose EM steps go by products of coordinates, points of such a
+#: step (few enough for one BLAS thread), and the error allowed in a logarithm.
+PLANE, PLANE_STEP, ROUNDING = 4, 4096, 1e-9
+
+
+def _products(offsets: list[np.ndarray]) -> np.ndarray:
+    """One row each for 1, the offsets, and their products in pairs."""
+    d = len(offsets)
+    pairs = [offsets[i] * offsets[j] for i in range(d) for j in range(i, d)]
+    return np.stack([np.ones(len(offsets[0])), *offsets, *pairs])
+
+
+def _log_weights(weights, factors, d: int) -> np.ndarray:
+    """What the logarithm of a component's density is at its mean."""
+    turned = [np.log(np.diag(inverse)).sum() for inverse in factors]
+    return np.log(weights) - 0.5 * d * np.log(2 * np.pi) + np.array(turned)
+
+
+class _Plane:
+    """One mixture over few dimensions: logarithms of the densities and moments
+    are matrix products with the products of coordinates around ``centre``, as
+    far as that is exact to ``ROUNDING``; ``least`` is the smallest variance."""
+
+    def __init__(self, weights, means, factors, centre, least: float):
+        k, d = len(weights), len(centre)
+        self.offsets = np.array(means) - centre
+        self.tops = _log_weights(weights, factors, d)
+        self.means, self.factors = means, factors
+        self.sums = np.zeros((k, 1 + d + d * (d + 1) // 2))
+        self.log, precisions, rows = 0.0, [], []
+        for o, top, inverse in zip(self.offsets, self.tops, factors):
+            p = inverse.T @ inverse
+            precisions.append(np.linalg.norm(p))
+            twice = np.where(np.eye(d, dtype=bool), 0.5, 1.0) * p
+            rows.append([top - 0.5 * o @ p @ o, *(p @ o), *(-twice[np.triu_indices(d)])])
+        self.rows = np.array(rows)
+        steepest = max([*precisions, 1 / least if least else np.inf])
+        # the squared reach of points from the centre up to which it is exact
+        self.reach = ROUNDING / np.finfo(float).eps / steepest - (self.offsets**2).sum(axis=1).max()
+
+    def soft(self, products: np.ndarray) -> None:
+        shares = self.rows @ products
+        top = shares.max(axis=0)
+        shares -= top
+        np.exp(shares, out=shares)
+        whole = shares.sum(axis=0)
+        shares /= whole
+        np.log(whole, out=whole)
+        self.log += top.sum() + whole.sum()
+        self.sums += shares @ products.T
+
+    def hard(self, columns, products: np.ndarray) -> None:
+        """Distances without rounding up to products: a tie goes to the first."""
+        best, owner = None, np.zeros(len(columns[0]), np.int64)
+        for c, (mean, inverse, top) in enumerate(zip(self.means, self.factors, self.tops)):
+            offsets = [x - m for x, m in zip(columns, mean)]
+            total = None
+            for row in inverse:
+                terms = [off if v == 1 else v * off for v, off in zip(row, offsets) if v]
+                solved = reduce(np.add, terms)
+                square = solved * solved
+                total = square if total is None else np.add(total, square, out=total)
+            total *= -0.5
+            total += top
+            if best is None:
+                best = total
+                continue
+            np.putmask(owner, total > best, c)
+            np.maximum(best, total, out=best)
+        self.log += best.sum()
+        self.sums += (owner == np.arange(len(self.tops))[:, None]).astype(float) @ products.T
+
+    def around_means(self) -> np.ndarray:
+        """Per component the responsibilities, the offsets from its mean and
+        their products, as the passes over wide points sum them."""
+        out = []
+        d = self.offsets.shape[1]
+        for row, o in zip(self.sums, self.offsets):
+            square = np.zeros((d, d))
+            square[np.triu_indices(d)] = row[1 + d :]
+            square += np.triu(square, 1).T
+            first = row[1 : 1 + d]
+            square += row[0] * np.outer(o, o) - np.outer(first, o) - np.outer(o, first)
+            out.append(np.concatenate([[row[0]], first - row[0] * o, square.ravel()]))
+        return np.array(out)
+
+
+def em_sums(dims, mixtures, hard=False, least: float = 0.0) -> Callable[[Batches], Batches]:
     """Per partition and mixture (its place in the list) one array of the sums
     an EM step needs: the log-likelihood, then for every component the
     responsibilities, the weighted offsets from the old mean and their products.
     With ``hard`` each point belongs to its most probable component alone, as in
-    k-means.
+    k-means, and of the likelihood nothing is meant. ``least`` is a variance that
+    no component falls below.
 
     ``mixtures`` is a list of ``(run_id, weights, means, inverse Cholesky factors)``.
     """
     d = len(dims)
     # one step's arrays stay within a few MB however wide the points are
-    size = max(256, STEP * 4 // max(d, 4))
+    size = PLANE_STEP if d <= PLANE else max(256, STEP * 4 // max(d, 4))
+    centre = np.mean([m for _, _, means, _ in mixtures for m in means], axis=0) if mixtures else np.zeros(d)
 
     def run(batches: Batches) -> Batches:
         sums = [np.zeros((len(m[1]), 1 + d + d * d)) for m in mixtures]
         logs = [0.0] * len(mixtures)
+        planes = [_Plane(*m[1:], centre, least) for m in mixtures] if d <= PLANE else []
         for batch in batches:
             for x in _rows(batch, dims, size):
-                for at, (_, weights, means, factors) in enumerate(mixtures):
+                far = range(len(mixtures))
+                if planes and len(x):
+                    columns = list(np.ascontiguousarray(x.T))
+                    offsets = [v - c for v, c in zip(columns, centre)]
+                    reach = sum(max(v.max(), -v.min()) ** 2 for v in offsets)
+                    products = _products(offsets)
+                    far = [at for at, plane in enumerate(planes) if not reach <= plane.reach]
+                    for plane in planes:
+                        if reach <= plane.reach:
+                            plane.hard(columns, products) if hard else plane.soft(products)
+                for at in far:
+                    _, weights, means, factors = mixtures[at]
                     shares, ll = _responsibilities(x, weights, means, factors)
                     logs[at] += ll.sum()
                     if hard:
@@ -603,35 +717,134 @@ def em_sums(dims, mixtures, hard=False) -> Callable[[Batches], Batches]:
                         row[0] += r.sum()
                         row[1 : 1 + d] += weighted.sum(axis=0)
                         row[1 + d :] += (weighted.T @ off).ravel()
+        for at, plane in enumerate(planes):
+            sums[at] += plane.around_means()
+            logs[at] += plane.log
         yield from key_arrays({at: np.append(logs[at], sums[at].ravel()) for at in range(len(mixtures))})
 
     return run
 
 
-def seed_races(dims, chosen, draws) -> Callable[[Batches], Batches]:
+_MD5_TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(-1)
+_MD5_ADDED = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+_MD5_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+_MD5_PLACES = [(i, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16)[i // 16] for i in range(64)]
+
+
+def md5_words(prefix: bytes, tails: np.ndarray) -> list[np.ndarray]:
+    """The four words of the MD5 of ``prefix`` before each row of bytes of
+    ``tails``, all rows a step at a time."""
+    n, size = len(tails), len(prefix) + tails.shape[1]
+    blocks = (size + 8) // 64 + 1
+    text = np.zeros((n, 64 * blocks), np.uint8)
+    text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    text[:, len(prefix) : size] = tails
+    text[:, size] = 0x80
+    text[:, -8:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    # words that all rows share are numbers
+    given = range(len(prefix) // 4, (size - 1) // 4 + 1)
+    words = text.view("<u4")
+    state = [np.full(n, v) for v in _MD5_START]
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for block in range(blocks):
+        own = []
+        for i in range(16 * block, 16 * (block + 1)):
+            own.append(np.ascontiguousarray(words[:, i]) if i in given else words[0, i])
+        a, b, c, d = (v.copy() for v in state)
+        for i in range(64):
+            kind = i // 16
+            if kind == 0:  # (b & c) | (~b & d)
+                np.bitwise_xor(c, d, out=f)
+                np.bitwise_and(f, b, out=f)
+                np.bitwise_xor(f, d, out=f)
+            elif kind == 1:  # (d & b) | (~d & c)
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_and(f, d, out=f)
+                np.bitwise_xor(f, c, out=f)
+            elif kind == 2:
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_xor(f, d, out=f)
+            else:  # c ^ (b | ~d)
+                np.invert(d, out=f)
+                np.bitwise_or(f, b, out=f)
+                np.bitwise_xor(f, c, out=f)
+            a += f
+            word = own[_MD5_PLACES[i]]
+            if np.ndim(word):
+                a += word
+                a += _MD5_ADDED[i]
+            else:
+                a += np.uint32((int(word) + int(_MD5_ADDED[i])) & 0xFFFFFFFF)
+            left = np.uint32(_MD5_TURNS[i])
+            np.right_shift(a, np.uint32(32 - left), out=t)
+            np.left_shift(a, left, out=a)
+            np.bitwise_or(a, t, out=a)
+            a += b
+            a, b, c, d = d, a, b, c
+        state = [v + w for v, w in zip(state, (a, b, c, d))]
+    return state
+
+
+class Draws:
+    """The uniform numbers of ``functions.rng`` for whole numbers as last part."""
+
+    def __init__(self, ids: pa.Array):
+        self.n, self.groups = len(ids), []
+        texts = ids.cast(pa.string())
+        sizes = np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + self.n]
+        letters = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            some = slice(None) if len(rows) == self.n else rows
+            places = starts[rows][:, None] + np.arange(max(size, 0), dtype=np.int32)
+            self.groups.append((some, letters[places], size < 0))
+
+    def uniform(self, *parts) -> np.ndarray:
+        prefix = "|".join(map(str, parts)).encode()
+        out = np.empty(self.n)
+        for rows, tails, null in self.groups:
+            # a null is left out, with the sign before it
+            a, b, *_ = md5_words(prefix if null else prefix + b"|", tails)
+            # 13 digits: the first word and 20 bits of the second, bytes in order
+            high, low = a.byteswap().astype(np.float64), (b.byteswap() >> np.uint32(12)).astype(np.float64)
+            out[rows] = (high * 2.0**20 + low) / 2.0**52
+        return out
+
+
+def seed_races(dims, chosen, seed: int, turn: int) -> Callable[[Batches], Batches]:
     """Per partition and run the point that wins the race for the next centre,
     as ``(run_id, time, point_id, at)``: the time is exponential with the squared
-    distance from the nearest of ``chosen[run]`` as rate; ``draws`` names the
-    columns of uniform numbers. Centres do not take part."""
+    distance from the nearest of ``chosen[run]`` as rate, by the uniform number
+    of seed, run, turn and point. Centres do not take part."""
 
     def run(batches: Batches) -> Batches:
         best: list[tuple | None] = [None] * len(chosen)
         for batch in batches:
-            ids, uniform = batch.column("point_id").to_numpy(zero_copy_only=False), _columns(batch, draws)
-            x = np.column_stack(_columns(batch, dims))
-            for at, (centres, u) in enumerate(zip(chosen, uniform)):
-                gap = np.ones(len(x))
-                for k, c in enumerate(centres):
-                    moved = ((x - c) ** 2).sum(axis=1)
-                    gap = moved if k == 0 else np.minimum(gap, moved)
-                some = np.flatnonzero(gap > 0)
-                if not len(some):
-                    continue
-                time = -np.log(1 - u[some]) / gap[some]
-                first = some[np.lexsort((ids[some], time))[0]]
-                found = (float(time[np.searchsorted(some, first)]), int(ids[first]), x[first].tolist())
-                if best[at] is None or found[:2] < best[at][:2]:
-                    best[at] = found
+            for start in range(0, batch.num_rows, STEP):
+                some = batch.slice(start, STEP)
+                draws = Draws(some.column("point_id"))
+                ids = some.column("point_id").to_numpy(zero_copy_only=False)
+                xs = _columns(some, dims)
+                for at, centres in enumerate(chosen):
+                    gap = np.ones(len(ids))
+                    for k, c in enumerate(centres):
+                        moved = _sq_distance(xs, c, np.ones(len(c)))
+                        gap = moved if k == 0 else np.minimum(gap, moved)
+                    u = draws.uniform(seed, at, turn, "seed")
+                    # no time is less than u / gap, with room for rounding
+                    near = gap > 0
+                    if best[at] is not None:
+                        near &= u <= best[at][0] * (1 + 1e-9) * gap
+                    near = np.flatnonzero(near)
+                    if not len(near):
+                        continue
+                    time = -np.log(1 - u[near]) / gap[near]
+                    near = near[time == time.min()]
+                    first = near[np.argmin(ids[near])]
+                    found = (float(time.min()), int(ids[first]), [float(x[first]) for x in xs])
+                    if best[at] is None or found[:2] < best[at][:2]:
+                        best[at] = found
         rows = [(at, *b) for at, b in enumerate(best) if b is not None]
         if rows:
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
@@ -659,3 +872,29 @@ def em_labels(dims, mixtures, keep) -> Callable[[Batches], Batches]:
                     )
 
     return run
+
+
+def em_counts(dims, mixtures, label) -> Callable[[Batches], Batches]:
+    """How many points of a partition have the ``label`` and, per mixture, the
+    most probable component, as ``em_labels`` finds it:
+    ``run_id, label, prediction, n``."""
+
+    def run(batches: Batches) -> Batches:
+        found, names = [_Counts() for _ in mixtures], _Names()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, start = names.codes(batch.column(label)), 0
+            for x in _rows(batch, dims):
+                own = code[start : start + len(x)]
+                start += len(x)
+                for counts, (_, *mixture) in zip(found, mixtures):
+                    shares, _ = _responsibilities(x, *mixture)
+                    counts.add(own * len(shares) + shares.argmax(axis=0))
+        for counts, (run_id, weights, *_) in zip(found, mixtures):
+            if counts.parts:
+                key, n = counts.total()
+                columns = [np.full(len(n), run_id, "int64"), names.values(key // len(weights)), key % len(weights), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run_id", label, "prediction", "n"])
+
+    return run

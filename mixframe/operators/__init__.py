@@ -6,6 +6,7 @@ from .metrics import adjusted_rand, cluster_scores, contingency, label_count, sc
 from .mixture import (
     assemble,
     component_ellipse,
+    em_cells,
     em_fit,
     em_predict,
     fit_mixture,
@@ -29,6 +30,7 @@ __all__ = [
     "component_ellipse",
     "contingency",
     "domain",
+    "em_cells",
     "em_fit",
     "em_predict",
     "fit_mixture",

@@ -18,8 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions import uniform
 from ..runtime import bounded_rows, held, held_blocks, model_table
 from .. import kernels
 from .partials import task_sums
@@ -92,7 +92,7 @@ def _step(
     """Component rows after one EM step, and the mean log-likelihood per run.
     A task sends one array of 1 + k (1 + d + d * d) numbers per run."""
     d = len(dims)
-    kernel = kernels.em_sums(list(dims), mixtures, hard)
+    kernel = kernels.em_sums(list(dims), mixtures, hard, reg)
     if points.columns != ["block"]:
         points = points.select(*dims)
     sums = task_sums(points.mapInArrow(kernel, "key bigint, sums array<double>"), tasks)
@@ -128,16 +128,14 @@ def seed_centres(
     probability proportional to the squared distance from the centres so far.
 
     The draw is a race: the point with the smallest exponential time at rate
-    distance wins, so each centre of all runs takes one pass. A run that has no
-    other points left repeats its first centre.
+    distance wins, so each centre of all runs takes one pass, in which the task
+    draws the numbers of ``functions.rng`` itself. A run that has no other points
+    left repeats its first centre.
     """
     chosen: list[list[list[float]]] = [[] for _ in range(runs)]
-    draws = [f"u{run}" for run in range(runs)]
+    drawn = points.select("point_id", *dims)
     for turn in range(k):
-        drawn = points.selectExpr(
-            "point_id", *dims, *[f"{uniform(seed, run, turn, chr(39) + 'seed' + chr(39), 'point_id')} AS u{run}" for run in range(runs)]
-        )
-        kernel = kernels.seed_races(list(dims), [np.array(c) for c in chosen], draws)
+        kernel = kernels.seed_races(list(dims), [np.array(c) for c in chosen], seed, turn)
         raced = drawn.mapInArrow(kernel, "run_id bigint, time double, point_id bigint, at array<double>")
         won = raced.groupBy("run_id").agg(F.min(F.struct("time", "point_id", "at")).alias("best")).collect()
         centres = {r.run_id: list(r.best["at"]) for r in won}
@@ -212,6 +210,17 @@ def em_predict(
     return narrow.mapInArrow(kernels.em_labels(list(dims), _mixtures(comps), list(keep)), schema)
 
 
+def em_cells(points: DataFrame, comps: DataFrame, dims: Sequence[str], label: str) -> DataFrame:
+    """``run_id, label, prediction, n``: the contingency table of ``em_predict``
+    per mixture, counted in the tasks, so that no row is written per point."""
+    narrow = points.select(*dict.fromkeys([label, *dims]))
+    schema = StructType([StructField("run_id", LongType()), points.select(label).schema[0]])
+    for name in ("prediction", "n"):
+        schema = schema.add(name, "long")
+    counts = narrow.mapInArrow(kernels.em_counts(list(dims), _mixtures(comps), label), schema)
+    return counts.groupBy("run_id", label, "prediction").agg(F.sum("n").alias("n"))
+
+
 def component_ellipse(comps: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """Axes and angle of the two-dimensional components: ``width`` along the
     direction of least variance, ``height`` across it, both 2 * sqrt(2) standard

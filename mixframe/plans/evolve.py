@@ -25,8 +25,10 @@ def working_points(points: DataFrame, cfg: EvolveConfig, keep: Sequence[str] = (
 def generation(
     pop: DataFrame, points: DataFrame, cfg: EvolveConfig, gen: int, tasks: int | None = None
 ) -> DataFrame:
-    """Next population; only the children are measured, parents carry theirs."""
-    children = fitness(vary(pop, cfg, gen), points, cfg.dims, tasks=tasks)
+    """Next population; only children that differ from their parents' generation
+    are measured, parents carry theirs."""
+    known = pop if "log_fitness" in pop.columns else None
+    children = fitness(vary(pop, cfg, gen), points, cfg.dims, tasks=tasks, known=known)
     return select(pop, children, cfg)
 
 

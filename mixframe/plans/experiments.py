@@ -14,7 +14,7 @@ from ..operators.assignment import counted_kinds, move_small, rep_models
 from ..operators.fitness import fitness, model_arrays
 from ..operators.leaders import lead, refine_with, reps_frame, reps_schema
 from ..operators.metrics import SCORES, cluster_scores, scores
-from ..operators.mixture import em_fit, em_predict, kmeans_start
+from ..operators.mixture import em_cells, em_fit, kmeans_start
 from ..runtime import MAX_MODEL_ROWS, bounded_rows, cut_lineage, cut_model, model_table
 from .evolve import working_points
 from .predict import predicted_scores
@@ -183,12 +183,11 @@ def replicates(
         "run_id", F.lit("evolution").alias("algorithm"), *SCORES
     )
     plain = points if mixture_points is None else mixture_points
-    with working_points(plain, cfg) as narrow:
+    with working_points(plain, cfg, ["point_id", label]) as narrow:
         comps = em_fit(narrow, kmeans_start(narrow, cfg.dims, k, cfg.seed, n), cfg.dims)
-    labelled = em_predict(plain, comps, cfg.dims, [label])
-    fitted = cluster_scores(labelled, label, "prediction", ["run_id"]).select(
-        "run_id", F.lit("em").alias("algorithm"), *SCORES
-    )
+        cells = cut_lineage(em_cells(narrow, comps, cfg.dims, label))
+    cells = cells.withColumnsRenamed({label: "label", "prediction": "cluster"})
+    fitted = scores(cells, ["run_id"]).select("run_id", F.lit("em").alias("algorithm"), *SCORES)
     return evolved.unionByName(fitted)
 
 

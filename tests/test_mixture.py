@@ -1,8 +1,13 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 
 import mixframe as mf
+from mixframe import kernels
+from mixframe.functions import uniform
 from mixframe.operators.mixture import COMPONENT_SCHEMA, seed_centres
 
 DIMS = ["x0", "x1"]
@@ -100,3 +105,53 @@ def test_vector_taken_apart(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
     df = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(df).select("id", "v")
     assert mf.model_vectors(df, "v", ["p", "q"]).first() == (1, 2.0, 3.0)
+
+
+def test_numbers_drawn_in_tasks_are_those_of_the_expression(spark):
+    ids = [0, 5, -7, 12, None, 123456789012, 99, -(2**63)]
+    rows = spark.createDataFrame([(i,) for i in ids], "point_id bigint")
+    for parts in ((7, 19, 4), (2**62, 0, 123456789)):
+        want = [r.u for r in rows.selectExpr(f"{uniform(*parts, chr(39) + 'seed' + chr(39), 'point_id')} AS u").collect()]
+        assert kernels.Draws(pa.array(ids, pa.int64())).uniform(*parts, "seed").tolist() == want
+        assert kernels.Draws(pa.array(ids, pa.int64()).slice(3)).uniform(*parts, "seed").tolist() == want[3:]
+    long = hashlib.md5(b"x" * 100 + b"|5").hexdigest()
+    assert kernels.Draws(pa.array([5])).uniform("x" * 100).tolist() == [int(long[:13], 16) / 16**13]
+
+
+def summed(dims, columns, mixtures, hard):
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=dims)
+    found = list(kernels.em_sums(dims, mixtures, hard, 1e-6)(iter([batch])))
+    return np.array([v for b in found for v in b.column("sums").to_pylist()])
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+@pytest.mark.parametrize("hard", [False, True])
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e7, 1.0), (0.0, 1e4)])
+def test_em_sums_by_products_and_point_by_point(monkeypatch, d, hard, shift, scale):
+    rng = np.random.default_rng(d)
+    x = rng.random((6000, d)) * scale + shift
+    mixtures = []
+    for run in range(3):
+        covs = [np.eye(d) if hard else scale**2 * (0.02 * np.eye(d) + 0.005) for _ in range(4)]
+        factors = [np.linalg.inv(np.linalg.cholesky(c)) for c in covs]
+        mixtures.append((run, [0.1, 0.2, 0.3, 0.4], list(x[rng.integers(0, 6000, 4)]), factors))
+    dims = [f"x{k}" for k in range(d)]
+    used, soft, firm = [], kernels._Plane.soft, kernels._Plane.hard
+    monkeypatch.setattr(kernels._Plane, "soft", lambda self, *a: used.append(1) or soft(self, *a))
+    monkeypatch.setattr(kernels._Plane, "hard", lambda self, *a: used.append(1) or firm(self, *a))
+    fast = summed(dims, list(x.T), mixtures, hard)
+    assert bool(used) == (scale == 1)  # far apart the products would not be exact
+    monkeypatch.setattr(kernels, "PLANE", 0)
+    plain = summed(dims, list(x.T), mixtures, hard)
+    assert np.allclose(fast[:, 1:], plain[:, 1:], rtol=1e-9, atol=1e-8)
+    assert hard or np.allclose(fast[:, 0], plain[:, 0])
+
+
+def test_cells_are_counted_as_predictions_are(spark, blobs):
+    some = blobs.selectExpr("point_id", "if(point_id % 10 = 0, NULL, label) AS label", "x0 / 25 AS x0", "x1 / 25 AS x1")
+    comps = mf.em_fit(some, mf.kmeans_start(some, DIMS, 3, 5, runs=3), DIMS)
+    want = mf.contingency(mf.em_predict(some, comps, DIMS, ["label"]), "label", "prediction", ["run_id"])
+    got = mf.operators.em_cells(some, comps, DIMS, "label")
+    assert sorted(map(str, got.collect())) == sorted(
+        str(r) for r in want.withColumnRenamed("cluster", "prediction").collect()
+    )

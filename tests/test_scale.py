@@ -1,5 +1,6 @@
 """Sums, searches, ids and loops that must not depend on how rows are dealt out."""
 
+import importlib
 import math
 
 import numpy as np
@@ -108,3 +109,24 @@ def test_counts_by_kind_equal_the_assignment(blobs):
         near = mf.nearest_labels(points, reps, cfg, ["label"])
         assert counted.agg(F.sum("n")).first()[0] == 300
         assert near.where("cluster = 0").count() >= (counted.where("cluster = 0").agg(F.sum("n")).first()[0] or 0)
+
+
+def test_equal_gaussians_are_measured_once(spark, blobs, monkeypatch):
+    module = importlib.import_module("mixframe.operators.fitness")
+    measured, sums = [], module._exact_sums
+    monkeypatch.setattr(module, "_exact_sums", lambda rows, *a: measured.append(len(rows)) or sums(rows, *a))
+    schema = "run_id bigint, id bigint, c0 double, c1 double, s0 double, s1 double"
+    shapes = [(1.0, 1.0, 2.0, 2.0), (3.0, 1.0, 1.0, 2.0), (1.0, 1.0, 2.0, 2.0), (9.0, 2.0, 1.0, 1.0)]
+    pop = spark.createDataFrame([(run, i, *s) for run in (0, 1) for i, s in enumerate(shapes[: 4 - run])], schema)
+    dims = ["x0", "x1"]
+    parents = cut_model(module.fitness(pop, blobs, dims))
+    alone = [module.fitness(pop.where(f"run_id = {run} AND id = {i}"), blobs, dims).first() for run, i in ((0, 3), (1, 0))]
+    got = {(r.run_id, r.id): r for r in parents.collect()}
+    # the fitness is a share of the size of the run
+    assert got[0, 3].fitness == alone[0].fitness / 4 and got[1, 0].fitness == alone[1].fitness / 3
+    assert got[0, 0].log_fitness == got[0, 2].log_fitness != got[1, 0].log_fitness
+    moved = pop.selectExpr("run_id", "id", "if(id = 1, c0 + 1, c0) AS c0", "c1", "s0", "s1")
+    again = {(r.run_id, r.id): r for r in module.fitness(moved, blobs, dims, known=parents).collect()}
+    fresh = {(r.run_id, r.id): r for r in module.fitness(moved, blobs, dims).collect()}
+    assert again == fresh
+    assert measured == [3, 1, 1, 1, 3]
