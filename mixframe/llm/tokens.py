@@ -14,7 +14,6 @@ import os
 import struct
 import uuid
 import zlib
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 #: Words that a worker remembers, about; it forgets all of them beyond.
 CACHE_WORDS = 1_000_000
 BLANK = byte_set([0x20])
+VISIBLE = byte_set(range(0x21, 0x7F))
 SHARDS = "shard bigint, part bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, blob binary"
 SHARD_FIELDS = pa.schema(
     [(x, pa.int64()) for x in ("shard", "part", "n_docs", "n_tokens")]
@@ -80,29 +80,47 @@ class Encoder:
     def _plain(self, word: str) -> bool:
         return not (word[0].isspace() or word[-1].isspace() or any(a in word for a in self.added))
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Remember words as they are encoded after a blank; those that may not
-        be cut off get nothing."""
-        plain = np.array([self._plain(w) for w in words], bool)
-        some = list(compress(words, plain))
-        groups = range(0, len(some), 1000)
+    def _all_plain(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, spelt: bytes) -> np.ndarray:
+        """``_plain`` of each word; one that begins and ends with a visible ASCII
+        character is read only where the words, side by side, hold an added token."""
+        ends = VISIBLE[data[start]] & VISIBLE[data[start + size - 1]]
+        if any(a.encode() in spelt for a in self.added):
+            ends[:] = False
+        for at in np.flatnonzero(~ends).tolist():
+            ends[at] = self._plain(data[start[at] : start[at] + size[at]].tobytes().decode())
+        return ends
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Remember words, spans of ``data``, as they are encoded after a blank;
+        those that may not be cut off get nothing."""
+        if not len(keys):
+            return
+        width = end - start
+        spelt = data[np.repeat(start, width) + runs(width)]
+        plain = self._all_plain(data, start, width, spelt.tobytes())
+        # the plain words, each after a blank
+        wide = width[plain] + 1
+        first = np.cumsum(wide) - wide
+        text = data[np.maximum(np.repeat(start[plain] - 1, wide) + runs(wide), 0)]
+        text[first] = 0x20
+        text, first = text.tobytes(), [*first.tolist(), len(text)]
+        groups = range(0, len(wide), 1000)
+        ends = [min(k + 1000, len(wide)) for k in groups]
         made, counts = [self.ids], []
-        for lo, ids in zip(groups, self._ids(["".join([" " + w for w in some[k : k + 1000]]) for k in groups])):
+        for lo, hi, ids in zip(groups, ends, self._ids([text[first[i] : first[j]].decode() for i, j in zip(groups, ends)])):
             cut = np.flatnonzero(self.begins[ids])
-            if len(cut) != len(some[lo : lo + 1000]):
+            if len(cut) != hi - lo:
                 raise ValueError("the tokenizer does not start a piece at each blank")
             made.append(ids)
             counts.append(np.diff(np.append(cut, len(ids))))
-        size = np.zeros(len(words), np.int32)
+        size = np.zeros(len(keys), np.int32)
         size[plain] = np.concatenate(counts) if counts else 0
         at = np.searchsorted(self.keys, keys)
         self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(size) - size)
         self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, size)
-        spelt = [w.encode() for w in words]
-        ends = len(self.bytes) + np.cumsum([len(w) for w in spelt], dtype=np.int64)
-        span = np.array([ends - np.array([len(w) for w in spelt], np.int64), ends])
-        self.spelt = np.insert(self.spelt, at, span, axis=1)
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(spelt), np.uint8)])
+        ends = len(self.bytes) + np.cumsum(width)
+        self.spelt = np.insert(self.spelt, at, np.array([ends - width, ends]), axis=1)
+        self.bytes = np.concatenate([self.bytes, spelt])
         self.ids = np.concatenate(made)
 
     def encode(self, texts) -> list[bytes]:
@@ -117,8 +135,7 @@ class Encoder:
         new = np.ones(len(keys), bool)
         inside = at_known < len(self.keys)
         new[inside] = self.keys[at_known[inside]] != keys[inside]
-        spans = zip(found.start[at[new]].tolist(), found.end[at[new]].tolist())
-        self._learn(keys[new], [raw[i:j].decode() for i, j in spans])
+        self._learn(keys[new], found.data, found.start[at[new]], found.end[at[new]])
         known = np.searchsorted(self.keys, keys)
         sizes, begin = self.size[known].astype(np.int64), self.begin[known]
         spelt = self.spelt[:, known[inverse]]

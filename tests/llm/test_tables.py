@@ -514,3 +514,17 @@ def test_encoder_and_decontamination_go_by_bytes(documents, spark):
     items = spark.createDataFrame([(1, one)], "item_id int, text string")
     found = contaminated(documents([(1, other), (2, f"so {one} it is")]), items).collect()
     assert {r.doc_id: (r.n_hit, r.n_items) for r in found} == {1: (0, 0), 2: (12, 1)}
+
+
+def test_only_odd_words_are_read_one_by_one(monkeypatch):
+    asked, plain = [], Encoder._plain
+    monkeypatch.setattr(Encoder, "_plain", lambda self, word: asked.append(word) or plain(self, word))
+    texts = [" ".join(f"w{k}{c}" for k in range(300)) for c in "abc"] + ["a   b é  Zoë", "x \ty z\n", "é", "ü b", ""]
+    encoder = Encoder(PATH)
+    want = [np.array(x.ids, "<u2").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array(texts)) == want and encoder.encode(pa.array(texts[::-1])) == want[::-1]
+    assert 0 < len(asked) < 20
+    added = encoder.added[0]
+    held = [f"one{added} two {added}", f"three {added[:1]} {added[1:]}", "four five"]
+    want = [np.array(x.ids, "<u2").tobytes() for x in encoder.tokenizer.encode_batch(held, add_special_tokens=False)]
+    assert encoder.encode(pa.array(held)) == want
